@@ -63,15 +63,16 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, rk, fp): per row of docs its identifier, text hash and fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for _, t in C.rows(b)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(C.signed(fps))], schema=schema)
+            fps = np.array([fingerprint(t) for _, _, t in C.rows(b)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(C.signed(fps))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, C.ddl(schema))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.alias("text")).mapInArrow(run, C.ddl(schema))
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): each row's fingerprint and the least doc_id it reaches."""
-    fps = C.cut(fingerprints(docs, id_col, text_col))
+    fps = C.cut(fingerprints(docs, id_col, text_col).select("doc_id", "fp"))
     distinct = C.cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct))
     # a distinct fingerprint without links is its own root
@@ -134,6 +135,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all columns of docs: the least doc_id, and the least text hash of its rows.
+
+    The rows to keep are found from fingerprints alone; the texts are joined with them by key.
+    """
+    fps = fingerprints(docs, id_col, text_col)
+    distinct = C.cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), C.id_key("doc_id").alias("dk"), "rk")).alias("least")))
+    roots = components(links(distinct))
+    own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
+    keep = own.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.dk").alias("__dk"), F.col("k.rk").alias("__rk"))
+    marked = docs.withColumns({"__dk": C.id_key(id_col), "__rk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    kept = marked.join(keep, ["__dk", "__rk"], "left_semi")
+    return kept.dropDuplicates(["__dk", "__rk"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
