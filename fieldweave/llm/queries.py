@@ -8,6 +8,7 @@ from .mixing import OP10_SQL, op10_source_mix
 from .quality import op1_compression_bands
 from .simhash import op8_simhash
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op5_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
 }
 SQL = {
