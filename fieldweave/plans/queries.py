@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from fieldweave.plans import log_queries
+
+QUERIES = {**log_queries.QUERIES}
+SQL = {**log_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which rate pays best in each zone of each field, with every step checked elsewhere."""
+    return log_queries.flagship_of(spark, sf_dir)
