@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.plans import log_queries
+from fieldweave.plans import log_queries, terrain_queries
 
-QUERIES = {**log_queries.QUERIES}
-SQL = {**log_queries.SQL}
+QUERIES = log_queries.QUERIES | terrain_queries.QUERIES
+SQL = log_queries.SQL | terrain_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The same text for Spark SQL and DuckDB.  {events} is the table, {mod} the rate blocks.
 LOG = """
-o AS (
+log_o AS (
   SELECT event_id, user_id % 8 AS ds, ts, value,
          row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) - 1 AS seq
   FROM {events}),
-p AS (SELECT *, CAST(floor(CAST(seq AS DOUBLE)/40) AS BIGINT) AS pass_id FROM o),
-q AS (SELECT *, CASE WHEN pass_id % 2 = 0 THEN seq - pass_id*40 ELSE 39 - (seq - pass_id*40) END AS along FROM p),
+log_p AS (SELECT *, CAST(floor(CAST(seq AS DOUBLE)/40) AS BIGINT) AS pass_id FROM log_o),
+log_q AS (SELECT *, CASE WHEN pass_id % 2 = 0 THEN seq - pass_id*40 ELSE 39 - (seq - pass_id*40) END AS along FROM log_p),
 log AS (
 SELECT CAST(ds AS BIGINT) AS ds, CAST(seq AS BIGINT) AS seq, ts AS timestamp, CAST(seq AS DOUBLE)*2e0 AS elapsed_s, pass_id,
   CAST(pass_id AS DOUBLE)*9e0 + CASE WHEN event_id % 97 = 0 THEN 4e0 ELSE 0e0 END AS x,
@@ -24,7 +24,7 @@ SELECT CAST(ds AS BIGINT) AS ds, CAST(seq AS BIGINT) AS seq, ts AS timestamp, CA
   CAST({rate} AS DOUBLE) AS applied_rate,
   CASE WHEN along < 20 THEN 0 ELSE 1 END AS zone,
   700e0 + CAST(pass_id AS DOUBLE)*5e-2 + CAST(along AS DOUBLE)*2e-2 + CAST(event_id % 5 AS DOUBLE)*1e-2 AS elev_m
-FROM q)"""
+FROM log_q)"""
 #: Rates in strips of three passes, and pass by pass (which small inputs need for five rates).
 STRIPS, PASSES = "(CAST(floor(CAST(pass_id AS DOUBLE)/3) AS BIGINT) % 5)*45", "(pass_id % 5)*45"
 
