@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +55,31 @@ def id_key(col: str) -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(dk, rk, text): the identifier, a hash that tells rows of one identifier apart, the text.
 
-    Only these columns go on, so further columns of the input cannot clash.
+    Only these columns (and what more asks for) go on, so further columns of the input cannot clash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(id_col).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"))
+    return docs.select(id_key(id_col).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"), *more)
+
+
+def packed(base: DataFrame) -> DataFrame:
+    """The keyed texts with text as zstandard frames, so that a shuffle of them is small."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            frames = pa.array([press.compress(t) for t in b.column("text").cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([frames if n == "text" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+    # keys are never null: said here, no filter for it sets two uses of one shuffle apart
+    kinds = {n: "binary" if n == "text" else k + " NOT NULL" * (n in ("dk", "rk")) for n, k in base.dtypes}
+    return base.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+
+
+def unpacked(frame: bytes) -> bytes:
+    return zstandard.decompress(frame) if frame is not None else b""
 
 
 def doc_id(col: str = "dk") -> Column:
@@ -116,6 +135,42 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
+#: Bits of a row's hash that tell apart the texts of rows which share an identifier.
+TAG = 24
+
+
+def tag(rk):
+    return rk & ((1 << TAG) - 1)
+
+
+def run_code(tag: str, pos: str, length: str) -> Column:
+    """A run of windows as one long, which travels well: position, tag, length (255 at most)."""
+    return F.shiftleft(F.col(pos).cast("long"), 32).bitwiseOR(F.shiftleft(F.col(tag).cast("long"), 8)).bitwiseOR(F.col(length).cast("long"))
+
+
+def run_spans(codes, rk: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what the coded runs of one text cover, for windows of a width."""
+    a = np.asarray(codes if codes is not None else (), np.int64)
+    a = a[(a >> 8) & ((1 << TAG) - 1) == tag(rk)]
+    return a >> 32, (a >> 32) + (a & 255) - 1 + width
+
+
+def known_runs(dk: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(dk, tag, pos, length) of the runs of consecutive positions, 255 at most each."""
+    order = np.lexsort((pos, tags, dk))
+    dk, tags, pos = dk[order], tags[order], pos[order]
+    head = np.concatenate(([True], (dk[1:] != dk[:-1]) | (tags[1:] != tags[:-1]) | (pos[1:] > pos[:-1] + 1)))
+    since = np.arange(len(head)) - np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+    at = np.flatnonzero(head | (since % 255 == 0))
+    last = np.concatenate((at[1:], [len(head)])) - 1
+    return dk[at], tags[at], pos[at], pos[last] - pos[at] + 1
+
+
+def scatter(dk: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A key of its own for each settled row, so that they are dealt evenly."""
+    return signed(mix(dk.view(np.uint64) ^ (pos.astype(np.uint64) * MULT[1, 2])))
+
+
 def batch(schema: pa.Schema, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, schema)], schema=schema)
 

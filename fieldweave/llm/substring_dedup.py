@@ -36,15 +36,21 @@ PERIOD, COVER, ANCHOR, WINDOW = 13, np.array([0, 1, 3, 9]), 8, 20
 #: Words that a task combines at a time.
 BLOCK = 1_000_000
 
-ANCHORS = pa.schema([("h", pa.int64()), ("dk", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("known", pa.bool_())])
-WINDOWS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("dk", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())])
+#: mark is 2 * position, plus 1 if the task already knows that the anchor repeats.  What varies
+#: from row to row stands together and the rest after it, as a shuffle compresses that best.
+ANCHORS = pa.schema([("h", pa.int64()), ("mark", pa.int32()), ("dk", pa.int64())])
+#: k1 and the upper half of kp are 96 bits of the window's hash, the lower half of kp is its
+#: position; len is 0, or the length of a run of settled windows.
+WINDOWS = pa.schema([("k1", pa.int64()), ("kp", pa.int64()), ("tag", pa.int32()), ("len", pa.int32()), ("dk", pa.int64())])
+#: Bits of an anchor's hash that a shuffle carries: an anchor only selects what is compared later.
+ANCHOR_BITS = 48
 
 
-def _blocks(batches, per_doc, size: int) -> Iterator[list[np.ndarray]]:
+def _blocks(batches, columns, per_doc, size: int) -> Iterator[list[np.ndarray]]:
     """per_doc(row) gives equally long arrays and a weight; they come joined, a bounded block at a time."""
     held, weight = [], 0
     for b in batches:
-        for row in C.rows(b):
+        for row in C.rows(b.select(columns)):
             got, w = per_doc(row)
             if got is not None:
                 held.append(got)
@@ -58,7 +64,7 @@ def _blocks(batches, per_doc, size: int) -> Iterator[list[np.ndarray]]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def per_doc(row):
-        dk, rk, text = row
+        dk, _, text = row
         words = text.split()
         n = len(words)
         if n < WINDOW:
@@ -66,22 +72,25 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = (np.arange(0, n, PERIOD)[:, None] + COVER).ravel()
         at = at[at <= n - ANCHOR]
         h = C.windows(C.word_hashes(words)[:, 0], ANCHOR)[at]
-        return (h, np.full(len(at), dk), np.full(len(at), rk), at.astype(np.int32)), n
+        h = (h >> C.U64(64 - ANCHOR_BITS)) << C.U64(64 - ANCHOR_BITS)
+        return (h, np.full(len(at), dk), at.astype(np.int32)), n
 
-    for h, dk, rk, pos in _blocks(batches, per_doc, BLOCK):
+    for h, dk, pos in _blocks(batches, ["dk", "rk", "text"], per_doc, BLOCK):
         order = np.argsort(h, kind="stable")
-        h, dk, rk, pos = h[order], dk[order], rk[order], pos[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        alone = first & np.concatenate((first[1:], [True]))
-        # what is known to repeat needs no meeting place: deal it by its own position
-        key = np.where(first, h, C.mix(dk.view(np.uint64) ^ (pos.astype(np.uint64) * C.MULT[1, 0])))
-        yield C.batch(ANCHORS, C.signed(key), dk, rk, pos, ~alone)
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        first, alone = np.empty_like(new), np.empty_like(new)
+        first[order] = new
+        alone[order] = new & np.concatenate((new[1:], [True]))
+        # what is known to repeat needs no meeting place: deal it by its own position.  Rows stay
+        # in the order of documents, in which they compress best
+        key = np.where(first, C.signed(h), C.scatter(dk, pos))
+        yield C.batch(ANCHORS, key, 2 * pos + ~alone, dk)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def per_doc(row):
-        dk, rk, text, anchors = row
-        words = text.split()
+        dk, rk, frame, anchors = row
+        words = C.unpacked(frame).split()
         n = len(words)
         a = np.asarray(anchors, np.int64)
         m = n - WINDOW + 1
@@ -89,78 +98,77 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(at):
             return None, n
         h = C.word_hashes(words)
-        return (C.windows(h[:, 0], WINDOW)[at], C.windows(h[:, 1], WINDOW, 1)[at], np.full(len(at), dk), np.full(len(at), rk), at.astype(np.int32)), len(at)
+        return (C.windows(h[:, 0], WINDOW)[at], (C.windows(h[:, 1], WINDOW, 1)[at] >> C.U64(32)).astype(np.uint32).view(np.int32), np.full(len(at), dk), np.full(len(at), C.tag(rk)), at), len(at)
 
-    for k1, k2, dk, rk, pos in _blocks(batches, per_doc, BLOCK):
-        order = np.lexsort((pos, rk, dk, k2, k1))
-        k1, k2, dk, rk, pos = (x[order] for x in (k1, k2, dk, rk, pos))
+    for was in _blocks(batches, ["dk", "rk", "text", "anchors"], per_doc, BLOCK):
+        order = np.lexsort((was[4], was[3], was[2], was[1], was[0]))
+        k1, k2, dk, tag, pos = (x[order] for x in was)
         new = np.concatenate(([True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
         start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        same = np.concatenate(([False], (dk[1:] == dk[:-1]) & (rk[1:] == rk[:-1]) & (pos[1:] > pos[:-1]))) & ~new
+        same = np.concatenate(([False], (dk[1:] == dk[:-1]) & (tag[1:] == tag[:-1]) & (pos[1:] > pos[:-1]))) & ~new
         gone = (dk > dk[start]) | same
-        keep = ~gone
-        yield C.batch(WINDOWS, C.signed(k1[keep]), C.signed(k2[keep]), dk[keep], rk[keep], pos[keep], np.zeros(keep.sum(), np.int32))
+        keep = np.sort(order[~gone])
+        kp = (was[1][keep].astype(np.int64) << 32) | was[4][keep]
+        yield C.batch(WINDOWS, C.signed(was[0][keep]), kp, was[3][keep], np.zeros(len(keep), np.int32), was[2][keep])
         if gone.any():
-            dk, rk, pos = dk[gone], rk[gone], pos[gone]
-            order = np.lexsort((pos, rk, dk))
-            dk, rk, pos = dk[order], rk[order], pos[order]
-            head = np.concatenate(([True], (dk[1:] != dk[:-1]) | (rk[1:] != rk[:-1]) | (pos[1:] > pos[:-1] + 1)))
-            at = np.flatnonzero(head)
-            last = np.concatenate((at[1:], [len(head)])) - 1
-            key = C.signed(C.mix(dk[at].view(np.uint64) ^ (pos[at].astype(np.uint64) * C.MULT[1, 1])))
-            yield C.batch(WINDOWS, key, key, dk[at], rk[at], pos[at], pos[last] - pos[at] + 1)
-
-
-def repeated_windows(base: DataFrame) -> DataFrame:
-    """(dk, rk, runs): per document the runs (start, count) of windows that also start earlier."""
+            dk, tag, pos, size = C.known_runs(dk[gone], tag[gone], pos[gone])
+            yield C.batch(WINDOWS, C.scatter(dk, pos), pos, tag, size, dk)
+
+
+def repeated_windows(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """(dk, runs): per doc_id the coded runs of windows that also start earlier.
+
+    texts are the packed rows of base.  They are joined by dk alone here, as they are by the
+    caller: one shuffle of the texts serves both joins.
+    """
     anchors = base.mapInArrow(_anchor_rows, C.ddl(ANCHORS))
     again = F.count(F.lit(1)).over(Window.partitionBy("h")) > 1
     hits = (
         anchors.withColumn("again", again)
-        .where("again or known")
-        .groupBy("dk", "rk")
-        .agg(F.collect_set("pos").alias("anchors"))
+        .where("again or mark % 2 = 1")
+        .groupBy("dk")
+        .agg(F.collect_set(F.expr("mark div 2")).alias("anchors"))
     )
-    found = base.join(hits, ["dk", "rk"]).select("dk", "rk", "text", "anchors").mapInArrow(_window_rows, C.ddl(WINDOWS))
-    w = Window.partitionBy("k1", "k2").orderBy("dk", "rk", "pos")
-    inside = (F.lag("dk").over(w) == F.col("dk")) & (F.lag("rk").over(w) == F.col("rk")) & (F.lag("pos").over(w) < F.col("pos"))
+    found = texts.join(hits, "dk").mapInArrow(_window_rows, C.ddl(WINDOWS))
+    # dealt by k1 as packed; the parts of kp are taken out afterwards
+    found = found.repartition("k1").select("k1", F.shiftright("kp", 32).alias("k2"), "dk", "tag", F.col("kp").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos"), "len")
+    w = Window.partitionBy("k1", "k2").orderBy("dk", "tag", "pos")
+    inside = (F.lag("dk").over(w) == F.col("dk")) & (F.lag("tag").over(w) == F.col("tag")) & (F.lag("pos").over(w) < F.col("pos"))
     later = F.col("dk") > F.first("dk").over(w)
     return (
         found.withColumn("gone", (F.col("len") > 0) | later | F.coalesce(inside, F.lit(False)))
         .where("gone")
-        .groupBy("dk", "rk")
-        .agg(F.collect_list(F.struct("pos", F.greatest("len", F.lit(1)).alias("len"))).alias("runs"))
+        .withColumn("len", F.greatest("len", F.lit(1)))
+        .groupBy("dk")
+        .agg(F.collect_list(C.run_code("tag", "pos", "len")).alias("runs"))
     )
 
 
-def _removed(n: int, found) -> np.ndarray:
-    if not found:
-        return np.zeros(n, bool)
-    at = np.array([(r["pos"], r["pos"] + r["len"] - 1 + WINDOW) for r in found], np.int64)
-    return C.cover(n, at[:, 0], at[:, 1])
+def _removed(n: int, rk: int, found) -> np.ndarray:
+    return C.cover(n, *C.run_spans(found, rk, WINDOW))
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("dk", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     for b in batches:
         out = []
-        for dk, text, found in C.rows(b.select(["dk", "text", "runs"])):
-            words = text.split()
-            gone = _removed(len(words), found)
+        for dk, rk, frame, found in C.rows(b.select(["dk", "rk", "text", "runs"])):
+            words = C.unpacked(frame).split()
+            gone = _removed(len(words), rk, found)
             kept = words if not gone.any() else [words[i] for i in np.flatnonzero(~gone)]
             out.append((dk, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
         if out:
             yield C.batch(schema, *zip(*out))
 
 
-def _kept_text(texts, founds) -> list[str | None]:
+def _kept_text(texts, rks, founds) -> list[str | None]:
     out = []
-    for text, found in zip(texts, founds):
-        if text is None or found is None or not len(found):
+    for text, rk, found in zip(texts, rks, founds):
+        if text is None or not found or not len(C.run_spans(found, rk, WINDOW)[0]):
             out.append(text)
             continue
         at = [m.span() for m in re.finditer(C.WORD, text)]
-        gone = _removed(len(at), found)
+        gone = _removed(len(at), rk, found)
         parts, last = [], None
         for i in np.flatnonzero(~gone):
             if last is not None:  # the white space before a kept word, where its neighbour stays; else one space
@@ -177,25 +185,26 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A text without repeats is returned as it is, and a null text stays null.
     """
     base = C.keyed(docs, id_col, text_col)
-    found = repeated_windows(base)
+    rest = F.struct(*[(F.col(f"`{c}`").isNull() if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    texts = C.packed(C.keyed(docs, id_col, text_col, rest.alias("rest")))
+    joined = texts.join(repeated_windows(base, texts), "dk", "left")
+    kind = dict(texts.dtypes)["rest"]
 
-    def fix(batches):
+    def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            texts = _kept_text(b.column(names.index(text_col)).to_pylist(), b.column(names.index("__runs")).to_pylist())
-            cols = [pa.array(texts, pa.string()) if n == text_col else b.column(i) for i, n in enumerate(names) if n != "__runs"]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n in names if n != "__runs"])
+            raw = [C.unpacked(t).decode() for t in b.column("text").to_pylist()]
+            fixed = _kept_text(raw, *[b.column(n).to_pylist() for n in ("rk", "runs")])
+            yield pa.RecordBatch.from_arrays([pa.array(fixed, pa.string()), b.column("rest")], names=["text", "rest"])
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"__dk": C.id_key(id_col), "__rk": F.xxhash64(text)})
-    found = found.select(F.col("dk").alias("__dk"), F.col("rk").alias("__rk"), F.col("runs").alias("__runs"))
-    joined = marked.join(found, ["__dk", "__rk"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__runs")
-    return joined.mapInArrow(fix, docs.schema)
+    out = joined.mapInArrow(fix, f"text string, rest {kind}")
+    new = F.when(~F.col("rest")[text_col], F.col("text"))
+    return out.select(*[(new if c == text_col else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: words, words removed, digest of the words kept."""
     base = C.keyed(C.table(spark, sf_dir, "documents"), "doc_id", "text")
-    joined = base.join(repeated_windows(base), ["dk", "rk"], "left")
+    texts = C.packed(base)
+    joined = texts.join(repeated_windows(base, texts), "dk", "left")
     out = joined.mapInArrow(_digest_rows, "dk long, n_words long, n_removed long, kept_sha256 string")
     return out.select(C.doc_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
