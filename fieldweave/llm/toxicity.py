@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text, each present or not: words, word pairs, pairs with one or two words
-between, and the character 4- to 6-grams of words (for compounds), hashed into 2**20 bins.
+between, and byte 5- and 7-grams inside words (for compounds), hashed into 2**20 bins.
 FTRL-proximal keeps a rate for every coordinate and an L1 threshold, so most bins stay at
 zero; only the others, at most ``MAX_WEIGHTS``, are broadcast to score the corpus.
 
@@ -25,21 +25,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 BINS = 20
-SAMPLE, MAX_FEATURES, MAX_WEIGHTS = 12_000, 6_000, 200_000
+SAMPLE, MAX_FEATURES, MAX_WEIGHTS = 10_000, 10_000, 200_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 2.0, 1.0, 4
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
-_fold = bytes.maketrans(C.UPPER.encode(), C.LOWER.encode())
-_trim = b".,;:!?\"'()[]{}<>|"
+#: Bytes a character n-gram has.
+NGRAMS = (5, 7)
+#: Lower-cases A-Z; blanks and ASCII punctuation separate words.
+_table = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c in b"#$%&*@-" else 32 for c in range(256))
+_rng = np.random.default_rng(5_151)
+_value, _place = (_rng.integers(0, 2**63, n, dtype=np.uint64) * C.U64(2) + C.U64(1) for n in (256, 64))
 _gap = [C.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-#: Words whose own features a task remembers at a time.
-MEMORY = 200_000
 
 
 def fold(doc: Column) -> Column:
@@ -47,35 +48,39 @@ def fold(doc: Column) -> Column:
     return F.pmod(F.crc32(doc.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def _of_word(word: bytes) -> np.ndarray:
-    """Bins of a word and of its character n-grams."""
-    pad = b"^" + word + b"$"
-    chars = pad.decode("utf-8", "replace")
-    grams = {chars[i : i + k] for k in (4, 5, 6) for i in range(len(chars) - k + 1)} if len(chars) < 64 else set()
-    h = [xxhash.xxh3_64_intdigest(word, 1)] + [xxhash.xxh3_64_intdigest(g.encode("utf-8", "replace"), 2) for g in grams]
-    return (np.array(h, np.uint64) >> C.U64(64 - BINS)).astype(np.int32)
-
-
-def _words(text: bytes | None) -> list[bytes]:
-    return [w for w in (x.strip(_trim) for x in (text or b"").translate(_fold).split()) if w]
-
-
-def _pairs(words: list[bytes]) -> np.ndarray:
-    """Bins of word pairs at distance 1, 2 and 3."""
-    if len(words) < 2:
-        return np.zeros(0, np.int32)
-    h = C.word_hashes(words)[:, 0]
-    parts = [C.mix(h[:-d] * g + h[d:]) for d, g in zip((1, 2, 3), _gap) if len(h) > d]
-    return np.unique((np.concatenate(parts) >> C.U64(64 - BINS)).astype(np.int32))
+def _bins(text: bytes | None) -> list[np.ndarray]:
+    """Bins of a text's words, word pairs and character n-grams, with repeats."""
+    data = np.frombuffer((text or b"").translate(_table), np.uint8)
+    data = np.concatenate(([32], data, [32])).astype(np.uint8)
+    blank = data == 32
+    start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    if not len(start):
+        return []
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    # a word's hash: its bytes' values times multipliers of their places, summed by word
+    place = np.arange(len(data)) - np.repeat(np.concatenate(([0], start)), np.diff(np.concatenate(([0], start, [len(data)]))))
+    value = _value[data] * _place[place & 63]
+    value[blank] = 0
+    h = C.mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64))
+    out = [h] + [C.mix(h[:-d] * g + h[d:]) for d, g in zip((1, 2, 3), _gap) if len(h) > d]
+    inside = np.concatenate(([0], np.cumsum(blank)))
+    byte = _value[data]
+    for n in NGRAMS:
+        if len(data) < n:
+            continue
+        # no blank but at its ends, which mark where words begin and end
+        at = np.flatnonzero(inside[n - 1 : len(data) - n + n] - inside[1 : len(data) - n + 2] == 0) if n > 2 else np.arange(len(data) - n + 1)
+        g = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            g += byte[at + k] * _place[k + n]
+        out.append(C.mix(g))
+    return [(x >> C.U64(64 - BINS)).astype(np.int32) for x in out]
 
 
 def features(text: bytes | None) -> np.ndarray:
     """The distinct bins of a text, sorted."""
-    words = _words(text)
-    if not words:
-        return np.zeros(0, np.int32)
-    own = np.concatenate([_of_word(w) for w in set(words)])
-    return np.unique(np.concatenate([own, _pairs(words)]))
+    got = _bins(text)
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.int32)
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
@@ -148,23 +153,10 @@ def _scorer(model):
     at, w, bias = model
     dense = np.zeros(2**BINS)
     dense[at] = w
-    own_bins: dict[bytes, tuple] = {}
 
     def score(text: bytes | None) -> float:
-        words = _words(text)
-        if len(own_bins) > MEMORY:
-            own_bins.clear()
-        bins = set()
-        for word in set(words):
-            got = own_bins.get(word)
-            if got is None:
-                x = _of_word(word)
-                got = own_bins[word] = tuple(x[dense[x] != 0].tolist())
-            if got:
-                bins.update(got)
-        pairs = _pairs(words)
-        bins.update(pairs[dense[pairs] != 0].tolist())
-        x = np.array(sorted(bins), np.int64)
+        hit = [x[dense[x] != 0] for x in _bins(text)]
+        x = np.unique(np.concatenate(hit)) if hit else np.zeros(0, np.int32)
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, bias + float(dense[x].sum())))))
 
     return score
