@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut
-from fieldweave.operators import graph, grid, hydro
+from fieldweave.operators import graph, grid, hydro, relief
 from fieldweave.plans.log_queries import QUERIES as _, r4  # noqa: F401
 from fieldweave.sources.bench_log import bench_log, sql
 
@@ -314,3 +314,62 @@ def jn_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN7 (continuous)."""
     pts = bench_log(spark, sf_dir).select("ds", F.col("seq").alias("id"), "x", "y")
     return r4(grid.sample_bilinear(pts, _bowl(spark, sf_dir), SIZE), digits=5)
+
+
+@register("lf_hills")
+def lf_hills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LF5, LF6: hills with their feet."""
+    c = cut(_bowl(spark, sf_dir))
+    s = grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct").join(grid.standardise(grid.tpi(c, 2)).drop("tpi"), ["ds", "row", "col"])
+    return r4(relief.features(cut(s), SIZE, min_ha=0.03, max_rings=6))
+
+
+@register("ter_detrend")
+def ter_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TER5, JN5: offsets of the passes."""
+    return r4(relief.pass_offsets(bench_log(spark, sf_dir), 13.5))
+
+
+@register("ter_noise")
+def ter_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TER7, TER9: noise of the altitude and the smoothing that it asks for."""
+    n = cut(relief.point_noise(bench_log(spark, sf_dir)))
+    return r4(n.join(relief.smoothing_sigma(n, SIZE), "ds"))
+
+
+@register("ter_spikes")
+def ter_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TER4: planted spikes of three metres."""
+    e = F.when(F.col("seq") % 61 == 9, F.col("elev_m") + 3).otherwise(F.col("elev_m"))
+    return relief.altitude_spikes(bench_log(spark, sf_dir).withColumn("elev_m", e))
+
+
+@register("con_profile")
+def con_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CON3: across each field."""
+    c = cut(_bowl(spark, sf_dir))
+    e = c.groupBy("ds").agg((F.max("col") * SIZE).alias("x"), (-F.max("row") * SIZE).alias("y0"), (-F.min("row") * SIZE).alias("y1"))
+    line = e.select("ds", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit(5.0).alias("x"), (F.col("y0") + 5).alias("y")), F.struct(F.lit(1).alias("k"), F.col("x").alias("x"), (F.col("y1") - 5).alias("y")))).alias("v")).select("ds", "v.*")
+    return r4(relief.profile(line, c, SIZE, 20))
+
+
+@register("ts_findings")
+def ts_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF1, TS1, DER12: summary of each field and what it says."""
+    f, _, _, twi = _wet(spark, sf_dir)
+    wet = hydro.wet_cells(twi, f).select("ds", "row", "col", "slope_pct", "depth", "wet").join(f.select("ds", "row", "col", "z"), ["ds", "row", "col"])
+    s = cut(relief.terrain_summary(wet, SIZE))
+    c = f.select("ds", "row", "col", "z")
+    s = s.join(grid.plane_trend(c, SIZE), "ds").join(grid.residual_relief(c, SIZE), "ds")
+    return relief.terrain_findings(s)
+
+
+@register("yr_findings")
+def yr_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YR4."""
+    from fieldweave.operators import stats
+
+    p = grid.sample_nearest(bench_log(spark, sf_dir), cut(_landforms(spark, sf_dir)), SIZE, "landform").where("landform is not null")
+    g = stats.group_stats(p, "value", "landform").withColumnRenamed("landform", "class")
+    r = stats.relations(bench_log(spark, sf_dir), "value", ["elev_m"]).select("ds", F.col("r_elev_m").alias("r"))
+    return r4(relief.yield_findings(g, r))

@@ -119,3 +119,34 @@ def test_landform_table(spark):
     rows = [(2.0, 2.0, 1.0, 1), (0.0, 2.0, 1.0, 2), (-2.0, 2.0, 1.0, 2), (2.0, 0.0, 1.0, 2), (0.0, 0.0, 1.0, 4), (0.0, 0.0, 3.0, 3), (-2.0, 0.0, 3.0, 5), (2.0, -2.0, 1.0, 5), (-2.0, -2.0, 1.0, 6), (None, 0.0, 1.0, 0)]
     df = spark.createDataFrame(rows, "s double, l double, p double, want int").withColumn("got", grid.landform(F.col("s"), F.col("l"), F.col("p")))
     assert df.where("got <> want").count() == 0
+
+
+def test_pass_offsets_are_found(spark):
+    from fieldweave.operators import relief
+
+    r = random.Random(4)
+    rows = [(1, p * 100 + k, p, p * 9.0, k * 3.0, 700 + 0.01 * k + (0.6 if p == 5 else 0.0) + r.gauss(0, 0.02)) for p in range(12) for k in range(60)]
+    df = spark.createDataFrame(rows, "ds long, seq long, pass_id long, x double, y double, elev_m double")
+    off = {x["pass_id"]: x["offset"] for x in relief.pass_offsets(df, 13.5).collect()}
+    assert off[5] - sorted(off.values())[len(off) // 2] > 0.4
+    assert 0.005 < relief.point_noise(df.where("pass_id <> 5")).first()["noise"] < 0.06
+    spiky = df.withColumn("elev_m", F.when(F.col("seq") == 333, 720.0).otherwise(F.col("elev_m")))
+    assert 333 in {x["id"] for x in relief.altitude_spikes(spiky).collect()}
+
+
+def test_saddle_between_two_hills(spark):
+    from fieldweave.operators import relief
+
+    two = surface(spark, lambda r, c: max(5 - abs(c - 5), 6 - abs(c - 14), 0.0) - 0.01 * abs(r - 5), 11, 20)
+    top = spark.createDataFrame([(1, 1, 5, 5)], "ds long, label long, row long, col long")
+    stop = spark.createDataFrame([(1, 5, 14)], "ds long, row long, col long")
+    assert relief.saddle_level(top, two, stop, 6).first()["level"] == pytest.approx(1.0, abs=0.01)
+
+
+def test_hill_features(spark):
+    from fieldweave.operators import relief
+
+    hill = surface(spark, lambda r, c: max(0.0, 5 - math.hypot(r - 10, c - 10)), 21, 21)
+    s = grid.derivatives(hill, 5.0).select("ds", "row", "col", "z", "slope_pct").join(grid.standardise(grid.tpi(hill, 4)), ["ds", "row", "col"])
+    f = relief.features(s, 5.0).collect()
+    assert len(f) == 1 and (f[0]["row"], f[0]["col"]) == (10, 10) and abs(f[0]["height_m"] - 5) < 0.5 and f[0]["elongation"] < 1.2
