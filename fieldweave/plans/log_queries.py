@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions.columns import rounded
-from fieldweave.operators import clean, layers, response, spatial, stats, track
+from fieldweave.operators import clean, economics, layers, response, spatial, stats, track
 from fieldweave.sources.bench_log import PASSES, bench_log, sql
 
 QUERIES, SQL = {}, {}
@@ -555,3 +555,16 @@ def eco_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ECO9 on quadratics."""
     z = response.uniform_or_variable(_zone_cells(spark, sf_dir), 0.25, 1.5, 200.0, models=("quadratic",))
     return z.select("ds", *[rounded(c, 2).alias(c) for c in ("uniform_profit", "variable_profit", "gain")])
+
+
+@register("eco_analyze")
+def eco_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ECO10: the whole analysis; the optimum of each log."""
+    got = economics.analyze(bench_log(spark, sf_dir).where("value > 0"), 0.25, 1.5, margin_m=2.0, rate_max=200.0, models=("quadratic", "linear_plateau"))
+    return r4(got["optimum"], digits=2)
+
+
+@register("eco_sampled_cells")
+def eco_sampled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ECO11: a hundred cells of each log."""
+    return r4(economics.sampled_cells(layers.aggregate_cells(_levelled(spark, sf_dir)), 100))
