@@ -49,8 +49,12 @@ _pair = _rng.integers(0, 2**63, (2, 8, 4), dtype=np.uint64) * C.U64(2) + C.U64(1
 
 #: own is null where the key is the q-gram itself; a settled row has a key of its own and the q-gram in own.
 GRAMS = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("dk", pa.int64())])
-HULLS = pa.schema([("g", pa.int64()), ("c1", pa.int64()), ("c2", pa.int32()), ("dk", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("known", pa.bool_())])
-WINDOWS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("dk", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())])
+#: What varies from row to row stands together, as a shuffle compresses that best.  The upper
+#: half of cp and kp is more of the name, the lower half the position.
+HULLS = pa.schema([("c1", pa.int64()), ("cp", pa.int64()), ("g", pa.int64()), ("tag", pa.int32()), ("len", pa.int32()), ("dk", pa.int64())])
+WINDOWS = pa.schema([("k1", pa.int64()), ("kp", pa.int64()), ("tag", pa.int32()), ("len", pa.int32()), ("dk", pa.int64())])
+#: Bits of a q-gram's name that a shuffle carries: it only selects what is compared later.
+GRAM_BITS = 48
 
 
 def _names(data: np.ndarray, chain: int, depth: int) -> dict[int, np.ndarray]:
@@ -102,7 +106,7 @@ class Section:
         #: of each chosen suffix: its place, its first window and the number of its windows, its document
         self.at, self.lo, self.of = chosen[first], self.s[first], self.doc[first]
         self.n = np.diff(np.concatenate((first, [len(chosen)])))
-        self.g = g[self.at]
+        self.g = (g[self.at] >> C.U64(64 - GRAM_BITS)) << C.U64(64 - GRAM_BITS)
 
     def second(self):
         if len(self.names) == 1:
@@ -120,11 +124,13 @@ class Section:
         return [_point(self.names[c][32], [s, s + WINDOW - 32], c) for c in (0, 1)]
 
 
-def _sections(batches) -> Iterator[tuple[Section, list]]:
+def _sections(batches, *more: str, packed: bool = True) -> Iterator[tuple[Section, list]]:
     """Sections of the texts, with the further columns of their rows."""
     held, size = [], 0
     for b in batches:
-        for row in C.rows(b):
+        for row in C.rows(b.select(["dk", "rk", "text", *more])):
+            if packed:
+                row = (*row[:2], C.unpacked(row[2]), *row[3:])
             if len(row[2]) >= WINDOW:
                 held.append(row)
                 size += len(row[2])
@@ -148,14 +154,9 @@ def _joined(parts: Iterator[list[np.ndarray]], size: int) -> Iterator[list[np.nd
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _scatter(dk: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A key of its own for each settled row, so that they are dealt evenly."""
-    return C.signed(C.mix(dk.view(np.uint64) ^ (pos.astype(np.uint64) * C.MULT[1, 2])))
-
-
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts():
-        for sec, _ in _sections(batches):
+        for sec, _ in _sections(batches, packed=False):
             order = np.lexsort((sec.g, sec.of))
             of, g = sec.of[order], sec.g[order]
             once = np.concatenate(([True], (of[1:] != of[:-1]) | (g[1:] != g[:-1])))
@@ -175,12 +176,12 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a settled bucket's first member still has to meet those of other tasks
         meet = ~several | first
         yield C.batch(GRAMS, g[meet], pa.nulls(int(meet.sum()), pa.int64()), dk[meet])
-        yield C.batch(GRAMS, _scatter(dk[several], (g[several] & 0x7FFFFFFF).astype(np.int32)), g[several], dk[several])
+        yield C.batch(GRAMS, C.scatter(dk[several], g[several] >> 32), g[several], dk[several])
 
 
 def _hull_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts():
-        for sec, more in _sections(batches):
+        for sec, more in _sections(batches, "grams"):
             hits = [np.array(m[0], np.int64).view(np.uint64) for m in more]
             sizes = np.array([len(h) for h in hits])
             # (document, q-gram) pairs are looked up as one hash, as names are
@@ -189,59 +190,58 @@ def _hull_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(k):
                 c1, c2 = sec.hulls(k)
                 of = sec.of[k]
-                yield [sec.g[k], c1, (c2 >> C.U64(32)).astype(np.uint32).view(np.int32), sec.dk[of], sec.rk[of], (sec.lo[k] - sec.start[of]).astype(np.int32), sec.n[k].astype(np.int32)]
+                yield [sec.g[k], c1, c2 >> C.U64(32), sec.dk[of], C.tag(sec.rk[of]), sec.lo[k] - sec.start[of], sec.n[k]]
 
     for was in _joined(parts(), BLOCK):
-        g, c1, c2, dk, rk, pos, n = was
+        g, c1, c2, dk, tag, pos, n = was
         order = np.lexsort((dk, c2, c1))
         a, b = c1[order], c2[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         least = dk[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         known = np.empty(len(g), bool)
         known[order] = dk[order] > least
-        key = np.where(known, _scatter(dk, pos), C.signed(c1))
-        yield C.batch(HULLS, C.signed(g), key, np.where(known, 0, c2), dk, rk, pos, n, known)
+        # a settled row is dealt by itself, with its length below zero
+        key = np.where(known, C.scatter(dk, pos), C.signed(c1))
+        cp = C.signed(np.where(known, C.U64(0), c2 << C.U64(32))) | pos
+        yield C.batch(HULLS, key, cp, np.where(known, 0, C.signed(g)), tag, np.where(known, -n, n), dk)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts():
-        for sec, more in _sections(batches):
+        for sec, more in _sections(batches, "hulls"):
             lo, n, of = [], [], []
             for i, m in enumerate(more):
-                own = [(x["pos"], x["len"]) for x in m[0] if x["rk"] == sec.rk[i]]
-                lo += [sec.start[i] + x[0] for x in own]
-                n += [x[1] for x in own]
-                of += [i] * len(own)
-            if lo:
-                lo, n = np.array(lo, np.int64), np.array(n, np.int64)
+                first, end = C.run_spans(m[0], int(sec.rk[i]), 1)
+                lo.append(sec.start[i] + first)
+                n.append(end - first)
+                of += [i] * len(first)
+            if of:
+                lo, n = np.concatenate(lo), np.concatenate(n)
                 s = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 of = np.repeat(np.array(of), n)
                 k1, k2 = sec.windows(s)
-                yield [k1, (k2 >> C.U64(32)).astype(np.uint32).view(np.int32), sec.dk[of], sec.rk[of], (s - sec.start[of]).astype(np.int32)]
+                yield [k1, k2 >> C.U64(32), sec.dk[of], C.tag(sec.rk[of]), s - sec.start[of]]
 
     for was in _joined(parts(), BLOCK):
-        k1, k2, dk, rk, pos = was
+        k1, k2, dk, tag, pos = was
         order = np.lexsort((dk, k2, k1))
         a, b = k1[order], k2[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         known = np.empty(len(k1), bool)
         known[order] = dk[order] > dk[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         keep = ~known
-        yield C.batch(WINDOWS, C.signed(k1[keep]), k2[keep], dk[keep], rk[keep], pos[keep], np.zeros(keep.sum(), np.int32))
+        kp = C.signed(k2[keep] << C.U64(32)) | pos[keep]
+        yield C.batch(WINDOWS, C.signed(k1[keep]), kp, tag[keep], np.zeros(keep.sum(), np.int32), dk[keep])
         if known.any():
-            dk, rk, pos = dk[known], rk[known], pos[known]
-            order = np.lexsort((pos, rk, dk))
-            dk, rk, pos = dk[order], rk[order], pos[order]
-            head = np.concatenate(([True], (dk[1:] != dk[:-1]) | (rk[1:] != rk[:-1]) | (pos[1:] > pos[:-1] + 1)))
-            at = np.flatnonzero(head)
-            last = np.concatenate((at[1:], [len(head)])) - 1
-            yield C.batch(WINDOWS, _scatter(dk[at], pos[at]), np.zeros(len(at), np.int32), dk[at], rk[at], pos[at], pos[last] - pos[at] + 1)
+            dk, tag, pos, size = C.known_runs(dk[known], tag[known], pos[known])
+            yield C.batch(WINDOWS, C.scatter(dk, pos), pos, tag, size, dk)
 
 
-def repeated_strings(base: DataFrame) -> DataFrame:
-    """(dk, runs): per doc_id the runs (rk, start, count) of windows that a smaller document has too.
+def repeated_strings(base: DataFrame, texts: DataFrame) -> DataFrame:
+    """(dk, runs): per doc_id the coded runs of windows that a smaller document has too.
 
-    All joins with the texts are by dk alone, so that the texts are shuffled once.
+    texts are the packed rows of base; all joins with them are by dk alone, so that they are
+    shuffled once for this and for the caller.
     """
     # 1. q-gram buckets with suffixes of two documents
     grams = base.mapInArrow(_gram_rows, C.ddl(GRAMS))
@@ -253,32 +253,37 @@ def repeated_strings(base: DataFrame) -> DataFrame:
         .groupBy("dk")
         .agg(F.collect_set(F.coalesce("own", "key")).alias("grams"))
     )
-    # 2. hulls
-    hulls = base.join(hits, "dk").select("dk", "rk", "text", "grams").mapInArrow(_hull_rows, C.ddl(HULLS))
+    # 2. hulls, dealt by c1 as packed; the parts of cp are taken out afterwards
+    low = lambda c: F.col(c).bitwiseAND(0x7FFFFFFF).cast("int")
+    hulls = texts.join(hits, "dk").mapInArrow(_hull_rows, C.ddl(HULLS)).repartition("c1")
+    hulls = hulls.select("c1", F.shiftright("cp", 32).alias("c2"), low("cp").alias("pos"), "g", "tag", "len", "dk")
     w = Window.partitionBy("c1", "c2").orderBy("dk")
-    hulls = C.store(hulls.withColumn("gone", F.col("known") | (F.first("dk").over(w) < F.col("dk"))).select("g", "c1", "dk", "rk", "pos", "len", "gone"))
-    settled = hulls.where("gone").select("dk", "rk", "pos", "len")
-    open_ = hulls.where("not gone").select("g", "c1", "dk", "rk", "pos", "len")
+    gone = (F.col("len") < 0) | (F.first("dk").over(w) < F.col("dk"))
+    hulls = hulls.withColumn("gone", gone).select(F.when(~F.col("gone"), F.col("g")).alias("g"), F.when(~F.col("gone"), F.col("c1")).alias("c1"), "dk", "tag", "pos", F.abs("len").alias("len"), "gone")
+    hulls = C.store(hulls)
+    settled = hulls.where("gone").select("dk", "tag", "pos", "len")
+    open_ = hulls.where("not gone").select("g", "c1", "dk", "tag", "pos", "len")
     mixed = C.cut(open_.groupBy("g").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a <> b").select("g"))
-    rest = open_.join(mixed, "g", "left_semi").groupBy("dk").agg(F.collect_list(F.struct("rk", "pos", "len")).alias("hulls"))
+    rest = open_.select("g", "dk", "tag", "pos", "len").join(mixed, "g", "left_semi").groupBy("dk").agg(F.collect_list(C.run_code("tag", "pos", "len")).alias("hulls"))
     # 3. windows
-    found = base.join(rest, "dk").select("dk", "rk", "text", "hulls").mapInArrow(_window_rows, C.ddl(WINDOWS))
+    found = texts.join(rest, "dk").mapInArrow(_window_rows, C.ddl(WINDOWS)).repartition("k1")
+    found = found.select("k1", F.shiftright("kp", 32).alias("k2"), low("kp").alias("pos"), "tag", "len", "dk")
     w = Window.partitionBy("k1", "k2").orderBy("dk")
     gone = (F.col("len") > 0) | (F.first("dk").over(w) < F.col("dk"))
-    more = found.withColumn("gone", gone).where("gone").select("dk", "rk", "pos", F.greatest("len", F.lit(1)).alias("len"))
-    return settled.union(more).groupBy("dk").agg(F.collect_list(F.struct("rk", "pos", "len")).alias("runs"))
+    more = found.withColumn("gone", gone).where("gone").select("dk", "tag", "pos", F.greatest("len", F.lit(1)).alias("len"))
+    return settled.union(more).groupBy("dk").agg(F.collect_list(C.run_code("tag", "pos", "len")).alias("runs"))
 
 
 def _removed(n: int, rk: int, found) -> np.ndarray:
-    at = np.array([(r["pos"], r["pos"] + r["len"] - 1 + WINDOW) for r in found or () if r["rk"] == rk], np.int64).reshape(-1, 2)
-    return C.cover(n, at[:, 0], at[:, 1])
+    return C.cover(n, *C.run_spans(found, rk, WINDOW))
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("dk", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for b in batches:
         out = []
-        for dk, rk, text, found in C.rows(b.select(["dk", "rk", "text", "runs"])):
+        for dk, rk, frame, found in C.rows(b.select(["dk", "rk", "text", "runs"])):
+            text = C.unpacked(frame)
             gone = _removed(len(text), rk, found)
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             out.append((dk, len(text), int(gone.sum()), len(C.runs(gone)[0]), hashlib.sha256(kept).hexdigest()))
@@ -289,6 +294,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: bytes, bytes removed, removed runs, digest of the bytes kept."""
     base = C.keyed(C.table(spark, sf_dir, "documents"), "doc_id", "text")
-    joined = base.join(repeated_strings(base), "dk", "left")
+    texts = C.packed(base)
+    joined = texts.join(repeated_strings(base, texts), "dk", "left")
     out = joined.mapInArrow(_digest_rows, "dk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(C.doc_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
