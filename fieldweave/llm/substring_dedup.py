@@ -92,7 +92,11 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dk, rk, frame, anchors = row
         words = C.unpacked(frame).split()
         n = len(words)
+        if n < WINDOW:
+            return None, n
+        # anchors come by doc_id: those of a longer text under the same doc_id may lie beyond this one's end
         a = np.asarray(anchors, np.int64)
+        a = a[a <= n - ANCHOR]
         m = n - WINDOW + 1
         at = np.flatnonzero(C.cover(m, np.maximum(a - (WINDOW - ANCHOR), 0), a + 1))
         if not len(at):

@@ -55,6 +55,17 @@ def test_substring_dedup_keeps_columns_and_clean_text(spark):
     assert all(r["text"] in same for r, (w, g) in zip(rows, brute_repeats(rows)) if not any(g))
 
 
+def test_substring_dedup_of_short_and_long_texts_under_one_id(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(90))
+    short = ["", None, "one", " ".join(f"s{i}" for i in range(18)), " ".join(f"s{i}" for i in range(19)), " ".join(f"t{i}" for i in range(20))]
+    rows = [(k, t, None, None, None) for k in (None, 4) for t in [passage, "before " * 40 + passage, *short]] + [(9, passage, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = substring_dedup.op3_substring_dedup(spark, write(df, tmp_path)).collect()
+    rows = df.collect()
+    assert sorted((str(r[0]), *r[1:3]) for r in got) == sorted((str(r["doc_id"]), len(w), sum(g)) for r, (w, g) in zip(rows, brute_repeats(rows)))
+    assert substring_dedup.dedup_substrings(df).count() == len(rows)
+
+
 def brute_fp(text):
     t = (text or "").translate(str.maketrans(C.UPPER, C.LOWER))
     w = words(t)
