@@ -64,6 +64,24 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(id_key(id_col).alias("dk"), F.xxhash64(text).alias("rk"), text.alias("text"), *more)
 
 
+def shared_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """(dk): the identifiers, other than null, that occur in more than one row; stored, so that its size is known."""
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(id_key(id_col).alias("dk")).agg(F.count(F.lit(1)).alias("n"))
+    return store(ids.where("n > 1").select("dk"))
+
+
+def told_apart(base: DataFrame, shared: DataFrame) -> DataFrame:
+    """The keyed rows, with rk 0 where the identifier has no other row: (dk, rk) still names one text, and a shuffle packs the zeros away.
+
+    Rows without an identifier keep their hash, and a salt deals them evenly.
+    """
+    null = F.col("dk") == NULL_ID
+    salted = base.withColumn("__salt", F.when(null, F.col("rk")).otherwise(F.lit(0)))
+    ids = shared.select("dk", F.lit(0).cast("long").alias("__salt"), F.lit(True).alias("__shared"))
+    rk = F.when(null | F.col("__shared"), F.col("rk")).otherwise(F.lit(0).cast("long")).alias("rk")
+    return salted.join(ids, ["dk", "__salt"], "left").select(*[rk if n == "rk" else n for n in base.columns])
+
+
 def packed(base: DataFrame) -> DataFrame:
     """The keyed texts with text as zstandard frames, so that a shuffle of them is small."""
 
@@ -135,40 +153,31 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-#: Bits of a row's hash that tell apart the texts of rows which share an identifier.
-TAG = 24
-
-
-def tag(rk):
-    return rk & ((1 << TAG) - 1)
-
-
-def run_code(tag: str, pos: str, length: str) -> Column:
-    """A run of windows as one long, which travels well: position, tag, length (255 at most)."""
-    return F.shiftleft(F.col(pos).cast("long"), 32).bitwiseOR(F.shiftleft(F.col(tag).cast("long"), 8)).bitwiseOR(F.col(length).cast("long"))
+def run_code(pos: str, length: str) -> Column:
+    """A run of windows as one long, which travels well: position, length (255 at most)."""
+    return F.shiftleft(F.col(pos).cast("long"), 32).bitwiseOR(F.col(length).cast("long"))
 
 
-def run_spans(codes, rk: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def run_spans(codes, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of what the coded runs of one text cover, for windows of a width."""
     a = np.asarray(codes if codes is not None else (), np.int64)
-    a = a[(a >> 8) & ((1 << TAG) - 1) == tag(rk)]
     return a >> 32, (a >> 32) + (a & 255) - 1 + width
 
 
-def known_runs(dk: np.ndarray, tags: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(dk, tag, pos, length) of the runs of consecutive positions, 255 at most each."""
-    order = np.lexsort((pos, tags, dk))
-    dk, tags, pos = dk[order], tags[order], pos[order]
-    head = np.concatenate(([True], (dk[1:] != dk[:-1]) | (tags[1:] != tags[:-1]) | (pos[1:] > pos[:-1] + 1)))
+def known_runs(dk: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(dk, rk, pos, length) of the runs of consecutive positions, 255 at most each."""
+    order = np.lexsort((pos, rk, dk))
+    dk, rk, pos = dk[order], rk[order], pos[order]
+    head = np.concatenate(([True], (dk[1:] != dk[:-1]) | (rk[1:] != rk[:-1]) | (pos[1:] > pos[:-1] + 1)))
     since = np.arange(len(head)) - np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
     at = np.flatnonzero(head | (since % 255 == 0))
     last = np.concatenate((at[1:], [len(head)])) - 1
-    return dk[at], tags[at], pos[at], pos[last] - pos[at] + 1
+    return dk[at], rk[at], pos[at], pos[last] - pos[at] + 1
 
 
-def scatter(dk: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def scatter(dk: np.ndarray, rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A key of its own for each settled row, so that they are dealt evenly."""
-    return signed(mix(dk.view(np.uint64) ^ (pos.astype(np.uint64) * MULT[1, 2])))
+    return signed(mix(dk.view(np.uint64) ^ (rk.view(np.uint64) * MULT[1, 1]) ^ (pos.astype(np.uint64) * MULT[1, 2])))
 
 
 def batch(schema: pa.Schema, *arrays) -> pa.RecordBatch:

@@ -48,11 +48,11 @@ _bytes = _rng.integers(0, 2**64 - 1, (2, 256), dtype=np.uint64, endpoint=True)
 _pair = _rng.integers(0, 2**63, (2, 8, 4), dtype=np.uint64) * C.U64(2) + C.U64(1)
 
 #: own is null where the key is the q-gram itself; a settled row has a key of its own and the q-gram in own.
-GRAMS = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("dk", pa.int64())])
+GRAMS = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("dk", pa.int64()), ("rk", pa.int64())])
 #: What varies from row to row stands together, as a shuffle compresses that best.  The upper
 #: half of cp and kp is more of the name, the lower half the position.
-HULLS = pa.schema([("c1", pa.int64()), ("cp", pa.int64()), ("g", pa.int64()), ("tag", pa.int32()), ("len", pa.int32()), ("dk", pa.int64())])
-WINDOWS = pa.schema([("k1", pa.int64()), ("kp", pa.int64()), ("tag", pa.int32()), ("len", pa.int32()), ("dk", pa.int64())])
+HULLS = pa.schema([("c1", pa.int64()), ("cp", pa.int64()), ("g", pa.int64()), ("len", pa.int32()), ("dk", pa.int64()), ("rk", pa.int64())])
+WINDOWS = pa.schema([("k1", pa.int64()), ("kp", pa.int64()), ("len", pa.int32()), ("dk", pa.int64()), ("rk", pa.int64())])
 #: Bits of a q-gram's name that a shuffle carries: it only selects what is compared later.
 GRAM_BITS = 48
 
@@ -160,9 +160,9 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((sec.g, sec.of))
             of, g = sec.of[order], sec.g[order]
             once = np.concatenate(([True], (of[1:] != of[:-1]) | (g[1:] != g[:-1])))
-            yield [g[once], sec.dk[of[once]]]
+            yield [g[once], sec.dk[of[once]], sec.rk[of[once]]]
 
-    for g, dk in _joined(parts(), BLOCK):
+    for g, dk, rk in _joined(parts(), BLOCK):
         order = np.lexsort((dk, g))
         gs, ds = g[order], dk[order]
         new = np.concatenate(([True], gs[1:] != gs[:-1]))
@@ -175,8 +175,8 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = C.signed(g)
         # a settled bucket's first member still has to meet those of other tasks
         meet = ~several | first
-        yield C.batch(GRAMS, g[meet], pa.nulls(int(meet.sum()), pa.int64()), dk[meet])
-        yield C.batch(GRAMS, C.scatter(dk[several], g[several] >> 32), g[several], dk[several])
+        yield C.batch(GRAMS, g[meet], pa.nulls(int(meet.sum()), pa.int64()), dk[meet], rk[meet])
+        yield C.batch(GRAMS, C.scatter(dk[several], rk[several], g[several] >> 32), g[several], dk[several], rk[several])
 
 
 def _hull_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,10 +190,10 @@ def _hull_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(k):
                 c1, c2 = sec.hulls(k)
                 of = sec.of[k]
-                yield [sec.g[k], c1, c2 >> C.U64(32), sec.dk[of], C.tag(sec.rk[of]), sec.lo[k] - sec.start[of], sec.n[k]]
+                yield [sec.g[k], c1, c2 >> C.U64(32), sec.dk[of], sec.rk[of], sec.lo[k] - sec.start[of], sec.n[k]]
 
     for was in _joined(parts(), BLOCK):
-        g, c1, c2, dk, tag, pos, n = was
+        g, c1, c2, dk, rk, pos, n = was
         order = np.lexsort((dk, c2, c1))
         a, b = c1[order], c2[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -201,9 +201,9 @@ def _hull_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.empty(len(g), bool)
         known[order] = dk[order] > least
         # a settled row is dealt by itself, with its length below zero
-        key = np.where(known, C.scatter(dk, pos), C.signed(c1))
+        key = np.where(known, C.scatter(dk, rk, pos), C.signed(c1))
         cp = C.signed(np.where(known, C.U64(0), c2 << C.U64(32))) | pos
-        yield C.batch(HULLS, key, cp, np.where(known, 0, C.signed(g)), tag, np.where(known, -n, n), dk)
+        yield C.batch(HULLS, key, cp, np.where(known, 0, C.signed(g)), np.where(known, -n, n), dk, rk)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sec, more in _sections(batches, "hulls"):
             lo, n, of = [], [], []
             for i, m in enumerate(more):
-                first, end = C.run_spans(m[0], int(sec.rk[i]), 1)
+                first, end = C.run_spans(m[0], 1)
                 lo.append(sec.start[i] + first)
                 n.append(end - first)
                 of += [i] * len(first)
@@ -220,10 +220,10 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
                 of = np.repeat(np.array(of), n)
                 k1, k2 = sec.windows(s)
-                yield [k1, k2 >> C.U64(32), sec.dk[of], C.tag(sec.rk[of]), s - sec.start[of]]
+                yield [k1, k2 >> C.U64(32), sec.dk[of], sec.rk[of], s - sec.start[of]]
 
     for was in _joined(parts(), BLOCK):
-        k1, k2, dk, tag, pos = was
+        k1, k2, dk, rk, pos = was
         order = np.lexsort((dk, k2, k1))
         a, b = k1[order], k2[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -231,17 +231,17 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known[order] = dk[order] > dk[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         keep = ~known
         kp = C.signed(k2[keep] << C.U64(32)) | pos[keep]
-        yield C.batch(WINDOWS, C.signed(k1[keep]), kp, tag[keep], np.zeros(keep.sum(), np.int32), dk[keep])
+        yield C.batch(WINDOWS, C.signed(k1[keep]), kp, np.zeros(keep.sum(), np.int32), dk[keep], rk[keep])
         if known.any():
-            dk, tag, pos, size = C.known_runs(dk[known], tag[known], pos[known])
-            yield C.batch(WINDOWS, C.scatter(dk, pos), pos, tag, size, dk)
+            dk, rk, pos, size = C.known_runs(dk[known], rk[known], pos[known])
+            yield C.batch(WINDOWS, C.scatter(dk, rk, pos), pos, size, dk, rk)
 
 
 def repeated_strings(base: DataFrame, texts: DataFrame) -> DataFrame:
-    """(dk, runs): per doc_id the coded runs of windows that a smaller document has too.
+    """(dk, rk, runs): per text of a doc_id the coded runs of windows that a smaller document has too.
 
-    texts are the packed rows of base; all joins with them are by dk alone, so that they are
-    shuffled once for this and for the caller.
+    base has its rows told apart, and texts are its packed rows; all joins with them are by
+    (dk, rk), so that they are shuffled once for this and for the caller.
     """
     # 1. q-gram buckets with suffixes of two documents
     grams = base.mapInArrow(_gram_rows, C.ddl(GRAMS))
@@ -250,41 +250,41 @@ def repeated_strings(base: DataFrame, texts: DataFrame) -> DataFrame:
     hits = (
         grams.withColumn("several", several)
         .where("own is not null or several")
-        .groupBy("dk")
+        .groupBy("dk", "rk")
         .agg(F.collect_set(F.coalesce("own", "key")).alias("grams"))
     )
     # 2. hulls, dealt by c1 as packed; the parts of cp are taken out afterwards
     low = lambda c: F.col(c).bitwiseAND(0x7FFFFFFF).cast("int")
-    hulls = texts.join(hits, "dk").mapInArrow(_hull_rows, C.ddl(HULLS)).repartition("c1")
-    hulls = hulls.select("c1", F.shiftright("cp", 32).alias("c2"), low("cp").alias("pos"), "g", "tag", "len", "dk")
+    hulls = texts.join(hits, ["dk", "rk"]).mapInArrow(_hull_rows, C.ddl(HULLS)).repartition("c1")
+    hulls = hulls.select("c1", F.shiftright("cp", 32).alias("c2"), low("cp").alias("pos"), "g", "len", "dk", "rk")
     w = Window.partitionBy("c1", "c2").orderBy("dk")
     gone = (F.col("len") < 0) | (F.first("dk").over(w) < F.col("dk"))
-    hulls = hulls.withColumn("gone", gone).select(F.when(~F.col("gone"), F.col("g")).alias("g"), F.when(~F.col("gone"), F.col("c1")).alias("c1"), "dk", "tag", "pos", F.abs("len").alias("len"), "gone")
+    hulls = hulls.withColumn("gone", gone).select(F.when(~F.col("gone"), F.col("g")).alias("g"), F.when(~F.col("gone"), F.col("c1")).alias("c1"), "dk", "rk", "pos", F.abs("len").alias("len"), "gone")
     hulls = C.store(hulls)
-    settled = hulls.where("gone").select("dk", "tag", "pos", "len")
-    open_ = hulls.where("not gone").select("g", "c1", "dk", "tag", "pos", "len")
+    settled = hulls.where("gone").select("dk", "rk", "pos", "len")
+    open_ = hulls.where("not gone").select("g", "c1", "dk", "rk", "pos", "len")
     mixed = C.cut(open_.groupBy("g").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a <> b").select("g"))
-    rest = open_.select("g", "dk", "tag", "pos", "len").join(mixed, "g", "left_semi").groupBy("dk").agg(F.collect_list(C.run_code("tag", "pos", "len")).alias("hulls"))
+    rest = open_.select("g", "dk", "rk", "pos", "len").join(mixed, "g", "left_semi").groupBy("dk", "rk").agg(F.collect_list(C.run_code("pos", "len")).alias("hulls"))
     # 3. windows
-    found = texts.join(rest, "dk").mapInArrow(_window_rows, C.ddl(WINDOWS)).repartition("k1")
-    found = found.select("k1", F.shiftright("kp", 32).alias("k2"), low("kp").alias("pos"), "tag", "len", "dk")
+    found = texts.join(rest, ["dk", "rk"]).mapInArrow(_window_rows, C.ddl(WINDOWS)).repartition("k1")
+    found = found.select("k1", F.shiftright("kp", 32).alias("k2"), low("kp").alias("pos"), "len", "dk", "rk")
     w = Window.partitionBy("k1", "k2").orderBy("dk")
     gone = (F.col("len") > 0) | (F.first("dk").over(w) < F.col("dk"))
-    more = found.withColumn("gone", gone).where("gone").select("dk", "tag", "pos", F.greatest("len", F.lit(1)).alias("len"))
-    return settled.union(more).groupBy("dk").agg(F.collect_list(C.run_code("tag", "pos", "len")).alias("runs"))
+    more = found.withColumn("gone", gone).where("gone").select("dk", "rk", "pos", F.greatest("len", F.lit(1)).alias("len"))
+    return settled.union(more).groupBy("dk", "rk").agg(F.collect_list(C.run_code("pos", "len")).alias("runs"))
 
 
-def _removed(n: int, rk: int, found) -> np.ndarray:
-    return C.cover(n, *C.run_spans(found, rk, WINDOW))
+def _removed(n: int, found) -> np.ndarray:
+    return C.cover(n, *C.run_spans(found, WINDOW))
 
 
 def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("dk", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     for b in batches:
         out = []
-        for dk, rk, frame, found in C.rows(b.select(["dk", "rk", "text", "runs"])):
+        for dk, frame, found in C.rows(b.select(["dk", "text", "runs"])):
             text = C.unpacked(frame)
-            gone = _removed(len(text), rk, found)
+            gone = _removed(len(text), found)
             kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
             out.append((dk, len(text), int(gone.sum()), len(C.runs(gone)[0]), hashlib.sha256(kept).hexdigest()))
         if out:
@@ -293,8 +293,9 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: bytes, bytes removed, removed runs, digest of the bytes kept."""
-    base = C.keyed(C.table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = C.table(spark, sf_dir, "documents")
+    base = C.told_apart(C.keyed(docs, "doc_id", "text"), C.shared_ids(docs, "doc_id"))
     texts = C.packed(base)
-    joined = texts.join(repeated_strings(base, texts), "dk", "left")
+    joined = texts.join(repeated_strings(base, texts), ["dk", "rk"], "left")
     out = joined.mapInArrow(_digest_rows, "dk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(C.doc_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -9,6 +9,7 @@ import pytest
 from fieldweave.llm import suffix_dedup
 
 from .helpers import DOCS, documents, write
+from .test_text_operators import alike_in_24_bits
 
 
 def brute(rows):
@@ -58,5 +59,14 @@ def test_suffix_dedup(spark, tmp_path, monkeypatch, section, block):
     assert sum(x[2] for x in got) > 5000
 
 
+def test_rows_of_one_id_are_told_apart(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(60))
+    repeated, clean = alike_in_24_bits(passage)
+    rows = [(k, t, None, None, None) for k, t in [(1, passage), (5, repeated), (5, clean), (None, clean[:40]), (None, clean[60:100])]]
+    df = spark.createDataFrame(rows, DOCS)
+    got = suffix_dedup.op9_suffix_dedup(spark, write(df, tmp_path)).collect()
+    assert sorted((str(x[0]), *x[1:]) for x in got) == brute(df.collect())
+
+
 def test_empty_table(spark, tmp_path):
     assert suffix_dedup.op9_suffix_dedup(spark, write(spark.createDataFrame([], DOCS), tmp_path)).count() == 0

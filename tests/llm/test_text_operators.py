@@ -66,6 +66,28 @@ def test_substring_dedup_of_short_and_long_texts_under_one_id(spark, tmp_path):
     assert substring_dedup.dedup_substrings(df).count() == len(rows)
 
 
+def alike_in_24_bits(passage):
+    """A text with the passage and one without, of equal size, whose hashes end in the same 24 bits."""
+    tail = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) % 2**24
+    other = " ".join(f"q{i}" for i in range(len(passage.split())))
+    seen = {tail(t): t for t in (f"a{i} {passage}" for i in range(20000))}
+    return next((seen[tail(t)], t) for t in (f"b{i} {other}" for i in range(20000)) if tail(t) in seen)
+
+
+@pytest.mark.parametrize("shared", [None, 5])
+def test_substring_dedup_tells_rows_of_one_id_apart(spark, tmp_path, shared):
+    passage = " ".join(f"p{i}" for i in range(60))
+    if shared is None:  # rows without an id come first, so only what a text repeats itself goes
+        passage += " " + passage
+    repeated, clean = alike_in_24_bits(passage)
+    rows = [(k, t, None, None, None) for k, t in [(1, passage), (shared, repeated), (shared, clean), (7, clean[:9])]]
+    df = spark.createDataFrame(rows, DOCS)
+    got = substring_dedup.op3_substring_dedup(spark, write(df, tmp_path)).collect()
+    want = brute_repeats(df.collect())
+    assert sorted((str(r[0]), *r[1:3]) for r in got) == sorted((str(r[0]), len(w), sum(g)) for r, (w, g) in zip(rows, want))
+    assert clean in {r["text"] for r in substring_dedup.dedup_substrings(df).collect()}
+
+
 def brute_fp(text):
     t = (text or "").translate(str.maketrans(C.UPPER, C.LOWER))
     w = words(t)
