@@ -36,10 +36,14 @@ from . import common as C
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 MAX_ROUNDS = 60
+#: Near copies of the pipeline's stage: words a shingle, least similarity, bands and rows of MinHash
+#: values (a pair at 0.8 shares none of the bands with a chance of 0.672 ** 24 = 7e-5).
+NEAR_SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 24, 5
 
 _one = np.array([0] + [1 << i for i in range(64)], np.uint64)
 _half = [(1 << i) | (1 << j) for i in range(32) for j in range(i)]
 _two = np.array(_half + [x << 32 for x in _half], np.uint64)
+_times = np.random.default_rng(8_241_205).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * C.U64(2) + C.U64(1)
 _fold = bytes.maketrans(C.UPPER.encode(), C.LOWER.encode())
 
 
@@ -135,14 +139,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp")
 
 
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_fold).split()
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct hashes of the NEAR_SHINGLE-word shingles, ordered; of fewer words, the hash of them all."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < NEAR_SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(C.windows(C.word_hashes(words)[:, 0], NEAR_SHINGLE))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key of each band of the set's MinHash values; sets of a similarity s share a band's key with s ** ROWS."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(shingles), 1 << 12):  # bounded scratch space for very long texts
+        part = shingles[i : i + (1 << 12), None] * _times[None, :]
+        part ^= part >> C.U64(32)
+        part *= C.U64(0xFF51AFD7ED558CCD)
+        least = np.minimum(least, part.min(axis=0))
+    grid = least.reshape(BANDS, ROWS) * C.MULT[0, :ROWS]
+    return C.mix(grid.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * C.MULT[1, 0])
+
+
+def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(dk, rk, fp, sh, bands): fingerprint, hash of the shingle set, and band keys of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            sets = [shingle_set(t) for t in texts]
+            fps = C.signed(np.array([fingerprint(t) for t in texts], np.uint64))
+            sh = C.signed(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64))
+            bands = pa.array([C.signed(band_keys(x)) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("rk"), pa.array(fps), pa.array(sh), bands], names=["dk", "rk", "fp", "sh", "bands"])
+
+    return C.keyed(docs, id_col, text_col).mapInArrow(run, "dk long, rk long, fp long, sh long, bands array<long>")
+
+
+def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): fingerprints of rows whose shingle sets have a Jaccard similarity of NEAR or more.
+
+    Sets that share a band's key are candidates.  In each key's group one set, drawn anew for
+    each band, meets all others, so no pairs are formed; candidates are compared by their sets.
+    """
+    sets = C.store(rows.groupBy("sh").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min(F.struct("dk", "rk")).alias("row"), F.first("bands").alias("bands")))
+    # rows of one set with several fingerprints
+    alike = rows.select("sh", F.col("fp").alias("b")).join(sets.where("fp <> other").select("sh", F.col("fp").alias("a")), "sh").where("a <> b").select("a", "b")
+    met = sets.select("sh", F.explode("bands").alias("key"))
+    hubs = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sh").alias("o"), "sh")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    pairs = met.join(hubs.select("key", F.col("hub.sh").alias("hub")), "key").where("sh <> hub")
+    pairs = C.store(pairs.select(F.least("sh", "hub").alias("x"), F.greatest("sh", "hub").alias("y")).distinct())
+    need = pairs.select(F.col("x").alias("sh")).union(pairs.select("y")).distinct()
+    need = sets.join(need, "sh").select("sh", "fp", F.col("row.dk").alias("dk"), F.col("row.rk").alias("rk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([C.signed(shingle_set(t)) for t in b.column("text").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("sh"), b.column("fp"), found], names=["sh", "fp", "found"])
+
+    # repeated rows of one identifier and text come once
+    texts = C.keyed(docs, id_col, text_col).join(need, ["dk", "rk"]).select("sh", "fp", "text")
+    found = C.store(texts.mapInArrow(run, "sh long, fp long, found array<long>").dropDuplicates(["sh"]))
+    x, y = (found.select(F.col("sh").alias(n), F.col("fp").alias(f"f{n}"), F.col("found").alias(f"s{n}")) for n in ("x", "y"))
+    both = pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
+    near = both.where(F.col("common") >= NEAR * (F.size("sx") + F.size("sy") - F.col("common")))
+    return near.select(F.col("fx").alias("a"), F.col("fy").alias("b")).union(alike).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all columns of docs: the least doc_id, and the least text hash of its rows.
 
-    The rows to keep are found from fingerprints alone; the texts are joined with them by key.
+    Rows link by SimHash (3 bits, as in op8) and where the Jaccard similarity of their five-word
+    shingles is 0.8 or more.  The rows to keep are found from these alone; the texts are joined by key.
     """
-    fps = fingerprints(docs, id_col, text_col)
-    distinct = C.cut(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), C.id_key("doc_id").alias("dk"), "rk")).alias("least")))
-    roots = components(links(distinct))
+    rows = C.store(_near_rows(docs, id_col, text_col))
+    distinct = C.cut(rows.groupBy("fp").agg(F.min(F.struct((F.col("dk") == C.NULL_ID).alias("n"), "dk", "rk")).alias("least")))
+    roots = components(links(distinct).union(near_links(rows, docs, id_col, text_col)).distinct())
     own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
     keep = own.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.dk").alias("__dk"), F.col("k.rk").alias("__rk"))
     marked = docs.withColumns({"__dk": C.id_key(id_col), "__rk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})

@@ -226,3 +226,31 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for f in (quality.op1_compression_bands, substring_dedup.op3_substring_dedup, simhash.op8_simhash, decontaminate.op6_decontamination):
         assert f(spark, d).count() == 0
+
+
+def test_one_of_each_drops_near_copies_by_shingle_similarity(spark):
+    import random
+
+    r = random.Random(3)
+    rows, width = [], 5
+    for i in range(40):  # each with copies of which one to nine words in 250 differ
+        w = [f"w{r.randrange(3000)}" for _ in range(250)]
+        for j in range(4):
+            c = list(w)
+            for k in range([0, 2, 4, 9][j]):
+                c[10 + k * 25] = f"x{i}.{j}.{k}"
+            rows.append((i * 10 + j, " ".join(c), None, None, None))
+    sets = [{tuple(w[k : k + width]) for k in range(len(w) - width + 1)} for w in (words(x[1]) for x in rows)]
+    fps = [simhash.fingerprint(x[1].encode()) for x in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            near = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if near or (fps[i] ^ fps[j]).bit_count() <= 3:
+                root = [root[j] if x == root[i] else x for x in root]
+    least = defaultdict(list)
+    for k, x in zip(root, rows):
+        least[k].append(x[0])
+    got = simhash.one_of_each(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(min(g) for g in least.values())
+    assert 40 < len(got) < 100
