@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null identifier inside keys, so that nulls join and order (first).
 NULL_ID = -(2**63)
+#: Spark's own switch: shuffle files go when the SQL execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
 
@@ -43,11 +45,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder (smaller than a checkpoint, read by column), and its path.
+
+    Shuffle files that only served to write it are removed when it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def store(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder: smaller than a checkpoint, read by column."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage with a Parquet table in the shared folder."""
+    return stored(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def id_key(col: str) -> Column:

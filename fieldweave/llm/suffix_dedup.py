@@ -1,301 +1,433 @@
 """Repeated byte strings by bucket-pointer refinement over sampled suffixes.
 
-A suffix belongs to a bucket, named by what its first bytes are.  The initial buckets are
-q-grams of 16 bytes.  A bucket's members are told apart at twice the depth by the names of
-the buckets at a later offset: name(i, 2h) = pair(name(i, h), name(i + h, h)), so each level
-reuses the names that the level before has made, from single bytes up to 32 bytes, and any
-longer string is named by overlapping pointers to those.  Names are hashes of content and not
-ranks, so a pointer into the same document needs no shuffle; sorting on the names puts equal
-suffixes together.  Three refinements follow one another, and only what one leaves open goes
-on to the next, with its names:
-
-1. *q-gram buckets.*  Only one suffix per 50-byte window starts a bucket: the one whose q-gram
-   has the least name in the window (a choice that equal windows make alike; about 1 position
-   in 18).  A bucket with suffixes of one document only is settled: nothing of it repeats.
-2. *hulls.*  The windows that chose a suffix together form a hull of 50 to 84 bytes.  Members of
-   a bucket are refined by their hull's name; all but those of the least document are settled
-   as repeats, with all their windows.  Where a bucket has one hull only, so is the rest.
-3. *windows.*  What is left are suffixes near the ends of repeats.  Each of their windows is
-   refined by its own name at depth 50; all but those of the least document are repeats.
-
-Every task first combines a bounded block of its own documents, and settled members leave as
-runs, so a passage that a third of all documents share meets as one row a block.  The join that
-a frequent bucket can skew has two plain shuffles, which Spark can split.
+A suffix is in a bucket, whose identifier stands for the suffix's first bytes.  The initial
+buckets are q-grams of 16 bytes.  A bucket is refined by sorting its suffixes on the
+identifiers of the buckets that their later offsets are in:
+
+    id(i, 32) = (id(i, 16), id(i + 16, 16))        id(i, 50) = (id(i, 32), id(i + 18, 32))
+
+so each level's updated identifiers are what the next one points to.  An identifier is a hash
+of its pair instead of a rank, so that a document can follow its own pointers in place: a rank
+would have to be sent back for every byte.  The sorting is global: the documents lie in chunks,
+a chunk sends its distinct identifiers, in order, to the parts of the identifiers' range, and
+each part merges and sorts what all chunks sent and answers one bit for each: does the bucket
+stay open?  What a round has settled never comes back:
+
+1. *initial buckets*, for one suffix of each 50-byte window: the one whose q-gram has the least
+   hash in the window (equal windows choose alike; about 1 position in 18).  A bucket with
+   suffixes of one document is closed.
+2. *depth 32*: an open suffix p stands for the windows that chose it.  Those with 18 bytes or
+   fewer before p hold the suffix of p to depth 32, those with 16 or more hold that of p - 16;
+   windows whose refined bucket has one document are closed.
+3. *hulls*: the windows of p that are still open cover one string, the hull, named by pointers
+   to the identifiers of depth 32 that cover it.  In documents other than the least that has the
+   hull all its windows are settled as repeats.
+4. *depth 32 again*, over the suffixes that the last round left open: most buckets have now
+   lost all documents but one.
+5. *depth 50*: each window that is left, by itself; all but the least document's are repeats.
+
+A chunk sends equal identifiers once, so a passage that a third of all documents share is one
+entry a chunk in one of the parts, which have equal shares of the hash range; no pairs are
+formed and no group depends on the data's skew.  A round that settles repeats (3 and 5) decides
+equality at 96 bits; the others send only as many bits as the table's size needs, since they
+only select what is compared later.  Each round is a table in the shared folder; its forerunner
+and its shuffle files are removed.
 
 Defined results: null and empty texts have no bytes; a null doc_id orders first; rows that
-share a doc_id never count against one another; an empty table gives an empty table; other
-columns are ignored.
+share a doc_id (null is one, too) never count against one another; repeated rows have equal
+results; an empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, Q = 50, 16
-#: Bytes of text that are named at a time, and rows that a task combines at a time.
-SECTION, BLOCK = 1_000_000, 500_000
-
-_rng = np.random.default_rng(9_091_973)
-_bytes = _rng.integers(0, 2**64 - 1, (2, 256), dtype=np.uint64, endpoint=True)
-_pair = _rng.integers(0, 2**63, (2, 8, 4), dtype=np.uint64) * C.U64(2) + C.U64(1)
-
-#: own is null where the key is the q-gram itself; a settled row has a key of its own and the q-gram in own.
-GRAMS = pa.schema([("key", pa.int64()), ("own", pa.int64()), ("dk", pa.int64()), ("rk", pa.int64())])
-#: What varies from row to row stands together, as a shuffle compresses that best.  The upper
-#: half of cp and kp is more of the name, the lower half the position.
-HULLS = pa.schema([("c1", pa.int64()), ("cp", pa.int64()), ("g", pa.int64()), ("len", pa.int32()), ("dk", pa.int64()), ("rk", pa.int64())])
-WINDOWS = pa.schema([("k1", pa.int64()), ("kp", pa.int64()), ("len", pa.int32()), ("dk", pa.int64()), ("rk", pa.int64())])
-#: Bits of a q-gram's name that a shuffle carries: it only selects what is compared later.
-GRAM_BITS = 48
-
-
-def _names(data: np.ndarray, chain: int, depth: int) -> dict[int, np.ndarray]:
-    """Bucket names of every suffix at depths 16 and, if asked, 32."""
-    out, name, h, level = {}, _bytes[chain][data], 1, 0
-    while h < depth:
-        a, b = _pair[chain, level, :2]
-        pair = name[:-h] * a if h < len(name) else name[:0]
-        pair += name[h:][: len(pair)] * b
-        pair ^= pair >> C.U64(29)
-        name, h, level = pair, 2 * h, level + 1
-        out[h] = name
+WINDOW, Q, DEEP = 50, 16, 32
+#: Bytes of text in a chunk of a small table, the most that a chunk of a large one has, and the table's
+#: bytes up to which it counts as small (a longer text is a chunk of its own).
+CHUNK, MOST, SMALL = 4_000_000, 32_000_000, 1_000_000_000
+#: Positions whose q-grams are made at a time (below 2**20), and identifiers of a part.
+SLAB, PART = 1_000_000, 1_000_000
+MIN_PARTS = 96
+
+_odd = np.random.default_rng(9_091_973).integers(0, 2**63, (2, 8), dtype=np.uint64) * C.U64(2) + C.U64(1)
+_LEFT = C.U64(0x5BF0_3635_D1C2_58A9)
+
+CHUNKS = "chunk long, ids array<long>, sizes array<int>, frame binary"
+#: A chunk's state has part -1; else a part's identifiers (asked) or bits (answered).
+ROWS = "chunk long, part int, n int, blob binary"
+_rows = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("blob", pa.binary())])
+
+
+# ---- chunks of texts
+
+
+def _pack(size: int):
+    """Batches of (id, text) to chunks of about so many bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, press = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=3)
+        ids, texts, held, made = [], [], 0, 0
+
+        def chunk():
+            frame = press.compress(b"".join(texts))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([frame], pa.binary())],
+                names=["chunk", "ids", "sizes", "frame"],
+            )
+
+        for b in batches:
+            for i, t in C.rows(b):
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
+                if held >= size:
+                    yield chunk()
+                    ids, texts, held, made = [], [], 0, made + 1
+        if texts:
+            yield chunk()
+
+    return run
+
+
+class Texts:
+    """The texts of a chunk as one array of bytes, and names of its suffixes."""
+
+    def __init__(self, row: dict):
+        self.chunk, self.ids = row["chunk"], row["ids"]
+        self.dk = np.array([C.NULL_ID if i is None else i for i in self.ids], np.int64)
+        self.size = np.array(row["sizes"], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.n = int(self.size.sum())
+        self.data = zstandard.decompress(row["frame"]) + bytes(2 * WINDOW) if self.n else bytes(2 * WINDOW)
+        #: the eight bytes at each position, without a copy
+        self.eight = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        """The document that each position is in."""
+        return np.searchsorted(self.start, p, "right") - 1
+
+    def gram(self, p: np.ndarray, chain: int = 0) -> np.ndarray:
+        """Identifiers of the initial buckets."""
+        m = _odd[chain]
+        return C.mix(C.mix(self.eight[p]) * m[0] + C.mix(self.eight[p + 8]) * m[1])
+
+    def deep(self, p: np.ndarray, chain: int = 0) -> np.ndarray:
+        """Identifiers at depth 32: those of depth 16 here and at the later offset 16."""
+        m = _odd[chain]
+        return C.mix(self.gram(p, chain) * m[2] + self.gram(p + Q, chain) * m[3])
+
+    def window(self, s: np.ndarray, chain: int = 0) -> np.ndarray:
+        """Identifiers at depth 50: those of depth 32 here and at the later offset 18."""
+        m = _odd[chain]
+        return C.mix(self.deep(s, chain) * m[4] + self.deep(s + (WINDOW - DEEP), chain) * m[5])
+
+    def hull(self, lo: np.ndarray, size: np.ndarray, chain: int = 0) -> np.ndarray:
+        """Identifiers of strings of 50 to 84 bytes: three of depth 32, the first, a middle and the last, cover them."""
+        m = _odd[chain]
+        a, b, c = (self.deep(x, chain) for x in (lo, lo + (size - DEEP) // 2, lo + size - DEEP))
+        return C.mix(a * m[4] + b * m[5] + c * m[6] + size.astype(np.uint64) * m[7])
+
+    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(p, lo, n): each chosen suffix, the first window that chose it and the number of these windows."""
+        got = []
+        span = WINDOW - Q + 1
+        last = self.start + self.size - WINDOW  # of each document the last window
+        for a in range(0, self.n, SLAB):
+            b = min(a + SLAB, self.n)
+            d = np.arange(self.of(np.array([a]))[0], self.of(np.array([b - 1]))[0] + 1)
+            first = np.maximum(self.start[d], a)
+            count = np.maximum(np.minimum(last[d], b - 1) - first + 1, 0)
+            s = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            if not len(s):
+                continue
+            low = self.gram(np.arange(a, min(b + span, self.n + WINDOW)))
+            low = (low >> C.U64(20)) << C.U64(20) | np.arange(len(low), dtype=np.uint64)
+            h = 1
+            while 2 * h <= span:
+                low = np.minimum(low[:-h], low[h:])
+                h *= 2
+            if span > h:
+                low = np.minimum(low[: h - span], low[span - h :])
+            p = (low[s - a] & C.U64(2**20 - 1)).astype(np.int64) + a
+            # a suffix chosen by windows of two documents lies in neither, so p alone tells runs apart
+            at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            got.append((p[at], s[at], np.diff(np.concatenate((at, [len(p)])))))
+        if not got:
+            return (np.zeros(0, np.int64),) * 3
+        p, lo, n = (np.concatenate(x) for x in zip(*got))
+        at = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))  # runs that slabs have cut
+        return p[at], lo[at], np.add.reduceat(n, at)
+
+
+# ---- what chunks and parts send one another
+
+
+def _planes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _coded(*columns: np.ndarray) -> bytes:
+    """Columns of 64 bits as byte planes, the first (ordered) as differences."""
+    first = columns[0]
+    body = _planes(np.diff(first, prepend=first.dtype.type(0))) + b"".join(map(_planes, columns[1:]))
+    return zstandard.ZstdCompressor(level=1).compress(body) if body else b""
+
+
+def _decoded(blob: bytes, n: int, kinds: tuple) -> list[np.ndarray]:
+    if not n:
+        return [np.zeros(0, k) for k in kinds]
+    a = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(len(kinds), 8, n)
+    out = [np.ascontiguousarray(x.T).reshape(-1).view(k) for x, k in zip(a, kinds)]
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
+
+
+class Asked:
+    """Distinct identifiers of a chunk in order, with the least document of each."""
+
+    def __init__(self, key: np.ndarray, dk: np.ndarray, extra: np.ndarray | None = None):
+        order = np.lexsort((dk, key) if extra is None else (dk, extra, key))
+        k, d = key[order], dk[order]
+        new = k[1:] != k[:-1]
+        if extra is not None:
+            e = extra[order]
+            new |= e[1:] != e[:-1]
+        at = np.flatnonzero(np.concatenate(([True], new))[: len(k)])
+        last = np.concatenate((at[1:], [len(k)]))[: len(at)].astype(np.int64) - 1
+        self.key, self.least = k[at], d[at]
+        self.extra = None if extra is None else e[at]
+        self.several = self.least != d[last]
+        self.place = np.zeros(len(key), np.int64)
+        self.place[order] = np.repeat(np.arange(len(at)), last + 1 - at)
+
+    def rows(self, chunk: int, parts: int, bits: int) -> list[tuple]:
+        bounds = np.array([-(-i * 2**bits // parts) for i in range(1, parts)], np.uint64)
+        cuts = [0, *np.searchsorted(self.key, bounds).tolist(), len(self.key)]
+        more = [] if self.extra is None else [self.extra, self.least]
+        return [(chunk, i, b - a, _coded(self.key[a:b], *[x[a:b] for x in more])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 4, _rows)], schema=_rows)
+
+
+def _answer(t: pa.Table, kinds: tuple, decide: Callable) -> pa.Table:
+    """One bit for each identifier that the chunks sent to this part."""
+    n = t["n"].to_pylist()
+    columns = [_decoded(b, k, kinds) for b, k in zip(t["blob"].to_pylist(), n)]
+    bit = decide(*[np.concatenate(x) for x in zip(*columns)])
+    cuts = np.cumsum(n)
+    blobs = [np.packbits(bit[b - k : b]).tobytes() for k, b in zip(n, cuts)]
+    return _table(list(zip(t["chunk"].to_pylist(), t["part"].to_pylist(), n, blobs)))
+
+
+def _in_two_chunks(t: pa.Table) -> pa.Table:
+    def decide(key):
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        out = np.zeros(len(key), bool)
+        out[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        return out
+
+    return _answer(t, (np.uint64,), decide)
+
+
+def _in_lesser_document(t: pa.Table) -> pa.Table:
+    def decide(key, extra, dk):
+        order = np.lexsort((dk, extra, key))
+        k, e, d = key[order], extra[order], dk[order]
+        new = np.concatenate(([True], (k[1:] != k[:-1]) | (e[1:] != e[:-1])))
+        out = np.zeros(len(key), bool)
+        out[order] = d > d[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        return out
+
+    return _answer(t, (np.uint64, np.uint64, np.int64), decide)
+
+
+# ---- the rounds: texts, state and answers of a chunk to what it asks next and its next state
+
+State = list[np.ndarray]
+
+
+def _top(key: np.ndarray, bits: int) -> np.ndarray:
+    return key >> C.U64(64 - bits)
+
+
+def _grams(x: Texts, bits: int) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:
+    p, lo, n = x.samples()
+    return Asked(_top(x.gram(p), bits), x.dk[x.of(p)]), p, lo, n
+
+
+def _sides(x: Texts, p: np.ndarray, lo: np.ndarray, n: np.ndarray, bits: int) -> tuple[Asked, np.ndarray, np.ndarray]:
+    """Depth 32 of the suffixes at p and p - 16, where a window of p holds it."""
+    right = np.flatnonzero(lo + n - 1 >= p - (WINDOW - DEEP))
+    left = np.flatnonzero(lo <= p - Q)
+    key = np.concatenate((_top(x.deep(p[right]), bits), _top(x.deep(p[left] - Q) ^ _LEFT, bits)))
+    return Asked(key, x.dk[x.of(p[np.concatenate((right, left))])]), right, left
+
+
+def _narrowed(p, lo, n, asked: Asked, bit: np.ndarray, right, left) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose buckets of depth 32 are open."""
+    open_ = (asked.several | bit)[asked.place]
+    end = lo + n
+    to_right, to_left = np.zeros(len(p), bool), np.zeros(len(p), bool)
+    to_right[right], to_left[left] = open_[: len(right)], open_[len(right) :]
+    lo = np.where(to_left, lo, np.maximum(lo, p - (Q - 1)))
+    end = np.where(to_right, end, np.minimum(end, p - (WINDOW - DEEP)))
+    keep = end > lo
+    return p[keep], lo[keep], (end - lo)[keep]
+
+
+def _hulls(x: Texts, p, lo, n) -> Asked:
+    size = n - 1 + WINDOW
+    shape = ((p - lo) * 100 + size).astype(np.uint64)
+    return Asked(x.hull(lo, size) ^ C.mix(shape), x.dk[x.of(p)], x.hull(lo, size, 1) >> C.U64(32))
+
+
+def _windows(x: Texts, lo, n) -> tuple[Asked, np.ndarray]:
+    s = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return Asked(x.window(s), x.dk[x.of(s)], x.window(s, 1) >> C.U64(32)), s
+
+
+def _known(asked: Asked, bit: np.ndarray, dk: np.ndarray) -> np.ndarray:
+    return (dk > asked.least[asked.place]) | bit[asked.place]
+
+
+def _round_1(x: Texts, state: State, bit: np.ndarray, bits: int) -> tuple[State, Asked]:
+    return [], _grams(x, bits)[0]
+
+
+def _round_2(x: Texts, state: State, bit: np.ndarray, bits: int) -> tuple[State, Asked]:
+    asked, *sample = _grams(x, bits)
+    keep = (asked.several | bit)[asked.place]
+    sample = [a[keep] for a in sample]
+    return sample, _sides(x, *sample, bits)[0]
+
+
+def _round_3(x: Texts, state: State, bit: np.ndarray, bits: int) -> tuple[State, Asked]:
+    sample = _narrowed(*state, bit=bit, **dict(zip(("asked", "right", "left"), _sides(x, *state, bits))))
+    return list(sample), _hulls(x, *sample)
+
+
+def _round_4(x: Texts, state: State, bit: np.ndarray, bits: int) -> tuple[State, Asked]:
+    p, lo, n = state
+    known = _known(_hulls(x, p, lo, n), bit, x.dk[x.of(p)])
+    rest = p[~known], lo[~known], n[~known]
+    return [*rest, lo[known], n[known]], _sides(x, *rest, bits)[0]
+
+
+def _round_5(x: Texts, state: State, bit: np.ndarray, bits: int) -> tuple[State, Asked]:
+    _, lo, n = _narrowed(*state[:3], bit=bit, **dict(zip(("asked", "right", "left"), _sides(x, *state[:3], bits))))
+    return [lo, n, *state[3:]], _windows(x, lo, n)[0]
+
+
+def _removed(x: Texts, state: State, bit: np.ndarray) -> np.ndarray:
+    """Mask of the bytes of the chunk that go."""
+    asked, s = _windows(x, *state[:2])
+    s = s[_known(asked, bit, x.dk[x.of(s)])]
+    lo, n = state[2:]
+    return C.cover(x.n, np.concatenate((s, lo)), np.concatenate((s, lo + n - 1)) + WINDOW)
+
+
+#: How many ordered arrays a round's state has; arrays are kept as one block.
+def _held(state: State) -> tuple[int, bytes]:
+    sizes = [len(a) for a in state]
+    body = b"".join(_planes(np.diff(a, prepend=np.int64(0))) for a in state)
+    return len(state), zstandard.ZstdCompressor(level=1).compress(np.array(sizes, np.int64).tobytes() + body)
+
+
+def _restored(k: int, blob: bytes) -> State:
+    body = zstandard.decompress(blob)
+    out, at = [], 8 * k
+    for n in np.frombuffer(body, np.int64, k).tolist():
+        a = np.frombuffer(body, np.uint8, 8 * n, at).reshape(8, n)
+        out.append(np.cumsum(np.ascontiguousarray(a.T).reshape(-1).view(np.int64)))
+        at += 8 * n
     return out
 
 
-def _point(name: np.ndarray, at: list[np.ndarray], chain: int, extra=None) -> np.ndarray:
-    """A name from pointers to later offsets."""
-    out = np.zeros(len(at[0]), np.uint64) if extra is None else extra.astype(np.uint64) * _pair[chain, 6, 3]
-    for i, x in enumerate(at):
-        out = out + name[x] * _pair[chain, 7, i]
-    return C.mix(out)
-
-
-class Section:
-    """Some documents' bytes in one array, with the suffixes that their windows choose."""
-
-    def __init__(self, docs: list[tuple]):
-        texts = [d[-1] for d in docs]
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        size = np.array([len(t) for t in texts], np.int64)
-        self.start = np.concatenate(([0], np.cumsum(size)[:-1]))
-        self.dk, self.rk = (np.array([d[i] for d in docs], np.int64) for i in (0, 1))
-        count = np.maximum(size - WINDOW + 1, 0)
-        # the start of every window that lies in one document
-        self.s = np.repeat(self.start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        self.doc = np.repeat(np.arange(len(docs)), count)
-        self.names = [_names(self.data, 0, 32)]
-        g = self.names[0][16]
-        low = (C.mix(g) >> C.U64(28)) << C.U64(28) | np.arange(len(g), dtype=np.uint64)
-        span, h = WINDOW - Q + 1, 1
-        while 2 * h <= span:
-            low = np.minimum(low[:-h], low[h:])
-            h *= 2
-        if span > h:
-            low = np.minimum(low[: -(span - h)], low[span - h :])
-        chosen = (low[self.s] & C.U64(2**28 - 1)).astype(np.int64)
-        new = np.concatenate(([True], (chosen[1:] != chosen[:-1]) | (self.doc[1:] != self.doc[:-1]))) if len(chosen) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        #: of each chosen suffix: its place, its first window and the number of its windows, its document
-        self.at, self.lo, self.of = chosen[first], self.s[first], self.doc[first]
-        self.n = np.diff(np.concatenate((first, [len(chosen)])))
-        self.g = (g[self.at] >> C.U64(64 - GRAM_BITS)) << C.U64(64 - GRAM_BITS)
-
-    def second(self):
-        if len(self.names) == 1:
-            self.names.append(_names(self.data, 1, 32))
-
-    def hulls(self, k: np.ndarray) -> list[np.ndarray]:
-        self.second()
-        lo, size = self.lo[k], self.n[k] - 1 + WINDOW
-        at = [lo, lo + (size - 32) // 2, lo + size - 32]
-        shape = (self.at[k] - lo) * 100 + size
-        return [_point(self.names[c][32], at, c, shape) for c in (1, 0)]
-
-    def windows(self, s: np.ndarray) -> list[np.ndarray]:
-        self.second()
-        return [_point(self.names[c][32], [s, s + WINDOW - 32], c) for c in (0, 1)]
-
-
-def _sections(batches, *more: str, packed: bool = True) -> Iterator[tuple[Section, list]]:
-    """Sections of the texts, with the further columns of their rows."""
-    held, size = [], 0
-    for b in batches:
-        for row in C.rows(b.select(["dk", "rk", "text", *more])):
-            if packed:
-                row = (*row[:2], C.unpacked(row[2]), *row[3:])
-            if len(row[2]) >= WINDOW:
-                held.append(row)
-                size += len(row[2])
-            if size >= SECTION:
-                yield Section([r[:3] for r in held]), [r[3:] for r in held]
-                held, size = [], 0
-    if held:
-        yield Section([r[:3] for r in held]), [r[3:] for r in held]
-
-
-def _joined(parts: Iterator[list[np.ndarray]], size: int) -> Iterator[list[np.ndarray]]:
-    held, n = [], 0
-    for p in parts:
-        if len(p[0]):
-            held.append(p)
-            n += len(p[0])
-        if n >= size:
-            yield [np.concatenate(x) for x in zip(*held)]
-            held, n = [], 0
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
-        for sec, _ in _sections(batches, packed=False):
-            order = np.lexsort((sec.g, sec.of))
-            of, g = sec.of[order], sec.g[order]
-            once = np.concatenate(([True], (of[1:] != of[:-1]) | (g[1:] != g[:-1])))
-            yield [g[once], sec.dk[of[once]], sec.rk[of[once]]]
-
-    for g, dk, rk in _joined(parts(), BLOCK):
-        order = np.lexsort((dk, g))
-        gs, ds = g[order], dk[order]
-        new = np.concatenate(([True], gs[1:] != gs[:-1]))
-        begin = np.flatnonzero(new)
-        last = np.concatenate((begin[1:], [len(gs)])) - 1
-        several = np.empty(len(g), bool)
-        several[order] = (ds[begin] != ds[last])[np.cumsum(new) - 1]
-        first = np.empty(len(g), bool)
-        first[order] = new
-        g = C.signed(g)
-        # a settled bucket's first member still has to meet those of other tasks
-        meet = ~several | first
-        yield C.batch(GRAMS, g[meet], pa.nulls(int(meet.sum()), pa.int64()), dk[meet], rk[meet])
-        yield C.batch(GRAMS, C.scatter(dk[several], rk[several], g[several] >> 32), g[several], dk[several], rk[several])
-
-
-def _hull_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
-        for sec, more in _sections(batches, "grams"):
-            hits = [np.array(m[0], np.int64).view(np.uint64) for m in more]
-            sizes = np.array([len(h) for h in hits])
-            # (document, q-gram) pairs are looked up as one hash, as names are
-            key = lambda of, g: C.mix(g ^ (of.astype(np.uint64) + C.U64(1)) * C.MULT[1, 3])
-            k = np.flatnonzero(np.isin(key(sec.of, sec.g), key(np.repeat(np.arange(len(hits)), sizes), np.concatenate(hits))))
-            if len(k):
-                c1, c2 = sec.hulls(k)
-                of = sec.of[k]
-                yield [sec.g[k], c1, c2 >> C.U64(32), sec.dk[of], sec.rk[of], sec.lo[k] - sec.start[of], sec.n[k]]
-
-    for was in _joined(parts(), BLOCK):
-        g, c1, c2, dk, rk, pos, n = was
-        order = np.lexsort((dk, c2, c1))
-        a, b = c1[order], c2[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        least = dk[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        known = np.empty(len(g), bool)
-        known[order] = dk[order] > least
-        # a settled row is dealt by itself, with its length below zero
-        key = np.where(known, C.scatter(dk, rk, pos), C.signed(c1))
-        cp = C.signed(np.where(known, C.U64(0), c2 << C.U64(32))) | pos
-        yield C.batch(HULLS, key, cp, np.where(known, 0, C.signed(g)), np.where(known, -n, n), dk, rk)
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
-        for sec, more in _sections(batches, "hulls"):
-            lo, n, of = [], [], []
-            for i, m in enumerate(more):
-                first, end = C.run_spans(m[0], 1)
-                lo.append(sec.start[i] + first)
-                n.append(end - first)
-                of += [i] * len(first)
-            if of:
-                lo, n = np.concatenate(lo), np.concatenate(n)
-                s = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                of = np.repeat(np.array(of), n)
-                k1, k2 = sec.windows(s)
-                yield [k1, k2 >> C.U64(32), sec.dk[of], sec.rk[of], s - sec.start[of]]
-
-    for was in _joined(parts(), BLOCK):
-        k1, k2, dk, rk, pos = was
-        order = np.lexsort((dk, k2, k1))
-        a, b = k1[order], k2[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        known = np.empty(len(k1), bool)
-        known[order] = dk[order] > dk[order][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-        keep = ~known
-        kp = C.signed(k2[keep] << C.U64(32)) | pos[keep]
-        yield C.batch(WINDOWS, C.signed(k1[keep]), kp, np.zeros(keep.sum(), np.int32), dk[keep], rk[keep])
-        if known.any():
-            dk, rk, pos, size = C.known_runs(dk[known], rk[known], pos[known])
-            yield C.batch(WINDOWS, C.scatter(dk, rk, pos), pos, size, dk, rk)
-
-
-def repeated_strings(base: DataFrame, texts: DataFrame) -> DataFrame:
-    """(dk, rk, runs): per text of a doc_id the coded runs of windows that a smaller document has too.
-
-    base has its rows told apart, and texts are its packed rows; all joins with them are by
-    (dk, rk), so that they are shuffled once for this and for the caller.
+def _received(texts: pa.Table, sent: pa.Table) -> tuple[Texts, State, np.ndarray]:
+    """A chunk's texts, its state, and the answers in the order of what it asked."""
+    rows = sorted(zip(sent["part"].to_pylist(), sent["n"].to_pylist(), sent["blob"].to_pylist()))
+    state = next((_restored(n, b) for p, n, b in rows if p < 0), [])
+    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for p, n, b in rows if p >= 0]
+    return Texts(texts.to_pylist()[0]), state, np.concatenate(bits) if bits else np.zeros(0, bool)
+
+
+def _asking(step: Callable, parts: int, bits: int, exact: bool):
+    def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _table([])
+        x, state, bit = _received(texts, sent)
+        state, asked = step(x, state, bit, bits)
+        return _table([(x.chunk, -1, *_held(state)), *asked.rows(x.chunk, parts, 64 if exact else bits)])
+
+    return run
+
+
+OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
+
+
+def _finish(texts: pa.Table, sent: pa.Table) -> pa.Table:
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", spans), ("kept", pa.binary())])
+    out = []
+    if texts.num_rows:
+        x, state, bit = _received(texts, sent)
+        gone = _removed(x, state, bit)
+        for i, a, n in zip(x.ids, x.start.tolist(), x.size.tolist()):
+            own, text = gone[a : a + n], x.data[a : a + n]
+            if own.any():
+                text = np.frombuffer(text, np.uint8)[~own].tobytes()
+            out.append((i, n, n - len(text), [{"start": s, "end": e} for s, e in zip(*(r.tolist() for r in C.runs(own)))], text))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, schema)], schema=schema)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, spans, kept) of every row: its bytes, how many go, where, and what is left.
+
+    A byte goes if it lies in a 50-byte string that also starts in a document of smaller doc_id.
     """
-    # 1. q-gram buckets with suffixes of two documents
-    grams = base.mapInArrow(_gram_rows, C.ddl(GRAMS))
-    w = Window.partitionBy("key")
-    several = F.min("dk").over(w) != F.max("dk").over(w)
-    hits = (
-        grams.withColumn("several", several)
-        .where("own is not null or several")
-        .groupBy("dk", "rk")
-        .agg(F.collect_set(F.coalesce("own", "key")).alias("grams"))
-    )
-    # 2. hulls, dealt by c1 as packed; the parts of cp are taken out afterwards
-    low = lambda c: F.col(c).bitwiseAND(0x7FFFFFFF).cast("int")
-    hulls = texts.join(hits, ["dk", "rk"]).mapInArrow(_hull_rows, C.ddl(HULLS)).repartition("c1")
-    hulls = hulls.select("c1", F.shiftright("cp", 32).alias("c2"), low("cp").alias("pos"), "g", "len", "dk", "rk")
-    w = Window.partitionBy("c1", "c2").orderBy("dk")
-    gone = (F.col("len") < 0) | (F.first("dk").over(w) < F.col("dk"))
-    hulls = hulls.withColumn("gone", gone).select(F.when(~F.col("gone"), F.col("g")).alias("g"), F.when(~F.col("gone"), F.col("c1")).alias("c1"), "dk", "rk", "pos", F.abs("len").alias("len"), "gone")
-    hulls = C.store(hulls)
-    settled = hulls.where("gone").select("dk", "rk", "pos", "len")
-    open_ = hulls.where("not gone").select("g", "c1", "dk", "rk", "pos", "len")
-    mixed = C.cut(open_.groupBy("g").agg(F.min("c1").alias("a"), F.max("c1").alias("b")).where("a <> b").select("g"))
-    rest = open_.select("g", "dk", "rk", "pos", "len").join(mixed, "g", "left_semi").groupBy("dk", "rk").agg(F.collect_list(C.run_code("pos", "len")).alias("hulls"))
-    # 3. windows
-    found = texts.join(rest, ["dk", "rk"]).mapInArrow(_window_rows, C.ddl(WINDOWS)).repartition("k1")
-    found = found.select("k1", F.shiftright("kp", 32).alias("k2"), low("kp").alias("pos"), "len", "dk", "rk")
-    w = Window.partitionBy("k1", "k2").orderBy("dk")
-    gone = (F.col("len") > 0) | (F.first("dk").over(w) < F.col("dk"))
-    more = found.withColumn("gone", gone).where("gone").select("dk", "rk", "pos", F.greatest("len", F.lit(1)).alias("len"))
-    return settled.union(more).groupBy("dk", "rk").agg(F.collect_list(C.run_code("pos", "len")).alias("runs"))
-
-
-def _removed(n: int, found) -> np.ndarray:
-    return C.cover(n, *C.run_spans(found, WINDOW))
-
-
-def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("dk", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    for b in batches:
-        out = []
-        for dk, frame, found in C.rows(b.select(["dk", "text", "runs"])):
-            text = C.unpacked(frame)
-            gone = _removed(len(text), found)
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((dk, len(text), int(gone.sum()), len(C.runs(gone)[0]), hashlib.sha256(kept).hexdigest()))
-        if out:
-            yield C.batch(schema, *zip(*out))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = int(min(MOST, CHUNK * max(1.0, math.sqrt(total / SMALL))))
+    per_byte = 2 / (WINDOW - Q + 2)
+    parts = max(MIN_PARTS, math.ceil(total * per_byte / PART))
+    bits = min(64, max(32, math.ceil(math.log2(total + 1)) + 8))
+    chunks, _ = C.stored(base.mapInArrow(_pack(size), CHUNKS))
+    nothing = docs.sparkSession.createDataFrame([], ROWS)
+    sent, path = nothing, None
+    answers = [None, _in_two_chunks, _in_two_chunks, _in_lesser_document, _in_two_chunks, _in_lesser_document]
+
+    def known(k: int) -> DataFrame:
+        if answers[k] is None:
+            return sent
+        return sent.where("part < 0").unionByName(sent.where("part >= 0").groupBy("part").applyInArrow(answers[k], ROWS))
+
+    def joined(k: int, run: Callable, schema: str) -> DataFrame:
+        return chunks.groupBy("chunk").cogroup(known(k).groupBy("chunk")).applyInArrow(run, schema)
+
+    for k, step in enumerate((_round_1, _round_2, _round_3, _round_4, _round_5)):
+        exact = answers[k + 1] is _in_lesser_document
+        before = path
+        sent, path = C.stored(joined(k, _asking(step, parts, bits, exact), ROWS))
+        if before:
+            C.discard(docs.sparkSession, before)
+    return joined(5, _finish, OUT)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document of ``documents``: bytes, bytes removed, removed runs, digest of the bytes kept."""
-    docs = C.table(spark, sf_dir, "documents")
-    base = C.told_apart(C.keyed(docs, "doc_id", "text"), C.shared_ids(docs, "doc_id"))
-    texts = C.packed(base)
-    joined = texts.join(repeated_strings(base, texts), ["dk", "rk"], "left")
-    out = joined.mapInArrow(_digest_rows, "dk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(C.doc_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = remove_repeats(C.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

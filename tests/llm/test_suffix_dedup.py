@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+import zstandard
 
 from fieldweave.llm import suffix_dedup
 
@@ -31,10 +32,10 @@ def brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("section,block", [(700, 40), (1_000_000, 500_000)])
-def test_suffix_dedup(spark, tmp_path, monkeypatch, section, block):
-    monkeypatch.setattr(suffix_dedup, "SECTION", section)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+@pytest.mark.parametrize("chunk,parts", [(700, 5), (4_000_000, 96)])
+def test_suffix_dedup(spark, tmp_path, monkeypatch, chunk, parts):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "MIN_PARTS", parts)
     r = random.Random(5)
     base = ["".join(r.choice("abcdé ") for _ in range(400)) for _ in range(5)]
     rows = []
@@ -68,5 +69,19 @@ def test_rows_of_one_id_are_told_apart(spark, tmp_path):
     assert sorted((str(x[0]), *x[1:]) for x in got) == brute(df.collect())
 
 
+def test_suffixes_do_not_depend_on_slabs(monkeypatch):
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"ab c") for _ in range(n)) for n in (0, 49, 50, 51, 400, 3, 2000, 77)] + [b"z" * 300, b""]
+    row = {"chunk": 0, "ids": list(range(len(texts))), "sizes": [len(t) for t in texts], "frame": zstandard.compress(b"".join(texts))}
+    x = suffix_dedup.Texts(row)
+    whole = [a.tolist() for a in x.samples()]
+    chosen = {lo + j: p for p, lo, n in zip(*whole) for j in range(n)}
+    windows = [a + j for a, n in zip(x.start.tolist(), x.size.tolist()) for j in range(n - 49)]
+    assert sorted(chosen) == windows and all(s <= p <= s + 34 for s, p in chosen.items())
+    for slab in (61, 100, 977):
+        monkeypatch.setattr(suffix_dedup, "SLAB", slab)
+        assert [a.tolist() for a in x.samples()] == whole
+
+
 def test_empty_table(spark, tmp_path):
     assert suffix_dedup.op9_suffix_dedup(spark, write(spark.createDataFrame([], DOCS), tmp_path)).count() == 0
