@@ -72,6 +72,14 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_key(col: str) -> Column:
     """The identifier as a long that is never null."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))

@@ -3,17 +3,16 @@
 Features of a text, each present or not: words, word pairs, pairs with one or two words
 between, and byte 5- and 7-grams inside words (for compounds), hashed into 2**20 bins.
 FTRL-proximal keeps a rate for every coordinate and an L1 threshold, so most bins stay at
-zero; only the others, at most ``MAX_WEIGHTS``, are broadcast to score the corpus.
+zero; the others, 2**20 at most, are broadcast to score the corpus.
 
-Learning uses labelled rows only, at most ``SAMPLE`` of them, taken by the hash of doc_id from
-all rows outside the held-out fold; a corpus with fewer labels uses them all.  Their features
-are made in parallel; the weights are learnt in a few passes over the sample in one task, whose
-size ``SAMPLE`` and ``MAX_FEATURES`` bound (a labelled text beyond that many features is
-learnt from that many of them, in hash order; scoring always reads whole texts).
+Learning uses labelled rows only, at most ``SAMPLE`` of them with at most ``SAMPLE_BYTES`` of
+text together, taken by the hash of doc_id from all rows outside the held-out fold; a corpus
+with fewer labels uses them all.  Their features are made in parallel, from whole texts; the
+weights are learnt in a few passes over the sample in one task, whose size the two bound.
 
 Defined results: null and empty texts have no features and get the bias alone; rows without a
-usable label do not train; a doc_id with several labels trains on the largest; without any
-label every score is 0.5 * 0 = 0; repeated rows score alike; an empty table gives an empty
+usable label do not train; a doc_id with several labels trains on the largest, and one with
+several texts on that of least hash; without any label every score is 0; repeated rows score alike; an empty table gives an empty
 table; other columns are ignored.
 """
 
@@ -25,13 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 BINS = 20
-SAMPLE, MAX_FEATURES, MAX_WEIGHTS = 10_000, 10_000, 200_000
+SAMPLE, SAMPLE_BYTES = 10_000, 64_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 2.0, 1.0, 4
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
 #: Bytes a character n-gram has.
@@ -108,8 +107,6 @@ def ftrl(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, fl
             bn += g * g
     w = weights(z, n)
     at = np.flatnonzero(w)
-    if len(at) > MAX_WEIGHTS:
-        at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[:MAX_WEIGHTS]])
     return at.astype(np.int32), w[at], bias_of()
 
 
@@ -124,16 +121,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             out = []
             for dk, rk, text, y in C.rows(b):
-                x = features(text)
-                if len(x) > MAX_FEATURES:
-                    x = np.sort(x[np.argsort(C.mix(x.astype(np.uint64)))[:MAX_FEATURES]])
-                out.append((dk, rk, y, x))
+                out.append((dk, rk, y, features(text)))
             if out:
                 yield C.batch(schema, *zip(*out))
 
     # chosen has at most SAMPLE rows of two numbers: it goes to the documents, which stay put
-    rows = C.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "dk").select("dk", "rk", "text", "y").dropDuplicates(["dk", "rk"])
-    made = rows.mapInArrow(run, "dk long, rk long, y int, x array<int>")
+    rows = C.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "dk").groupBy("dk").agg(F.min(F.struct("rk", "text")).alias("t"), F.max("y").alias("y"))
+    rows = C.store(rows.select("dk", "t.rk", "t.text", "y", F.octet_length("t.text").alias("size")))
+    # one window over at most SAMPLE rows of two numbers
+    order = Window.orderBy(F.xxhash64("dk"), "dk").rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.select("dk", "size").withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= SAMPLE_BYTES).select("dk")
+    made = rows.join(F.broadcast(kept), "dk").select("dk", "rk", "text", "y").mapInArrow(run, "dk long, rk long, y int, x array<int>")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(o=C.mix(pdf["dk"].to_numpy().view(np.uint64))).sort_values(["o", "dk", "rk"])
@@ -194,4 +192,5 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, with their columns."""
     model = train(docs, labels, id_col, text_col)
-    return scores(docs, model, id_col, text_col, "__score").where(F.col("__score") < THRESHOLD).drop("__score")
+    score = C.fresh(docs, "score")
+    return scores(docs, model, id_col, text_col, score).where(F.col(score) < THRESHOLD).drop(score)
