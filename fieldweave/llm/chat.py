@@ -46,22 +46,22 @@ def format_chat(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
     conv = conv.select("conv_id", F.transform("rows", lambda x: F.struct(x["t"]["role"].alias("role"), F.length(escape(x["t"]["text"])).alias("chars"), piece(x["t"]).alias("piece"))).alias("turns"))
     conv = conv.select(
         "conv_id",
-        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["chars"].alias("chars"), F.length(t["piece"]).alias("size"))).alias("turns"),
+        F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["chars"].alias("chars"))).alias("turns"),
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("full"),
     )
-    # where each turn ends, in code points
-    ends = F.aggregate("turns", F.array().cast("array<int>"), lambda acc, t: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + t["size"])))
-    conv = conv.withColumn("ends", ends)
-    one = conv.select("conv_id", "full", "ends", F.size("turns").alias("total"), F.posexplode("turns").alias("at", "t"))
+    # the k-th control string ends the k-th turn, as texts hold none that is not escaped
+    one = conv.select("conv_id", "full", F.size("turns").alias("total"), F.posexplode("turns").alias("at", "t"))
     final = F.col("at") == F.col("total") - 1
     target = F.col("t.role") == TARGET
-    end = F.col("ends")[F.col("at")]
+    upto = F.concat(F.call_function("substring_index", F.col("full"), F.lit(END), F.col("at") + 1), F.lit(END))
+    one = one.where(target | final).withColumn("formatted", F.when(final, F.col("full")).otherwise(upto))
+    end = F.length("formatted")
     text_end = end - F.lit(len(END))
-    return one.where(target | final).select(
+    return one.select(
         "conv_id",
         F.col("at").alias("example"),
         (F.col("at") + 1).alias("n_turns"),
-        F.when(final, F.col("full")).otherwise(F.substring("full", F.lit(1), end)).alias("formatted"),
+        "formatted",
         F.when(target, text_end - F.col("t.chars")).otherwise(end).alias("loss_start"),
         F.when(target, text_end).otherwise(end).alias("loss_end"),
         final.alias("last"),
@@ -88,17 +88,17 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     ex = format_chat(rows)
     loss = unescape(F.substring("formatted", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
-    got = ex.select("conv_id", "example", "n_turns", F.length("formatted").cast("long").alias("chars"), loss.alias("loss"), F.when(F.col("last"), F.col("formatted")).alias("whole"))
+    got = ex.select("conv_id", "example", F.length("formatted").cast("long").alias("chars"), loss.alias("loss"), F.when(F.col("last"), F.col("formatted")).alias("whole"))
     by = got.groupBy("conv_id").agg(
-        F.max("n_turns").cast("long").alias("n_turns"),
         F.first("whole", ignorenulls=True).alias("whole"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
         F.sum("chars").alias("formatted_chars"),
     )
-    told = F.array_join(F.transform(read_turns(F.col("whole")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    by = by.withColumn("turns", read_turns(F.col("whole")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return by.select(
         "conv_id",
-        "n_turns",
+        F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),

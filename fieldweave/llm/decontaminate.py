@@ -9,8 +9,10 @@ fewer words is one shorter pattern).  For each pattern length m, with blocks of
   first block, and the words themselves are compared to confirm an occurrence.
 
 The document is scanned once per pattern length; positions that cannot end a match are skipped.
-Benchmark text goes to the tasks in blocks of patterns of a checked size (``MAX_BYTES``): a
-benchmark beyond it is searched in several scans, whose spans are then united per document.
+An item's words are held once, a pattern is a place in them.  Tables go to the tasks as one
+broadcast of at most ``MAX_PATTERNS`` patterns (some 300 bytes each in a worker); a benchmark
+with more is dealt into blocks, which are compiled, broadcast and searched one after another,
+and the spans of their scans are united per document.
 
 Defined results: null has no words; repeated items count once by id; null item ids are left
 out of the digest but their windows hit; empty tables give no hits or no rows.
@@ -18,20 +20,21 @@ out of the digest but their windows hit; empty tables give no hits or no rows.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW = 10
-#: Bytes of benchmark text that one scan carries to the tasks.
-MAX_BYTES = 16_000_000
+#: Patterns that one scan carries to the tasks, and words of a longer item that are compiled together.
+MAX_PATTERNS, PIECE = 300_000, 50_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases A-Z and blanks every ASCII character that is no letter or digit; other bytes belong to words.
 _table = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -42,22 +45,33 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Matcher:
-    """The tables for the patterns of one length."""
+    """The tables for the patterns of one length: (item number, its words, first word of the pattern)."""
 
-    def __init__(self, m: int, patterns: dict[tuple, list[int]]):
-        self.m, self.items = m, patterns
-        self.block = min(2, m)
+    def __init__(self, m: int, patterns: list[tuple[int, list[bytes], int]]):
+        self.m, self.block = m, min(2, m)
         self.default = m - self.block + 1
-        self.shift: dict = {}
-        self.suffix: dict = {}
-        b = self.block
-        for p in patterns:
+        self.shift: dict[tuple, int] = {}
+        self.suffix: dict[tuple, list[int]] = {}
+        b, known = self.block, {}
+        #: of each distinct pattern its words, its place in them and the items that have it
+        self.words, self.at, self.items = [], [], []
+        for number, words, start in patterns:
+            digest = xxhash.xxh3_128_digest(b" ".join(words[start : start + m]))
+            k = known.setdefault(digest, len(self.at))
+            if k < len(self.at):
+                if number not in self.items[k]:
+                    self.items[k] += (number,)
+                continue
+            self.words.append(words)
+            self.at.append(start)
+            self.items.append((number,))
             for end in range(b, m + 1):
-                key = p[end - b : end]
-                self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.suffix.setdefault(p[m - b :], {}).setdefault(p[:b], []).append(p)
+                key = tuple(words[start + end - b : start + end])
+                if self.shift.get(key, self.default) > m - end:
+                    self.shift[key] = m - end
+            self.suffix.setdefault(tuple(words[start + m - b : start + m]), []).append(k)
 
-    def search(self, words: list[bytes]) -> list[tuple[int, list[int]]]:
+    def search(self, words: list[bytes]) -> list[tuple[int, tuple[int, ...]]]:
         """(start, item numbers) of each occurrence."""
         m, b, shift, default, found = self.m, self.block, self.shift, self.default, []
         end, n = m, len(words)
@@ -68,55 +82,77 @@ class Matcher:
                 end += step
                 continue
             start = end - m
-            for p in self.suffix[key].get(tuple(words[start : start + b]), ()):
-                if all(x == y for x, y in zip(p, words[start:end])):
-                    found.append((start, self.items[p]))
+            first, here = words[start], words[start:end]
+            for k in self.suffix[key]:
+                own, at = self.words[k], self.at[k]
+                if own[at] == first and own[at : at + m] == here:
+                    found.append((start, self.items[k]))
             end += 1
         return found
 
 
 def compile_patterns(items: list[tuple[int, bytes | None]]) -> list[Matcher]:
     """Tables by pattern length for (number, text) items."""
-    by: dict[int, dict[tuple, list[int]]] = {}
+    by: dict[int, list] = {}
+    same: dict[bytes, bytes] = {}
     for number, text in items:
-        w = words_of(text)
+        w = [same.setdefault(x, x) for x in words_of(text)]
         m = min(WINDOW, len(w))
-        for i in range(len(w) - m + 1 if m else 0):
-            own = by.setdefault(m, {}).setdefault(tuple(w[i : i + m]), [])
-            if number not in own:
-                own.append(number)
+        if m:
+            by.setdefault(m, []).extend((number, w, i) for i in range(len(w) - m + 1))
     return [Matcher(m, p) for m, p in sorted(by.items())]
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list]:
-    """The items in blocks of at most MAX_BYTES each, or of one item.  One block is on the driver at a time in practice: sizes come first."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of many words as overlapping pieces that have the same windows."""
+    schema = pa.schema([("item", pa.string()), ("text", pa.string()), ("n", pa.int64())])
+    for b in batches:
+        out = []
+        for item, text in C.rows(b):
+            words = words_of(text)
+            for i in range(0, max(1, len(words) - WINDOW + 1), PIECE):
+                piece = words[i : i + PIECE + WINDOW - 1]
+                out.append((None if item is None else item.decode(), b" ".join(piece).decode(), len(piece)))
+        if out:
+            yield C.batch(schema, *zip(*out))
+
+
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[Callable[[], list]]:
+    """The items in blocks of about MAX_PATTERNS patterns; each is fetched when it is its turn."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-2 * total // MAX_BYTES)) if total > MAX_BYTES else 1
-    if n == 1:
-        return [items.collect()]
-    dealt = C.cut(items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))))
-    return (dealt.where(F.col("part") == k).select("item", "text").collect() for k in range(n))
+    pieces = C.store(items.mapInArrow(_pieces, "item string, text string, n long"))
+    total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
+    n = 1 if total <= MAX_PATTERNS else -(-2 * total // MAX_PATTERNS)
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n))
+    return [lambda k=k: pieces.where(block == k).select("item", "text").collect() for k in range(n)]
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(dk, rk, n_words, n_hit, items): per row of docs its words, the words hit and the items that occur."""
     base = C.keyed(docs, id_col, text_col)
-    parts = [_scan(base, block) for block in _item_blocks(benchmark, item_col, item_text_col)]
-    if len(parts) == 1:
-        return parts[0].select("dk", "rk", "n_words", "n_hit", "items")
-    united = reduce(DataFrame.union, parts).groupBy("dk", "rk").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    )
-    # equal rows merged in the grouping: bring each of them back, with the united spans measured
+    first, *more = _item_blocks(benchmark, item_col, item_text_col)
+    whole = _scan(base, first())[0]
+    if not more:
+        return whole.select("dk", "rk", "n_words", "n_hit", "items")
+    whole = C.store(whole)
+    hits = [whole]
+    for block in more:
+        found, sent = _scan(base, block())
+        hits.append(C.store(found))
+        sent.unpersist()
+    # equal rows have equal hits: one of them goes on, and each of them gets what it finds
+    hits = [h.where("n_hit > 0").select("dk", "rk", "items", "spans").dropDuplicates(["dk", "rk"]) for h in hits]
+    united = reduce(DataFrame.union, hits).groupBy("dk", "rk").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     flat = united.withColumn("spans", F.array_sort("spans")).withColumn(
         "n_hit",
         F.expr("aggregate(spans, struct(0 as n, 0 as upto), (s, x) -> struct(s.n + greatest(0, x.e - greatest(x.s, s.upto)) as n, greatest(s.upto, x.e) as upto), s -> cast(s.n as long))"),
     )
-    return base.select("dk", "rk").join(flat.select("dk", "rk", "n_words", "n_hit", "items"), ["dk", "rk"])
+    none = F.array().cast("array<string>")
+    joined = whole.select("dk", "rk", "n_words").join(flat.select("dk", "rk", "n_hit", "items"), ["dk", "rk"], "left")
+    return joined.select("dk", "rk", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
-def _scan(base: DataFrame, block: list) -> DataFrame:
+def _scan(base: DataFrame, block: list) -> tuple[DataFrame, Broadcast]:
     names = [r["item"] for r in block]
     matchers = base.sparkSession.sparkContext.broadcast(compile_patterns([(i, r["text"].encode()) for i, r in enumerate(block)]))
     schema = pa.schema(
@@ -140,7 +176,7 @@ def _scan(base: DataFrame, block: list) -> DataFrame:
             if out:
                 yield C.batch(schema, *zip(*out))
 
-    return base.mapInArrow(run, "dk long, rk long, n_words long, n_hit long, items array<string>, spans array<struct<s:int,e:int>>")
+    return base.mapInArrow(run, "dk long, rk long, n_words long, n_hit long, items array<string>, spans array<struct<s:int,e:int>>"), matchers
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +194,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs in which no benchmark window occurs, with all their columns."""
-    hit = occurrences(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("dk").alias("__dk"), F.col("rk").alias("__rk")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"__dk": C.id_key(id_col), "__rk": F.xxhash64(text)})
-    return marked.join(hit, ["__dk", "__rk"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dk, rk = C.fresh(docs, "dk"), C.fresh(docs, "rk")
+    hit = occurrences(docs, benchmark, id_col, text_col).where("n_hit > 0").select(F.col("dk").alias(dk), F.col("rk").alias(rk)).distinct()
+    marked = docs.withColumns({dk: C.id_key(id_col), rk: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    return marked.join(hit, [dk, rk], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same rows in DuckDB's SQL.

@@ -5,7 +5,8 @@ hash threshold for the rest: the documents whose hash lies below it are taken on
 threshold is found without sorting documents: word counts are summed by source and the top 12
 bits of the hash; the bucket in which the running sum passes the budget is the boundary; only
 it is split by the next 12 bits, and so on, until 60 bits are fixed.  Thresholds are nested: a
-larger budget takes a superset of documents.  Reruns agree, as the hash depends on doc_id only.
+larger budget takes a superset of documents.  Reruns agree, as the hash depends on doc_id only
+(for rows without one, on their text).
 
 Targets are a water filling: sources take their weight's share of the total until they reach
 ``cap`` times their size, and what is left is shared among the others by weight.  In order of
@@ -38,7 +39,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")).alias("sk"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(C.WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(doc.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
+        F.conv(F.substring(F.md5(F.coalesce(doc.cast("string"), F.concat(F.lit("text "), F.coalesce(F.col(text_col), F.lit("")))).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
     )
 
 
@@ -96,7 +97,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),

@@ -36,6 +36,8 @@ from . import common as C
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 MAX_ROUNDS = 60
+#: Fingerprints whose variants one task makes.
+SPREAD = 50_000
 #: Near copies of the pipeline's stage: words a shingle, least similarity, bands and rows of MinHash
 #: values (a pair at 0.8 shares none of the bands with a chance of 0.672 ** 24 = 7e-5).
 NEAR_SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 24, 5
@@ -94,7 +96,9 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): verified links that connect what the full set of links connects; a < b."""
     w = Window.partitionBy("v").orderBy("role", "fp")
-    met = distinct.select("fp").mapInArrow(_variants, "v long, fp long, role byte")
+    # a fingerprint becomes some hundred rows: deal them by number, not by the bytes they have before
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // SPREAD))
+    met = distinct.select("fp").repartition(n, "fp").mapInArrow(_variants, "v long, fp long, role byte")
     first = met.select("fp", F.first("fp").over(w).alias("hub"), F.first("role").over(w).alias("hub_role"))
     near = (F.col("hub_role") == 0) & (F.col("hub") != F.col("fp")) & (F.bit_count(F.expr("hub ^ fp")) <= RADIUS)
     return first.where(near).select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")).distinct()
@@ -110,7 +114,6 @@ def components(edges: DataFrame) -> DataFrame:
     cur = C.cut(edges.select("a", "b"))
     if cur.isEmpty():
         return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    before = None
     for _ in range(MAX_ROUNDS):
         # large star: (u, v) both ways; v > u goes to the least of u and its neighbours
         both = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -118,12 +121,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: each node's smaller neighbours, and the node itself, go to the least of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        nxt = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
-        cur = C.cut(nxt)
-        state = cur.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if state == before:
+        cur = C.cut(large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
+        # stars: each node has one edge, to a node that has none of its own
+        if cur.join(cur.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and cur.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return cur.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = state
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -167,8 +168,13 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return C.mix(grid.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * C.MULT[1, 0])
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns, which tells rows apart that agree in identifier and text."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])))
+
+
 def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(dk, rk, fp, sh, bands): fingerprint, hash of the shingle set, and band keys of each row."""
+    """(dk, rk, wh, fp, sh, bands): keys of each row, fingerprint, hash of the shingle set, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,9 +183,9 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             fps = C.signed(np.array([fingerprint(t) for t in texts], np.uint64))
             sh = C.signed(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64))
             bands = pa.array([C.signed(band_keys(x)) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("rk"), pa.array(fps), pa.array(sh), bands], names=["dk", "rk", "fp", "sh", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("dk"), b.column("rk"), b.column("wh"), pa.array(fps), pa.array(sh), bands], names=["dk", "rk", "wh", "fp", "sh", "bands"])
 
-    return C.keyed(docs, id_col, text_col).mapInArrow(run, "dk long, rk long, fp long, sh long, bands array<long>")
+    return C.keyed(docs, id_col, text_col, whole_row(docs).alias("wh")).mapInArrow(run, "dk long, rk long, wh long, fp long, sh long, bands array<long>")
 
 
 def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,19 +219,20 @@ def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all columns of docs: the least doc_id, and the least text hash of its rows.
+    """One row of each component, with all columns of docs: the least doc_id, of its rows the least text hash and row hash.
 
     Rows link by SimHash (3 bits, as in op8) and where the Jaccard similarity of their five-word
     shingles is 0.8 or more.  The rows to keep are found from these alone; the texts are joined by key.
     """
     rows = C.store(_near_rows(docs, id_col, text_col))
-    distinct = C.cut(rows.groupBy("fp").agg(F.min(F.struct((F.col("dk") == C.NULL_ID).alias("n"), "dk", "rk")).alias("least")))
+    distinct = C.cut(rows.groupBy("fp").agg(F.min(F.struct((F.col("dk") == C.NULL_ID).alias("n"), "dk", "rk", "wh")).alias("least")))
     roots = components(links(distinct).union(near_links(rows, docs, id_col, text_col)).distinct())
     own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
-    keep = own.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.dk").alias("__dk"), F.col("k.rk").alias("__rk"))
-    marked = docs.withColumns({"__dk": C.id_key(id_col), "__rk": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    kept = marked.join(keep, ["__dk", "__rk"], "left_semi")
-    return kept.dropDuplicates(["__dk", "__rk"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    dk, rk, wh = keys = [C.fresh(docs, n) for n in ("dk", "rk", "wh")]
+    keep = own.groupBy("root").agg(F.min("least").alias("k")).select(*[F.col(f"k.{a}").alias(b) for a, b in zip(("dk", "rk", "wh"), keys)])
+    marked = docs.withColumns({dk: C.id_key(id_col), rk: F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), wh: whole_row(docs)})
+    # what is left of a key are rows that agree in every column
+    return marked.join(keep, keys, "left_semi").dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hex_of(fp: Column) -> Column:

@@ -260,7 +260,8 @@ State = list[np.ndarray]
 
 
 def _top(key: np.ndarray, bits: int) -> np.ndarray:
-    return key >> C.U64(64 - bits)
+    """So many bits of identifiers; mixed anew, since chosen q-grams are those of least hash and would meet in a few parts."""
+    return C.mix(key * _odd[1, 7]) >> C.U64(64 - bits)
 
 
 def _grams(x: Texts, bits: int) -> tuple[Asked, np.ndarray, np.ndarray, np.ndarray]:

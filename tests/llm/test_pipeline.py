@@ -7,7 +7,7 @@ from fieldweave.llm import toxicity
 
 from .helpers import DOCS, words
 from .test_more_operators import toxic_corpus
-from .test_text_operators import brute_components, brute_fp, brute_hits, brute_repeats
+from .test_text_operators import brute_components, brute_fp, brute_hits, brute_repeats, brute_shingles
 
 
 def test_pipeline(spark, tmp_path):
@@ -16,7 +16,8 @@ def test_pipeline(spark, tmp_path):
     bench = [(1, " ".join(f"bench{i}" for i in range(14))), (2, None)]
     n = 1000
     for i in range(12):
-        docs.append((n + i, f"intro {i} " * (3 + i) + passage + f" outro {i}\nend", "en", "t", 5))
+        own = " ".join(f"own{i}x{j}" for j in range(70))  # too much for a near copy
+        docs.append((n + i, f"intro {own} " + passage + f" outro {i}\nend", "en", "t", 5))
     docs += [(n + 20, docs[0][1], "en", "s", 1), (n + 21, docs[1][1] + " more", "fr", None, 2), (n + 22, "start " + bench[0][1] + " stop", "en", "u", 3), (n + 23, None, None, None, None), (n + 24, "", "en", "u", 0)]
     docs += [(None, docs[2][1], "en", "s", 1), docs[3]]
     df = spark.createDataFrame(docs, DOCS)
@@ -35,7 +36,7 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, a.collect())) == sorted(str(r) for r in df.collect() if scores[r["text"]] < 0.3)
     b = step(1, a)
     rows = a.collect()
-    comp = brute_components([brute_fp(r["text"]) for r in rows])
+    comp = brute_components([brute_fp(r["text"]) for r in rows], [brute_shingles(r["text"]) for r in rows])
     groups = defaultdict(list)
     for c, r in zip(comp, rows):
         groups[c].append(r)
