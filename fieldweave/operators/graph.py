@@ -1,20 +1,21 @@
 """Iterative graph jobs over many fields at once: components, accumulation along a forest, minimax levels.
 
-Each round is a DataFrame job; its result is checkpointed, a count says when nothing changes,
-and a cap of rounds raises instead of returning something half done.
+Each round is a DataFrame job; its result is checkpointed, the rows that changed say when to
+stop, and a cap of rounds raises instead of returning something half done.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut
 
-MAX_ROUNDS = 200
+MAX_ROUNDS = 2000
 
 
 def cell_id(row: str = "row", col: str = "col"):
@@ -25,19 +26,19 @@ def cell_id(row: str = "row", col: str = "col"):
 def components(edges: DataFrame, ds: str = "ds") -> DataFrame:
     """(ds, node, root): the least node that each node of the undirected edges (ds, a, b) reaches, by alternating stars."""
     cur = cut(edges.where("a <> b").select(ds, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
+    if cur.isEmpty():
+        return cur.select(ds, F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(MAX_ROUNDS):
-        if cur.isEmpty():
-            return cur.select(ds, F.col("a").alias("node"), F.col("b").alias("root"))
-        both = cur.union(cur.select(ds, F.col("b").alias("a"), F.col("a").alias("b")))
+        turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+        both = cur.select(ds, turned).select(ds, "e.a", "e.b")
         least = both.groupBy(ds, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, [ds, "a"]).select(ds, F.col("m").alias("a"), "b").where("a <> b").distinct()
         least = large.groupBy(ds, "b").agg(F.min("a").alias("m"))
         cur = cut(large.join(least, [ds, "b"]).select(ds, F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
-        state = cur.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if state == before:
+        # stars: each node has one edge, to a node that has none of its own
+        roots = cur.select(ds, F.col("a").alias("b")).distinct()
+        if cur.join(roots, [ds, "b"], "left_semi").isEmpty() and cur.groupBy(ds, "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return cur.select(ds, F.col("b").alias("node"), F.col("a").alias("root"))
-        before = state
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
@@ -73,61 +74,87 @@ def minimax(cells: DataFrame, tile: int = 64, eps: float = 1e-9, ds: str = "ds")
     """HYD1, LF7: (ds, row, col, z, level): the least level over which each cell drains to a source.
 
     cells have z and source (true: level is z).  A path's level is the highest z on it, plus
-    eps for each step onto a lower cell.  Square tiles are flooded by themselves (a heap over
-    one tile's cells and its rim), then tiles tell their neighbours' rims, until nothing falls.
+    eps for each step onto a lower cell.  A square tile is one row of arrays, which is flooded
+    by itself (a heap over its cells); then only the rim cells whose level fell are sent to the
+    tiles beside them, and only tiles that were told something are flooded again, until no rim
+    falls.
     """
-    cur = cut(cells.select(ds, "row", "col", "z", F.when(F.col("source"), F.col("z")).alias("level")))
     kind = dict(cells.dtypes)[ds]
-    schema = f"{ds} {kind}, row long, col long, z double, level double"
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = {(r, c): v for r, c, v in zip(pdf["row"], pdf["col"], pdf["z"])}
-        level = {(r, c): v for r, c, v in zip(pdf["row"], pdf["col"], pdf["level"]) if v == v and v is not None}
-        heap = [(v, k) for k, v in level.items()]
+    schema = f"{ds} {kind}, tr long, tc long, row array<long>, col array<long>, z array<double>, level array<double>, fell array<boolean>"
+    key = [ds, "tr", "tc"]
+    at = {"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)}
+    level = F.when(F.col("source"), F.col("z"))
+    packed = cells.select(ds, "row", "col", "z", level.alias("level")).withColumns(at).groupBy(*key).agg(F.collect_list(F.struct("row", "col", "z", "level")).alias("c"))
+    tiles = packed.select(*key, F.col("c.row").alias("row"), F.col("c.col").alias("col"), F.col("c.z").alias("z"), F.col("c.level").alias("level"))
+    wide = tile + 2
+
+    def flood(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        t = mine.iloc[0]
+        first = "fell" not in mine.columns
+        if not first and not len(told):
+            return mine.assign(fell=[np.zeros(len(t["row"]), bool)])
+        r0, c0 = t["tr"] * tile - 1, t["tc"] * tile - 1
+        place = (np.asarray(t["row"]) - r0) * wide + np.asarray(t["col"]) - c0
+        z, known = np.full(wide * wide, np.nan), np.full(wide * wide, np.inf)
+        z[place] = np.asarray(t["z"], float)
+        was = np.array([np.inf if v is None or v != v else v for v in t["level"]], float)
+        known[place] = was
+        heap = [(v, int(p)) for v, p in zip(was, place) if v < np.inf] if first else []
+        if len(told):
+            halo = (told["row"].to_numpy() - r0) * wide + told["col"].to_numpy() - c0
+            heap += [(v, int(p)) for v, p in zip(told["level"], halo)]
+            known[halo] = told["level"].to_numpy()
         heapq.heapify(heap)
+        ground, low = z.tolist(), known.tolist()
+        steps = [a * wide + b for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
         while heap:
-            v, (r, c) = heapq.heappop(heap)
-            if v > level[(r, c)]:
+            v, p = heapq.heappop(heap)
+            if v > low[p]:
                 continue
-            for a in (-1, 0, 1):
-                for b in (-1, 0, 1):
-                    k = (r + a, c + b)
-                    if k in z and k != (r, c):
-                        up = z[k] if z[k] > v else v + eps
-                        if up < level.get(k, float("inf")):
-                            level[k] = up
-                            heapq.heappush(heap, (up, k))
-        own = pdf["own"].to_numpy()
-        out = pdf.assign(level=[level.get(k) for k in zip(pdf["row"], pdf["col"])])[own]
-        return out[[ds, "row", "col", "z", "level"]]
-
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    before = None
+            for k in steps:
+                q = p + k
+                if 0 <= q < len(ground) and ground[q] == ground[q] and abs(q % wide - p % wide) <= 1:
+                    up = ground[q] if ground[q] > v else v + eps
+                    if up < low[q]:
+                        low[q] = up
+                        heapq.heappush(heap, (up, q))
+        now = np.array(low)[place]
+        fell = now < (np.inf if first else was)  # a first round tells all it knows
+        out = {c: [t[c]] for c in (*key, "row", "col", "z")}
+        return pd.DataFrame(out | {"level": [[None if v == np.inf else v for v in now]], "fell": [fell]})
+
+    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])).alias("o")
+    told = cells.sparkSession.createDataFrame([], f"{ds} {kind}, tr long, tc long, row long, col long, level double")
     for _ in range(MAX_ROUNDS):
-        tr, tc = F.floor(F.col("row") / tile), F.floor(F.col("col") / tile)
-        # a cell goes to its own tile and, on a tile's rim, to the tiles beside it
-        sent = cur.withColumn("o", o).withColumns({"tr": F.floor((F.col("row") + F.col("o.a")) / tile), "tc": F.floor((F.col("col") + F.col("o.b")) / tile)})
-        sent = sent.withColumn("own", (F.col("tr") == tr) & (F.col("tc") == tc)).select(ds, "row", "col", "z", "level", "tr", "tc", "own").distinct()
-        cur = cut(sent.groupBy(ds, "tr", "tc").applyInPandas(flood, schema))
-        state = cur.agg(F.sum("level"), F.count("level")).first()
-        if state == before:
-            return cur
-        before = state
+        tiles = cut(tiles.groupBy(*key).cogroup(told.groupBy(*key)).applyInPandas(flood, schema))
+        rim = tiles.where(F.exists("fell", lambda f: f)).select(*key, F.explode(F.arrays_zip("row", "col", "level", "fell")).alias("x")).where("x.fell")
+        sent = rim.select(*key, "x.row", "x.col", "x.level", o).withColumns({"t2": F.floor((F.col("row") + F.col("o.a")) / tile), "c2": F.floor((F.col("col") + F.col("o.b")) / tile)})
+        sent = sent.where("t2 <> tr or c2 <> tc").select(ds, F.col("t2").alias("tr"), F.col("c2").alias("tc"), "row", "col", "level").distinct()
+        told = cut(sent.join(tiles.select(*key), key, "left_semi"))
+        if told.isEmpty():
+            return tiles.select(ds, F.explode(F.arrays_zip("row", "col", "z", "level")).alias("x")).select(ds, "x.row", "x.col", "x.z", "x.level")
     raise RuntimeError(f"levels did not settle in {MAX_ROUNDS} rounds")
 
 
-def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, max_rings: int = 50, ds: str = "ds") -> DataFrame:
+def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, ds: str = "ds") -> DataFrame:
     """LF6: (ds, label, level): the p75 of the ring about each feature where it stops falling (rising for lows).
 
     All features grow one ring a round; a feature that has stopped takes no part in the next.
+    A ring beyond the field has no cells, so the field's extent bounds the rounds.
     """
     sign = 1.0 if falling else -1.0
-    inside = cut(features.select(ds, "label", "row", "col"))
-    front, last, done = inside, None, None
+    key = [ds, "label", "row", "col"]
+    front, before, last, done = cut(features.select(*key)), None, None, None
+    cells = cells.select(ds, "row", "col", "z")
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]))
-    for _ in range(max_rings):
-        ring = front.select(ds, "label", "row", "col", o.alias("o")).select(ds, "label", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col")).distinct()
-        ring = cut(ring.join(inside, [ds, "label", "row", "col"], "left_anti").join(cells.select(ds, "row", "col", "z"), [ds, "row", "col"]))
+    for _ in range(MAX_ROUNDS):
+        ring = front.select(*key, o.alias("o")).select(ds, "label", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col")).distinct()
+        # what lies beside a ring is on it, on the one before or on the next
+        for old in (front, before) if before is not None else (front,):
+            ring = ring.join(old.select(*key), key, "left_anti")
+        ring = cut(ring.join(cells, [ds, "row", "col"]))
         now = ring.groupBy(ds, "label").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
         if last is None:
             state = cut(now.withColumn("open", F.lit(True)))
@@ -137,10 +164,8 @@ def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, max_
             state = cut(j.select(ds, "label", F.when(better, F.col("new")).otherwise(F.col("level")).alias("level"), better.alias("open")))
         stopped = state.where("not open").select(ds, "label", "level")
         done = stopped if done is None else done.unionByName(stopped)
-        last = state
-        live = state.where("open").select(ds, "label")
+        last, live = state, state.where("open").select(ds, "label")
         if live.isEmpty():
             return done
-        front = cut(ring.select(ds, "label", "row", "col").join(live, [ds, "label"]))
-        inside = cut(inside.unionByName(front))
-    return done.unionByName(last.where("open").select(ds, "label", "level"))
+        front, before = ring.select(*key).join(live, [ds, "label"]), front
+    raise RuntimeError(f"rings did not stop in {MAX_ROUNDS} rounds")

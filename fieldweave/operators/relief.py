@@ -11,7 +11,7 @@ from fieldweave.functions.lineage import cut
 from fieldweave.operators import graph, grid, spatial
 
 
-def features(layers: DataFrame, size: float, high: bool = True, min_ha: float = 0.05, max_rings: int = 50, ds: str = "ds") -> DataFrame:
+def features(layers: DataFrame, size: float, high: bool = True, min_ha: float = 0.05, ds: str = "ds") -> DataFrame:
     """LF5: hills (or lows) as components of the standardised TPI beyond +-1.
 
     layers: (ds, row, col, z, tpi_std, slope_pct[, depth]).  Per feature: extreme cell and its
@@ -21,7 +21,7 @@ def features(layers: DataFrame, size: float, high: bool = True, min_ha: float =
     sign = 1.0 if high else -1.0
     part = graph.cell_components(layers.where(sign * F.col("tpi_std") > 1), max(1, int(np.ceil(min_ha * 1e4 / size**2))), ds)
     c = cut(part.join(layers, [ds, "row", "col"]))
-    foot = graph.grow_rings(c, layers, high, max_rings, ds)
+    foot = graph.grow_rings(c, layers, high, ds)
     pond = F.max("depth") > 0.05 if "depth" in layers.columns else F.lit(False)
     cov = lambda a, b: F.covar_samp(a, b)
     a = c.groupBy(ds, "label").agg(

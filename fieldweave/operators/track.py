@@ -7,6 +7,7 @@ later window reuses that partitioning.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from fieldweave.functions.columns import turn
 #: Swath width where a log has none, in metres.
 DEFAULT_SWATH = 9.0
 MAX_GAP_S, PASS_TURN_DEG, DAMPING = 60.0, 35.0, 0.15
+#: Rows that the native pass detection folds at a time.
+FOLD_BLOCK = 256
 
 
 def in_order(ds: str = "ds") -> WindowSpec:
@@ -88,39 +91,50 @@ def detect_passes(df: DataFrame, tolerance: float = PASS_TURN_DEG, ds: str = "ds
     schema = f"{ds} {dict(df.dtypes)[ds]}, rn int, pass_id long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        out, ref, now = [], None, 0
-        for i, h in enumerate(pdf["heading_deg"]):
-            missing = h is None or h != h
-            if i == 0:
-                ref = 0.0 if missing else h
-            elif not missing:
-                off = (h - ref + 180.0) % 360.0 - 180.0
-                if abs(off) > tolerance:
-                    now, ref = now + 1, h
-                else:
-                    ref = (ref + DAMPING * off) % 360.0
-            out.append(now)
-        return pd.DataFrame({ds: pdf[ds], "rn": pdf["rn"], "pass_id": out})
+        order = np.argsort(pdf["rn"].to_numpy(), kind="stable")
+        head = pdf["heading_deg"].to_numpy(float)[order]
+        new = np.zeros(len(head), np.int64)
+        ref = 0.0 if head[0] != head[0] else head[0]
+        # rows without a heading change nothing
+        for i in (np.flatnonzero(head[1:] == head[1:]) + 1).tolist():
+            off = (head[i] - ref + 180.0) % 360.0 - 180.0
+            if abs(off) > tolerance:
+                new[i], ref = 1, head[i]
+            else:
+                ref = (ref + DAMPING * off) % 360.0
+        return pd.DataFrame({ds: pdf[ds], "rn": pdf["rn"].to_numpy()[order], "pass_id": np.cumsum(new)})
 
     passes = df.select(ds, "rn", "heading_deg").groupBy(ds).applyInPandas(fold, schema)
     return df.drop("pass_id").join(passes, [ds, "rn"])
 
 
 def detect_passes_native(df: DataFrame, tolerance: float = PASS_TURN_DEG, ds: str = "ds") -> DataFrame:
-    """TRK7 without Python: the same fold as a higher-order function over one log's headings.
+    """TRK7 without Python: the same fold as higher-order functions over one log's headings.
 
-    Returns (ds, rn, pass_id).
+    A first fold goes from block to block of ``FOLD_BLOCK`` rows and keeps the state in which each
+    block begins; then the blocks, as rows of their own, number their records.  So an array
+    that grows while it is folded has a block's length at most.  Returns (ds, rn, pass_id).
     """
-    state = "struct(cast(null as double) as ref, 0L as now, cast(array() as array<bigint>) as ids)"
     off = "(pmod(x.h - s.ref + 180D, 360D) - 180D)"
-    step = f"""
-      case when s.ref is null then struct(coalesce(x.h, 0D) as ref, 0L as now, array(0L) as ids)
-           when x.h is null then struct(s.ref as ref, s.now as now, concat(s.ids, array(s.now)) as ids)
-           when abs({off}) > {tolerance}D then struct(x.h as ref, s.now + 1 as now, concat(s.ids, array(s.now + 1)) as ids)
-           else struct(pmod(s.ref + {DAMPING}D * {off}, 360D) as ref, s.now as now, concat(s.ids, array(s.now)) as ids) end"""
+
+    def step(ids: str) -> str:
+        more = lambda now: f", concat(s.ids, array({now})) as ids" if ids else ""
+        return f"""
+      case when s.ref is null then struct(coalesce(x.h, 0D) as ref, s.now as now{more("s.now")})
+           when x.h is null then struct(s.ref as ref, s.now as now{more("s.now")})
+           when abs({off}) > {tolerance}D then struct(x.h as ref, s.now + 1 as now{more("s.now + 1")})
+           else struct(pmod(s.ref + {DAMPING}D * {off}, 360D) as ref, s.now as now{more("s.now")}) end"""
+
     logs = df.groupBy(ds).agg(F.sort_array(F.collect_list(F.struct("rn", F.col("heading_deg").alias("h")))).alias("rows"))
-    ids = logs.select(ds, F.expr(f"aggregate(rows, {state}, (s, x) -> {step}, s -> zip_with(rows.rn, s.ids, (r, p) -> struct(r as rn, p as pass_id)))").alias("z"))
+    blocks = logs.select(ds, F.expr(f"transform(sequence(1, size(rows), {FOLD_BLOCK}), i -> slice(rows, i, {FOLD_BLOCK}))").alias("blocks"))
+    begin = "named_struct('ref', cast(null as double), 'now', 0L, 'seen', cast(array() as array<struct<ref: double, now: bigint>>))"
+    seen = f"""aggregate(blocks, {begin},
+      (b, rows) -> aggregate(rows, named_struct('ref', b.ref, 'now', b.now), (s, x) -> {step("")},
+        s -> named_struct('ref', s.ref, 'now', s.now, 'seen', concat(b.seen, array(named_struct('ref', b.ref, 'now', b.now))))),
+      b -> b.seen)"""
+    each = blocks.select(ds, F.explode(F.arrays_zip("blocks", F.expr(seen).alias("seen"))).alias("b")).select(ds, F.col("b.blocks").alias("rows"), F.col("b.seen").alias("seen"))
+    start = "named_struct('ref', seen.ref, 'now', seen.now, 'ids', cast(array() as array<bigint>))"
+    ids = each.select(ds, F.expr(f"aggregate(rows, {start}, (s, x) -> {step('ids')}, s -> zip_with(rows.rn, s.ids, (r, p) -> struct(r as rn, p as pass_id)))").alias("z"))
     return ids.select(ds, F.explode("z").alias("z")).select(ds, "z.rn", "z.pass_id")
 
 

@@ -400,10 +400,10 @@ def agg_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(layers.aggregate_cells(_levelled(spark, sf_dir)))
 
 
-@register("agg_by_rate", _CELLS.format(zone="") + ' SELECT ds, rate, count(*) AS cells, round(avg("yield"), 8) AS "yield", round(stddev_samp("yield"), 8) AS sd, round(avg("yield") * 0.25e0 - rate * 1.5e0, 8) + 0e0 AS profit FROM c GROUP BY ds, rate', rate=PASSES)
+@register("agg_by_rate", _CELLS.format(zone="") + ' SELECT ds, rate, count(*) AS cells, round(avg("yield"), 10) AS "yield", round(stddev_samp("yield"), 10) AS sd, round(avg("yield") * 0.25e0 - rate * 1.5e0, 10) + 0e0 AS profit FROM c GROUP BY ds, rate', rate=PASSES)
 def agg_by_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG14."""
-    return r4(layers.summary_by_rate(layers.aggregate_cells(_levelled(spark, sf_dir)), 0.25, 1.5), digits=8)
+    return r4(layers.summary_by_rate(layers.aggregate_cells(_levelled(spark, sf_dir)), 0.25, 1.5), digits=10)
 
 
 _LAYERS = """

@@ -210,7 +210,7 @@ SQL["ter_components"] = SQL["ter_components"].replace("WITH", "WITH RECURSIVE",
 
 
 def _filled(spark, sf_dir) -> DataFrame:
-    return cut(hydro.fill_sinks(_bowl(spark, sf_dir), tile=8))
+    return cut(hydro.fill_sinks(_bowl(spark, sf_dir)))
 
 
 @register("hyd_fill")
@@ -321,7 +321,7 @@ def lf_hills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LF5, LF6: hills with their feet."""
     c = cut(_bowl(spark, sf_dir))
     s = grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct").join(grid.standardise(grid.tpi(c, 2)).drop("tpi"), ["ds", "row", "col"])
-    return r4(relief.features(cut(s), SIZE, min_ha=0.03, max_rings=6))
+    return r4(relief.features(cut(s), SIZE, min_ha=0.03))
 
 
 @register("ter_detrend")

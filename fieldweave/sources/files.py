@@ -27,42 +27,88 @@ FILE = "_metadata.file_path"
 # -- delimited text ----------------------------------------------------------------------
 
 
-def sniff(spark: SparkSession, path: str, lines: int = 30) -> dict[str, str | bool]:
-    """SRC1: the delimiter that splits the head most evenly, and whether decimals use a comma."""
-    head = [r[0] for r in spark.read.text(path).limit(lines).collect() if r[0].strip()]
-    counts = {d: [h.count(d) for h in head] for d in (",", ";", "\t", "|")}
-    sep = max(counts, key=lambda d: (min(counts[d], default=0) > 0, len(counts[d]) - len(set(counts[d])), sum(counts[d])))
-    cells = [c.strip() for h in head[1:] for c in h.split(sep)]
-    comma = [c for c in cells if c.count(",") == 1 and c.replace(",", "").lstrip("-").isdigit()]
-    return {"sep": sep, "decimal_comma": sep != "," and bool(cells) and len(comma) > 0.25 * len(cells)}
-
-
-def read_tabular(spark: SparkSession, path: str, encoding: str = "UTF-8", aliases=schema.ALIASES) -> DataFrame:
-    """SRC1-3: delimited logs as canonical points (ds = file, seq = order in it); a row of units under the header goes."""
-    opt = sniff(spark, path)
-    raw = spark.read.option("header", True).option("sep", opt["sep"]).option("encoding", encoding).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).csv(path)
-    rows = raw.select("*", F.col(FILE).alias("ds"), F.monotonically_increasing_id().alias("_at"))
-    known = [u for us in units.UNITS.values() for u in us] + ["%", "deg", "ft", "mi/h"]
-    cells = F.array(*[F.trim(F.col(f"`{c}`")) for c in raw.columns])
-    is_units = F.exists(cells, lambda c: F.lower(c).isin(*[k.lower() for k in known])) & (F.size(F.filter(cells, lambda c: c.try_cast("double").isNotNull())) <= 0.3 * len(raw.columns))
-    first = F.row_number().over(Window.partitionBy("ds").orderBy("_at"))
-    rows = rows.withColumn("_n", first).where(~((F.col("_n") == 1) & F.coalesce(is_units, F.lit(False))))
-    body = schema.canonicalise(rows.drop("ds", "_at", "_n").select(*raw.columns), aliases, bool(opt["decimal_comma"])).columns
-    named = schema.map_columns(raw.columns, aliases)
-    out = rows.select("ds", (F.row_number().over(Window.partitionBy("ds").orderBy("_at")) - 1).cast("long").alias("seq"), *[(number(F.col(f"`{c}`"), bool(opt["decimal_comma"])) if named.get(c) in schema.NUMERIC else F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, body)])
-    return out.withColumn("timestamp", schema.parse_stamp(F.col("timestamp"))) if "timestamp" in out.columns else out
-
-
-def source_units(spark: SparkSession, path: str) -> DataFrame:
+DELIMITERS = (",", ";", "\t", "|")
+HEAD_LINES = 30
+
+
+def heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, lines): the first lines of each file that are not blank."""
+    rows = spark.read.option("recursiveFileLookup", True).text(path).where("_metadata.file_block_start = 0 and trim(value) <> ''").select(F.col(FILE).alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    first = rows.groupBy("file").agg(F.min("at").alias("first"))
+    near = rows.join(first, "file").where(F.col("at") < F.col("first") + HEAD_LINES)
+    return near.groupBy("file").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("lines"))
+
+
+def sniff(files: DataFrame) -> DataFrame:
+    """SRC1: (file, header, sep, decimal_comma, encoding) of heads.
+
+    The delimiter is the one that each line has, then the one most alike in count from line to
+    line, then the most frequent; a comma is a decimal mark if another delimiter is in use and
+    over a quarter of the cells below the header are digits with one comma; a head that is no
+    UTF-8 is read as Windows-1252.
+    """
+
+    def score(d: str):
+        n = F.transform("lines", lambda x: F.size(F.split(x, f"[{d}]")) - 1)
+        return F.struct((F.array_min(n) > 0).alias("a"), (-F.size(F.array_distinct(n))).alias("b"), F.aggregate(n, F.lit(0), lambda s, x: s + x).alias("c"), F.lit(-DELIMITERS.index(d)).alias("d"))
+
+    best = F.greatest(*[score(d) for d in DELIMITERS])
+    f = files.withColumn("sep", F.element_at(F.array(*[F.lit(d) for d in DELIMITERS]), 1 - best["d"]))
+    cells = F.flatten(F.transform(F.slice("lines", 2, HEAD_LINES), lambda x: F.transform(F.split(x, F.concat(F.lit("["), F.col("sep"), F.lit("]"))), F.trim)))
+    comma = F.size(F.filter("cells", lambda c: c.rlike("^-?[0-9]+,[0-9]+$"))) > 0.25 * F.size("cells")
+    f = f.withColumn("cells", cells).withColumn("decimal_comma", (F.col("sep") != ",") & (F.size("cells") > 0) & comma)
+    odd = F.exists("lines", lambda x: F.contains(x, F.lit("\ufffd")))
+    return f.select("file", F.regexp_replace(F.col("lines")[0], "^\ufeff", "").alias("header"), "sep", "decimal_comma", F.when(odd, "windows-1252").otherwise("UTF-8").alias("encoding"))
+
+
+def _formats(spark: SparkSession, path: str | list[str]) -> list:
+    """The distinct formats under a folder with their files: as many rows as there are formats."""
+    f = sniff(heads(spark, path))
+    return f.groupBy("header", "sep", "decimal_comma", "encoding").agg(F.collect_list("file").alias("files")).orderBy("header", "sep").collect()
+
+
+def _rows_of(spark: SparkSession, fmt) -> tuple[DataFrame, list[str]]:
+    """The rows of the files of one format (ds = file, _n = order in it from 1), and their columns."""
+    raw = spark.read.option("header", True).option("sep", fmt["sep"]).option("encoding", fmt["encoding"]).option("mode", "DROPMALFORMED").csv(fmt["files"])
+    rows = raw.select(F.col(FILE).alias("__file"), F.monotonically_increasing_id().alias("__at"), *[F.col(f"`{c}`") for c in raw.columns])
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at"))), raw.columns
+
+
+def _known_units() -> list[str]:
+    return [u.lower() for us in units.UNITS.values() for u in us] + ["%", "deg", "ft", "mi/h"]
+
+
+def read_tabular(spark: SparkSession, path: str | list[str], aliases=schema.ALIASES) -> DataFrame:
+    """SRC1-3: delimited logs as canonical points (ds = file, seq = order in it); a row of units under the header goes.
+
+    Each file is read by its own delimiter, header, decimal mark and encoding: files of one
+    format are one read, and the formats are united by column name.
+    """
+    parts = []
+    for fmt in _formats(spark, path):
+        rows, columns = _rows_of(spark, fmt)
+        cells = F.array(*[F.trim(F.col(f"`{c}`")) for c in columns])
+        is_units = F.exists(cells, lambda c: F.lower(c).isin(*_known_units())) & (F.size(F.filter(cells, lambda c: c.try_cast("double").isNotNull())) <= 0.3 * len(columns))
+        rows = rows.where(~((F.col("__n") == 1) & F.coalesce(is_units, F.lit(False))))
+        names, comma = schema.map_columns(spark, columns, aliases), fmt["decimal_comma"]
+        seq = (F.row_number().over(Window.partitionBy("__file").orderBy("__at")) - 1).cast("long").alias("seq")
+        own = [(number(F.col(f"`{c}`"), comma) if names.get(c) in schema.NUMERIC else F.col(f"`{c}`")).alias(names.get(c, c)) for c in columns]
+        out = rows.select(F.col("__file").alias("ds"), seq, *own)
+        parts.append(out.withColumn("timestamp", schema.parse_stamp(F.col("timestamp"))) if "timestamp" in out.columns else out)
+    if not parts:
+        return spark.createDataFrame([], "ds string, seq long")
+    return union_logs(*parts)
+
+
+def source_units(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """SRC2: (ds, column, unit) where the first row under a header names units."""
-    opt = sniff(spark, path)
-    raw = spark.read.option("header", True).option("sep", opt["sep"]).csv(path)
-    rows = raw.select("*", F.col(FILE).alias("ds"), F.monotonically_increasing_id().alias("_at"))
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("ds").orderBy("_at"))).where("_n = 1")
-    named = schema.map_columns(raw.columns)
-    known = {u.lower() for us in units.UNITS.values() for u in us}
-    pairs = F.explode(F.array(*[F.struct(F.lit(named.get(c, c)).alias("column"), F.trim(F.col(f"`{c}`")).alias("unit")) for c in raw.columns])).alias("p")
-    return first.select("ds", pairs).select("ds", "p.*").where(F.lower("unit").isin(*known))
+    parts = []
+    for fmt in _formats(spark, path):
+        rows, columns = _rows_of(spark, fmt)
+        names = schema.map_columns(spark, columns)
+        pairs = F.explode(F.array(*[F.struct(F.lit(names.get(c, c)).alias("column"), F.trim(F.col(f"`{c}`")).alias("unit")) for c in columns])).alias("p")
+        parts.append(rows.where("__n = 1").select(F.col("__file").alias("ds"), pairs).select("ds", "p.*").where(F.lower("unit").isin(*_known_units())))
+    return union_logs(*parts) if parts else spark.createDataFrame([], "ds string, column string, unit string")
 
 
 def pick_value(points: DataFrame, ds: str = "ds", candidates: tuple[str, ...] | None = None) -> DataFrame:
@@ -220,7 +266,11 @@ def _records(ds: str, header: bytes, data: bytes) -> Iterator[tuple]:
 
 def read_binary_logs(spark: SparkSession, path: str) -> DataFrame:
     """SRC11: a long row per record and value of all .bin logs with a header .xml of the same name; a log that fails leaves a row with its error."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return decode_logs(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
+
+
+def decode_logs(f: DataFrame) -> DataFrame:
+    """SRC11 on files (path, content)."""
     key = lambda ext: F.regexp_replace("path", rf"(?i)\.{ext}$", "")
     x = f.where(F.lower("path").endswith(".xml")).select(key("xml").alias("ds"), F.col("content").alias("header"))
     b = f.where(F.lower("path").endswith(".bin")).select(key("bin").alias("ds"), F.col("content").alias("data"))
@@ -261,7 +311,13 @@ def read_grids(spark: SparkSession, path: str, shape: DataFrame) -> DataFrame:
 
     shape: (ds, kind, rows, cols, lon0, lat0, dlon, dlat, scale); kind 2 has 32-bit values, kind 1 zone codes of a byte.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("ds"), "content").join(shape, "ds")
+    return decode_grids(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("ds"), "content"), shape)
+
+
+def decode_grids(contents: DataFrame, shape: DataFrame) -> DataFrame:
+    """SRC13 on (ds, content)."""
+    f = contents.join(shape, "ds")
+    kind = dict(contents.dtypes)["ds"]
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -269,7 +325,7 @@ def read_grids(spark: SparkSession, path: str, shape: DataFrame) -> DataFrame:
                 v = np.frombuffer(bytes(r.content), "<u4" if r.kind == 2 else "u1")[: r.rows * r.cols].astype(np.int64)
                 yield pd.DataFrame({"ds": r.ds, "i": np.arange(len(v)), "raw": v})
 
-    c = f.mapInPandas(decode, "ds string, i long, raw long").join(shape, "ds")
+    c = f.mapInPandas(decode, f"ds {kind}, i long, raw long").join(shape, "ds")
     row, col = F.floor(F.col("i") / F.col("cols")), F.col("i") % F.col("cols")
     return c.select("ds", row.alias("row"), col.alias("col"), (F.col("lon0") + (col + 0.5) * F.col("dlon")).alias("lon"), (F.col("lat0") + (row + 0.5) * F.col("dlat")).alias("lat"), F.when(F.col("kind") == 2, F.col("raw") * F.col("scale")).otherwise(F.col("raw").cast("double")).alias("rate"))
 
@@ -279,11 +335,64 @@ def union_logs(*logs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
 
 
-def quarantine(spark: SparkSession, path: str, readable: tuple[str, ...] = (".csv", ".txt", ".json", ".geojson", ".kml", ".xml", ".bin")) -> DataFrame:
-    """SRC15: (file, reason) of everything under a folder that no reader takes (Spark itself leaves out files of 0 bytes)."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
-    ext = F.lower(F.concat(F.lit("."), F.element_at(F.split("file", r"\."), -1)))
-    return f.select("file", F.when(~ext.isin(*readable), F.concat(F.lit("no reader for "), ext)).alias("reason")).where("reason is not null")
+def union_tasks(logs: DataFrame, names: DataFrame, grids: DataFrame, boundaries: DataFrame, ds: str = "ds") -> DataFrame:
+    """SRC14: all logs of all tasks with the task's label; a task without a usable log shows its grids, else its boundaries.
+
+    logs, grids and boundaries are points (ds, task, lon, lat, ...); a log that could not be
+    decoded has an error and no position.  names: (task, label).
+    """
+    good = logs.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()) if "error" not in logs.columns else logs.where("error is null and lon is not null and lat is not null")
+    have = good.select("task").distinct()
+    second = grids.join(have, "task", "left_anti")
+    have = have.unionByName(second.select("task").distinct())
+    third = boundaries.join(have, "task", "left_anti")
+    rows = union_logs(*[d.withColumn("kind", F.lit(k)) for d, k in ((good, "log"), (second, "grid"), (third, "boundary"))])
+    return rows.join(names, "task", "left")
+
+
+# Readers by extension.
+READERS = {"csv": "tabular", "txt": "tabular", "tsv": "tabular", "json": "geojson", "geojson": "geojson", "kml": "kml", "xml": "tasks", "bin": "binary"}
+
+
+def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, reader, bytes) of everything under a folder; only names and sizes are read (Spark leaves out files of 0 bytes)."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    ext = F.lower(F.regexp_extract("file", r"\.([^./]*)$", 1))
+    table = F.create_map(*[F.lit(x) for pair in READERS.items() for x in pair])
+    return f.select("file", F.try_element_at(table, ext).alias("reader"), "bytes", ext.alias("ext"))
+
+
+def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SRC15: a folder's points, and (file, reader, n_rows, reason) of every file under it.
+
+    Each file goes to the reader of its extension; the reason tells why a file gave no points.
+    """
+    files = listing(spark, path)
+    by = {r["reader"]: r["files"] for r in files.where("reader is not null").groupBy("reader").agg(F.collect_list("file").alias("files")).collect()}
+    parts, said = [], [spark.createDataFrame([], "file string, why string")]
+    if "tabular" in by:
+        parts.append(read_tabular(spark, by["tabular"]))
+    if "geojson" in by:
+        parts.append(read_geojson(spark, by["geojson"]).select("ds", F.col("feature_id").cast("long").alias("seq"), "lon", "lat"))
+    if "kml" in by:
+        ring = read_kml(spark, by["kml"]).select("ds", F.posexplode("ring").alias("seq", "p"))
+        parts.append(ring.select("ds", F.col("seq").cast("long").alias("seq"), "p.lon", "p.lat"))
+    if "binary" in by:
+        long = read_binary_logs(spark, [f for k in ("binary", "tasks") for f in by.get(k, ())])
+        said.append(long.where("error is not null").groupBy(F.concat("ds", F.lit(".bin")).alias("file")).agg(F.first("error").alias("why")))
+        parts.append(scale_values(long).drop("ddi_extra").withColumn("ds", F.concat("ds", F.lit(".bin"))))
+    points = union_logs(*parts) if parts else spark.createDataFrame([], "ds string, seq long, lon double, lat double")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the readers differ in how they write a local path
+    n = points.groupBy(plain(F.col("ds")).alias("k")).agg(F.count("lon").alias("n_rows"))
+    why = union_logs(*said).select(plain(F.col("file")).alias("k"), "why")
+    out = files.withColumn("k", plain(F.col("file"))).join(n, "k", "left").join(why, "k", "left")
+    reason = F.when(F.col("reader").isNull(), F.concat(F.lit("no reader for ."), F.col("ext"))).when(F.col("why").isNotNull(), F.col("why")).when((F.coalesce("n_rows", F.lit(0)) == 0) & (F.col("reader") != "tasks"), F.lit("no positions"))
+    return points, out.select("file", "reader", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), reason.alias("reason"))
+
+
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """SRC15: (file, reason) of everything under a folder that no reader takes."""
+    return listing(spark, path).where("reader is null").select("file", F.concat(F.lit("no reader for ."), F.col("ext")).alias("reason"))
 
 
 # -- elevation rasters as cell tables ----------------------------------------------------

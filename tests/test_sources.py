@@ -9,8 +9,8 @@ from fieldweave.sources import files, schema, sinks
 from fieldweave.streaming import live
 
 
-def test_column_names():
-    m = schema.map_columns(["Longitude", "Latitude", "VRYIELDVOL", "Speed(mph)", "Geschwindigkeit (km/h)", "Élévation", "Obj__Id"])
+def test_column_names(spark):
+    m = schema.map_columns(spark, ["Longitude", "Latitude", "VRYIELDVOL", "Speed(mph)", "Geschwindigkeit (km/h)", "Élévation", "Obj__Id"])
     assert m == {"Longitude": "lon", "Latitude": "lat", "VRYIELDVOL": "value", "Speed(mph)": "speed_kmh", "Élévation": "elev_m"}
 
 
