@@ -16,24 +16,24 @@ def write_csv(df: DataFrame, path: str) -> None:
     with_position_first(df).write.option("header", True).csv(path)
 
 
-def as_features(df: DataFrame, *properties: str) -> DataFrame:
-    """SNK2: one GeoJSON feature a line, a point or a ring of (lon, lat)."""
+def as_features(df: DataFrame, *properties: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """SNK2: one GeoJSON feature a line, a point or a ring of (lon, lat); keep names columns that stay beside it."""
     if "ring" in df.columns:
         closed = F.concat(F.col("ring"), F.slice("ring", 1, 1))
         geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates")))
     else:
         geometry = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
     props = F.to_json(F.struct(*properties))
-    return df.select(F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), props, F.lit("}")).alias("value"))
+    return df.select(*keep, F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), props, F.lit("}")).alias("value"))
 
 
 def write_geojson(df: DataFrame, path: str, *properties: str) -> None:
     as_features(df, *properties).write.text(path)
 
 
-def prescription_rows(df: DataFrame) -> DataFrame:
+def prescription_rows(df: DataFrame, *keep: str) -> DataFrame:
     """SNK3: centroids with eight decimals, rate and area."""
-    return df.select(F.format_string("%.8f", "lon").alias("lon"), F.format_string("%.8f", "lat").alias("lat"), "rate", "area_ha")
+    return df.select(*keep, F.format_string("%.8f", "lon").alias("lon"), F.format_string("%.8f", "lat").alias("lat"), "rate", "area_ha")
 
 
 def integer_grid(cells: DataFrame, scale: float, ds: str = "ds") -> DataFrame:
