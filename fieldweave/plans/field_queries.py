@@ -143,7 +143,7 @@ def dq_altitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.altitude_checks(log).select("ds", "code", "level", F.col("metrics")["usable"].alias("usable"))
 
 
-@register("dsn_direction")
+@register("dsn_direction", "b AS (SELECT ds, max(x) - min(x) AS w, max(y) - min(y) AS h FROM log GROUP BY ds) SELECT ds, CASE WHEN w >= h THEN 0e0 ELSE 90e0 END AS angle, round(greatest(w, h), 4) AS long_m, round(least(w, h), 4) AS short_m FROM b")
 def dsn_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DSN1: on the corners of each field's box."""
     b = stats.bounds(bench_log(spark, sf_dir))

@@ -145,7 +145,12 @@ def der_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(grid.plane_trend(_cells(spark, sf_dir), SIZE).drop("bearing"), digits=5)
 
 
-@register("der_relief")
+_PLANE = CELLS + """, p AS (SELECT ds, col*9e0 AS x, row*-9e0 AS y, z FROM c0),
+m AS (SELECT ds, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM p GROUP BY ds),
+r AS (SELECT p.ds, z - mz - (xz*yy-yz*xy)/(xx*yy-xy*xy)*(x-mx) - (yz*xx-xz*xy)/(xx*yy-xy*xy)*(y-my) AS res FROM p JOIN m ON m.ds = p.ds)"""
+
+
+@register("der_relief", _PLANE + " SELECT ds, round(quantile_cont(res, 0.95) - quantile_cont(res, 0.05), 4) AS relief_m FROM r GROUP BY ds")
 def der_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DER11."""
     return r4(grid.residual_relief(_cells(spark, sf_dir), SIZE))
@@ -276,7 +281,17 @@ def hyd_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(hydro.channels(codes, acc, SIZE, 0.03))
 
 
-@register("con_segments")
+_SEG = {"l": "{'x': x0, 'y': y0 - (v - nw) / (sw - nw) * 9}", "r": "{'x': x0 + 9, 'y': y0 - (v - ne) / (se - ne) * 9}", "t": "{'x': x0 + (v - nw) / (ne - nw) * 9, 'y': y0}", "b": "{'x': x0 + (v - sw) / (se - sw) * 9, 'y': y0 - 9}"}
+_LINE = lambda *ends: "[" + ", ".join(f"{{'a': {_SEG[e[0]]}, 'b': {_SEG[e[1]]}}}" for e in ends) + "]"
+
+
+@register("con_segments", BOWL + """,
+sq AS (SELECT n.ds, n.row, n.col, n.z AS nw, e.z AS ne, s.z AS sw, d.z AS se FROM cb n JOIN cb e ON e.ds = n.ds AND e.row = n.row AND e.col = n.col + 1 JOIN cb s ON s.ds = n.ds AND s.row = n.row + 1 AND s.col = n.col JOIN cb d ON d.ds = n.ds AND d.row = n.row + 1 AND d.col = n.col + 1),
+lv AS (SELECT *, unnest(range(CAST(floor(least(nw, ne, sw, se) / 0.1e0) AS BIGINT) + 1, CAST(ceil(greatest(nw, ne, sw, se) / 0.1e0) AS BIGINT))) AS k FROM sq),
+cs AS (SELECT *, k * 0.1e0 AS v, (col + 0.5e0) * 9 AS x0, -(row + 0.5e0) * 9 AS y0, (CASE WHEN nw > k * 0.1e0 THEN 8 ELSE 0 END + CASE WHEN ne > k * 0.1e0 THEN 4 ELSE 0 END + CASE WHEN se > k * 0.1e0 THEN 2 ELSE 0 END + CASE WHEN sw > k * 0.1e0 THEN 1 ELSE 0 END) AS c FROM lv),
+ln AS (SELECT *, unnest(CASE WHEN c IN (1, 14) THEN """ + _LINE("lb") + " WHEN c IN (2, 13) THEN " + _LINE("br") + " WHEN c IN (3, 12) THEN " + _LINE("lr") + " WHEN c IN (4, 11) THEN " + _LINE("tr") + " WHEN c IN (6, 9) THEN " + _LINE("tb") + " WHEN c IN (7, 8) THEN " + _LINE("lt")
++ " WHEN (c = 5) = ((nw + ne + sw + se) / 4 > v) AND c IN (5, 10) THEN " + _LINE("lt", "br") + " WHEN c IN (5, 10) THEN " + _LINE("lb", "tr") + """ ELSE [] END) AS s FROM cs)
+SELECT ds, row, col, round(v, 4) + 0e0 AS level, k % 5 = 0 AS major, round(s.a.x, 4) + 0e0 AS x1, round(s.a.y, 4) + 0e0 AS y1, round(s.b.x, 4) + 0e0 AS x2, round(s.b.y, 4) + 0e0 AS y2 FROM ln""")
 def con_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CON2."""
     return r4(grid.contour_segments(_bowl(spark, sf_dir), 0.1, SIZE))
@@ -330,21 +345,39 @@ def ter_detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(relief.pass_offsets(bench_log(spark, sf_dir), 13.5))
 
 
-@register("ter_noise")
+#: The twelve nearest of each point, ties by number.
+_NEAR = "nn AS (SELECT * FROM (SELECT a.ds, a.seq AS id, a.e AS e, b.x - a.x AS u, b.y - a.y AS v, b.e - a.e AS w, row_number() OVER (PARTITION BY a.ds, a.seq ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.seq) AS k FROM pt a JOIN pt b ON a.ds = b.ds AND a.seq <> b.seq) WHERE k <= 12)"
+
+
+@register("ter_noise", "pt AS (SELECT ds, seq, x, y, elev_m AS e FROM log), " + _NEAR + """,
+s AS (SELECT ds, id, avg(u) AS mu, avg(v) AS mv, avg(w) AS mw, var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, w) AS uw, covar_pop(v, w) AS vw FROM nn GROUP BY ds, id),
+d AS (SELECT *, 1e-6 + 1e-3 * (uu + vv) AS g FROM s), r AS (SELECT ds, mw - (uw*(vv+g) - vw*uv) / ((uu+g)*(vv+g) - uv*uv) * mu - (vw*(uu+g) - uw*uv) / ((uu+g)*(vv+g) - uv*uv) * mv AS r FROM d),
+m AS (SELECT ds, median(r) AS m FROM r GROUP BY ds), n AS (SELECT r.ds, median(abs(r - m)) * 1.4826e0 / 1.05e0 AS noise FROM r JOIN m ON m.ds = r.ds GROUP BY r.ds)
+SELECT ds, round(noise, 4) AS noise, round(0.7e0 * noise / (2 * sqrt(pi()) * greatest(0.03e0, 0.004e0 * 18 / sqrt(2e0))), 4) AS sigma FROM n""")
 def ter_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER7, TER9: noise of the altitude and the smoothing that it asks for."""
     n = cut(relief.point_noise(bench_log(spark, sf_dir)))
     return r4(n.join(relief.smoothing_sigma(n, SIZE), "ds"))
 
 
-@register("ter_spikes")
+@register("ter_spikes", "pt AS (SELECT ds, seq, x, y, CASE WHEN seq % 61 = 9 THEN elev_m + 3 ELSE elev_m END AS e FROM log), " + _NEAR + """,
+r AS (SELECT ds, id, any_value(e) - median(e + w) AS r FROM nn GROUP BY ds, id), m AS (SELECT ds, median(r) AS m FROM r GROUP BY ds), d AS (SELECT r.ds, median(abs(r - m)) AS mad FROM r JOIN m ON m.ds = r.ds GROUP BY r.ds)
+SELECT r.ds, id FROM r JOIN d ON d.ds = r.ds WHERE abs(r) > greatest(0.5e0, 3.5e0 * 1.4826e0 * mad)""")
 def ter_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER4: planted spikes of three metres."""
     e = F.when(F.col("seq") % 61 == 9, F.col("elev_m") + 3).otherwise(F.col("elev_m"))
     return relief.altitude_spikes(bench_log(spark, sf_dir).withColumn("elev_m", e))
 
 
-@register("con_profile")
+@register("con_profile", BOWL + "," + _stencil("cb") + """,
+ex AS (SELECT ds, max(col) * 9e0 AS x1, -max(row) * 9e0 AS y0, -min(row) * 9e0 AS y1 FROM cb GROUP BY ds),
+sta AS (SELECT ds, CAST(i AS BIGINT) AS id, sqrt((x1-5)*(x1-5) + (y1-5-y0-5)*(y1-5-y0-5)) * i / 19 AS d, 5 + i / 19e0 * (x1 - 5) AS x, y0 + 5 + i / 19e0 * (y1 - 5 - y0 - 5) AS y FROM ex, (SELECT unnest(range(20)) AS i)),
+p AS (SELECT sta.ds, id, x / 9 - 0.5e0 AS fx, y / 9 - 0.5e0 AS fy FROM sta JOIN cb ON cb.ds = sta.ds AND cb.row = -CAST(floor(y / 9) AS BIGINT) - 1 AND cb.col = CAST(floor(x / 9) AS BIGINT)),
+k AS (SELECT ds, id, fx, fy, CAST(floor(fx) AS BIGINT) + a.i AS cx, CAST(floor(fy) AS BIGINT) + b.i AS cy FROM p, (SELECT unnest([0, 1]) AS i) a, (SELECT unnest([0, 1]) AS i) b),
+j AS (SELECT k.ds, k.id, (1 - abs(fx - cx)) * (1 - abs(fy - cy)) AS w, a.z FROM k JOIN a ON a.ds = k.ds AND a.row = -cy - 1 AND a.col = cx),
+zz AS (SELECT ds, id, sum(w * z) / sum(w) AS z FROM j GROUP BY ds, id)
+SELECT sta.ds, sta.id, round(d, 4) + 0e0 AS d, round(x, 4) + 0e0 AS x, round(y, 4) + 0e0 AS y, round(z, 4) AS z,
+  round(100 * (lag(z) OVER w - z) / nullif(d - lag(d) OVER w, 0), 4) + 0e0 AS slope_pct FROM sta LEFT JOIN zz ON zz.ds = sta.ds AND zz.id = sta.id WINDOW w AS (PARTITION BY sta.ds ORDER BY sta.id)""")
 def con_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CON3: across each field."""
     c = cut(_bowl(spark, sf_dir))
@@ -364,7 +397,11 @@ def ts_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relief.terrain_findings(s)
 
 
-@register("yr_findings")
+@register("yr_findings", _LAND + """, vv AS (SELECT log.ds, value, landform, avg(value) OVER (PARTITION BY log.ds) AS m FROM log JOIN lf ON lf.ds = log.ds AND lf.row = -CAST(floor(y / 9) AS BIGINT) - 1 AND lf.col = CAST(floor(x / 9) AS BIGINT)),
+gr AS (SELECT ds, landform, count(value) AS n, (avg(value) - any_value(m)) / any_value(m) * 100 AS d FROM vv GROUP BY ds, landform),
+tp AS (SELECT ds, max(d) AS top, min(d) AS low FROM gr WHERE n >= 10 GROUP BY ds), co AS (SELECT ds, pow(corr(value, elev_m), 2) AS r2 FROM log GROUP BY ds), j AS (SELECT tp.ds, top, low, r2 FROM tp LEFT JOIN co ON co.ds = tp.ds),
+f AS (SELECT ds, 'best_landform' AS code, top AS metric FROM j WHERE top >= 2 UNION ALL SELECT ds, 'worst_landform', low FROM j WHERE low <= -2 UNION ALL SELECT ds, 'about_average', top FROM j WHERE top < 2 AND low > -2 UNION ALL SELECT ds, 'weak_relation', r2 FROM j WHERE r2 < 0.15 UNION ALL SELECT ds, 'strong_relation', r2 FROM j WHERE r2 >= 0.5)
+SELECT ds, code, round(metric, 4) + 0e0 AS metric FROM f""")
 def yr_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """YR4."""
     from fieldweave.operators import stats
