@@ -122,7 +122,7 @@ def dq_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(quality.unit_candidates(log, "canola", default_unit="bu/ac"))
 
 
-@register("dq_verdict")
+@register("dq_verdict", "a AS (SELECT ds, CASE WHEN count(*) / (sum(swath_m*distance_m)/1e4) < 5 THEN 1 WHEN (max(x)-min(x))*(max(y)-min(y))/1e4 > greatest(6*sum(swath_m*distance_m)/1e4, 20) THEN 1 ELSE 0 END AS r FROM log GROUP BY ds) SELECT ds, ['ok', 'warning', 'alert'][r + 1] AS level, CASE WHEN r = 1 THEN 'review' ELSE 'clean' END AS next_step FROM a")
 def dq_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ6."""
     log = bench_log(spark, sf_dir)
@@ -154,12 +154,15 @@ def dsn_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEY = "(((((({s} * 7919 + ds + 12345) * 104729) % 1000003) * 7919 + block + 12345) * 104729) % 1000003 * 7919 + i + 12345) * 104729 % 1000003"
 
 
-@register("dsn_strips", """
+_STRIPS = """
 fp AS (SELECT DISTINCT ds, CAST(floor(y / 9) AS BIGINT) AS row, CAST(floor(x / 9) AS BIGINT) AS col FROM log),
 c AS (SELECT ds, row, col, (row + 0.5e0) * 9 AS v FROM fp),
 e AS (SELECT ds, min(v) AS v0, least(2, floor(floor((max(v) - min(v)) / 18) / 3)) AS blocks FROM c GROUP BY ds),
 pl AS (SELECT ds, block, i, block * 3 + row_number() OVER (PARTITION BY ds, block ORDER BY """ + _KEY.format(s=42) + """, i) - 1 AS strip FROM (SELECT ds, unnest(range(0, CAST(blocks AS BIGINT))) AS block FROM e WHERE blocks >= 1), (SELECT unnest(range(0, 3)) AS i)),
-s AS (SELECT c.ds, CAST(floor((v - v0) / 18) AS BIGINT) AS strip FROM c JOIN e ON e.ds = c.ds)
+s AS (SELECT c.ds, CAST(floor((v - v0) / 18) AS BIGINT) AS strip FROM c JOIN e ON e.ds = c.ds)"""
+
+
+@register("dsn_strips", _STRIPS + """
 SELECT s.ds, s.strip, pl.block, [0e0, 60e0, 120e0][i + 1] AS rate, count(*) AS cells FROM s JOIN pl ON pl.ds = s.ds AND pl.strip = s.strip GROUP BY ALL""")
 def dsn_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DSN2, DSN3, DSN6."""
@@ -168,7 +171,7 @@ def dsn_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(a.groupBy("ds", "strip", "block", "rate").agg(F.count(F.lit(1)).alias("cells")), "rate")
 
 
-@register("dsn_summary")
+@register("dsn_summary", _STRIPS + ", u AS (SELECT s.ds, s.strip, [0e0, 60e0, 120e0][i + 1] AS rate, count(*) * 81e0 AS area FROM s JOIN pl ON pl.ds = s.ds AND pl.strip = s.strip GROUP BY ALL HAVING count(*) * 81e0 >= 500) SELECT ds, rate, count(*) AS reps, round(sum(area) / 1e4, 4) AS area_ha FROM u GROUP BY ds, rate")
 def dsn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DSN4, DSN5."""
     fp = design.footprint(bench_log(spark, sf_dir), 9.0).withColumns({"x": (F.col("col") + 0.5) * 9.0, "y": (F.col("row") + 0.5) * 9.0})

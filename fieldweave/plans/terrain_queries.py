@@ -28,6 +28,12 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.bin_points(bench_log(spark, sf_dir), SIZE)
 
 
+def _pits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with pits deep enough to be basins."""
+    z = F.col("z") + 0.9 * F.cos(F.col("row") / 2.0) * F.cos(F.col("col") / 3.0)
+    return _cells(spark, sf_dir).withColumn("z", z)
+
+
 #: Cells with every pass shifted by a bowl, so that there is something to fill.
 def _bowl(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.col("z") + 0.3 * F.cos(F.col("row") / 3.0) * F.cos(F.col("col") / 4.0)
@@ -215,15 +221,31 @@ SQL["ter_components"] = SQL["ter_components"].replace("WITH", "WITH RECURSIVE",
 
 
 def _filled(spark, sf_dir) -> DataFrame:
-    return cut(hydro.fill_sinks(_bowl(spark, sf_dir)))
+    return cut(hydro.fill_sinks(_pits(spark, sf_dir)))
+
+
+#: Levels by relaxation: a cell's level is kept by its key and only falls.
+_FILL = CELLS + """, cb AS (SELECT ds, row, col, z + 0.9e0 * cos(row / 2e0) * cos(col / 3e0) AS z FROM c0),
+ed AS (SELECT a.ds, a.row, a.col, any_value(a.z) AS z, count(*) AS n FROM cb a JOIN cb b ON b.ds = a.ds AND abs(b.row - a.row) <= 1 AND abs(b.col - a.col) <= 1 GROUP BY a.ds, a.row, a.col),
+fl(ds, row, col, z, lev) USING KEY (ds, row, col) AS (
+  SELECT ds, row, col, z, z FROM ed WHERE n < 9
+  UNION
+  SELECT ds, row, col, any_value(z), min(up) FROM (
+    SELECT b.ds, b.row, b.col, b.z, CASE WHEN b.z > f.lev THEN b.z ELSE f.lev + 1e-9 END AS up, k.lev AS now
+    FROM fl f JOIN cb b ON b.ds = f.ds AND abs(b.row - f.row) <= 1 AND abs(b.col - f.col) <= 1 LEFT JOIN recurring.fl k ON k.ds = b.ds AND k.row = b.row AND k.col = b.col)
+  WHERE now IS NULL OR up < now GROUP BY ds, row, col),
+fz AS (SELECT ds, row, col, z, lev AS filled, greatest(lev - z, 0) AS depth FROM fl)"""
 
 
-@register("hyd_fill")
+@register("hyd_fill", _FILL + " SELECT ds, row, col, round(z, 5) AS z, round(filled, 5) AS filled, round(depth, 5) + 0e0 AS depth FROM fz")
 def hyd_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HYD1, HYD2 (tests check them by brute force)."""
+    """HYD1, HYD2."""
     return r4(_filled(spark, sf_dir), digits=5)
 
 
+SQL["hyd_fill"] = SQL["hyd_fill"].replace("WITH", "WITH RECURSIVE", 1)
+
+
 _D8 = CELLS + ", c8 AS (SELECT ds, row, col, z + 1e-7 * ((row * 31 + col * 17) % 101) AS z FROM c0)," + _stencil("c8", False) + """,
 o8 AS (SELECT ds, row, col, z, unnest([{'i': 0, 'n': e, 'o': w, 'd': 9e0}, {'i': 1, 'n': se, 'o': nw, 'd': 9*sqrt(2e0)}, {'i': 2, 'n': s, 'o': n, 'd': 9e0}, {'i': 3, 'n': sw, 'o': ne, 'd': 9*sqrt(2e0)}, {'i': 4, 'n': w, 'o': e, 'd': 9e0}, {'i': 5, 'n': nw, 'o': se, 'd': 9*sqrt(2e0)}, {'i': 6, 'n': n, 'o': s, 'd': 9e0}, {'i': 7, 'n': ne, 'o': sw, 'd': 9*sqrt(2e0)}]) AS k FROM st),
 p8 AS (SELECT ds, row, col, k.i AS i, CASE WHEN k.n IS NULL AND k.o IS NOT NULL THEN -1 ELSE k.i END AS code, (z - CASE WHEN k.n IS NULL AND k.o IS NOT NULL THEN 2*z - k.o ELSE k.n END) / k.d AS fall FROM o8),
@@ -261,20 +283,49 @@ def _wet(spark, sf_dir):
     return f, codes, acc, twi
 
 
-@register("hyd_wet")
+#: Directions over filled cells, what drains through each, and slopes of the cells as they are.
+_FLOW = _FILL + ", c8 AS (SELECT ds, row, col, filled AS z FROM fz)," + _D8[_D8.index(_stencil("c8", False)) :] + """,
+rv AS (SELECT ds, row, col, row + [0,1,1,1,0,-1,-1,-1][code + 1] AS r2, col + [1,1,0,-1,-1,-1,0,1][code + 1] AS c2 FROM d8 WHERE code >= 0),
+fw AS (SELECT ds, row AS sr, col AS sc, row, col FROM d8 UNION ALL SELECT fw.ds, fw.sr, fw.sc, rv.r2, rv.c2 FROM fw JOIN rv ON rv.ds = fw.ds AND rv.row = fw.row AND rv.col = fw.col),
+ac AS (SELECT ds, row, col, CAST(count(*) AS DOUBLE) AS acc FROM fw GROUP BY ds, row, col)"""
+_TWI = _FLOW + ", sl AS (WITH " + _stencil("cb").strip() + """ SELECT ds, row, col, 100*sqrt(pow(((ne+2*e+se)-(nw+2*w+sw))/72e0, 2) + pow(((nw+2*n+ne)-(sw+2*s+se))/72e0, 2)) AS slope FROM st),
+tw AS (SELECT fz.ds, fz.row, fz.col, fz.z, depth, slope, ln(acc * 9 / greatest(slope / 100, 0.001e0)) AS twi FROM fz JOIN ac ON ac.ds = fz.ds AND ac.row = fz.row AND ac.col = fz.col JOIN sl ON sl.ds = fz.ds AND sl.row = fz.row AND sl.col = fz.col)"""
+
+
+@register("hyd_wet", _TWI + """, cd AS (SELECT *, slope >= 0.2 OR depth > 0.05 AS cand FROM tw), tt AS (SELECT ds, quantile_cont(CASE WHEN cand THEN twi END, 0.9) AS t, avg(CASE WHEN cand THEN 1e0 ELSE 0e0 END) AS share FROM cd GROUP BY ds)
+SELECT cd.ds, count(*) FILTER (WHERE depth > 0.05) AS ponded, round(sum(depth) * 81, 4) AS volume_m3, count(*) FILTER (WHERE share >= 0.02 AND cand AND (depth > 0.05 OR twi >= greatest(t, 8))) AS wet FROM cd JOIN tt ON tt.ds = cd.ds GROUP BY cd.ds""")
 def hyd_wet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HYD7, HYD8, HYD9, HYD12."""
     f, _, _, twi = _wet(spark, sf_dir)
     return r4(hydro.summary(f, hydro.guarded_wet(cut(hydro.wet_cells(twi, f).drop("depth")), f, 0.2), SIZE))
 
 
-@register("hyd_basins")
+#: Lakes by the least cell that each of their cells reaches.
+_LAKES = _FILL + """, lk AS (SELECT ds, row, col, z, filled, depth, (row + 1073741824) * 2147483648 + col + 1073741824 AS id FROM fz WHERE depth > 1e-4),
+rc(ds, id, row, col, root) USING KEY (ds, id) AS (
+  SELECT ds, id, row, col, id FROM lk
+  UNION
+  SELECT ds, id, any_value(row), any_value(col), min(root) FROM (
+    SELECT b.ds, b.id, b.row, b.col, f.root, k.root AS now FROM rc f JOIN lk b ON b.ds = f.ds AND abs(b.row - f.row) <= 1 AND abs(b.col - f.col) <= 1 JOIN recurring.rc k ON k.ds = b.ds AND k.id = b.id)
+  WHERE root < now GROUP BY ds, id),
+ba AS (SELECT lk.ds, root AS basin, count(*) * 81e0 AS area_m2, max(depth) AS max_depth, avg(depth) AS mean_depth, sum(depth) * 81 AS volume_m3, max(filled) AS spill, min(z) AS bottom, min({'d': -depth, 'r': lk.row, 'c': lk.col}) AS p FROM lk JOIN rc ON rc.ds = lk.ds AND rc.id = lk.id GROUP BY lk.ds, root HAVING max(depth) > 0.05)"""
+
+
+@register("hyd_basins", _LAKES + " SELECT ds, basin, area_m2, round(max_depth, 4) AS max_depth, round(mean_depth, 4) AS mean_depth, round(volume_m3, 4) AS volume_m3, round(spill, 4) AS spill, round(bottom, 4) AS bottom, p.r AS row, p.c AS col, row_number() OVER (PARTITION BY ds ORDER BY volume_m3 DESC, basin) AS rank FROM ba")
 def hyd_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HYD3, HYD11."""
+    """HYD3, HYD11 (floor)."""
     return r4(hydro.basins(_filled(spark, sf_dir), SIZE))
 
 
-@register("hyd_channels")
+SQL["hyd_basins"] = SQL["hyd_basins"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+SQL["hyd_wet"] = SQL["hyd_wet"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+@register("hyd_channels", _FLOW + """, nt AS (SELECT * FROM ac WHERE acc * 81 / 1e4 >= 0.03),
+sg AS (SELECT nt.ds, nt.row, nt.col, rv.r2, rv.c2, nt.acc FROM nt JOIN rv ON rv.ds = nt.ds AND rv.row = nt.row AND rv.col = nt.col JOIN nt t ON t.ds = rv.ds AND t.row = rv.r2 AND t.col = rv.c2)
+SELECT ds, row, col, r2 AS row2, c2 AS col2, acc, round(9 * sqrt((row-r2)*(row-r2) + (col-c2)*(col-c2)), 4) AS length_m, NOT EXISTS (SELECT 1 FROM sg u WHERE u.ds = sg.ds AND u.r2 = sg.row AND u.c2 = sg.col) AS head FROM sg""")
 def hyd_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HYD10."""
     _, codes, acc, _ = _wet(spark, sf_dir)
@@ -285,6 +336,9 @@ _SEG = {"l": "{'x': x0, 'y': y0 - (v - nw) / (sw - nw) * 9}", "r": "{'x': x0 + 9
 _LINE = lambda *ends: "[" + ", ".join(f"{{'a': {_SEG[e[0]]}, 'b': {_SEG[e[1]]}}}" for e in ends) + "]"
 
 
+SQL["hyd_channels"] = SQL["hyd_channels"].replace("WITH", "WITH RECURSIVE", 1)
+
+
 @register("con_segments", BOWL + """,
 sq AS (SELECT n.ds, n.row, n.col, n.z AS nw, e.z AS ne, s.z AS sw, d.z AS se FROM cb n JOIN cb e ON e.ds = n.ds AND e.row = n.row AND e.col = n.col + 1 JOIN cb s ON s.ds = n.ds AND s.row = n.row + 1 AND s.col = n.col JOIN cb d ON d.ds = n.ds AND d.row = n.row + 1 AND d.col = n.col + 1),
 lv AS (SELECT *, unnest(range(CAST(floor(least(nw, ne, sw, se) / 0.1e0) AS BIGINT) + 1, CAST(ceil(greatest(nw, ne, sw, se) / 0.1e0) AS BIGINT))) AS k FROM sq),
@@ -306,7 +360,7 @@ def con_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("zon_bands", BOWL + ", e AS (SELECT ds, list_distinct([round(q, 6) FOR q IN quantile_cont(z, [0.25, 0.5, 0.75])]) AS e FROM cb GROUP BY ds), b AS (SELECT cb.ds, z, len(list_filter(e.e, lambda v: v < cb.z)) + 1 AS band FROM cb JOIN e ON e.ds = cb.ds) SELECT ds, CAST(band AS BIGINT) AS band, count(*) AS cells, round(avg(z), 5) AS mean_z, round(count(*) * 81 / 1e4, 4) AS area_ha FROM b GROUP BY ds, band")
 def zon_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ZON1, ZON2, ZON3, YR2."""
+    """ZON1 (bands), ZON3, YR2."""
     b = grid.equal_count_bands(_bowl(spark, sf_dir), 4)
     return r4(b.groupBy("ds", "band").agg(F.count(F.lit(1)).alias("cells"), F.avg("z").alias("mean_z"), (F.count(F.lit(1)) * 81 / 1e4).alias("area_ha")), digits=5)
 
@@ -386,9 +440,15 @@ def con_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(relief.profile(line, c, SIZE, 20))
 
 
-@register("ts_findings")
+@register("ts_findings", _TWI + """, q AS (SELECT ds, greatest(quantile_cont(twi, 0.9), 8) AS t FROM tw GROUP BY ds),
+su AS (SELECT tw.ds, 100e0 * count(*) FILTER (WHERE slope > 10) / count(*) AS steep_pct, count(*) FILTER (WHERE slope > 10) * 81 / 1e4 AS steep_ha, sum(depth) * 81 AS pond, 100e0 * count(*) FILTER (WHERE depth > 0.05 OR twi >= t) / count(*) AS wet FROM tw JOIN q ON q.ds = tw.ds GROUP BY tw.ds),
+pp AS (SELECT ds, col*9e0 AS x, row*-9e0 AS y, z FROM fz),
+pm AS (SELECT *, (xz*yy-yz*xy)/(xx*yy-xy*xy) AS b, (yz*xx-xz*xy)/(xx*yy-xy*xy) AS c FROM (SELECT ds, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, var_pop(z) AS zz FROM pp GROUP BY ds)),
+pr AS (SELECT pp.ds, any_value(100*sqrt(b*b+c*c)) AS grad, any_value((b*xz+c*yz)/zz) AS r2, max(x*b+y*c) - min(x*b+y*c) AS fall, quantile_cont(z - mz - b*(x-mx) - c*(y-my), 0.95) - quantile_cont(z - mz - b*(x-mx) - c*(y-my), 0.05) AS relief FROM pp JOIN pm ON pm.ds = pp.ds GROUP BY pp.ds)
+SELECT ds, 'trend' AS code, 'ok' AS level FROM pr WHERE fall >= 0.1 AND (r2 > 0.3 OR grad > 0.5) UNION ALL SELECT ds, 'level', 'ok' FROM pr WHERE relief < 0.05
+UNION ALL SELECT ds, 'pond', 'warning' FROM su WHERE pond > 500 UNION ALL SELECT ds, 'steep', 'warning' FROM su WHERE steep_pct >= 1 OR steep_ha >= 0.2 UNION ALL SELECT ds, 'wet', 'ok' FROM su WHERE wet >= 1""")
 def ts_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF1, TS1, DER12: summary of each field and what it says."""
+    """TF1, TS1: summary of each field and what it says."""
     f, _, _, twi = _wet(spark, sf_dir)
     wet = hydro.wet_cells(twi, f).select("ds", "row", "col", "slope_pct", "depth", "wet").join(f.select("ds", "row", "col", "z"), ["ds", "row", "col"])
     s = cut(relief.terrain_summary(wet, SIZE))
@@ -397,6 +457,9 @@ def ts_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relief.terrain_findings(s)
 
 
+SQL["ts_findings"] = SQL["ts_findings"].replace("WITH", "WITH RECURSIVE", 1)
+
+
 @register("yr_findings", _LAND + """, vv AS (SELECT log.ds, value, landform, avg(value) OVER (PARTITION BY log.ds) AS m FROM log JOIN lf ON lf.ds = log.ds AND lf.row = -CAST(floor(y / 9) AS BIGINT) - 1 AND lf.col = CAST(floor(x / 9) AS BIGINT)),
 gr AS (SELECT ds, landform, count(value) AS n, (avg(value) - any_value(m)) / any_value(m) * 100 AS d FROM vv GROUP BY ds, landform),
 tp AS (SELECT ds, max(d) AS top, min(d) AS low FROM gr WHERE n >= 10 GROUP BY ds), co AS (SELECT ds, pow(corr(value, elev_m), 2) AS r2 FROM log GROUP BY ds), j AS (SELECT tp.ds, top, low, r2 FROM tp LEFT JOIN co ON co.ds = tp.ds),
