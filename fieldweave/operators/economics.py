@@ -31,5 +31,6 @@ def analyze(points: DataFrame, price: float, cost: float, cell_m: float = 20.0,
 
 def sampled_cells(cells: DataFrame, most: int = 8000, ds: str = "ds") -> DataFrame:
     """ECO11: at most so many cells of each log, chosen by hash."""
-    w = Window.partitionBy(ds).orderBy(F.xxhash64("col", "row", "rate"), "col", "row", "rate")
+    name = F.md5(F.concat_ws("|", F.col("col"), F.col("row"), F.round(F.col("rate") * 1000).cast("long")).cast("binary"))
+    w = Window.partitionBy(ds).orderBy(name, "col", "row", "rate")
     return cells.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")

@@ -296,7 +296,11 @@ def agg_rate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(stats.rate_classes(bench_log(spark, sf_dir), "moisture_pct", "value"))
 
 
-@register("agg_rate_reading")
+@register("agg_rate_reading", """
+e AS (SELECT ds, list_distinct(quantile_cont(moisture_pct, [0, 1/6, 2/6, 3/6, 4/6, 5/6, 1])) AS e FROM log GROUP BY ds),
+k AS (SELECT log.ds, greatest(len(list_filter(e.e, lambda z: z < log.moisture_pct)), 1) AS class, avg(value) AS mean FROM log JOIN e ON e.ds = log.ds GROUP BY ALL),
+s AS (SELECT ds, (max(mean) - min(mean)) / avg(mean) * 100 AS s FROM k GROUP BY ds), r AS (SELECT ds, corr(moisture_pct, value) AS r FROM log GROUP BY ds)
+SELECT s.ds, round(s, 4) AS spread_pct, round(r, 4) + 0e0 AS r, CASE WHEN s < 5 THEN 'flat' WHEN r < -0.3 THEN 'compensating' WHEN r > 0.3 THEN 'reinforcing' ELSE 'weak' END AS reading FROM s JOIN r ON r.ds = s.ds""")
 def agg_rate_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15: the reading of the classes."""
     return r4(stats.rate_reading(bench_log(spark, sf_dir), "moisture_pct", "value"))
@@ -564,7 +568,8 @@ def eco_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(got["optimum"], digits=2)
 
 
-@register("eco_sampled_cells")
+@register("eco_sampled_cells", _CELLS.format(zone="") + """, k AS (SELECT *, row_number() OVER (PARTITION BY ds ORDER BY md5(col || '|' || row || '|' || CAST(round(rate * 1000) AS BIGINT)), col, row, rate) AS k FROM c)
+SELECT ds, col, row, rate, round("yield", 4) + 0e0 AS "yield", round(yield_sd, 4) + 0e0 AS yield_sd, n, round(x, 4) + 0e0 AS x, round(y, 4) + 0e0 AS y FROM k WHERE k <= 20""", rate=PASSES)
 def eco_sampled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ECO11: a hundred cells of each log."""
-    return r4(economics.sampled_cells(layers.aggregate_cells(_levelled(spark, sf_dir)), 100))
+    """ECO11: twenty cells of each log."""
+    return r4(economics.sampled_cells(layers.aggregate_cells(_levelled(spark, sf_dir)), 20))
