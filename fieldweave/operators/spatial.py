@@ -45,7 +45,9 @@ def knn(points: DataFrame, k: int, ds: str = "ds", max_rounds: int = 12) -> Data
     Returns the point's columns, the neighbours' as other_*, d2 and rank.  Cells hold about k
     points; a point is settled when its k-th distance does not exceed the distance to the edge
     of the block that was searched (or when the block holds its whole log); the others search
-    a block of twice as many rings.  Every round reads only what is open.
+    a block of twice as many rings.  Every round reads only what is open.  In the first round,
+    which settles most points, the neighbours are sent to the cells about them and the points
+    stay in theirs, so that a point's candidates meet where they are ranked, without a shuffle.
     """
     box = points.groupBy(ds).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
@@ -58,18 +60,23 @@ def knn(points: DataFrame, k: int, ds: str = "ds", max_rounds: int = 12) -> Data
     cols = [c for c in points.columns if c != ds]
     b = p.select(F.col(ds).alias("_ds"), *[F.col(c).alias(f"other_{c}") for c in cols], F.col("row").alias("_row"), F.col("col").alias("_col"))
     open_, done, rings = p, None, 1
-    w = Window.partitionBy(ds, "id").orderBy("d2", "other_id")
     for step in range(max_rounds):
         last = step == max_rounds - 1
-        a = around(open_, rings if not last else F.col("span"))
+        if step == 0:
+            a = open_.withColumns({"nrow": F.col("row"), "ncol": F.col("col")})
+            sent = around(b.withColumnsRenamed({"_row": "row", "_col": "col"}), rings).drop("row", "col").withColumnsRenamed({"nrow": "_row", "ncol": "_col"})
+        else:
+            a, sent = around(open_, rings if not last else F.col("span")), b
+        home = [ds, "nrow", "ncol", "id"] if step == 0 else [ds, "id"]
+        w = Window.partitionBy(*home).orderBy("d2", "other_id")
         on = (F.col(ds) == F.col("_ds")) & (F.col("nrow") == F.col("_row")) & (F.col("ncol") == F.col("_col")) & (F.col("id") != F.col("other_id"))
         d2 = (F.col("x") - F.col("other_x")) * (F.col("x") - F.col("other_x")) + (F.col("y") - F.col("other_y")) * (F.col("y") - F.col("other_y"))
-        got = a.join(b, on).withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        got = a.join(sent, on).withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         edge = F.least(
             F.col("x") - F.col("x0") - (F.col("col") - rings) * F.col("size"), (F.col("col") + rings + 1) * F.col("size") - (F.col("x") - F.col("x0")),
             F.col("y") - F.col("y0") - (F.col("row") - rings) * F.col("size"), (F.col("row") + rings + 1) * F.col("size") - (F.col("y") - F.col("y0")),
         )
-        per = Window.partitionBy(ds, "id")
+        per = Window.partitionBy(*home)
         full = (F.count(F.lit(1)).over(per) >= F.least(F.lit(k), F.col("n") - 1)) & (F.sqrt(F.max("d2").over(per)) <= edge)
         got = got.withColumn("_ok", F.lit(True) if last else full | (F.lit(rings) >= F.col("span")))
         got = cut(got) if not last else got
