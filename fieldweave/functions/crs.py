@@ -71,6 +71,19 @@ def to_lonlat(points: DataFrame) -> DataFrame:
     return points.withColumns({"lon": lon, "lat": lat})
 
 
+def align(points: DataFrame, target: DataFrame, ds: str = "ds") -> DataFrame:
+    """YR5: points (ds, x, y, epsg) in the UTM zone of each log's target (ds, epsg); those of that zone stay as they are."""
+    p = points.join(target.select(ds, F.col("epsg").alias("_to")), ds)
+    # columns of their own in between: put into one another, the two series would be a tree of millions of nodes
+    lon, lat = inverse(F.col("x"), F.col("y"), F.pmod("epsg", F.lit(100)), F.col("epsg") >= 32700)
+    p = p.withColumns({"_lon": lon, "_lat": lat})
+    x, y = forward(F.col("_lon"), F.col("_lat"), F.pmod("_to", F.lit(100)), F.col("_to") >= 32700)
+    p = p.withColumns({"_x": x, "_y": y})
+    same = F.col("epsg") == F.col("_to")
+    p = p.withColumns({"x": F.when(same, F.col("x")).otherwise(F.col("_x")), "y": F.when(same, F.col("y")).otherwise(F.col("_y")), "epsg": F.col("_to")})
+    return p.drop("_lon", "_lat", "_x", "_y", "_to")
+
+
 def looks_geographic(points: DataFrame, x: str = "x", y: str = "y", ds: str = "ds") -> DataFrame:
     """SRC4: whether a log's coordinates are degrees."""
     return points.groupBy(ds).agg(((F.max(F.abs(x)) <= 180) & (F.max(F.abs(y)) <= 90)).alias("geographic"))

@@ -66,6 +66,13 @@ def layout_summary(assigned: DataFrame, cell_area: float, min_area: float = 0.0,
     return s.groupBy(ds, "rate").agg(F.count(F.lit(1)).alias("reps"), (F.sum("area") / 1e4).alias("area_ha"))
 
 
+def layout_warnings(summary: DataFrame, blocks: int, ds: str = "ds") -> DataFrame:
+    """DSN4: (ds, code) of layouts (ds, rate, reps) with fewer complete blocks than asked for, or with one only."""
+    n = summary.groupBy(ds).agg(F.min("reps").alias("n"))
+    codes = F.array(F.when(F.col("n") < blocks, F.lit("fewer_blocks")), F.when(F.col("n") == 1, F.lit("single_block")))
+    return n.select(ds, F.explode(F.array_compact(codes)).alias("code"))
+
+
 def footprint(points: DataFrame, size: float, ds: str = "ds") -> DataFrame:
     """DSN6: the cells that hold a point, as the field where no boundary is declared."""
     return points.where("x is not null and y is not null").select(ds, F.floor(F.col("y") / size).alias("row"), F.floor(F.col("x") / size).alias("col")).distinct()

@@ -173,6 +173,13 @@ def residual_relief(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
     return p.join(m, ds).withColumn("res", res).groupBy(ds).agg(q.alias("q")).select(ds, (F.col("q")[1] - F.col("q")[0]).alias("relief_m"))
 
 
+def is_level(relief: DataFrame, noise: DataFrame, ds: str = "ds") -> DataFrame:
+    """DER11: relief (ds, relief_m) with level: below 5 cm, twice the noise and the step of the values (ds, noise, step), whichever is most."""
+    j = relief.join(noise.select(ds, "noise", "step"), ds, "left")
+    most = F.greatest(F.lit(0.05), 2 * F.coalesce("noise", F.lit(0.0)), F.coalesce("step", F.lit(0.0)))
+    return j.select(ds, "relief_m", (F.col("relief_m") < most).alias("level"))
+
+
 def smooth(cells: DataFrame, sigma: float, ds: str = "ds") -> DataFrame:
     """TER8: Gaussian mean of the valid cells, cut at 3 sigma, by columns and then rows; masked as before."""
     r = math.ceil(3 * sigma)

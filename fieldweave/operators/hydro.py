@@ -85,6 +85,12 @@ def basins(filled: DataFrame, size: float, min_area_m2: float = 0.0, min_depth:
     return a.select(ds, "basin", "area_m2", "max_depth", "mean_depth", "volume_m3", "spill", "bottom", F.col("deepest.row").alias("row"), F.col("deepest.col").alias("col"), rank.alias("rank"))
 
 
+def unlisted(filled: DataFrame, size: float, floor_m2: float, ds: str = "ds") -> DataFrame:
+    """HYD11: (ds, listed, unlisted): basins of floor_m2 or more, and how many smaller ones are not listed."""
+    a = basins(filled, size, ds=ds)
+    return a.groupBy(ds).agg(F.count_if(F.col("area_m2") >= floor_m2).alias("listed"), F.count_if(F.col("area_m2") < floor_m2).alias("unlisted"))
+
+
 def channels(codes: DataFrame, acc: DataFrame, size: float, min_ha: float, ds: str = "ds") -> DataFrame:
     """HYD10: channel segments: cells that drain min_ha, joined to the cell they drain to, with length and a head flag."""
     net = acc.where(F.col("acc") * size * size / 1e4 >= min_ha).select(ds, "row", "col", "acc")

@@ -201,3 +201,62 @@ def terrain_summary(layers: DataFrame, size: float, ds: str = "ds") -> DataFrame
         (100.0 * F.count_if(F.col("slope_pct") > 10) / n).alias("steep_pct"), (F.count_if(F.col("slope_pct") > 10) * size * size / 1e4).alias("steep_ha"),
         (F.sum("depth") * size * size if "depth" in has else F.lit(0.0)).alias("pond_m3"), (100.0 * F.count_if("wet") / n if "wet" in has else F.lit(0.0)).alias("wet_pct"),
     )
+
+
+def zone_summary(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+    """ZON3: cells, hectares, mean height and mean slope of each zone of cells (ds, z, slope_pct, zone)."""
+    n = F.count(F.lit(1))
+    return cells.groupBy(ds, "zone").agg(n.alias("cells"), (n * size * size / 1e4).alias("area_ha"), F.avg("z").alias("mean_z"), F.avg("slope_pct").alias("mean_slope"))
+
+
+def zone_points(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+    """ZON2: one point for each cell, with all its layers."""
+    own = [c for c in cells.columns if c not in (ds, "row", "col", "z")]
+    return cells.select(ds, ((F.col("col") + 0.5) * size).alias("x"), (-(F.col("row") + 0.5) * size).alias("y"), F.col("z").alias("elev_m"), *own)
+
+
+def yield_by_class(points: DataFrame, value: str, column: str, classes: list, least: int = 30, ds: str = "ds") -> DataFrame:
+    """YR1, YR3: (ds, class, n, mean, delta_pct) for every class, the empty ones too; fields with fewer matched records are left out."""
+    p = points.where(F.col(column).isNotNull() & F.col(value).isNotNull())
+    all_ = p.groupBy(ds).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    dim = all_.select(ds, "_m", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
+    got = p.groupBy(ds, F.col(column).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    j = dim.join(got, [ds, "class"], "left")
+    return j.select(ds, "class", F.coalesce("n", F.lit(0)).alias("n"), "mean", (F.try_divide(F.col("mean") - F.col("_m"), F.col("_m")) * 100).alias("delta_pct"))
+
+
+def refused_for_yield(layers: DataFrame, bands: int = 8, ds: str = "ds") -> DataFrame:
+    """YR5: (ds, reason) of layers (ds, zones_by, n_values, n_positions) that cannot be read against the relief."""
+    reason = F.when(F.lit(not 2 <= bands <= 20), "bands outside 2 to 20").when(F.col("zones_by").isNotNull(), "a zone layer is no measurement").when(F.coalesce("n_values", F.lit(0)) == 0, "no values").when(F.coalesce("n_positions", F.lit(0)) == 0, "no positions")
+    return layers.select(ds, reason.alias("reason")).where("reason is not null")
+
+
+#: Fixed value: metres of smoothing for each metre of a quantised raster's step.
+QUANTISED_STEPS = 10.0
+
+
+def prepare_dem(cells: DataFrame, size: float, factor: float = 1.0, step: float = 0.0, max_cells: int = 400_000, smooth_m: float | None = None, ds: str = "ds") -> DataFrame:
+    """TER14: (ds, row, col, z, cell): heights in metres, coarsened until a grid has max_cells at most.
+
+    A raster whose values come in steps (in its own unit) is smoothed by QUANTISED_STEPS times the step,
+    by one cell at least and a quarter of its diagonal at most, and rounded to the micrometre; each grid
+    has its own coarsening and width.
+    """
+    step *= abs(factor)
+    span = lambda c: F.max(c) - F.min(c) + 1
+    f = cells.groupBy(ds).agg(F.greatest(F.lit(1), F.ceil(F.sqrt(span("row") * span("col") / F.lit(float(max_cells))))).cast("long").alias("_f"))
+    to = lambda c: F.floor(F.col(c) / F.col("_f")).cast("long").alias(c)
+    c = cells.join(f, ds).groupBy(ds, to("row"), to("col")).agg(F.avg(F.col("z") * factor).alias("z"), (F.first("_f") * size).alias("cell"))
+    if smooth_m is None and step <= 0:
+        return c
+    c = cut(c)
+    across = F.hypot(span("row"), span("col")) * F.first("cell")
+    metres = F.lit(smooth_m) if smooth_m is not None else F.least(F.greatest(F.lit(QUANTISED_STEPS * step), F.first("cell")), across / 4)
+    s = c.groupBy(ds).agg((metres / F.first("cell")).alias("_s")).withColumn("_r", F.ceil(3 * F.col("_s")).cast("long"))
+    near = F.sequence(-F.col("_r"), F.col("_r"))
+    sent = c.join(s, ds).withColumn("_a", F.explode(near)).withColumn("_b", F.explode(near))
+    weight = F.exp(-(F.col("_a") * F.col("_a") + F.col("_b") * F.col("_b")) / (2 * F.col("_s") * F.col("_s")))
+    sent = sent.select(ds, (F.col("row") + F.col("_a")).alias("row"), (F.col("col") + F.col("_b")).alias("col"), weight.alias("_w"), (weight * F.col("z")).alias("_z"))
+    mean = sent.groupBy(ds, "row", "col").agg((F.sum("_z") / F.sum("_w")).alias("_z"))
+    z = F.round("_z", 6) if step > 0 else F.col("_z")
+    return c.select(ds, "row", "col", "cell").join(mean, [ds, "row", "col"]).select(ds, "row", "col", z.alias("z"), "cell")

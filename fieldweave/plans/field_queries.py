@@ -81,6 +81,23 @@ def prj_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("ds", "seq", F.col("epsg").cast("long").alias("epsg"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), (F.abs(F.col("lon") - F.col("lon0")) + F.abs(F.col("lat") - F.col("lat0")) < 1e-9).alias("same"))
 
 
+@register("yr_align")
+def yr_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YR5: every other record delivered in the next zone, and brought into the field's own."""
+    p = crs.project(_lonlat(bench_log(spark, sf_dir)).select("ds", "seq", "lon", "lat"))
+    z, south = F.pmod("epsg", F.lit(100)), F.col("epsg") >= 32700
+    x, y = crs.forward(F.col("lon"), F.col("lat"), z + 1, south)
+    odd = F.col("seq") % 2 == 1
+    p = p.withColumns({"x1": x, "y1": y})
+    mixed = p.select("ds", "seq", F.when(odd, F.col("x1")).otherwise(F.col("x")).alias("x"), F.when(odd, F.col("y1")).otherwise(F.col("y")).alias("y"), F.when(odd, F.col("epsg") + 1).otherwise(F.col("epsg")).alias("epsg"))
+    a = crs.align(mixed, p.select("ds", "epsg").distinct()).join(p.select("ds", "seq", F.col("x").alias("x0"), F.col("y").alias("y0")), ["ds", "seq"])
+    close = F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")) < 0.001
+    return a.select("ds", "seq", F.col("epsg").cast("long").alias("epsg"), F.round("x0", 3).alias("x"), F.round("y0", 3).alias("y"), close.alias("close"))
+
+
+SQL["yr_align"] = f"SELECT ds, seq, epsg, x, y, true AS close FROM ({SQL['prj_utm']})"
+
+
 @register("prj_coercion", "SELECT event_id, try_cast(trim(json_extract_string(props, '$.k')) AS DOUBLE) AS k, try_cast(event_type AS DOUBLE) AS bad FROM events".replace("SELECT", "SELECT", 1))
 def prj_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ1: text to numbers, what is none becomes null."""
@@ -186,6 +203,13 @@ def dsn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(design.layout_summary(design.assign_strips(fp, [0.0, 60.0, 120.0], 18.0, blocks=2), 81.0, 500.0))
 
 
+@register("dsn_warnings", _STRIPS + ", u AS (SELECT s.ds, s.strip, i AS rate, count(*) * 81e0 AS area FROM s JOIN pl ON pl.ds = s.ds AND pl.strip = s.strip GROUP BY ALL HAVING count(*) * 81e0 >= 500), r AS (SELECT ds, rate, count(*) AS reps FROM u GROUP BY ds, rate), n AS (SELECT ds, min(reps) AS n FROM r GROUP BY ds) SELECT ds, 'fewer_blocks' AS code FROM n WHERE n < 3 UNION ALL SELECT ds, 'single_block' FROM n WHERE n = 1")
+def dsn_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DSN4: layouts with fewer blocks than three."""
+    fp = design.footprint(bench_log(spark, sf_dir), 9.0).withColumns({"x": (F.col("col") + 0.5) * 9.0, "y": (F.col("row") + 0.5) * 9.0})
+    return design.layout_warnings(design.layout_summary(design.assign_strips(fp, [0.0, 60.0, 120.0], 18.0, blocks=2), 81.0, 500.0), 3)
+
+
 @register("dsn_guards", "SELECT ds, 'fewer strips than rates' AS reason FROM log GROUP BY ds HAVING floor((max(x) - min(x)) / 60) < 5")
 def dsn_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DSN7."""

@@ -162,6 +162,14 @@ def der_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(grid.residual_relief(_cells(spark, sf_dir), SIZE))
 
 
+@register("der_level", _PLANE + """, q AS (SELECT ds, quantile_cont(res, 0.95) - quantile_cont(res, 0.05) AS relief FROM r GROUP BY ds) SELECT ds, round(relief, 4) AS relief_m, relief < greatest(0.05e0, 2 * 0.02e0 * (ds % 4), 0) AS level FROM q""")
+def der_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DER11: whether what the plane leaves is no more than noise."""
+    c = _cells(spark, sf_dir)
+    noise = c.select("ds").distinct().select("ds", (0.02 * (F.col("ds") % 4)).alias("noise"), F.lit(0.0).alias("step"))
+    return r4(grid.is_level(grid.residual_relief(c, SIZE), noise))
+
+
 @register("ter_smooth", BOWL + ", w AS (SELECT p.ds, p.row, p.col, sum(exp(-((p.row-q.row)*(p.row-q.row)+(p.col-q.col)*(p.col-q.col))/2.88e0) * q.z) / sum(exp(-((p.row-q.row)*(p.row-q.row)+(p.col-q.col)*(p.col-q.col))/2.88e0)) AS z FROM cb p JOIN cb q ON p.ds = q.ds AND abs(p.row-q.row) <= 4 AND abs(p.col-q.col) <= 4 GROUP BY ALL) SELECT ds, row, col, round(z, 6) AS z FROM w")
 def ter_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER8."""
@@ -317,7 +325,14 @@ def hyd_basins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(hydro.basins(_filled(spark, sf_dir), SIZE))
 
 
-SQL["hyd_basins"] = SQL["hyd_basins"].replace("WITH", "WITH RECURSIVE", 1)
+@register("hyd_unlisted", _LAKES + " SELECT ds, count(*) FILTER (WHERE area_m2 >= 700) AS listed, count(*) FILTER (WHERE area_m2 < 700) AS unlisted FROM ba GROUP BY ds")
+def hyd_unlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HYD11: basins of 700 m2 or more, and the count of the smaller."""
+    return hydro.unlisted(_filled(spark, sf_dir), SIZE, 700.0)
+
+
+for _name in ("hyd_basins", "hyd_unlisted"):
+    SQL[_name] = SQL[_name].replace("WITH", "WITH RECURSIVE", 1)
 
 
 SQL["hyd_wet"] = SQL["hyd_wet"].replace("WITH", "WITH RECURSIVE", 1)
@@ -473,3 +488,56 @@ def yr_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = stats.group_stats(p, "value", "landform").withColumnRenamed("landform", "class")
     r = stats.relations(bench_log(spark, sf_dir), "value", ["elev_m"]).select("ds", F.col("r_elev_m").alias("r"))
     return r4(relief.yield_findings(g, r))
+
+
+# -- zones and yield by class -----------------------------------------------------------
+
+
+@register("zon_landform", _LAND + " SELECT lf.ds, CAST(landform AS BIGINT) AS zone, count(*) AS cells, round(count(*) * 81 / 1e4, 4) AS area_ha, round(avg(cb.z), 5) AS mean_z, round(avg(slope), 4) AS mean_slope FROM lf JOIN cb ON cb.ds = lf.ds AND cb.row = lf.row AND cb.col = lf.col GROUP BY lf.ds, landform")
+def zon_landform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZON1 (landform), ZON3: area, mean height and mean slope of each zone."""
+    z = relief.zone_summary(_landforms(spark, sf_dir).withColumnRenamed("landform", "zone"), SIZE)
+    return z.select("ds", F.col("zone").cast("long").alias("zone"), "cells", F.round("area_ha", 4).alias("area_ha"), F.round("mean_z", 5).alias("mean_z"), F.round("mean_slope", 4).alias("mean_slope"))
+
+
+@register("zon_points", _LAND + " SELECT lf.ds, (lf.col + 0.5e0) * 9 AS x, -(lf.row + 0.5e0) * 9 AS y, round(cb.z, 6) AS elev_m, round(slope, 5) AS slope_pct, CAST(landform AS BIGINT) AS zone FROM lf JOIN cb ON cb.ds = lf.ds AND cb.row = lf.row AND cb.col = lf.col")
+def zon_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ZON2: a point for each cell, with its layers and its zone."""
+    p = relief.zone_points(_landforms(spark, sf_dir).withColumnRenamed("landform", "zone"), SIZE)
+    return p.select("ds", "x", "y", F.round("elev_m", 6).alias("elev_m"), F.round("slope_pct", 5).alias("slope_pct"), F.col("zone").cast("long").alias("zone"))
+
+
+@register("yr_by_slope", _LAND + """, v AS (SELECT log.ds, value, len(list_filter([2, 5, 10, 15], lambda q: q <= slope)) AS class FROM log JOIN lf ON lf.ds = log.ds AND lf.row = -CAST(floor(y / 9) AS BIGINT) - 1 AND lf.col = CAST(floor(x / 9) AS BIGINT)),
+t AS (SELECT ds, avg(value) AS m, count(value) AS n FROM v GROUP BY ds HAVING count(value) >= 30), g AS (SELECT ds, class, count(value) AS n, avg(value) AS mean FROM v GROUP BY ds, class)
+SELECT t.ds, k AS class, coalesce(g.n, 0) AS n, round(mean, 4) AS mean, round((mean - m) / m * 100, 4) + 0e0 AS delta_pct FROM t CROSS JOIN (SELECT CAST(unnest(range(5)) AS BIGINT) AS k) LEFT JOIN g ON g.ds = t.ds AND g.class = k""")
+def yr_by_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YR1 (fields of 30 matches or more), YR3: yield by slope class, empty classes too."""
+    c = cut(_landforms(spark, sf_dir).withColumn("class", F.size(F.filter(F.array(*[F.lit(q) for q in (2.0, 5.0, 10.0, 15.0)]), lambda q: q <= F.col("slope_pct")))))
+    p = grid.sample_nearest(bench_log(spark, sf_dir), c, SIZE, "class")
+    return r4(relief.yield_by_class(p, "value", "class", [0, 1, 2, 3, 4]))
+
+
+@register("yr_by_wetness", _TWI + """, q AS (SELECT ds, greatest(quantile_cont(twi, 0.9), 8) AS t FROM tw GROUP BY ds), w AS (SELECT tw.ds, row, col, CASE WHEN depth > 0.05 OR twi >= t THEN 1 ELSE 0 END AS class FROM tw JOIN q ON q.ds = tw.ds),
+v AS (SELECT log.ds, value, class FROM log JOIN w ON w.ds = log.ds AND w.row = -CAST(floor(y / 9) AS BIGINT) - 1 AND w.col = CAST(floor(x / 9) AS BIGINT)),
+t2 AS (SELECT ds, avg(value) AS m, count(value) AS n FROM v GROUP BY ds HAVING count(value) >= 30), g AS (SELECT ds, class, count(value) AS n, avg(value) AS mean FROM v GROUP BY ds, class)
+SELECT t2.ds, k AS class, coalesce(g.n, 0) AS n, round(mean, 4) AS mean, round((mean - m) / m * 100, 4) + 0e0 AS delta_pct FROM t2 CROSS JOIN (SELECT CAST(unnest(range(2)) AS BIGINT) AS k) LEFT JOIN g ON g.ds = t2.ds AND g.class = k""")
+def yr_by_wetness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """YR3: yield on dry (0) and wet (1) ground."""
+    f, _, _, twi = _wet(spark, sf_dir)
+    w = cut(hydro.wet_cells(twi, f).select("ds", "row", "col", F.col("wet").cast("int").alias("class")))
+    return r4(relief.yield_by_class(grid.sample_nearest(bench_log(spark, sf_dir), w, SIZE, "class"), "value", "class", [0, 1]))
+
+
+SQL["yr_by_wetness"] = SQL["yr_by_wetness"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+@register("ter_dem", CELLS + """, e AS (SELECT ds, greatest(1, CAST(ceil(sqrt((max(row) - min(row) + 1) * (max(col) - min(col) + 1) / 150e0)) AS BIGINT)) AS f FROM c0 GROUP BY ds),
+k AS (SELECT c0.ds, CAST(floor(row / CAST(f AS DOUBLE)) AS BIGINT) AS row, CAST(floor(col / CAST(f AS DOUBLE)) AS BIGINT) AS col, avg(z * 0.3048e0) AS z, any_value(f) * 9e0 AS cell FROM c0 JOIN e ON e.ds = c0.ds GROUP BY ALL),
+s AS (SELECT ds, any_value(cell) AS cell, least(greatest(10e0 * 8e0 * 0.3048e0, any_value(cell)), sqrt(pow(max(row) - min(row) + 1, 2) + pow(max(col) - min(col) + 1, 2)) * any_value(cell) / 4) / any_value(cell) AS sigma FROM k GROUP BY ds),
+w AS (SELECT p.ds, p.row, p.col, any_value(s.cell) AS cell, sum(exp(-((p.row-q.row)*(p.row-q.row)+(p.col-q.col)*(p.col-q.col)) / (2*sigma*sigma)) * q.z) / sum(exp(-((p.row-q.row)*(p.row-q.row)+(p.col-q.col)*(p.col-q.col)) / (2*sigma*sigma))) AS z
+  FROM k p JOIN s ON s.ds = p.ds JOIN k q ON q.ds = p.ds AND abs(p.row-q.row) <= ceil(3*sigma) AND abs(p.col-q.col) <= ceil(3*sigma) GROUP BY p.ds, p.row, p.col)
+SELECT ds, row, col, round(z, 6) AS z, cell FROM w""")
+def ter_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TER14: heights declared in feet, coarsened to 150 cells a grid, smoothed as a raster in steps of eight feet is."""
+    d = relief.prepare_dem(_cells(spark, sf_dir), SIZE, factor=0.3048, step=8.0, max_cells=150)
+    return d.select("ds", "row", "col", "z", "cell")
