@@ -280,3 +280,32 @@ def test_one_of_each_is_the_same_row_whatever_the_order_and_names(spark):
     df = spark.createDataFrame(rows, DOCS).withColumns({"dk": F.lit("mine"), "rk": F.lit(None).cast("int"), "wh": F.array(F.lit(1))})
     got = {str(sorted(map(str, simhash.one_of_each(df.orderBy(F.rand(k)).repartition(1 + k)).collect()))) for k in range(3)}
     assert len(got) == 1 and got.pop().count("dk='mine'") == 2
+
+
+def test_compression_verdict_by_brute_force(spark):
+    import random
+
+    import zstandard
+
+    r = random.Random(2)
+    sizes = [0, 1, 100, 127, 128, 255, 256, 511, 512, 1023, 1024, 4095, 4096, 9000, 16383, 16384, 40000]
+    made = []
+    for n in sizes:
+        made += ["ab " * (n // 3), "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ     ") for _ in range(n))]
+        w = []
+        while sum(map(len, w)) < n:
+            w.append(r.choice(["the ", "of ", "and ", "a ", "%s " % r.randrange(900), "word%s " % r.randrange(3000)]))
+        made.append("".join(w)[:n])
+    rows = [(i, t, None, None, None) for i, t in enumerate(made)]
+    press = zstandard.ZstdCompressor(level=quality.LEVEL)
+    kept = 0
+    for x in quality.quality(spark.createDataFrame(rows, DOCS)).collect():
+        b = made[x["doc_id"]].encode()
+        low, high = [(lo, hi) for least, lo, hi in quality.BANDS if len(b) >= least][-1]
+        ratio = len(press.compress(b)) / len(b) if b else 0.0
+        parts = [b[i : i + quality.CHUNK] for i in range(0, len(b) - quality.CHUNK + 1, quality.CHUNK)]
+        bad = sum(not quality.CHUNK_BAND[0] <= len(press.compress(p)) / len(p) <= quality.CHUNK_BAND[1] for p in parts)
+        assert x["ratio"] == ratio and x["n_chunks"] == len(parts) and x["n_bad_chunks"] == bad
+        assert x["kept"] == (not x["base_failed"] and low <= ratio <= high and 4 * bad <= len(parts))
+        kept += x["kept"]
+    assert 5 < kept < len(made) - 5
