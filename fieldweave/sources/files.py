@@ -45,7 +45,7 @@ def sniff(files: DataFrame) -> DataFrame:
     The delimiter is the one that each line has, then the one most alike in count from line to
     line, then the most frequent; a comma is a decimal mark if another delimiter is in use and
     over a quarter of the cells below the header are digits with one comma; a head that is no
-    UTF-8 is read as Windows-1252.
+    UTF-8 is read as Latin-1.
     """
 
     def score(d: str):
@@ -57,8 +57,8 @@ def sniff(files: DataFrame) -> DataFrame:
     cells = F.flatten(F.transform(F.slice("lines", 2, HEAD_LINES), lambda x: F.transform(F.split(x, F.concat(F.lit("["), F.col("sep"), F.lit("]"))), F.trim)))
     comma = F.size(F.filter("cells", lambda c: c.rlike("^-?[0-9]+,[0-9]+$"))) > 0.25 * F.size("cells")
     f = f.withColumn("cells", cells).withColumn("decimal_comma", (F.col("sep") != ",") & (F.size("cells") > 0) & comma)
-    odd = F.exists("lines", lambda x: F.contains(x, F.lit("\ufffd")))
-    return f.select("file", F.regexp_replace(F.col("lines")[0], "^\ufeff", "").alias("header"), "sep", "decimal_comma", F.when(odd, "windows-1252").otherwise("UTF-8").alias("encoding"))
+    odd = F.exists("lines", lambda x: ~F.is_valid_utf8(x))
+    return f.select("file", F.regexp_replace(F.col("lines")[0], "^\ufeff", "").alias("header"), "sep", "decimal_comma", F.when(odd, "ISO-8859-1").otherwise("UTF-8").alias("encoding"))
 
 
 def _formats(spark: SparkSession, path: str | list[str]) -> list:

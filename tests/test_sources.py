@@ -110,3 +110,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from rates").first()[0] == sum(v is None for v in got.values())
+
+
+def test_a_folder_of_unlike_files(spark, tmp_path):
+    d = tmp_path / "in"
+    (d / "sub").mkdir(parents=True)
+    (d / "a.csv").write_text("Longitude,Latitude,Yield,Speed\n1.5,2.5,50,7\n1.6,2.6,51,8\n")
+    (d / "b.csv").write_text("Speed,Yield,Latitude,Longitude\n9,60,3.5,4.5\n")
+    (d / "sub" / "c.txt").write_text("Longitude;Latitude;Umidade\n5,5;6,5;12,5\n")
+    (d / "d.csv").write_bytes("Longitude,Latitude,Élévation\n7.5,8.5,99\n".encode("windows-1252"))
+    (d / "e.doc").write_text("no")
+    (d / "f.csv").write_text("this,that\n1,2\n")
+    (d / "TLG1.xml").write_text("<broken")
+    (d / "TLG1.bin").write_bytes(b"123")
+    p, report = files.ingest(spark, str(d))
+    got = {(r["ds"].rsplit("/", 1)[-1], r["lon"], r["lat"], r["value"], r["speed_kmh"], r["moisture_pct"], r["elev_m"]) for r in p.where("lon is not null").collect()}
+    assert got == {("a.csv", 1.5, 2.5, 50.0, 7.0, None, None), ("a.csv", 1.6, 2.6, 51.0, 8.0, None, None), ("b.csv", 4.5, 3.5, 60.0, 9.0, None, None), ("c.txt", 5.5, 6.5, None, None, 12.5, None), ("d.csv", 7.5, 8.5, None, None, None, 99.0)}
+    said = {r["file"].rsplit("/", 1)[-1]: (r["n_rows"], r["reason"]) for r in report.collect()}
+    assert said["a.csv"] == (2, None) and said["e.doc"] == (0, "no reader for .doc") and said["f.csv"] == (0, "no positions") and said["d.csv"] == (1, None)
+    assert said["TLG1.bin"][1].startswith("header") and said["TLG1.xml"] == (0, None)
+
+
+def test_names_of_a_rate_are_no_yield(spark):
+    names = ["prescribed_rate", "commanded_rate", "rate_target", "mass_flow", "gps_longitude", "Umidade", "yld_vol_dry_2023", "speed mph", "nothing"]
+    got = {n: schema.map_columns(spark, [n]).get(n) for n in names}
+    assert got == {"prescribed_rate": "target_rate", "commanded_rate": "target_rate", "rate_target": "target_rate", "mass_flow": "value", "gps_longitude": "lon", "Umidade": "moisture_pct", "yld_vol_dry_2023": "value", "speed mph": "speed_kmh", "nothing": None}
+
+
+def test_tasks_fall_back_to_grids_and_boundaries(spark):
+    log = spark.createDataFrame([("l1", "T1", 1.0, 2.0, None), ("l2", "T2", None, None, "record cut short")], "ds string, task string, lon double, lat double, error string")
+    at = lambda *rows: spark.createDataFrame(list(rows), "ds string, task string, lon double, lat double")
+    got = files.union_tasks(log, spark.createDataFrame([("T1", "Seed"), ("T2", "Spray"), ("T3", None)], "task string, label string"), at(("g1", "T1", 0.0, 0.0), ("g2", "T2", 3.0, 3.0)), at(("b2", "T2", 9.0, 9.0), ("b3", "T3", 4.0, 4.0)))
+    assert {(r["ds"], r["kind"], r["label"]) for r in got.collect()} == {("l1", "log", "Seed"), ("g2", "grid", "Spray"), ("b3", "boundary", None)}

@@ -150,3 +150,19 @@ def test_hill_features(spark):
     s = grid.derivatives(hill, 5.0).select("ds", "row", "col", "z", "slope_pct").join(grid.standardise(grid.tpi(hill, 4)), ["ds", "row", "col"])
     f = relief.features(s, 5.0).collect()
     assert len(f) == 1 and (f[0]["row"], f[0]["col"]) == (10, 10) and abs(f[0]["height_m"] - 5) < 0.5 and f[0]["elongation"] < 1.2
+
+
+def test_a_long_flank_is_followed_to_its_foot(spark):
+    # a ridge of three rows that falls for 58 cells on either side, then rises again
+    z = lambda c: 100.0 - min(abs(c - 65), 58) + max(0, abs(c - 65) - 60)
+    cells = spark.createDataFrame([(1, r, c, z(c)) for r in range(3) for c in range(131)], "ds long, row long, col long, z double")
+    feature = cells.where("col between 64 and 66").select("ds", F.lit(7).alias("label"), "row", "col")
+    assert [tuple(r) for r in graph.grow_rings(feature, cells).collect()] == [(1, 7, 42.0)]
+
+
+def test_a_flood_over_many_tiles_is_that_of_one(spark):
+    cells = surface(spark, lambda a, b: ((a * 7919 + b * 104729) % 997) / 300, 40, 33).withColumn("source", (F.col("row") == 0) & (F.col("col") == 0))
+    one = {(x["row"], x["col"]): x["level"] for x in graph.minimax(cells, 64).collect()}
+    for tile in (5, 16):
+        many = {(x["row"], x["col"]): x["level"] for x in graph.minimax(cells, tile).collect()}
+        assert many == one and len(one) == 40 * 33
