@@ -3,6 +3,7 @@
 from .chat import OP2_SQL, op2_chat_prefix_targets
 from .decontaminate import OP6_SQL, op6_decontamination
 from .html_text import op4_tag_path_text
+from .kneser_ney import op13_lm_scores
 from .licenses import OP7_SQL, op7_license_scan
 from .mixing import OP10_SQL, op10_source_mix
 from .quality import op1_compression_bands
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
+    "op13_lm_scores": op13_lm_scores,
 }
 SQL = {
     "op2_chat_prefix_targets": OP2_SQL,
