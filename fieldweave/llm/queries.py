@@ -6,11 +6,13 @@ from .html_text import op4_tag_path_text
 from .kneser_ney import op13_lm_scores
 from .licenses import OP7_SQL, op7_license_scan
 from .mixing import OP10_SQL, op10_source_mix
+from .prefix_trie import OP12_SQL, op12_prefix_trie
 from .quality import op1_compression_bands
 from .simhash import op8_simhash
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op5_toxicity
+from .whitening import op11_spectrum_whitening
 
 QUERIES = {
     "op1_compression_bands": op1_compression_bands,
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_spectrum_whitening": op11_spectrum_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_lm_scores": op13_lm_scores,
 }
 SQL = {
@@ -30,4 +34,5 @@ SQL = {
     "op6_decontamination": OP6_SQL,
     "op7_license_scan": OP7_SQL,
     "op10_source_mix": OP10_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }

@@ -13,8 +13,8 @@ from . import helpers as H
 ASCII = {c: c + 32 for c in range(65, 91)}
 
 
-def brute(rows, order):
-    """(n_tokens, n_known, train_tokens, base_score, score) of each (doc_id, text)."""
+def counts_of(rows, order):
+    """(counts, what follows contexts, discounts) by order, and the number of words."""
     texts = [H.words((t or "").translate(ASCII)) + ["</s>"] for _, t in rows]
     raw, counts = Counter(), {n: Counter() for n in range(1, order + 1)}
     for (i, _), x in zip(rows, texts):
@@ -34,7 +34,15 @@ def brute(rows, order):
             follow[n][g[:-1]][min(c, 3)] += 1
         of = Counter(counts[n].values())
         d[n] = (0, *K.discounts(*(of[k] for k in (1, 2, 3, 4))))
-    n_all, v, out = sum(raw.values()), len(raw), []
+    return counts, follow, d, len(raw)
+
+
+def brute(rows, order):
+    """(n_tokens, n_known, train_tokens, base_score, score) of each (doc_id, text)."""
+    counts, follow, d, v = counts_of(rows, order)
+    texts = [H.words((t or "").translate(ASCII)) + ["</s>"] for _, t in rows]
+    raw = Counter(w for (i, _), x in zip(rows, texts) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    n_all, out = sum(raw.values()), []
     for x in texts:
         s, score = ["<s>"] * (order - 1) + x, 0
         for k in range(order - 1, len(s)):
@@ -79,19 +87,36 @@ def test_empty_table_and_no_training_rows(spark):
 
 
 def test_probabilities_sum_to_one(spark):
-    """After a context, what all known words, the end and an unknown word get adds up to 1."""
-    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
-    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    """After "a b", what every known word, the end and an unknown word get adds up to 1."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    train, held = ([i for i in range(400) if (fold(i) == 2) == h] for h in (False, True))
     texts = ["a b c a", "a b d", "b c a b c", "c", "d a b a", ""]
-    nexts = ["a", "b", "c", "d", "never"]
-    rows = [(i, t) for i, t in zip(train, texts)] + [(held[0], "a b")] + [(i, f"a b {w}") for i, w in zip(held[1:], nexts)]
-    # the end's probability after the text is taken out by brute force
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in K.language_model_scores(df).collect()}
-    plain = brute([*rows, *[(held[10 + k], f"a b {w}") for k, w in enumerate(nexts)]], 3)
-    assert got[held[0]] == pytest.approx(plain[len(texts)][4])
-    context = brute(rows, 3)
-    assert all(got[i] == pytest.approx(x[4]) for (i, _), x in zip(rows, context))
+    ends = ["a b", *(f"a b {w}" for w in ("a", "b", "c", "d", "never"))]
+    rows = [*zip(train, texts), *zip(held, ends)]
+    got = {r.doc_id: r.score for r in K.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # a text's score less that of its end, by brute force, is the score of its words
+    want = dict(zip([i for i, _ in rows], brute(rows, 3)))
+    prefix = [got[i] for i in held[: len(ends)]]
+    assert prefix == pytest.approx([want[i][4] for i in held[: len(ends)]])
+    texts_of = [t for _, t in rows[: len(texts)]]
+    assert sum(next_probabilities(texts_of, ("a", "b"), ["a", "b", "c", "d", "</s>", "never"])) == pytest.approx(1)
+
+
+def next_probabilities(texts, context, words):
+    """By ratios of the brute force's scores: texts that go on with each word, with the same end."""
+    rows = [(None, t) for t in texts]
+    out = []
+    for w in words:
+        counts, follow, d, v = counts_of(rows, 3)
+        p = 1 / (v + 1)
+        for n in range(1, 4):
+            g = (*context, w)[3 - n :]
+            seen = follow[n].get(g[:-1])
+            if seen:
+                c = counts[n][g]
+                p = max(c - d[n][min(c, 3)], 0) / seen[0] + sum(d[n][j] * seen[j] for j in (1, 2, 3)) / seen[0] * p
+        out.append(p)
+    return out
 
 
 def test_held_out_texts_score_better_than_the_base(spark):
