@@ -1,17 +1,18 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, each present or not: words, word pairs, pairs with one or two words
-between, and byte 5- and 7-grams inside words (for compounds), hashed into 2**20 bins.
+Features of a text, each present or not: words, the stems of words (their first 3 to 8 characters,
+as languages with compounds and inflection need), word pairs, and skip-grams (pairs with one or two
+words between), hashed into 2**20 bins.
 FTRL-proximal keeps a rate for every coordinate and an L1 threshold, so most bins stay at
 zero; the others, 2**20 at most, are broadcast to score the corpus.
 
 Learning uses labelled rows only, at most ``SAMPLE`` of them with at most ``SAMPLE_BYTES`` of
-text together, taken by the hash of doc_id from all rows outside the held-out fold; a corpus
-with fewer labels uses them all.  Their features are made in parallel, from whole texts; the
+text together, taken by the hash of doc_id from all rows outside the held-out fold (a text that does
+not fit any more is passed over, and the next one tried); a corpus with fewer labels uses them all.  Their features are made in parallel, from whole texts; the
 weights are learnt in a few passes over the sample in one task, whose size the two bound.
 
 Defined results: null and empty texts have no features and get the bias alone; rows without a
-usable label do not train; a doc_id with several labels trains on the largest, and one with
+usable label do not train; a labelled text of more than ``SAMPLE_BYTES`` does not train either; very long texts are scored whole; a doc_id with several labels trains on the largest, and one with
 several texts on that of least hash; without any label every score is 0; repeated rows score alike; an empty table gives an empty
 table; other columns are ignored.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -33,12 +34,13 @@ BINS = 20
 SAMPLE, SAMPLE_BYTES = 10_000, 64_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 2.0, 1.0, 4
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
-#: Bytes a character n-gram has.
-NGRAMS = (5, 7)
+#: Characters a stem has; a word as long as that has none.
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Lower-cases A-Z; blanks and ASCII punctuation separate words.
 _table = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 or c in b"#$%&*@-" else 32 for c in range(256))
 _rng = np.random.default_rng(5_151)
 _value, _place = (_rng.integers(0, 2**63, n, dtype=np.uint64) * C.U64(2) + C.U64(1) for n in (256, 64))
+_stem = C.U64(0x2545F4914F6CDD1D)
 _gap = [C.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -48,7 +50,7 @@ def fold(doc: Column) -> Column:
 
 
 def _bins(text: bytes | None) -> list[np.ndarray]:
-    """Bins of a text's words, word pairs and character n-grams, with repeats."""
+    """Bins of a text's words, stems, word pairs and skip-grams, with repeats."""
     data = np.frombuffer((text or b"").translate(_table), np.uint8)
     data = np.concatenate(([32], data, [32])).astype(np.uint8)
     blank = data == 32
@@ -62,17 +64,14 @@ def _bins(text: bytes | None) -> list[np.ndarray]:
     value[blank] = 0
     h = C.mix(np.add.reduceat(value, start) + (end - start).astype(np.uint64))
     out = [h] + [C.mix(h[:-d] * g + h[d:]) for d, g in zip((1, 2, 3), _gap) if len(h) > d]
-    inside = np.concatenate(([0], np.cumsum(blank)))
-    byte = _value[data]
-    for n in NGRAMS:
-        if len(data) < n:
-            continue
-        # no blank but at its ends, which mark where words begin and end
-        at = np.flatnonzero(inside[n - 1 : len(data) - n + n] - inside[1 : len(data) - n + 2] == 0) if n > 2 else np.arange(len(data) - n + 1)
-        g = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            g += byte[at + k] * _place[k + n]
-        out.append(C.mix(g))
+    # a stem's hash is that of its bytes: the sum up to the character after it
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    chars = np.flatnonzero((data & 0xC0) != 0x80)
+    first = np.searchsorted(chars, start)
+    for k in STEMS:
+        to = chars[np.minimum(first + k, len(chars) - 1)]
+        longer = to < end
+        out.append(C.mix(upto[to[longer]] - upto[start[longer]] + _stem))
     return [(x >> C.U64(64 - BINS)).astype(np.int32) for x in out]
 
 
@@ -128,9 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # chosen has at most SAMPLE rows of two numbers: it goes to the documents, which stay put
     rows = C.keyed(docs, id_col, text_col).join(F.broadcast(chosen), "dk").groupBy("dk").agg(F.min(F.struct("rk", "text")).alias("t"), F.max("y").alias("y"))
     rows = C.store(rows.select("dk", "t.rk", "t.text", "y", F.octet_length("t.text").alias("size")))
-    # one window over at most SAMPLE rows of two numbers
-    order = Window.orderBy(F.xxhash64("dk"), "dk").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.select("dk", "size").withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= SAMPLE_BYTES).select("dk")
+
+    def fitting(pdf: pd.DataFrame) -> pd.DataFrame:
+        room, kept = SAMPLE_BYTES, []
+        for dk, size in pdf.sort_values(["o", "dk"])[["dk", "size"]].itertuples(index=False):
+            if size <= room:
+                room -= size
+                kept.append(dk)
+        return pd.DataFrame({"dk": pd.Series(kept, dtype="int64")})
+
+    # at most SAMPLE rows of three numbers
+    kept = rows.select("dk", "size", F.xxhash64("dk").alias("o"), F.lit(0).alias("one")).groupBy("one").applyInPandas(fitting, "dk long")
     made = rows.join(F.broadcast(kept), "dk").select("dk", "rk", "text", "y").mapInArrow(run, "dk long, rk long, y int, x array<int>")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
