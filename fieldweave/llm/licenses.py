@@ -95,15 +95,16 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
         else:
             spans.append([s * lo, s * hi])
     fits = lambda n: reduce(Column.__or__, [n.between(F.lit(a), F.lit(b)) for a, b in spans])
-    base = C.keyed(docs, id_col, text_col)
+    # rows of one doc_id and text are counted apart: the bag of a unit is that of one row
+    base = C.keyed(docs, id_col, text_col, F.monotonically_increasing_id().alias("row"))
     units = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n[\x20\x09-\x0D]*\n"), F.array("text")))
     # made into words and pruned inside the array, so that each unit is normalised once
     kept = F.filter(F.transform(F.filter(units, lambda x: F.length(x) > 2), lambda x: F.split(_normal(x), " ")), lambda w: fits(F.size(w) - 1))
-    u = base.select("dk", "rk", F.posexplode(kept).alias("unit", "w")).withColumn("n", F.size("w") - 1)
-    own = u.select("dk", "rk", "unit", "n", F.explode(_bigrams(F.col("w"))).alias("gram"))
+    u = base.select("dk", "rk", "row", F.posexplode(kept).alias("unit", "w")).withColumn("n", F.size("w") - 1)
+    own = u.select("dk", "rk", "row", "unit", "n", F.explode(_bigrams(F.col("w"))).alias("gram"))
     met = own.join(F.broadcast(grams), "gram").where(F.col("n").between(F.col("size") * lo, F.col("size") * hi))
-    common = met.groupBy("dk", "rk", "unit", "t", "license", "size", "n", "gram", "times").agg(F.count(F.lit(1)).alias("k"))
-    pairs = common.groupBy("dk", "rk", "unit", "t", "license", "size", "n").agg(F.sum(F.least("k", "times")).alias("common"))
+    common = met.groupBy("dk", "rk", "row", "unit", "t", "license", "size", "n", "gram", "times").agg(F.count(F.lit(1)).alias("k"))
+    pairs = common.groupBy("dk", "rk", "row", "unit", "t", "license", "size", "n").agg(F.sum(F.least("k", "times")).alias("common"))
     scored = pairs.select("dk", "rk", "license", (2.0 * F.col("common") / (F.col("n") + F.col("size"))).alias("dice")).where(F.col("dice") >= dice)
     return scored.groupBy("dk", "rk", "license").agg(F.max("dice").alias("dice"))
 
