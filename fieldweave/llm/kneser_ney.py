@@ -33,6 +33,7 @@ import mmap
 import re
 import tempfile
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ from . import common as C
 ORDER = 3
 HELD_OUT, FOLDS = 2, 7
 #: Tokens a block has at most, entries a shard has about, bytes of text that are cut into words at a time.
-BLOCK, ENTRIES, SLICE = 2**21, 2**21, 2**22
+BLOCK, ENTRIES, SLICE = 2**20, 2**20, 2**22
 #: Not words: they hold a blank.
 START, END = b" start", b" end"
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -71,13 +72,16 @@ def fold(doc: Column) -> Column:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array as a zstandard frame of its byte planes (small numbers leave planes of zeros)."""
-    return zstandard.ZstdCompressor(level=1).compress(np.frombuffer(a.tobytes(), np.uint8).reshape(-1, a.itemsize).T.tobytes())
+    """Numbers from 0 up as a zstandard frame of the byte planes of the shortest type that holds them, after its size."""
+    most = int(a.max(initial=0))
+    size = next(n for n in (1, 2, 4, 8) if most < 2 ** (8 * n))
+    short = a.astype(f"u{size}")
+    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(short.view(np.uint8).reshape(-1, size).T.tobytes())
 
 
 def unpack(frame: bytes, kind=np.int64) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(zstandard.decompress(frame), np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+    planes = np.frombuffer(zstandard.decompress(memoryview(frame)[1:]), np.uint8).reshape(frame[0], -1)
+    return planes.T.copy().view(f"u{frame[0]}").reshape(-1).astype(kind)
 
 
 def _hashes(frame: bytes) -> np.ndarray:
@@ -119,9 +123,12 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame
                 for words in _slices(text):
                     while words:
                         now, words = words[: BLOCK - held], words[BLOCK - held :]
-                        ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in [*before, *now]), np.int32, len(before) + len(now)))
+                        with_context = [*before, *now]
+                        fresh = set(with_context).difference(vocab)
+                        vocab.update(zip(fresh, range(len(vocab), len(vocab) + len(fresh))))
+                        ids.append(np.fromiter(map(vocab.__getitem__, with_context), np.int32, len(with_context)))
                         pieces.append((part | row, doc, train, len(now)))
-                        before = [*before, *now][-(order - 1) :]
+                        before = with_context[-(order - 1) :]
                         held += len(now)
                         if held >= BLOCK:
                             yield flush()
@@ -133,20 +140,40 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame
     return own.mapInArrow(run, _ddl(_BLOCKS))
 
 
+class Grams(NamedTuple):
+    """The distinct n-grams of a block by hash, and the place among them of what ends at a token and just before it."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    before: np.ndarray | None
+
+
 class Tokens:
-    """A block's tokens: hashes of its n-grams, and which of them are scored and train."""
+    """A block's tokens: hashes of its n-grams, and which of them train."""
 
     def __init__(self, row: dict, order: int):
-        words, ids = unpack(row["words"], np.uint64), unpack(row["ids"], np.int32)
-        self.hash, n = words[ids], np.array(row["n"], np.int64)
-        self.is_start = self.hash == C.U64(xxhash.xxh64_intdigest(START))
-        piece = np.repeat(np.arange(len(n)), n)
-        self.at = np.arange(len(piece)) + (piece + 1) * (order - 1)  # each piece begins with its context
-        self.piece, self.train = piece, np.array(row["train"], bool)[piece]
-
-    def keys(self, n: int, back: int = 0) -> np.ndarray:
-        """Hash of the n tokens that end ``back`` before each scored token."""
-        return C.windows(self.hash, n)[self.at - back - n + 1]
+        self.hash, n = unpack(row["words"], np.uint64)[unpack(row["ids"], np.int32)], np.array(row["n"], np.int64)
+        self.order, self.is_start = order, self.hash == C.U64(xxhash.xxh64_intdigest(START))
+        self.piece = np.repeat(np.arange(len(n)), n)
+        self.train = np.array(row["train"], bool)[self.piece]
+        # each piece begins with its context, whose last token counts as an end of n-grams, too
+        self.at = np.arange(len(self.piece)) + (self.piece + 1) * (order - 1)
+        self.slot = np.arange(len(self.piece)) + self.piece + 1
+        self.ends = np.zeros(len(self.piece) + len(n), np.int64)
+        self.ends[self.slot] = self.at
+        first = np.cumsum(n + 1) - n - 1
+        self.ends[first] = self.ends[first + 1] - 1
+
+    def grams(self, n: int) -> Grams:
+        """Contexts of the top order are not asked for."""
+        top = n == self.order
+        hashes = C.windows(self.hash, n)[(self.at if top else self.ends) - n + 1]
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return Grams(hashes[new], place if top else place[self.slot], None if top else place[self.slot - 1])
 
 
 def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -155,31 +182,26 @@ def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(place, np.arange(shards + 1, dtype=np.uint64))
 
 
-def _sorted_keys(tokens: Tokens, n: int, order: int) -> np.ndarray:
-    """The distinct n-grams of a block: those that end at a token and, below the top order, contexts of one."""
-    own = tokens.keys(n)
-    return np.unique(own if n == order else np.concatenate((own, tokens.keys(n, 1))))
-
-
-def _adds(tokens: Tokens, n: int, order: int, keys: np.ndarray, above: np.ndarray | None) -> np.ndarray:
+def _adds(tokens: Tokens, n: int, grams: Grams, above: np.ndarray | None) -> np.ndarray:
     """What a block adds to the fields of its n-grams; above: the answers for its (n + 1)-grams."""
-    raw = np.bincount(np.searchsorted(keys, tokens.keys(n)[tokens.train]), minlength=len(keys))
-    if n == order:
+    size = len(grams.keys)
+    raw = np.bincount(grams.own[tokens.train], minlength=size)
+    if above is None:
         return raw[None]
-    out = np.zeros((len(FIELDS), len(keys)), np.int64)
+    out = np.zeros((len(FIELDS), size), np.int64)
     if n == 1:
         out[RAW] = raw
-    longer, first = np.unique(tokens.keys(n + 1), return_index=True)
-    # the answers stand in the order of the keys asked for, contexts of higher order among them
-    asked = np.searchsorted(_sorted_keys(tokens, n + 1, order), longer)
-    count, own = above[0][asked], above[-1][asked] > 0
-    count, first = count[own], first[own]
-    suffix, prefix = np.searchsorted(keys, tokens.keys(n)[first]), np.searchsorted(keys, tokens.keys(n, 1)[first])
-    starts = tokens.is_start[tokens.at[first] - n + 1]
-    np.add.at(out[COUNT], suffix, np.where(starts, count, 1))
-    np.add.at(out[TOTAL], prefix, count)
+    longer = tokens.grams(n + 1)
+    at = np.zeros(len(longer.keys), np.int64)
+    at[longer.own] = np.arange(len(longer.own))  # a token at which each ends
+    own = above[-1] > 0
+    at, count = at[own], above[COUNT][own]
+    suffix, prefix = grams.own[at], grams.before[at]
+    starts = tokens.is_start[tokens.at[at] - n + 1]
+    add = lambda place, x=None: np.bincount(place, x, minlength=size).astype(np.int64)  # noqa: E731  sums below 2**53
+    out[COUNT], out[TOTAL] = add(suffix, np.where(starts, count, 1)), add(prefix, count)
     for field, of_class in ((ONES, count == 1), (TWOS, count == 2), (MORE, count >= 3)):
-        np.add.at(out[field], prefix, of_class)
+        out[field] = add(prefix[of_class])
     return out
 
 
@@ -249,21 +271,20 @@ def _score(order: int, stats: dict[int, dict[str, int]]):
         below = None
         for level in range(1, order + 1):
             d = np.array([0.0, *discounts(*(stats[level][f"n{k}"] for k in (1, 2, 3, 4)))])
-            asked, answer = _sorted_keys(tokens, level, order), _answers(found, level, order)
-            own = np.searchsorted(asked, tokens.keys(level))
-            count = answer[COUNT][own]
+            grams, answer = tokens.grams(level), _answers(found, level, order)
+            count = answer[COUNT][grams.own]
             kept = np.maximum(count - d[np.minimum(count, 3)], 0.0)
             if level == 1:
                 total = one["adjusted"]
                 spare = (d[1] * one["n1"] + d[2] * one["n2"] + d[3] * (one["words"] - one["n1"] - one["n2"])) / total if total else 1.0
                 p = (kept / total if total else 0.0) + spare / (v + 1)
-                known = answer[RAW][own]
+                known = answer[RAW][grams.own]
                 base = np.log10((known + 1.0) / (n + v + 1.0))
             else:
                 total, ones, twos, more = below[TOTAL : MORE + 1, context]
                 seen = np.maximum(total, 1)
                 p = np.where(total > 0, kept / seen + (d[1] * ones + d[2] * twos + d[3] * more) / seen * p, p)
-            below, context = answer, np.searchsorted(asked, tokens.keys(level, 1)) if level < order else None
+            below, context = answer, grams.before
         add = lambda x: np.bincount(tokens.piece, x, minlength=pieces)
         return pa.Table.from_batches([C.batch(schema, row["key"], row["doc_id"], row["n"], add(known > 0).astype(np.int64), add(base), add(np.log10(p)))])
 
@@ -282,9 +303,9 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
         def rows(block: pa.Table, above: pa.Table | None) -> pa.Table:
             row = block.to_pylist()[0]
             tokens = Tokens(row, order)
-            keys = _sorted_keys(tokens, level, order)
-            adds = _adds(tokens, level, order, keys, None if above is None else _answers(above, level + 1, order))
-            edges = _shards(keys, shards)
+            grams = tokens.grams(level)
+            keys, edges = grams.keys, _shards(grams.keys, shards)
+            adds = _adds(tokens, level, grams, None if above is None else _answers(above, level + 1, order))
             out = [(s, row["block"], pack(np.diff(keys[a:b], prepend=C.U64(0))), pack(adds[:, a:b].reshape(-1))) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
             return pa.Table.from_batches([C.batch(_SENT, *zip(*out))])
 

@@ -79,7 +79,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, order, block, entries, sli
 
 
 def test_empty_table_and_no_training_rows(spark):
-    docs = H.documents(spark, n=3)
+    docs = H.documents(spark, n=12)
     assert K.language_model_scores(docs.limit(0)).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = K.language_model_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
