@@ -76,7 +76,7 @@ def pack(a: np.ndarray) -> bytes:
     most = int(a.max(initial=0))
     size = next(n for n in (1, 2, 4, 8) if most < 2 ** (8 * n))
     short = a.astype(f"u{size}")
-    return bytes([size]) + zstandard.ZstdCompressor(level=1).compress(short.view(np.uint8).reshape(-1, size).T.tobytes())
+    return bytes([size]) + zstandard.ZstdCompressor(level=3).compress(short.view(np.uint8).reshape(-1, size).T.tobytes())
 
 
 def unpack(frame: bytes, kind=np.int64) -> np.ndarray:
@@ -111,8 +111,11 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame
 
         def flush() -> pa.RecordBatch:
             nonlocal held, made
-            words = np.array([xxhash.xxh64_intdigest(w) for w in vocab], np.uint64)
-            out = C.batch(_BLOCKS, [part | made], [pack(words)], [pack(np.concatenate(ids))], *[[list(x)] for x in zip(*pieces)])
+            words, flat = np.array([xxhash.xxh64_intdigest(w) for w in vocab], np.uint64), np.concatenate(ids)
+            often = np.argsort(-np.bincount(flat), kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(often), np.int32)
+            rank[often] = np.arange(len(often), dtype=np.int32)
+            out = C.batch(_BLOCKS, [part | made], [pack(words[often])], [pack(rank[flat])], *[[list(x)] for x in zip(*pieces)])
             vocab.clear(), ids.clear(), pieces.clear()
             held, made = 0, made + 1
             return out
@@ -140,6 +143,17 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame
     return own.mapInArrow(run, _ddl(_BLOCKS))
 
 
+def ordered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted hashes): the number of each hash is sorted along in its low bits, which is faster than an argsort."""
+    low = C.U64((1 << max(len(hashes), 1).bit_length()) - 1)
+    order = (np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low).astype(np.int64)
+    out = hashes[order]
+    if (out[1:] < out[:-1]).any():  # different hashes with equal high bits
+        order = np.argsort(hashes, kind="stable")
+        out = hashes[order]
+    return order, out
+
+
 class Grams(NamedTuple):
     """The distinct n-grams of a block by hash, and the place among them of what ends at a token and just before it."""
 
@@ -152,7 +166,8 @@ class Tokens:
     """A block's tokens: hashes of its n-grams, and which of them train."""
 
     def __init__(self, row: dict, order: int):
-        self.hash, n = unpack(row["words"], np.uint64)[unpack(row["ids"], np.int32)], np.array(row["n"], np.int64)
+        self.words, self.ids, n = unpack(row["words"], np.uint64), unpack(row["ids"], np.int32), np.array(row["n"], np.int64)
+        self.hash = self.words[self.ids]
         self.order, self.is_start = order, self.hash == C.U64(xxhash.xxh64_intdigest(START))
         self.piece = np.repeat(np.arange(len(n)), n)
         self.train = np.array(row["train"], bool)[self.piece]
@@ -167,9 +182,13 @@ class Tokens:
     def grams(self, n: int) -> Grams:
         """Contexts of the top order are not asked for."""
         top = n == self.order
-        hashes = C.windows(self.hash, n)[(self.at if top else self.ends) - n + 1]
-        order = np.argsort(hashes)
-        hashes = hashes[order]
+        if n == 1:  # each word once; those of a context alone are asked for, too
+            order, hashes = ordered(C.windows(self.words, 1))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            place = rank[self.ids[self.ends]]
+            return Grams(hashes, place[self.slot], place[self.slot - 1])
+        order, hashes = ordered(C.windows(self.hash, n)[(self.at if top else self.ends) - n + 1])
         new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
         place = np.empty(len(hashes), np.int64)
         place[order] = np.cumsum(new) - 1
@@ -220,8 +239,7 @@ def _sum_up(level: int, order: int):
         rows = sorted(sent.select(["block", "keys", "adds"]).to_pylist(), key=lambda r: r["block"])
         shard = sent["shard"][0].as_py()
         every = np.concatenate([_hashes(r["keys"]) for r in rows])
-        order = np.argsort(every, kind="stable")
-        every = every[order]
+        order, every = ordered(every)
         head = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
         size = len(head)
         adds = np.concatenate([unpack(r["adds"]).reshape(fields, -1) for r in rows], axis=1)
