@@ -1,5 +1,8 @@
 """Raster cells as rows (ds, row, col, z): row 0 is the north edge, rows grow southwards.
 
+Wherever an operator takes a cell size, it is one number for all fields or a table (ds, cell), as
+``surface.geometry`` makes it; radii and scales are numbers or tables alike.
+
 A missing cell is an absent row.  Neighbourhoods are equi-joins or aggregations on cell keys:
 each cell sends its value to the cells that need it, the partial aggregation runs before the
 shuffle, and no window spans a whole field.
@@ -19,6 +22,14 @@ KEY = ["row", "col"]
 NAMES = {(-1, -1): "nw", (-1, 0): "n", (-1, 1): "ne", (0, -1): "w", (0, 0): "z", (0, 1): "e", (1, -1): "sw", (1, 0): "s", (1, 1): "se"}
 
 
+def width(df: DataFrame, size: float | DataFrame, ds: str = "ds", column: str = "cell") -> tuple[DataFrame, float | Column]:
+    """df and the width of its cells: the number given, or a column joined from a table of one row a field."""
+    if isinstance(size, DataFrame):
+        name = f"_{column}"
+        return df.join(size.select(ds, F.col(column).cast("double").alias(name)), ds), F.col(name)
+    return df, size
+
+
 def bin_points(points: DataFrame, size: float, value: str = "elev_m", ds: str = "ds") -> DataFrame:
     """TER6's binning: mean value of the points of each cell, from the absolute origin."""
     v = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull())
@@ -29,7 +40,7 @@ def auto_cell(points: DataFrame, ds: str = "ds", max_cells: float = 400_000) ->
     """TER6, TER15: cell = max(5, half the swath) within 2 to 25 m to the half metre, grown until it fits max_cells."""
     good = F.when(F.col("swath_m") > 0, F.col("swath_m"))
     a = points.groupBy(ds).agg(F.percentile(good, F.lit(0.5)).alias("med"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
-    swath = F.coalesce(F.least(F.greatest(F.col("med"), F.lit(1.0)), F.lit(60.0)), F.lit(10.0))
+    swath = F.when(F.col("med").isNull(), 10.0).otherwise(F.least(F.greatest(F.col("med"), F.lit(1.0)), F.lit(60.0)))
     a = a.withColumn("swath_m", swath).withColumn("cell", F.bround(F.least(F.greatest(F.lit(5.0), F.col("swath_m") / 2, F.lit(2.0)), F.lit(25.0)) * 2, 0) / 2)
     fits = F.ceil(F.sqrt(F.col("w") * F.col("h") / F.lit(max_cells)) * 2) / 2
     return a.select(ds, "swath_m", F.greatest("cell", fits).alias("cell"))
@@ -65,7 +76,7 @@ def stencil(cells: DataFrame, ds: str = "ds", fill: bool = True) -> DataFrame:
     return a.where(F.coalesce("real", F.lit(False))).drop("real")
 
 
-def gradient(size: float) -> tuple[Column, Column]:
+def gradient(size: float | Column) -> tuple[Column, Column]:
     """Horn's dz/dx (east) and dz/dy (north)."""
     c = F.col
     dx = ((c("ne") + 2.0 * c("e") + c("se")) - (c("nw") + 2.0 * c("w") + c("sw"))) / (8.0 * size)
@@ -73,9 +84,9 @@ def gradient(size: float) -> tuple[Column, Column]:
     return dx, dy
 
 
-def derivatives(cells: DataFrame, size: float, flat_pct: float = 0.5, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0, ds: str = "ds") -> DataFrame:
+def derivatives(cells: DataFrame, size: float | DataFrame, flat_pct: float = 0.5, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0, ds: str = "ds") -> DataFrame:
     """DER1-5, DER8, DER9 in one stencil: slope, aspect and sector, curvatures, hillshade, roughness, TRI."""
-    s = stencil(cells, ds)
+    s, size = width(stencil(cells, ds), size, ds)
     dx, dy = gradient(size)
     s = s.withColumns({"dzdx": dx, "dzdy": dy}).withColumn("grad", F.hypot("dzdx", "dzdy"))
     c = F.col
@@ -102,21 +113,22 @@ def derivatives(cells: DataFrame, size: float, flat_pct: float = 0.5, azimuth: f
     )
 
 
-def disc_mean(cells: DataFrame, radius: float, ds: str = "ds") -> DataFrame:
+def disc_mean(cells: DataFrame, radius: float | DataFrame, ds: str = "ds") -> DataFrame:
     """Mean over the valid cells within radius (in cells) of each cell; below 1 the 3 x 3 block.
 
-    Running sums along each row turn a disc into two look-ups per row of it, so the work grows
-    with the radius and not with its square.
+    radius: a number, or a table (ds, radius).  Running sums along each row turn a disc into two
+    look-ups per row of it, so the work grows with the radius and not with its square.
     """
-    block = radius < 1
-    r = 1 if block else int(math.floor(radius))
-    half = {dy: 1 if block else int(math.floor(math.sqrt(max(radius * radius - dy * dy, 0.0)))) for dy in range(-r, r + 1)}
+    own, radius = width(cells, radius, ds, "radius")
+    radius = radius if isinstance(radius, Column) else F.lit(float(radius))
+    reach = F.when(radius < 1, F.lit(1)).otherwise(F.floor(radius)).cast("int")
+    half = lambda dy: F.when(radius < 1, F.lit(1)).otherwise(F.floor(F.sqrt(F.greatest(radius * radius - dy * dy, F.lit(0.0))))).cast("int")
+    arms = F.explode(F.transform(F.sequence(-reach, reach), lambda dy: F.struct(dy.alias("dy"), half(dy).alias("h"))))
     ext = cells.groupBy(ds, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
     dense = ext.select(ds, "row", F.explode(F.sequence(F.col("c0") - 1, F.col("c1"))).alias("col")).join(cells.select(ds, *KEY, "z"), [ds, *KEY], "left")
     w = Window.partitionBy(ds, "row").orderBy("col")
     prefix = dense.select(ds, F.col("row").alias("prow"), F.col("col").alias("pcol"), F.coalesce(F.sum("z").over(w), F.lit(0.0)).alias("s"), F.count("z").over(w).alias("n"))
-    arms = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(h).alias("h")) for dy, h in half.items()]))
-    t = cells.select(ds, *KEY, arms.alias("a")).withColumn("prow", F.col("row") + F.col("a.dy"))
+    t = own.select(ds, *KEY, arms.alias("a")).withColumn("prow", F.col("row") + F.col("a.dy"))
     t = t.join(ext.withColumnRenamed("row", "prow"), [ds, "prow"])
     hi, lo = F.least(F.col("col") + F.col("a.h"), F.col("c1")), F.greatest(F.col("col") - F.col("a.h") - 1, F.col("c0") - 1)
     t = t.withColumns({"hi": hi, "lo": lo}).where("hi > lo")
@@ -126,7 +138,7 @@ def disc_mean(cells: DataFrame, radius: float, ds: str = "ds") -> DataFrame:
     return a.select(ds, *KEY, (F.col("s") / F.col("n")).alias("mean"))
 
 
-def tpi(cells: DataFrame, radius: float, ds: str = "ds") -> DataFrame:
+def tpi(cells: DataFrame, radius: float | DataFrame, ds: str = "ds") -> DataFrame:
     """DER6: height above the mean of the disc."""
     return cells.select(ds, *KEY, "z").join(disc_mean(cells, radius, ds), [ds, *KEY]).select(ds, *KEY, (F.col("z") - F.col("mean")).alias("tpi"))
 
@@ -145,8 +157,9 @@ def landform(small: Column, large: Column, slope: Column, flat_pct: float = 2.0)
     return F.when(small.isNull() | large.isNull() | slope.isNull(), 0).otherwise(code)
 
 
-def plane_trend(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def plane_trend(cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """DER10: least-squares plane: gradient in %, downhill bearing, drop across the field along it, R2."""
+    cells, size = width(cells, size, ds)
     x, y = F.col("col") * size, -F.col("row") * size
     p = cells.select(ds, x.alias("x"), y.alias("y"), "z")
     a = p.groupBy(ds).agg(
@@ -159,8 +172,9 @@ def plane_trend(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
     return a.join(along, ds).select(ds, (100 * F.col("g")).alias("gradient_pct"), F.pmod(F.bround(F.degrees(F.atan2(-F.col("b"), -F.col("c"))), 4), F.lit(360.0)).alias("bearing"), "drop_m", "r2")
 
 
-def residual_relief(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def residual_relief(cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """DER11: p95 - p5 of what the plane leaves."""
+    cells, size = width(cells, size, ds)
     x, y = F.col("col") * size, -F.col("row") * size
     p = cells.select(ds, x.alias("x"), y.alias("y"), "z")
     m = p.groupBy(ds).agg(
@@ -180,14 +194,22 @@ def is_level(relief: DataFrame, noise: DataFrame, ds: str = "ds") -> DataFrame:
     return j.select(ds, "relief_m", (F.col("relief_m") < most).alias("level"))
 
 
-def smooth(cells: DataFrame, sigma: float, ds: str = "ds") -> DataFrame:
-    """TER8: Gaussian mean of the valid cells, cut at 3 sigma, by columns and then rows; masked as before."""
-    r = math.ceil(3 * sigma)
-    weight = lambda c: F.exp(-(F.col(c) * F.col(c)).cast("double") / (2.0 * sigma * sigma))
-    a = spread(cells.select(ds, *KEY, "z", F.lit(1.0).alias("w")), [(0, k) for k in range(-r, r + 1)], "z", "w", ds=ds)
-    a = a.groupBy(ds, *KEY).agg(F.sum(weight("dc") * F.col("z")).alias("z"), F.sum(weight("dc") * F.col("w")).alias("w"))
-    b = spread(a, [(k, 0) for k in range(-r, r + 1)], "z", "w", ds=ds)
-    b = b.groupBy(ds, *KEY).agg(F.sum(weight("dr") * F.col("z")).alias("z"), F.sum(weight("dr") * F.col("w")).alias("w"))
+def smooth(cells: DataFrame, sigma: float | DataFrame, ds: str = "ds") -> DataFrame:
+    """TER8: Gaussian mean of the valid cells, cut at 3 sigma, by columns and then rows; masked as before.
+
+    sigma: in cells, a number or a table (ds, sigma); fields of sigma 0 stay as they are.
+    """
+
+    def along(df: DataFrame, axis: str) -> DataFrame:
+        df, s = width(df, sigma, ds, "sigma")
+        s = s if isinstance(s, Column) else F.lit(float(s))
+        reach = F.coalesce(F.ceil(3 * s), F.lit(0)).cast("int")
+        sent = df.select(ds, *KEY, "z", "w", s.alias("s"), F.explode(F.sequence(-reach, reach)).alias("d"))
+        weight = F.when(F.col("d") == 0, 1.0).otherwise(F.exp(-(F.col("d") * F.col("d")).cast("double") / (2.0 * F.col("s") * F.col("s"))))
+        sent = sent.select(ds, *[(F.col(k) - F.col("d")).alias(k) if k == axis else k for k in KEY], (weight * F.col("z")).alias("z"), (weight * F.col("w")).alias("w"))
+        return sent.groupBy(ds, *KEY).agg(F.sum("z").alias("z"), F.sum("w").alias("w"))
+
+    b = along(along(cells.select(ds, *KEY, "z", F.lit(1.0).alias("w")), "col"), "row")
     return cells.select(ds, *KEY).join(b, [ds, *KEY]).select(ds, *KEY, (F.col("z") / F.col("w")).alias("z"))
 
 
@@ -235,18 +257,20 @@ def stray_passes(points: DataFrame, column: str = "elev_m", ds: str = "ds") -> D
     return mad.where(F.abs(F.col("m") - F.col("med")) > F.greatest(F.lit(30.0), 10 * F.col("mad"))).select(ds, "pass_id")
 
 
-def sample_nearest(points: DataFrame, cells: DataFrame, size: float, column: str = "z", ds: str = "ds") -> DataFrame:
+def sample_nearest(points: DataFrame, cells: DataFrame, size: float | DataFrame, column: str = "z", ds: str = "ds") -> DataFrame:
     """JN7 for class layers: the value of the cell that holds each point."""
-    p = points.withColumns({"row": -cell("y", size) - 1, "col": cell("x", size)})
-    return p.join(cells.select(ds, *KEY, column), [ds, *KEY], "left").drop(*KEY)
+    p, size = width(points, size, ds)
+    p = p.withColumns({"row": -cell("y", size) - 1, "col": cell("x", size)})
+    return p.join(cells.select(ds, *KEY, column), [ds, *KEY], "left").drop(*KEY, "_cell")
 
 
-def sample_bilinear(points: DataFrame, cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def sample_bilinear(points: DataFrame, cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """JN7 for continuous layers: bilinear between cell centres on the nearest-filled layer; null off the field.
 
     points have an id; returns (ds, id, z).
     """
     full = cells.select(ds, *KEY, "z").unionByName(ghosts(cells, ds).select(ds, *KEY, "z"))
+    points, size = width(points, size, ds)
     p = points.select(ds, "id", (F.col("x") / size - 0.5).alias("fx"), (F.col("y") / size - 0.5).alias("fy"), (-cell("y", size) - 1).alias("row"), cell("x", size).alias("col"))
     p = p.join(cells.select(ds, *KEY), [ds, *KEY], "left_semi")
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
@@ -255,12 +279,13 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, size: float, ds: str =
     return q.join(full, [ds, *KEY]).groupBy(ds, "id").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
 
 
-def class_areas(cells: DataFrame, column: str, classes: list[int], size: float, ds: str = "ds") -> DataFrame:
+def class_areas(cells: DataFrame, column: str, classes: list[int], size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """LF2: cells, hectares and share of each class, empty ones too."""
     n = cells.groupBy(ds, F.col(column).alias("class")).agg(F.count(F.lit(1)).alias("cells"))
     total = cells.groupBy(ds).agg(F.count(F.lit(1)).alias("total"))
     dim = total.select(ds, "total", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
     k = F.coalesce("cells", F.lit(0))
+    dim, size = width(dim, size, ds)
     return dim.join(n, [ds, "class"], "left").select(ds, "class", k.alias("cells"), (k * size * size / 1e4).alias("area_ha"), (100.0 * k / F.col("total")).alias("pct"))
 
 
@@ -282,7 +307,7 @@ def equal_count_bands(cells: DataFrame, bands: int, column: str = "z", ds: str =
     return cells.join(e, ds).withColumn("band", F.size(F.filter("_e", lambda v: v < F.col(column))) + 1).drop("_e")
 
 
-def contour_segments(cells: DataFrame, interval: float, size: float, ds: str = "ds") -> DataFrame:
+def contour_segments(cells: DataFrame, interval: float, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """CON2: marching squares over blocks of four cell centres: (ds, level, x1, y1, x2, y2), major every fifth level.
 
     A saddle is split by the mean of its corners.
@@ -294,6 +319,7 @@ def contour_segments(cells: DataFrame, interval: float, size: float, ds: str = "
     k0, k1 = F.floor(lo / interval).cast("long") + 1, F.ceil(hi / interval).cast("long") - 1
     q = q.withColumns({"k0": k0, "k1": k1}).where("k0 <= k1").withColumn("k", F.explode(F.sequence("k0", "k1"))).withColumn("v", F.col("k") * interval)
     up = lambda n: (F.col(n) > F.col("v"))
+    q, size = width(q, size, ds)
     frac = lambda a, b: (F.col("v") - F.col(a)) / F.nullif(F.col(b) - F.col(a), F.lit(0.0))
     x0, y0 = (F.col("col") + 0.5) * size, -(F.col("row") + 0.5) * size
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))

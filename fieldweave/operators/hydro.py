@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.operators import graph, grid
+from fieldweave.operators.grid import width
 
 #: D8 codes clockwise from east, as (row, column) offsets.
 D8 = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
@@ -49,10 +50,10 @@ def flow_accumulation(codes: DataFrame, ds: str = "ds") -> DataFrame:
     return r.select(ds, "row", "col", "id").join(acc, [ds, "id"]).select(ds, "row", "col", "acc")
 
 
-def wetness(acc: DataFrame, slopes: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def wetness(acc: DataFrame, slopes: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """HYD7: ln(acc * cell / max(slope, 0.001))."""
-    j = acc.join(slopes.select(ds, "row", "col", "slope_pct"), [ds, "row", "col"])
-    return j.withColumn("twi", F.log(F.col("acc") * size / F.greatest(F.col("slope_pct") / 100, F.lit(0.001))))
+    j, size = width(acc.join(slopes.select(ds, "row", "col", "slope_pct"), [ds, "row", "col"]), size, ds)
+    return j.withColumn("twi", F.log(F.col("acc") * size / F.greatest(F.col("slope_pct") / 100, F.lit(0.001)))).drop("_cell")
 
 
 def wet_cells(twi: DataFrame, depth: DataFrame, ds: str = "ds") -> DataFrame:
@@ -71,21 +72,23 @@ def guarded_wet(twi: DataFrame, depth: DataFrame, noise_slope_pct: float, ds: st
     return j.join(a, ds).withColumn("wet", F.coalesce(wet, F.lit(False))).drop("t", "share")
 
 
-def basins(filled: DataFrame, size: float, min_area_m2: float = 0.0, min_depth: float = 0.05, ds: str = "ds") -> DataFrame:
+def basins(filled: DataFrame, size: float | DataFrame, min_area_m2: float = 0.0, min_depth: float = 0.05, ds: str = "ds") -> DataFrame:
     """HYD3, HYD11: patches deeper than min_depth, grown to the lake that holds them, ranked by volume."""
     core = graph.cell_components(filled.where(F.col("depth") > min_depth), 1, ds)
     lake = graph.cell_components(filled.where(F.col("depth") > 1e-4), 1, ds)
     held = core.join(lake.select(ds, "row", "col", F.col("label").alias("lake")), [ds, "row", "col"]).select(ds, "lake").distinct()
     c = lake.withColumnRenamed("label", "lake").join(held, [ds, "lake"]).join(filled, [ds, "row", "col"])
+    c, size = width(c, size, ds)
+    size = F.first(size) if isinstance(size, Column) else size
     a = c.groupBy(ds, F.col("lake").alias("basin")).agg(
         F.count(F.lit(1)).alias("n"), F.max("depth").alias("max_depth"), F.avg("depth").alias("mean_depth"), (F.sum("depth") * size * size).alias("volume_m3"),
-        F.max("filled").alias("spill"), F.min("z").alias("bottom"), F.min(F.struct((-F.col("depth")).alias("d"), "row", "col")).alias("deepest"),
-    ).withColumn("area_m2", F.col("n") * size * size).where(F.col("area_m2") >= min_area_m2)
+        F.max("filled").alias("spill"), F.min("z").alias("bottom"), F.min(F.struct((-F.col("depth")).alias("d"), "row", "col")).alias("deepest"), (F.count(F.lit(1)) * size * size).alias("area_m2"),
+    ).where(F.col("area_m2") >= min_area_m2)
     rank = F.row_number().over(Window.partitionBy(ds).orderBy(F.desc("volume_m3"), "basin"))
     return a.select(ds, "basin", "area_m2", "max_depth", "mean_depth", "volume_m3", "spill", "bottom", F.col("deepest.row").alias("row"), F.col("deepest.col").alias("col"), rank.alias("rank"))
 
 
-def unlisted(filled: DataFrame, size: float, floor_m2: float, ds: str = "ds") -> DataFrame:
+def unlisted(filled: DataFrame, size: float | DataFrame, floor_m2: float, ds: str = "ds") -> DataFrame:
     """HYD11: (ds, listed, unlisted): basins of floor_m2 or more, and how many smaller ones are not listed."""
     a = basins(filled, size, ds=ds)
     return a.groupBy(ds).agg(F.count_if(F.col("area_m2") >= floor_m2).alias("listed"), F.count_if(F.col("area_m2") < floor_m2).alias("unlisted"))
@@ -102,7 +105,9 @@ def channels(codes: DataFrame, acc: DataFrame, size: float, min_ha: float, ds: s
     return seg.join(fed, [ds, "id"], "left").select(ds, "row", "col", "row2", "col2", "acc", length.alias("length_m"), F.col("fed").isNull().alias("head"))
 
 
-def summary(filled: DataFrame, wet: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def summary(filled: DataFrame, wet: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """HYD12: ponded cells, volume and wet cells of each field."""
+    filled, size = width(filled, size, ds)
+    size = F.first(size) if isinstance(size, Column) else size
     a = filled.groupBy(ds).agg(F.count_if(F.col("depth") > 0.05).alias("ponded"), (F.sum("depth") * size * size).alias("volume_m3"))
     return a.join(wet.groupBy(ds).agg(F.count_if("wet").alias("wet")), ds)

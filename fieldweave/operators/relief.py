@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut
 from fieldweave.operators import graph, grid, spatial
+from fieldweave.operators.grid import width
 
 
-def features(layers: DataFrame, size: float, high: bool = True, min_ha: float = 0.05, ds: str = "ds") -> DataFrame:
+def _whole(df: DataFrame, size: float | DataFrame, ds: str) -> tuple[DataFrame, float | Column]:
+    """As ``width``, for aggregates by field."""
+    df, size = width(df, size, ds)
+    return df, F.first(size) if isinstance(size, Column) else size
+
+
+def features(layers: DataFrame, size: float | DataFrame, high: bool = True, min_ha: float = 0.05, ds: str = "ds") -> DataFrame:
     """LF5: hills (or lows) as components of the standardised TPI beyond +-1.
 
     layers: (ds, row, col, z, tpi_std, slope_pct[, depth]).  Per feature: extreme cell and its
@@ -19,7 +26,8 @@ def features(layers: DataFrame, size: float, high: bool = True, min_ha: float =
     whether it holds a pond; ranked by height times area.
     """
     sign = 1.0 if high else -1.0
-    part = graph.cell_components(layers.where(sign * F.col("tpi_std") > 1), max(1, int(np.ceil(min_ha * 1e4 / size**2))), ds)
+    part, wide = width(graph.cell_components(layers.where(sign * F.col("tpi_std") > 1), 1, ds), size, ds)
+    part = part.where(F.col("cells") * wide * wide >= min_ha * 1e4).drop("_cell")
     c = cut(part.join(layers, [ds, "row", "col"]))
     foot = graph.grow_rings(c, layers, high, ds)
     pond = F.max("depth") > 0.05 if "depth" in layers.columns else F.lit(False)
@@ -30,7 +38,7 @@ def features(layers: DataFrame, size: float, high: bool = True, min_ha: float =
     )
     half, root = (F.col("rr") + F.col("cc")) / 2, F.sqrt(F.pow((F.col("rr") - F.col("cc")) / 2, 2) + F.pow("rc", F.lit(2)))
     elong = F.when(F.col("cells") > 2, F.sqrt(F.greatest(half + root, F.lit(1e-12)) / F.greatest(half - root, F.lit(1e-12)))).otherwise(1.0)
-    f = a.join(foot.withColumnRenamed("level", "foot"), [ds, "label"], "left")
+    f, size = width(a.join(foot.withColumnRenamed("level", "foot"), [ds, "label"], "left"), size, ds)
     f = f.select(
         ds, "label", F.col("e.row").alias("row"), F.col("e.col").alias("col"), F.col("e.z").alias("extreme_m"), (sign * (F.col("e.z") - F.coalesce("foot", sign * F.col("low")))).alias("height_m"), (F.col("cells") * size * size / 1e4).alias("area_ha"),
         ((F.col("mc") + 0.5) * size).alias("x"), (-(F.col("mr") + 0.5) * size).alias("y"), elong.alias("elongation"), "mean_slope_pct", "closed",
@@ -123,9 +131,10 @@ def altitude_spikes(points: DataFrame, step: float = 0.0, k: int = 12, ds: str =
     return d.join(mad, ds).where(F.abs("r") > F.greatest(F.lit(0.5), 3.5 * 1.4826 * F.col("mad"), F.lit(3.0 * step))).select(ds, "id")
 
 
-def smoothing_sigma(noise: DataFrame, size: float, step: float = 0.0, ds: str = "ds") -> DataFrame:
+def smoothing_sigma(noise: DataFrame, size: float | DataFrame, step: float = 0.0, ds: str = "ds") -> DataFrame:
     """TER9: (ds, sigma in cells) that brings the noise down to the slope it would fake."""
-    target = max(0.03, 0.004 * 2 * size / 2**0.5)
+    noise, size = width(noise, size, ds)
+    target = F.greatest(F.lit(0.03), size * F.lit(0.004 * 2 / 2**0.5))
     s = 0.7 * F.col("noise") / (2 * np.pi**0.5 * target)
     return noise.select(ds, F.when(F.lit(step > 0), F.greatest(s, F.lit(10 * step))).otherwise(s).alias("sigma"))
 
@@ -138,21 +147,23 @@ def survey(points: DataFrame, ds: str = "ds") -> DataFrame:
     return a.select(ds, F.sqrt(12 * F.greatest(low, F.lit(0.0))).alias("strip_m")).join(near, ds)
 
 
-def options(cells: DataFrame, size: float, noise: float = 0.0, step: float = 0.0, ds: str = "ds") -> DataFrame:
+def options(cells: DataFrame, size: float | DataFrame, noise: float = 0.0, step: float = 0.0, ds: str = "ds") -> DataFrame:
     """DER12: TPI radii in cells from the extent, least feature height, slope that noise alone makes (%)."""
     a = cells.groupBy(ds).agg(F.least((F.max("row") - F.min("row") + 1), (F.max("col") - F.min("col") + 1)).alias("side"))
-    small = F.greatest(F.lit(1.5), F.least(F.lit(30.0 / size), F.col("side") / 10))
-    return a.select(ds, small.alias("tpi_small"), F.greatest(small * 2, F.col("side") / 4.0).alias("tpi_large"), F.lit(max(0.5, 2 * noise, step)).alias("min_height_m"), F.lit(100 * noise * 0.75**0.5 / (2 * size)).alias("noise_slope_pct"))
+    a, size = width(a, size, ds)
+    small = F.greatest(F.lit(1.5), F.least(F.lit(30.0) / size, F.col("side") / 10))
+    return a.select(ds, small.alias("tpi_small"), F.greatest(small * 2, F.col("side") / 4.0).alias("tpi_large"), F.lit(max(0.5, 2 * noise, step)).alias("min_height_m"), (F.lit(100 * noise * 0.75**0.5) / (2 * size)).alias("noise_slope_pct"))
 
 
-def refused(cells: DataFrame, size: float, radius_m: float, ds: str = "ds") -> DataFrame:
+def refused(cells: DataFrame, size: float | DataFrame, radius_m: float, ds: str = "ds") -> DataFrame:
     """DER13: (ds, reason): fields too small, or scales wider than their diagonal."""
     a = cells.groupBy(ds).agg((F.max("row") - F.min("row") + 1).alias("h"), (F.max("col") - F.min("col") + 1).alias("w"), F.count(F.lit(1)).alias("n"))
+    a, size = width(a, size, ds)
     why = F.when((F.col("h") < 3) | (F.col("w") < 3), "fewer than 3 rows or columns").when(F.col("n") < 9, "fewer than 9 cells").when(F.lit(radius_m <= 0) | (F.lit(radius_m) > F.hypot("h", "w") * size), "scale out of range")
     return a.select(ds, why.alias("reason")).where("reason is not null")
 
 
-def profile(line: DataFrame, cells: DataFrame, size: float, stations: int = 50, ds: str = "ds") -> DataFrame:
+def profile(line: DataFrame, cells: DataFrame, size: float | DataFrame, stations: int = 50, ds: str = "ds") -> DataFrame:
     """CON3: height and downhill slope at equally spaced stations of each polyline (ds, k, x, y)."""
     w = Window.partitionBy(ds).orderBy("k")
     p = line.withColumns({"x2": F.lead("x").over(w), "y2": F.lead("y").over(w)}).where("x2 is not null")
@@ -191,9 +202,10 @@ def terrain_findings(summary: DataFrame, ds: str = "ds") -> DataFrame:
     return summary.select(ds, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("f")).select(ds, "f.*")
 
 
-def terrain_summary(layers: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def terrain_summary(layers: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """TS1: one wide row a field from (z, slope_pct[, depth, wet])."""
     has = set(layers.columns)
+    layers, size = _whole(layers, size, ds)
     q = lambda c: F.percentile(c, F.array(*[F.lit(p) for p in (0.05, 0.5, 0.95)])).alias(f"{c}_q")
     n = F.count(F.lit(1))
     return layers.groupBy(ds).agg(
@@ -203,15 +215,17 @@ def terrain_summary(layers: DataFrame, size: float, ds: str = "ds") -> DataFrame
     )
 
 
-def zone_summary(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def zone_summary(cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """ZON3: cells, hectares, mean height and mean slope of each zone of cells (ds, z, slope_pct, zone)."""
+    cells, size = _whole(cells, size, ds)
     n = F.count(F.lit(1))
     return cells.groupBy(ds, "zone").agg(n.alias("cells"), (n * size * size / 1e4).alias("area_ha"), F.avg("z").alias("mean_z"), F.avg("slope_pct").alias("mean_slope"))
 
 
-def zone_points(cells: DataFrame, size: float, ds: str = "ds") -> DataFrame:
+def zone_points(cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """ZON2: one point for each cell, with all its layers."""
     own = [c for c in cells.columns if c not in (ds, "row", "col", "z")]
+    cells, size = width(cells, size, ds)
     return cells.select(ds, ((F.col("col") + 0.5) * size).alias("x"), (-(F.col("row") + 0.5) * size).alias("y"), F.col("z").alias("elev_m"), *own)
 
 

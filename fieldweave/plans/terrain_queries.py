@@ -213,7 +213,7 @@ def ter_stray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.stray_passes(bench_log(spark, sf_dir).withColumn("elev_m", e))
 
 
-@register("ter_auto_cell", "s AS (SELECT ds, coalesce(least(greatest(median(swath_m), 1), 60), 10) AS swath_m, max(x) - min(x) AS w, max(y) - min(y) AS h FROM log GROUP BY ds) SELECT ds, swath_m, greatest(round(least(greatest(5e0, swath_m / 2), 25) * 2) / 2, ceil(sqrt(w * h / 400000) * 2) / 2) AS cell FROM s")
+@register("ter_auto_cell", "s AS (SELECT ds, CASE WHEN median(swath_m) IS NULL THEN 10e0 ELSE least(greatest(median(swath_m), 1e0), 60e0) END AS swath_m, max(x) - min(x) AS w, max(y) - min(y) AS h FROM log GROUP BY ds) SELECT ds, swath_m, greatest(round(least(greatest(5e0, swath_m / 2), 25) * 2) / 2, ceil(sqrt(w * h / 400000) * 2) / 2) AS cell FROM s")
 def ter_auto_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER6 (cell size), TER15."""
     return grid.auto_cell(bench_log(spark, sf_dir))
