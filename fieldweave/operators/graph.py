@@ -141,21 +141,22 @@ def minimax(cells: DataFrame, tile: int = 64, eps: float = 1e-9, ds: str = "ds")
 def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, ds: str = "ds") -> DataFrame:
     """LF6: (ds, label, level): the p75 of the ring about each feature where it stops falling (rising for lows).
 
-    All features grow one ring a round; a feature that has stopped takes no part in the next.
-    A ring beyond the field has no cells, so the field's extent bounds the rounds.
+    All features grow one ring a round, across holes in the field too; a feature that has stopped
+    takes no part in the next.  A ring beyond the field's extent has no cells, which bounds the rounds.
     """
     sign = 1.0 if falling else -1.0
     key = [ds, "label", "row", "col"]
     front, before, last, done = cut(features.select(*key)), None, None, None
     cells = cells.select(ds, "row", "col", "z")
+    extent = cells.groupBy(ds).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]))
-    for _ in range(MAX_ROUNDS):
+    for round_ in range(MAX_ROUNDS):
         ring = front.select(*key, o.alias("o")).select(ds, "label", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col")).distinct()
         # what lies beside a ring is on it, on the one before or on the next
         for old in (front, before) if before is not None else (front,):
             ring = ring.join(old.select(*key), key, "left_anti")
-        ring = cut(ring.join(cells, [ds, "row", "col"]))
-        now = ring.groupBy(ds, "label").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
+        ring = cut(ring.join(extent, ds).where("row between r0 and r1 and col between c0 and c1").select(*key))
+        now = ring.join(cells, [ds, "row", "col"]).groupBy(ds, "label").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
         if last is None:
             state = cut(now.withColumn("open", F.lit(True)))
         else:
@@ -164,6 +165,8 @@ def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, ds:
             state = cut(j.select(ds, "label", F.when(better, F.col("new")).otherwise(F.col("level")).alias("level"), better.alias("open")))
         stopped = state.where("not open").select(ds, "label", "level")
         done = stopped if done is None else done.unionByName(stopped)
+        if round_ % 16 == 15:  # else the plan grows with the rounds
+            done = cut(done)
         last, live = state, state.where("open").select(ds, "label")
         if live.isEmpty():
             return done

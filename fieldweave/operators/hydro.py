@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldweave.functions.lineage import cut
 from fieldweave.operators import graph, grid
 from fieldweave.operators.grid import width
 
@@ -94,17 +95,41 @@ def unlisted(filled: DataFrame, size: float | DataFrame, floor_m2: float, ds: st
     return a.groupBy(ds).agg(F.count_if(F.col("area_m2") >= floor_m2).alias("listed"), F.count_if(F.col("area_m2") < floor_m2).alias("unlisted"))
 
 
-def channels(codes: DataFrame, acc: DataFrame, size: float, min_ha: float, ds: str = "ds") -> DataFrame:
+def channels(codes: DataFrame, acc: DataFrame, size: float | DataFrame, min_ha: float, ds: str = "ds") -> DataFrame:
     """HYD10: channel segments: cells that drain min_ha, joined to the cell they drain to, with length and a head flag."""
-    net = acc.where(F.col("acc") * size * size / 1e4 >= min_ha).select(ds, "row", "col", "acc")
+    drains, cell = width(acc, size, ds)
+    net = drains.where(F.col("acc") * cell * cell / 1e4 >= min_ha).select(ds, "row", "col", "acc")
     r = receivers(codes, ds).join(net, [ds, "row", "col"])
     to = r.select(ds, F.col("id").alias("ptr"), F.col("row").alias("row2"), F.col("col").alias("col2"))
-    seg = r.join(to, [ds, "ptr"])
+    seg, cell = width(r.join(to, [ds, "ptr"]), size, ds)
     fed = seg.select(ds, F.col("ptr").alias("id")).distinct().withColumn("fed", F.lit(True))
-    length = size * F.sqrt(F.pow(F.col("row") - F.col("row2"), 2) + F.pow(F.col("col") - F.col("col2"), 2))
+    length = cell * F.sqrt(F.pow(F.col("row") - F.col("row2"), 2) + F.pow(F.col("col") - F.col("col2"), 2))
     return seg.join(fed, [ds, "id"], "left").select(ds, "row", "col", "row2", "col2", "acc", length.alias("length_m"), F.col("fed").isNull().alias("head"))
 
 
+def channel_lines(codes: DataFrame, acc: DataFrame, size: float | DataFrame, min_ha: float, ds: str = "ds") -> DataFrame:
+    """HYD10: the channel segments, each on one line: (ds, line, k, row, col, row2, col2, acc, length_m, line_m).
+
+    A line runs from a head to the outlet or to the first cell of a longer one; line is the number of its
+    head's cell, k counts its segments.  Of the heads above a cell the farthest dominates it (the first by
+    row and column of two), which pointer doubling finds: after k rounds a cell knows the farthest of
+    2^k steps, so the rounds are the logarithm of the longest channel.
+    """
+    seg = cut(channels(codes, acc, size, min_ha, ds).withColumns({"id": graph.cell_id(), "ptr": graph.cell_id("row2", "col2")}))
+    ends = seg.select(ds, F.col("ptr").alias("id")).join(seg.select(ds, "id"), [ds, "id"], "left_anti").distinct()
+    far = F.when(F.col("head"), F.struct(F.lit(0).cast("long").alias("k"), (-F.col("id")).alias("h")))
+    cur = cut(seg.select(ds, "id", "ptr", far.alias("far")).unionByName(ends.select(ds, "id", F.lit(None).cast("long").alias("ptr"), F.lit(None).cast("struct<k:bigint,h:bigint>").alias("far"))))
+    for round_ in range(64):
+        if cur.where("ptr is not null").isEmpty():
+            break
+        sent = cur.where("ptr is not null and far is not null").groupBy(ds, F.col("ptr").alias("id")).agg(F.max(F.struct((F.col("far.k") + 2**round_).alias("k"), F.col("far.h").alias("h"))).alias("more"))
+        nxt = cur.select(ds, F.col("id").alias("ptr"), F.col("ptr").alias("next"))
+        cur = cut(cur.join(sent, [ds, "id"], "left").join(nxt, [ds, "ptr"], "left").select(ds, "id", F.col("next").alias("ptr"), F.greatest("far", "more").alias("far")))
+    out = seg.join(cur.select(ds, "id", (-F.col("far.h")).alias("line"), F.col("far.k").alias("k")), [ds, "id"])
+    total = out.groupBy(ds, "line").agg(F.sum("length_m").alias("line_m"))
+    return out.join(total, [ds, "line"]).select(ds, "line", "k", "row", "col", "row2", "col2", "acc", "length_m", "line_m")
+
+
 def summary(filled: DataFrame, wet: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """HYD12: ponded cells, volume and wet cells of each field."""
     filled, size = width(filled, size, ds)

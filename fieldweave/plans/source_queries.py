@@ -246,6 +246,20 @@ def src_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(log_of(F.col("file")).alias("ds"), "reader", "n_rows", "reason")
 
 
+@register("src_rejects", "SELECT ds, CAST(count(*) FILTER (WHERE seq % 10 <> 7) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE seq % 10 = 3) AS BIGINT) AS n_padded, CAST(count(*) FILTER (WHERE seq % 10 = 7) AS BIGINT) AS n_rejected, min(CASE WHEN seq % 10 = 7 THEN CAST(seq AS VARCHAR) || ',1,2,extra' END) AS line FROM log GROUP BY ds")
+def src_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15: short lines are padded, lines with a field too many are kept aside with a reason."""
+    g = bench_log(spark, sf_dir).select("ds", "seq", "value")
+    k = F.col("seq") % 10
+    line = F.when(k == 3, F.concat(F.col("seq").cast("string"), F.lit(",1"))).when(k == 7, F.concat(F.col("seq").cast("string"), F.lit(",1,2,extra"))).otherwise(F.concat_ws(",", "seq", F.lit("1"), F.lit("2")))
+    heads = g.select("ds").distinct().select("ds", F.lit(-1).cast("long").alias("at"), F.lit("record,Longitude,Latitude").alias("value"))
+    path = scratch(spark, "rejects")
+    write_lines(g.select("ds", F.col("seq").alias("at"), line.alias("value")).unionByName(heads), path)
+    rows = files.read_tabular(spark, path).groupBy(log_of(F.col("ds")).alias("ds")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("lat").isNull()).alias("n_padded"))
+    bad = files.rejected_lines(spark, path).groupBy(log_of(F.col("file")).alias("ds")).agg(F.count(F.lit(1)).alias("n_rejected"), F.min("line").alias("line"))
+    return rows.join(bad, "ds", "left").select("ds", "n_rows", "n_padded", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), "line")
+
+
 @register("src_nodata", "SELECT ds, CASE WHEN ds % 2 = 0 THEN -9999e0 ELSE -5000e0 END AS nodata FROM (SELECT DISTINCT ds FROM log)")
 def src_nodata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC17: fill values that no header declares."""

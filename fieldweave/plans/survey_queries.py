@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut
-from fieldweave.operators import grid, relief, surface
+from fieldweave.operators import grid, merge_tree, relief, surface
 from fieldweave.plans.log_queries import r4
 from fieldweave.sources.bench_log import rough_log, rough_sql
 
 QUERIES, SQL = {}, {}
 
 
-def register(name: str, query: str | None = None, recursive: bool = False):
+def register(name: str, query: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if query:
-            SQL[name] = rough_sql(query, recursive)
+            SQL[name] = rough_sql(query)
         return f
 
     return keep
@@ -112,3 +112,11 @@ def ter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda k, name: grid.class_areas(layers, "landform", [k], geo).select("ds", F.col("area_ha").alias(name))
     a = relief.terrain_summary(layers, geo).select("ds", "cells", "area_ha", "z_min", "z_max", "slope_mean", "steep_pct")
     return r4(a.join(of(1, "hilltop_ha"), "ds").join(of(6, "valley_ha"), "ds"))
+
+
+@register("ter_blocks")
+def ter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TER13: fields of a log that lie apart."""
+    log = rough_log(spark, sf_dir)
+    geo = cut(surface.geometry(log))
+    return r4(merge_tree.blocks(surface.surface(log, geo), geo))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut
-from fieldweave.operators import graph, grid, hydro, relief
+from fieldweave.operators import graph, grid, hydro, merge_tree, relief
 from fieldweave.plans.log_queries import QUERIES as _, r4  # noqa: F401
 from fieldweave.sources.bench_log import bench_log, sql
 
@@ -354,6 +354,23 @@ _LINE = lambda *ends: "[" + ", ".join(f"{{'a': {_SEG[e[0]]}, 'b': {_SEG[e[1]]}}}
 SQL["hyd_channels"] = SQL["hyd_channels"].replace("WITH", "WITH RECURSIVE", 1)
 
 
+#: Every head runs down to its outlet; the farthest head of a cell has it.
+@register("hyd_lines", _FLOW + """, nt AS (SELECT *, row * 2147483648 + col AS id FROM ac WHERE acc * 81 / 1e4 >= 0.03),
+sg AS (SELECT nt.ds, nt.row, nt.col, rv.r2, rv.c2, nt.acc FROM nt JOIN rv ON rv.ds = nt.ds AND rv.row = nt.row AND rv.col = nt.col JOIN nt t ON t.ds = rv.ds AND t.row = rv.r2 AND t.col = rv.c2),
+hd AS (SELECT ds, row, col FROM sg WHERE NOT EXISTS (SELECT 1 FROM sg u WHERE u.ds = sg.ds AND u.r2 = sg.row AND u.c2 = sg.col)),
+dn AS (SELECT ds, row AS hr, col AS hc, row, col, 0 AS k FROM hd UNION ALL SELECT dn.ds, hr, hc, sg.r2, sg.c2, k + 1 FROM dn JOIN sg ON sg.ds = dn.ds AND sg.row = dn.row AND sg.col = dn.col),
+dm AS (SELECT *, row_number() OVER (PARTITION BY ds, row, col ORDER BY k DESC, hr, hc) AS rk FROM dn),
+ls AS (SELECT sg.*, hr, hc, k, 9 * sqrt((sg.row-r2)*(sg.row-r2) + (sg.col-c2)*(sg.col-c2)) AS length_m FROM sg JOIN dm ON dm.ds = sg.ds AND dm.row = sg.row AND dm.col = sg.col AND rk = 1)
+SELECT ds, (hr + 1073741824) * 2147483648 + hc + 1073741824 AS line, CAST(k AS BIGINT) AS k, row, col, r2 AS row2, c2 AS col2, acc, round(length_m, 4) AS length_m, round(sum(length_m) OVER (PARTITION BY ds, hr, hc), 4) AS line_m FROM ls""")
+def hyd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HYD10: drainage lines, longest first, none of which shares a segment with another."""
+    _, codes, acc, _ = _wet(spark, sf_dir)
+    return r4(hydro.channel_lines(codes, acc, SIZE, 0.03))
+
+
+SQL["hyd_lines"] = SQL["hyd_lines"].replace("WITH", "WITH RECURSIVE", 1)
+
+
 @register("con_segments", BOWL + """,
 sq AS (SELECT n.ds, n.row, n.col, n.z AS nw, e.z AS ne, s.z AS sw, d.z AS se FROM cb n JOIN cb e ON e.ds = n.ds AND e.row = n.row AND e.col = n.col + 1 JOIN cb s ON s.ds = n.ds AND s.row = n.row + 1 AND s.col = n.col JOIN cb d ON d.ds = n.ds AND d.row = n.row + 1 AND d.col = n.col + 1),
 lv AS (SELECT *, unnest(range(CAST(floor(least(nw, ne, sw, se) / 0.1e0) AS BIGINT) + 1, CAST(ceil(greatest(nw, ne, sw, se) / 0.1e0) AS BIGINT))) AS k FROM sq),
@@ -400,12 +417,84 @@ def jn_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(grid.sample_bilinear(pts, _bowl(spark, sf_dir), SIZE), digits=5)
 
 
-@register("lf_hills")
+def _standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with slope and standardised height above their surroundings."""
+    c = cut(_bowl(spark, sf_dir))
+    return cut(grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct").join(grid.standardise(grid.tpi(c, 2)).drop("tpi"), ["ds", "row", "col"]))
+
+
+#: Hills (h = 1) and lows (h = -1): components beyond +-1 of four cells at least, the level of each ring about
+#: them, and the ring at which it stops falling.
+_PARTS = BOWL + "," + _stencil("cb") + f""",
+sl AS (SELECT ds, row, col, 100*sqrt(pow(((ne+2*e+se)-(nw+2*w+sw))/72e0, 2) + pow(((nw+2*n+ne)-(sw+2*s+se))/72e0, 2)) AS slope FROM st),
+t1 AS ({_disc(2)}), m1 AS (SELECT ds, avg(t) AS m, stddev_pop(t) AS s FROM t1 GROUP BY ds),
+pc AS (SELECT cb.ds, cb.row, cb.col, z, slope, CASE WHEN (t - m) / s > 0 THEN 1 ELSE -1 END AS h, (cb.row + 1073741824) * 2147483648 + cb.col + 1073741824 AS id FROM cb JOIN t1 ON t1.ds = cb.ds AND t1.row = cb.row AND t1.col = cb.col JOIN m1 ON m1.ds = cb.ds JOIN sl ON sl.ds = cb.ds AND sl.row = cb.row AND sl.col = cb.col WHERE abs((t - m) / s) > 1),
+rc(ds, h, id, row, col, root) USING KEY (ds, id) AS (
+  SELECT ds, h, id, row, col, id FROM pc
+  UNION
+  SELECT ds, any_value(h), id, any_value(row), any_value(col), min(root) FROM (
+    SELECT b.ds, b.h, b.id, b.row, b.col, f.root, k.root AS now FROM rc f JOIN pc b ON b.ds = f.ds AND b.h = f.h AND abs(b.row - f.row) <= 1 AND abs(b.col - f.col) <= 1 JOIN recurring.rc k ON k.ds = b.ds AND k.id = b.id)
+  WHERE root < now GROUP BY ds, id),
+pa AS (SELECT pc.*, root AS label FROM pc JOIN rc ON rc.ds = pc.ds AND rc.id = pc.id QUALIFY count(*) OVER (PARTITION BY pc.ds, root) * 81 >= 300),
+di AS (SELECT p.ds, p.h, p.label, c.row, c.col, any_value(c.z) AS z, min(greatest(abs(p.row - c.row), abs(p.col - c.col))) AS k FROM pa p JOIN cb c ON c.ds = p.ds GROUP BY p.ds, p.h, p.label, c.row, c.col),
+lv AS (SELECT ds, h, label, k, h * quantile_cont(h * z, 0.75) AS level FROM di WHERE k > 0 GROUP BY ds, h, label, k),
+fo AS (SELECT a.ds, a.label, arg_min(a.level, a.k) AS foot FROM lv a LEFT JOIN lv b ON b.ds = a.ds AND b.label = a.label AND b.k = a.k + 1 WHERE b.k IS NULL OR NOT a.h * b.level < a.h * a.level GROUP BY a.ds, a.label),
+mo AS (SELECT ds, h, label, count(*) AS n, min({{'k': -h * z, 'r': row, 'c': col, 'z': z}}) AS e, avg(row) AS mr, avg(col) AS mc, covar_samp(row, row) AS rr, covar_samp(col, col) AS cc, covar_samp(row, col) AS rc, avg(slope) AS slope, min(h * z) AS low FROM pa GROUP BY ds, h, label),
+fe AS (SELECT mo.ds, h, mo.label, n, e.r AS row, e.c AS col, e.z AS extreme_m, h * (e.z - coalesce(foot, h * low)) AS height_m, n * 81e0 / 1e4 AS area_ha, (mc + 0.5e0) * 9 AS x, -(mr + 0.5e0) * 9 AS y,
+    CASE WHEN n > 2 THEN sqrt(greatest((rr + cc) / 2 + sqrt(pow((rr - cc) / 2, 2) + rc * rc), 1e-12) / greatest((rr + cc) / 2 - sqrt(pow((rr - cc) / 2, 2) + rc * rc), 1e-12)) ELSE 1e0 END AS elongation, slope AS mean_slope_pct
+  FROM mo LEFT JOIN fo ON fo.ds = mo.ds AND fo.label = mo.label)"""
+
+
+@register("lf_hills", _PARTS + """ SELECT ds, label, row, col, round(extreme_m, 4) AS extreme_m, round(height_m, 4) + 0e0 AS height_m, round(area_ha, 4) AS area_ha, round(x, 4) AS x, round(y, 4) AS y, round(elongation, 2) AS elongation, round(mean_slope_pct, 4) AS mean_slope_pct FROM fe WHERE h = 1""")
 def lf_hills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """LF5, LF6: hills with their feet."""
-    c = cut(_bowl(spark, sf_dir))
-    s = grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct").join(grid.standardise(grid.tpi(c, 2)).drop("tpi"), ["ds", "row", "col"])
-    return r4(relief.features(cut(s), SIZE, min_ha=0.03))
+    f = relief.features(_standing(spark, sf_dir), SIZE, min_ha=0.03).drop("closed", "rank")
+    return r4(f.withColumn("elongation", F.round("elongation", 2)))
+
+
+SQL["lf_hills"] = SQL["lf_hills"].replace("WITH", "WITH RECURSIVE", 1)
+
+
+#: From each summit the highest level at which it is joined to each cell; its saddle is the best beside another feature.
+_SADDLES = _PARTS + """,
+fs AS (SELECT * FROM fe WHERE height_m >= 0.05),
+cl(ds, h, label, row, col, lev) USING KEY (ds, label, row, col) AS (
+  SELECT ds, h, label, row, col, h * extreme_m FROM fs
+  UNION
+  SELECT ds, any_value(h), label, row, col, max(up) FROM (
+    SELECT f.ds, f.h, f.label, b.row, b.col, least(f.lev, f.h * b.z) AS up, k.lev AS now
+    FROM cl f JOIN cb b ON b.ds = f.ds AND abs(b.row - f.row) <= 1 AND abs(b.col - f.col) <= 1 LEFT JOIN recurring.cl k ON k.ds = f.ds AND k.label = f.label AND k.row = b.row AND k.col = b.col)
+  WHERE now IS NULL OR up > now GROUP BY ds, label, row, col),
+ne AS (SELECT DISTINCT pa.ds, pa.label, pa.row + dr AS row, pa.col + dc AS col FROM pa JOIN fs ON fs.ds = pa.ds AND fs.label = pa.label, """ + OFF + """),
+sa AS (SELECT cl.ds, cl.label, any_value(cl.h) AS h, any_value(cl.h) * max(lev) AS level FROM cl JOIN ne ON ne.ds = cl.ds AND ne.row = cl.row AND ne.col = cl.col AND ne.label <> cl.label GROUP BY cl.ds, cl.label),
+fh AS (SELECT fs.*, CASE WHEN sa.level IS NOT NULL AND fs.h * (sa.level - (extreme_m - fs.h * height_m)) > 0 THEN fs.h * (extreme_m - sa.level) ELSE height_m END AS up FROM fs LEFT JOIN sa ON sa.ds = fs.ds AND sa.label = fs.label),
+fr AS (SELECT *, CASE WHEN h = 1 THEN 'hill' WHEN elongation >= 2.5 THEN 'valley' ELSE 'hollow' END AS shape, row_number() OVER (PARTITION BY ds, h ORDER BY up * area_ha DESC, label) AS rank FROM fh WHERE up >= 0.05)"""
+
+
+@register("lf_saddles", _SADDLES + " SELECT ds, label, round(level, 6) AS level FROM sa WHERE h = 1")
+def lf_saddles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LF7: the saddle of every summit with all other features."""
+    s = _standing(spark, sf_dir)
+    part = {}
+    for high in (True, False):
+        f = relief.features(s, SIZE, high, 0.03).where("height_m >= 0.05")
+        part[high] = cut(graph.cell_components(s.where(f"{'' if high else '-'}tpi_std > 1")).join(f.select("ds", "label"), ["ds", "label"], "left_semi"))
+    return r4(merge_tree.saddles(s, part[True], part[False]), digits=6)
+
+
+@register("tf_features", _SADDLES + """,
+ff AS (SELECT ds, shape AS code, rank, 'ok' AS level, up AS metric FROM fr WHERE rank <= 2
+  UNION ALL SELECT ds, CASE WHEN h = 1 THEN 'more_hills' ELSE 'more_lows' END, NULL, 'ok', CAST(count(*) AS DOUBLE) FROM fr WHERE rank > 2 GROUP BY ds, h
+  UNION ALL SELECT ds, 'no_features', NULL, 'ok', 0e0 FROM (SELECT DISTINCT ds FROM cb) WHERE ds NOT IN (SELECT ds FROM fr))
+SELECT ds, code, rank, level, round(metric, 4) + 0e0 AS metric FROM ff""")
+def tf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LF5, LF6, LF7, TF1 (features and valleys): the first of each kind by height over its saddle, and how many more."""
+    s = _standing(spark, sf_dir)
+    return r4(merge_tree.feature_findings(merge_tree.features(s, SIZE, 0.05, 0.03), s, most=2))
+
+
+for _name in ("lf_saddles", "tf_features"):
+    SQL[_name] = SQL[_name].replace("WITH", "WITH RECURSIVE", 1)
 
 
 @register("ter_detrend")

@@ -43,13 +43,13 @@ def sql(query: str, rate: str = STRIPS) -> str:
 
 #: A second log, of ``lineitem``: twenty suppliers a log, so logs are long (some 12,000 records) and grow
 #: in number.  Implements differ from log to log, readings lie unevenly, a slough is driven around, one pass
-#: is left out, and one log in five begins with a stray fix 40 km away.
+#: is left out, one log in five begins with a stray fix 40 km away, and one in five holds two fields 3 km apart.
 ROUGH = """
 ro_u AS (SELECT CAST(floor((l_suppkey - 1) / 20e0) AS BIGINT) AS ds, l_orderkey AS ok, l_partkey AS pk, l_quantity AS qty,
   row_number() OVER (PARTITION BY floor((l_suppkey - 1) / 20e0) ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS seq FROM {lineitem}),
 ro_p AS (SELECT *, 6e0 + 4e0 * (ds % 4) AS swath_m, CAST(floor(seq / 120e0) AS BIGINT) AS pass_id FROM ro_u),
 ro_q AS (SELECT *, CASE WHEN pass_id % 2 = 0 THEN seq - pass_id * 120 ELSE 119 - (seq - pass_id * 120) END AS along FROM ro_p),
-ro_x AS (SELECT *, CAST(pass_id AS DOUBLE) * swath_m + (pk % 7) * 1e-1 + CASE WHEN ds % 5 = 3 AND seq = 0 THEN 4e4 ELSE 0e0 END AS x, CAST(along AS DOUBLE) * 5e0 + (ok % 5) * 6e-1 AS y FROM ro_q
+ro_x AS (SELECT *, CAST(pass_id AS DOUBLE) * swath_m + (pk % 7) * 1e-1 + CASE WHEN ds % 5 = 3 AND seq = 0 THEN 4e4 WHEN ds % 5 = 1 AND pass_id >= 60 THEN 3e3 ELSE 0e0 END AS x, CAST(along AS DOUBLE) * 5e0 + (ok % 5) * 6e-1 AS y FROM ro_q
   WHERE pass_id <> 20 AND NOT (pass_id BETWEEN 8 AND 14 AND along BETWEEN 30 AND 62)),
 rough AS (
 SELECT ds, CAST(seq AS BIGINT) AS seq, pass_id, x, y, swath_m, qty AS value,
@@ -62,8 +62,8 @@ def rough_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("WITH " + ROUGH + " SELECT * FROM rough", lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 
 
-def rough_sql(query: str, recursive: bool = False) -> str:
+def rough_sql(query: str) -> str:
     """A DuckDB statement over ``rough``; the query may begin with further common tables."""
     query = query.strip()
     joint = ",\n" if query[:5].upper() != "SELECT" else "\n"
-    return ("WITH RECURSIVE " if recursive else "WITH ") + ROUGH.replace("{lineitem}", "lineitem").strip() + joint + query
+    return "WITH " + ROUGH.replace("{lineitem}", "lineitem").strip() + joint + query

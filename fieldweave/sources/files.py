@@ -67,11 +67,34 @@ def _formats(spark: SparkSession, path: str | list[str]) -> list:
     return f.groupBy("header", "sep", "decimal_comma", "encoding").agg(F.collect_list("file").alias("files")).orderBy("header", "sep").collect()
 
 
+def _lines_of(spark: SparkSession, fmt) -> tuple[DataFrame, list[str]]:
+    """The lines of the files of one format (__file, __at in order, __raw where it has other fields than the header), and their columns.
+
+    A short line is padded with nulls; __over is what a line has beyond the last column.
+    """
+    read = spark.read.option("header", True).option("sep", fmt["sep"]).option("encoding", fmt["encoding"])
+    columns = read.csv(fmt["files"]).columns
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "__over", "__raw")])
+    raw = read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__raw").option("enforceSchema", True).schema(fields).csv(fmt["files"])
+    return raw.select(F.col(FILE).alias("__file"), F.monotonically_increasing_id().alias("__at"), *[F.col(f"`{c}`") for c in raw.columns]), columns
+
+
 def _rows_of(spark: SparkSession, fmt) -> tuple[DataFrame, list[str]]:
-    """The rows of the files of one format (ds = file, _n = order in it from 1), and their columns."""
-    raw = spark.read.option("header", True).option("sep", fmt["sep"]).option("encoding", fmt["encoding"]).option("mode", "DROPMALFORMED").csv(fmt["files"])
-    rows = raw.select(F.col(FILE).alias("__file"), F.monotonically_increasing_id().alias("__at"), *[F.col(f"`{c}`") for c in raw.columns])
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at"))), raw.columns
+    """The rows of the files of one format (ds = file, __n = order in it from 1), and their columns."""
+    lines, columns = _lines_of(spark, fmt)
+    rows = lines.where("__over is null").drop("__over", "__raw")
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("__file").orderBy("__at"))), columns
+
+
+def rejected_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """SRC15: (file, line, reason) of the lines of delimited files that ``read_tabular`` leaves out: those with more fields than the header."""
+    out = spark.createDataFrame([], "file string, line string, reason string")
+    for fmt in _formats(spark, path):
+        lines, columns = _lines_of(spark, fmt)
+        # Spark keeps the text of a line only where it has more than one field too many
+        line = F.coalesce("__raw", F.concat_ws(fmt["sep"], *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in (*columns, "__over")]))
+        out = out.unionByName(lines.where("__over is not null").select(F.col("__file").alias("file"), line.alias("line"), F.lit(f"more fields than the {len(columns)} of the header").alias("reason")))
+    return out
 
 
 def _known_units() -> list[str]:
@@ -363,15 +386,18 @@ def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC15: a folder's points, and (file, reader, n_rows, reason) of every file under it.
+    """SRC15: a folder's points, and (file, reader, n_rows, n_rejected, reason) of every file under it.
 
     Each file goes to the reader of its extension; the reason tells why a file gave no points.
+    n_rejected counts lines that gave none, which ``rejected_lines`` shows.
     """
     files = listing(spark, path)
     by = {r["reader"]: r["files"] for r in files.where("reader is not null").groupBy("reader").agg(F.collect_list("file").alias("files")).collect()}
     parts, said = [], [spark.createDataFrame([], "file string, why string")]
+    bad = spark.createDataFrame([], "file string, line string, reason string")
     if "tabular" in by:
         parts.append(read_tabular(spark, by["tabular"]))
+        bad = rejected_lines(spark, by["tabular"])
     if "geojson" in by:
         parts.append(read_geojson(spark, by["geojson"]).select("ds", F.col("feature_id").cast("long").alias("seq"), "lon", "lat"))
     if "kml" in by:
@@ -385,9 +411,10 @@ def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the readers differ in how they write a local path
     n = points.groupBy(plain(F.col("ds")).alias("k")).agg(F.count("lon").alias("n_rows"))
     why = union_logs(*said).select(plain(F.col("file")).alias("k"), "why")
-    out = files.withColumn("k", plain(F.col("file"))).join(n, "k", "left").join(why, "k", "left")
+    lost = bad.groupBy(plain(F.col("file")).alias("k")).agg(F.count(F.lit(1)).alias("n_rejected"))
+    out = files.withColumn("k", plain(F.col("file"))).join(n, "k", "left").join(why, "k", "left").join(lost, "k", "left")
     reason = F.when(F.col("reader").isNull(), F.concat(F.lit("no reader for ."), F.col("ext"))).when(F.col("why").isNotNull(), F.col("why")).when((F.coalesce("n_rows", F.lit(0)) == 0) & (F.col("reader") != "tasks"), F.lit("no positions"))
-    return points, out.select("file", "reader", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), reason.alias("reason"))
+    return points, out.select("file", "reader", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), reason.alias("reason"))
 
 
 def quarantine(spark: SparkSession, path: str) -> DataFrame:

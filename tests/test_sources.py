@@ -121,11 +121,17 @@ def test_a_folder_of_unlike_files(spark, tmp_path):
     (d / "d.csv").write_bytes("Longitude,Latitude,Élévation\n7.5,8.5,99\n".encode("windows-1252"))
     (d / "e.doc").write_text("no")
     (d / "f.csv").write_text("this,that\n1,2\n")
+    (d / "g.csv").write_text('Longitude,Latitude,Yield\n1.5,2.5\n1.6,2.6,51,9\n"1.7",2.7,52\n1.8,2.8,53,\n')
     (d / "TLG1.xml").write_text("<broken")
     (d / "TLG1.bin").write_bytes(b"123")
     p, report = files.ingest(spark, str(d))
     got = {(r["ds"].rsplit("/", 1)[-1], r["lon"], r["lat"], r["value"], r["speed_kmh"], r["moisture_pct"], r["elev_m"]) for r in p.where("lon is not null").collect()}
-    assert got == {("a.csv", 1.5, 2.5, 50.0, 7.0, None, None), ("a.csv", 1.6, 2.6, 51.0, 8.0, None, None), ("b.csv", 4.5, 3.5, 60.0, 9.0, None, None), ("c.txt", 5.5, 6.5, None, None, 12.5, None), ("d.csv", 7.5, 8.5, None, None, None, 99.0)}
+    assert got == {("a.csv", 1.5, 2.5, 50.0, 7.0, None, None), ("a.csv", 1.6, 2.6, 51.0, 8.0, None, None), ("b.csv", 4.5, 3.5, 60.0, 9.0, None, None), ("c.txt", 5.5, 6.5, None, None, 12.5, None), ("d.csv", 7.5, 8.5, None, None, None, 99.0),
+                   ("g.csv", 1.5, 2.5, None, None, None, None), ("g.csv", 1.7, 2.7, 52.0, None, None, None), ("g.csv", 1.8, 2.8, 53.0, None, None, None)}
+    lost = {r["file"].rsplit("/", 1)[-1]: r["n_rejected"] for r in report.collect()}
+    assert lost["g.csv"] == 1 and sum(lost.values()) == 1
+    bad = files.rejected_lines(spark, str(d / "g.csv")).collect()
+    assert [(r["line"], r["reason"]) for r in bad] == [("1.6,2.6,51,9", "more fields than the 3 of the header")]
     said = {r["file"].rsplit("/", 1)[-1]: (r["n_rows"], r["reason"]) for r in report.collect()}
     assert said["a.csv"] == (2, None) and said["e.doc"] == (0, "no reader for .doc") and said["f.csv"] == (0, "no positions") and said["d.csv"] == (1, None)
     assert said["TLG1.bin"][1].startswith("header") and said["TLG1.xml"] == (0, None)
