@@ -194,3 +194,78 @@ def test_toxicity(spark, tmp_path):
     assert {(r["doc_id"], r["score"]) for r in got} == {(r["doc_id"], r["score"]) for r in again}
     clean = toxicity.reject_toxic(df, lab)
     assert clean.columns == df.columns and 5001 not in {r["doc_id"] for r in clean.collect()}
+
+
+def test_licenses_of_repeated_rows(spark, tmp_path):
+    """Equal rows, with and without a doc_id, have what one of them has alone; a coefficient below the limit stays below."""
+    mit = [t for n, t in licenses.TEMPLATES if n == "MIT"][3].split()
+    changed = " ".join(w if i % 13 else "altered" for i, w in enumerate(mit))
+    below = " ".join(w if i % 6 else "altered" for i, w in enumerate(mit))
+    rows = [(i, t, None, None, None) for i, t in ((1, changed), (2, below), (None, changed)) for _ in range(3)] + [(3, changed, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = same(licenses.op7_license_scan(spark, write(df, tmp_path)), run_sql("op7_license_scan", documents=df))
+    one = {r["dice"] for r in licenses.op7_license_scan(spark, str(tmp_path)).where("doc_id is null or doc_id <> 2").collect()}
+    assert len(got) == 10 and len(one) == 1 and 0.8 <= one.pop() < 0.95
+    assert {r["license"] for r in licenses.op7_license_scan(spark, str(tmp_path)).where("doc_id = 2").collect()} == {None}
+
+
+def test_toxicity_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    """A labelled text above the byte bound, wherever it comes, costs no other text its place."""
+    docs, labels = toxic_corpus(300)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 200_000)
+    want = toxicity.train(spark.createDataFrame([d for d in docs if d[0] != 8], DOCS), lab)
+    long_ = [d if d[0] != 8 else (8, "x" * 200_001, *d[2:]) for d in docs]
+    for order in ("doc_id", "-doc_id"):
+        got = toxicity.train(spark.createDataFrame(long_, DOCS).orderBy(F.expr(order)), lab)
+        assert got is not None and got[2] == want[2] and (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 2_000)  # some rows fit, and they are used
+    assert toxicity.train(spark.createDataFrame(docs, DOCS), lab) is not None
+
+
+def slow_bins(text):
+    """The features of a text by Python's integers, word by word."""
+    full = 2**64 - 1
+
+    def mixed(a):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            a = ((a ^ (a >> 33)) * m) & full
+        return a ^ (a >> 33)
+
+    value, place = [int(x) for x in toxicity._value], [int(x) for x in toxicity._place]
+    summed = lambda w: sum(value[b] * place[i & 63] for i, b in enumerate(w)) & full
+    words = text.encode().translate(toxicity._table).split()
+    h, out = [mixed((summed(w) + len(w)) & full) for w in words], set()
+    out.update(h)
+    for w in words:
+        chars = w.decode()
+        out.update(mixed((summed(chars[:k].encode()) + int(toxicity._stem)) & full) for k in toxicity.STEMS if len(chars) > k)
+    for d, g in zip((1, 2, 3), toxicity._gap):
+        out.update(mixed((a * int(g) + b) & full) for a, b in zip(h, h[d:]))
+    return sorted({x >> (64 - toxicity.BINS) for x in out})
+
+
+def test_features_and_ftrl_equal_plain_loops():
+    import math
+
+    texts = ["", "one", "Ein réeuxpa überachlichkeiten, it is!", "日本語テキスト abc\nABCDEFGHI é", "a b c d e f " * 30, "x" * 300]
+    for t in texts:
+        assert toxicity.features(t.encode()).tolist() == slow_bins(t)
+    r = random.Random(3)
+    rows = [(toxicity.features(" ".join(r.choice(["aa", "bb", "cc", "stupid", "dd"]) for _ in range(9)).encode()), r.randint(0, 1)) for _ in range(60)]
+    at, w, bias = toxicity.ftrl(rows)
+    z, n = {}, {}
+    for _ in range(toxicity.EPOCHS):
+        for x, y in rows:
+            own = {}
+            for i in [*x.tolist(), "bias"]:
+                zi, l1, l2 = z.get(i, 0.0), *((0.0, 0.0) if i == "bias" else (toxicity.L1, toxicity.L2))
+                own[i] = 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((toxicity.BETA + math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA + l2)
+            g = 1 / (1 + math.exp(-sum(own.values()))) - y
+            for i, wi in own.items():
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / toxicity.ALPHA * wi
+                n[i] = was + g * g
+    plain = {i: -(zi - math.copysign(toxicity.L1, zi)) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2) for i, zi in z.items() if i != "bias" and abs(zi) > toxicity.L1}
+    assert sorted(plain) == at.tolist() and all(abs(plain[i] - x) < 1e-9 for i, x in zip(at.tolist(), w.tolist()))
+    assert abs(bias - -z["bias"] / ((toxicity.BETA + math.sqrt(n["bias"])) / toxicity.ALPHA)) < 1e-9
