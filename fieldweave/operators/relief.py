@@ -56,48 +56,75 @@ def saddle_level(summits: DataFrame, cells: DataFrame, stop: DataFrame, tile: in
     return summits.select(ds, "label", "row", "col").join(m, [ds, "row", "col"]).select(ds, "label", (-F.col("level")).alias("level"))
 
 
+#: Passes up to which offsets are estimated, bounds of the ridge, and rounds of its estimate.
+MAX_PASSES, RIDGE, RIDGE_ROUNDS = 2000, (1e-4, 10.0), 30
+
+
+def _ridge(gram: np.ndarray, at_b: np.ndarray, b: np.ndarray) -> float:
+    """Noise over spread of the offsets, both learnt from the equations by EM in the eigenbasis of the system."""
+    if len(b) < 2:
+        return 1.0
+    s2, axes = np.linalg.eigh(gram)
+    s2, c = np.maximum(s2, 0.0), axes.T @ at_b
+    spread = max(float(np.var(b)), 1e-8)
+    noise = 0.1 * spread
+    for _ in range(RIDGE_ROUNDS):
+        wide = s2 + noise / spread
+        mean = c / wide
+        left = float(b @ b - 2 * mean @ c + mean @ (s2 * mean))
+        spread, noise = (float(mean @ mean) + noise * float((1 / wide).sum())) / len(s2), (left + noise * float((s2 / wide).sum())) / len(b)
+        spread, noise = max(spread, 1e-12), max(noise, 1e-12)
+    return float(np.clip(noise / spread, *RIDGE))
+
+
 def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "ds") -> DataFrame:
     """TER5: (ds, pass_id, offset): what each pass lies above its neighbours.
 
-    Spark joins the points of different passes within radius, keeps those whose neighbours lie
-    about them evenly, and sums the shares of pass in pass; the small ridge system of each
-    field (a few hundred passes) is solved by numpy in the field's group.
+    Spark joins the points of different passes within radius, keeps those whose neighbours lie about
+    them evenly, and sums the shares of pass in pass: the equations say that a pass's median stands above
+    its neighbours by its offset less theirs.  Each round takes the medians anew, of heights less the
+    offsets so far.  A field's system has a row a pass and ``MAX_PASSES`` at most, which bounds the group
+    that solves it; fields of more passes, and passes without evidence, keep what they have.
     """
     p = points.where("elev_m is not null").select(ds, F.col("seq").alias("id"), "x", "y", "pass_id", F.col("elev_m").alias("z"))
+    n = p.groupBy(ds, "pass_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    few = n.groupBy(ds).agg(F.count(F.lit(1)).alias("k")).where((F.col("k") >= 2) & (F.col("k") <= MAX_PASSES)).select(ds)
+    p = cut(p.join(few, ds, "left_semi"))
     near = spatial.within(p, p.drop("id"), radius, ds).where("pass_id <> other_pass_id")
+    # one row for each point and pass beside it
+    side = near.groupBy(ds, "id", "pass_id", "other_pass_id").agg(F.count(F.lit(1)).cast("double").alias("m"), F.sum("other_x").alias("sx"), F.sum("other_y").alias("sy"), F.sum("other_z").alias("sz"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
     w = Window.partitionBy(ds, "id")
-    near = near.withColumns({"k": F.count(F.lit(1)).over(w), "cx": F.avg("other_x").over(w), "cy": F.avg("other_y").over(w), "nz": F.avg("other_z").over(w)})
-    even = near.where(F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")) < 0.3 * radius)
-    share = even.groupBy(ds, "pass_id", "other_pass_id").agg(F.sum(1.0 / F.col("k")).alias("w"))
-    med = even.select(ds, "pass_id", "id", (F.col("z") - F.col("nz")).alias("d")).distinct().groupBy(ds, "pass_id").agg(F.percentile("d", F.lit(0.5)).alias("b"), F.count(F.lit(1)).cast("double").alias("m"))
-    n = p.groupBy(ds, "pass_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    rows = n.join(med, [ds, "pass_id"], "left").join(share, [ds, "pass_id"], "left")
-    kinds = dict(points.dtypes)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf["pass_id"].unique())
-        at = {v: i for i, v in enumerate(ids)}
-        one = pdf.drop_duplicates("pass_id").set_index("pass_id")
-        count = one.loc[ids, "n"].to_numpy(float)
-        a, b, use = np.eye(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), bool)
-        for r in pdf.itertuples():
-            if r.b == r.b and r.b is not None:
-                i = at[r.pass_id]
-                use[i], b[i] = True, r.b
-                if r.other_pass_id == r.other_pass_id and r.other_pass_id in at:
-                    a[i, at[r.other_pass_id]] -= r.w / r.m
-        out = np.zeros(len(ids))
-        if use.any():
-            a, b, lam = a[use], b[use], 1.0
-            for _ in range(rounds):  # the noise and the spread of offsets set the ridge between them
-                inv = np.linalg.inv(a.T @ a + lam * np.eye(len(ids)))
-                out = inv @ a.T @ b
-                noise = max(np.mean((b - a @ out) ** 2), 1e-12)
-                lam = float(np.clip(noise / max(np.mean(out**2) + noise * np.trace(inv) / len(ids), 1e-12), 1e-4, 10))
-            out = out - np.average(out, weights=count)
-        return pd.DataFrame({ds: pdf[ds].iloc[0], "pass_id": ids, "offset": out})
-
-    return rows.groupBy(ds).applyInPandas(solve, f"{ds} {kinds[ds]}, pass_id {kinds['pass_id']}, offset double")
+    side = side.withColumns({"k": F.sum("m").over(w), "cx": F.sum("sx").over(w), "cy": F.sum("sy").over(w), "d": F.col("z") - F.sum("sz").over(w) / F.sum("m").over(w)})
+    even = cut(side.where(F.hypot(F.col("cx") / F.col("k") - F.col("x"), F.col("cy") / F.col("k") - F.col("y")) < 0.3 * radius).select(ds, "id", "pass_id", "other_pass_id", (F.col("m") / F.col("k")).alias("w"), "d"))
+    used = even.groupBy(ds, "pass_id").agg(F.count_distinct("id").cast("double").alias("u"))
+    share = even.groupBy(ds, "pass_id", "other_pass_id").agg(F.sum("w").alias("w")).join(used, [ds, "pass_id"]).select(ds, "pass_id", "other_pass_id", (F.col("w") / F.col("u")).alias("w"))
+    kind, of_pass = dict(points.dtypes)[ds], dict(points.dtypes)["pass_id"]
+    system = cut(share)
+
+    def solve(shares: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(shares):
+            return pd.DataFrame({ds: now[ds], "pass_id": now["pass_id"], "offset": now["offset"], "lam": now["lam"]})
+        now = now.sort_values("pass_id")
+        at = {v: i for i, v in enumerate(now["pass_id"])}
+        b, use = now["b"].to_numpy(float), now["b"].notna().to_numpy()
+        a = np.eye(len(at))
+        a[[at[v] for v in shares["pass_id"]], [at[v] for v in shares["other_pass_id"]]] -= shares["w"].to_numpy()
+        a, b = a[use], b[use]
+        gram, at_b = a.T @ a, a.T @ b
+        lam = now["lam"].iloc[0]
+        lam = _ridge(gram, at_b, b) if lam != lam else lam
+        step = np.linalg.solve(gram + lam * np.eye(len(at)), at_b)
+        step -= np.average(step, weights=now["n"])
+        return pd.DataFrame({ds: now[ds], "pass_id": now["pass_id"], "offset": now["offset"] + step, "lam": lam})
+
+    state = n.join(few, ds, "left_semi").select(ds, "pass_id", F.lit(0.0).alias("offset"), F.lit(float("nan")).alias("lam"))
+    for _ in range(rounds):
+        of = lambda c, o: state.select(ds, F.col("pass_id").alias(c), F.col("offset").alias(o))
+        q = even.join(of("other_pass_id", "beside"), [ds, "other_pass_id"]).groupBy(ds, "id", "pass_id").agg((F.first("d") + F.sum(F.col("w") * F.col("beside"))).alias("q")).join(of("pass_id", "own"), [ds, "pass_id"])
+        med = q.groupBy(ds, "pass_id").agg(F.percentile(F.col("q") - F.col("own"), F.lit(0.5)).alias("b"))
+        now = n.join(state, [ds, "pass_id"]).join(med, [ds, "pass_id"], "left")
+        state = cut(system.groupBy(ds).cogroup(now.groupBy(ds)).applyInPandas(solve, f"{ds} {kind}, pass_id {of_pass}, offset double, lam double"))
+    return state.select(ds, "pass_id", "offset")
 
 
 def detrend_passes(points: DataFrame, radius: float, ds: str = "ds") -> DataFrame:
