@@ -80,8 +80,10 @@ def pack(a: np.ndarray) -> bytes:
 
 
 def unpack(frame: bytes, kind=np.int64) -> np.ndarray:
+    """The numbers of a frame as one type, or, for kind None, as the short type they have in it."""
     planes = np.frombuffer(zstandard.decompress(memoryview(frame)[1:]), np.uint8).reshape(frame[0], -1)
-    return planes.T.copy().view(f"u{frame[0]}").reshape(-1).astype(kind)
+    short = planes.T.copy().view(f"u{frame[0]}").reshape(-1)
+    return short if kind is None else short.astype(kind)
 
 
 def _hashes(frame: bytes) -> np.ndarray:
@@ -228,7 +230,7 @@ def _answers(found: pa.Table, level: int, order: int) -> np.ndarray:
     """The answers to a block's n-grams of one order, in the order of their hashes; the last row marks those it owns."""
     fields = 1 if level == order else len(FIELDS)
     here = sorted((x for x in zip(found["level"].to_pylist(), found["shard"].to_pylist(), found["values"].to_pylist()) if x[0] == level), key=lambda x: x[1])
-    return np.concatenate([unpack(v).reshape(fields + 1, -1) for _, _, v in here], axis=1)
+    return np.concatenate([unpack(v, None).reshape(fields + 1, -1) for _, _, v in here], axis=1)
 
 
 def _sum_up(level: int, order: int):
