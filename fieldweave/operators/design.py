@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldweave.functions.lineage import cut
+
 
 def guards(fields: DataFrame, rates: list[float], blocks: int, width: float, ds: str = "ds") -> DataFrame:
     """DSN7: (ds, reason) of the fields that cannot take the trial; fields have vertices and extent across the strips."""
@@ -15,18 +22,66 @@ def guards(fields: DataFrame, rates: list[float], blocks: int, width: float, ds:
     return fields.select(ds, reason.alias("reason")).where("reason is not null")
 
 
-def direction(vertices: DataFrame, ds: str = "ds") -> DataFrame:
-    """DSN1: the bearing (degrees from the x axis, 0 to 180) of the long side of the least rectangle about the vertices.
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points, anticlockwise from the least; points on an edge are none."""
+    order = np.lexsort((y, x))
+    p = np.unique(np.stack([x[order], y[order]], axis=1), axis=0)
+    if len(p) < 3:
+        return p
+    chains = []
+    for way in (p.tolist(), p[::-1].tolist()):
+        chain = []
+        for a in way:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (a[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (a[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(a)
+        chains += chain[:-1]
+    return np.array(chains)
+
+
+#: Groups a log's partial hulls are dealt to before they become one.
+PARTS = 64
+
+
+def hull(points: DataFrame, ds: str = "ds") -> DataFrame:
+    """DSN6: (ds, k, x, y): the corners of the convex hull of each log's points, in order.
+
+    A hull of hulls is the hull: each task reduces its batches, groups of partial hulls reduce those,
+    and a log's last group holds the corners of ``PARTS`` hulls, whatever the number of its points.
+    """
+    kind = dict(points.dtypes)[ds]
+    out = f"{ds} {kind}, part long, k long, x double, y double"
+
+    def reduce(pdf: pd.DataFrame, part: int) -> pd.DataFrame:
+        made = []
+        for key, g in pdf.groupby(ds, sort=False):
+            h = _hull(g["x"].to_numpy(), g["y"].to_numpy())
+            made.append(pd.DataFrame({ds: key, "part": part, "k": np.arange(len(h)), "x": h[:, 0], "y": h[:, 1]}))
+        return pd.concat(made) if made else pd.DataFrame({ds: [], "part": [], "k": [], "x": [], "y": []})
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId()
+        for pdf in frames:
+            yield reduce(pdf, at % PARTS)
+
+    p = points.select(ds, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"{ds} is not null and x is not null and y is not null")
+    p = p.mapInPandas(batches, out).groupBy(ds, "part").applyInPandas(lambda pdf: reduce(pdf, pdf["part"].iloc[0]), out)
+    return p.groupBy(ds).applyInPandas(lambda pdf: reduce(pdf, 0), out).drop("part")
+
+
+def direction(points: DataFrame, ds: str = "ds") -> DataFrame:
+    """DSN1: the bearing (degrees from the x axis, 0 to 180) of the long side of the least rectangle about points, and its sides.
 
-    That rectangle has a side along an edge of the hull, so the angles between vertex pairs
-    are enough; a boundary has few vertices.
+    That rectangle has a side along an edge of the hull, so the edges' angles are tried on its corners:
+    points may be a boundary's vertices or all positions of a log.
     """
-    v = vertices.select(ds, "x", "y").distinct()
-    o = v.select(F.col(ds).alias("_ds"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pair = v.join(o, F.col(ds) == F.col("_ds")).where("x < x2 or (x = x2 and y < y2)")
-    ang = pair.select(ds, F.bround(F.pmod(F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x")), F.lit(3.141592653589793)), 9).alias("a")).distinct()
-    r = ang.join(v, ds)
-    u, w = F.col("x") * F.cos("a") + F.col("y") * F.sin("a"), F.col("y") * F.cos("a") - F.col("x") * F.sin("a")
+    v = cut(hull(points, ds))
+    n = v.groupBy(ds).agg(F.count(F.lit(1)).alias("n"))
+    to = v.select(ds, F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    edge = v.join(n, ds).withColumn("k2", (F.col("k") + 1) % F.col("n")).join(to, [ds, "k2"]).where("k <> k2")
+    ang = edge.select(ds, F.bround(F.pmod(F.atan2(F.col("y2") - F.col("y"), F.col("x2") - F.col("x")), F.lit(3.141592653589793)), 9).alias("a")).distinct()
+    r = ang.join(v.select(ds, F.col("x").alias("px"), F.col("y").alias("py")), ds)
+    u, w = F.col("px") * F.cos("a") + F.col("py") * F.sin("a"), F.col("py") * F.cos("a") - F.col("px") * F.sin("a")
     b = r.groupBy(ds, "a").agg((F.max(u) - F.min(u)).alias("l"), (F.max(w) - F.min(w)).alias("h"))
     best = b.groupBy(ds).agg(F.min(F.struct(F.bround(F.col("l") * F.col("h"), 6).alias("area"), "a", "l", "h")).alias("m"))
     return best.select(ds, F.pmod(F.degrees(F.col("m.a")) + F.when(F.col("m.l") >= F.col("m.h"), 0.0).otherwise(90.0), F.lit(180.0)).alias("angle"), F.greatest("m.l", "m.h").alias("long_m"), F.least("m.l", "m.h").alias("short_m"))

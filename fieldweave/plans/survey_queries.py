@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut
-from fieldweave.operators import grid, merge_tree, relief, surface
+from fieldweave.operators import design, grid, merge_tree, relief, surface
 from fieldweave.plans.log_queries import r4
 from fieldweave.sources.bench_log import rough_log, rough_sql
 
@@ -120,3 +120,9 @@ def ter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = rough_log(spark, sf_dir)
     geo = cut(surface.geometry(log))
     return r4(merge_tree.blocks(surface.surface(log, geo), geo))
+
+
+@register("dsn_log_direction")
+def dsn_log_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DSN1, DSN6: direction and sides of the least rectangle about all positions of a log."""
+    return r4(design.direction(rough_log(spark, sf_dir)))

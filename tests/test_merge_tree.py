@@ -102,7 +102,7 @@ def test_drainage_lines(spark):
 
 def test_blocks_and_findings(spark):
     square = lambda ds, r0, c0, n: [(ds, r, c) for r in range(r0, r0 + n) for c in range(c0, c0 + n)]
-    cells = spark.createDataFrame(square(1, 0, 0, 20) + square(1, 0, 40, 10) + square(1, 50, 0, 2) + square(2, 0, 0, 5) + square(3, 0, 0, 20) + square(3, 30, 30, 4), "ds long, row long, col long")
+    cells = spark.createDataFrame(square(1, 0, 0, 20) + square(1, 0, 40, 10) + square(1, 50, 0, 2) + square(2, 0, 0, 5) + square(3, 0, 0, 20) + square(3, 30, 30, 5), "ds long, row long, col long")
     got = {r.ds: r for r in merge_tree.blocks(cells, 10.0).collect()}
     assert (got[1].blocks, got[1].largest_ha, got[1].second_ha, got[1].separate) == (2, 4.0, 1.0, True)
     assert got[1].apart_m == pytest.approx(((100 - 450) ** 2 + (100 - 50) ** 2) ** 0.5)
@@ -121,3 +121,34 @@ def test_rings_cross_holes(spark):
     patch = spark.createDataFrame([(1, 0, 0, 7)], "ds long, row long, col long, label long")
     level = graph.grow_rings(patch, cut(cells)).first().level
     assert level == 94.0
+
+
+def test_hull_and_direction_of_many_points(spark):
+    """All points of logs of any shape, against hull edges found by trying every pair."""
+    import math
+
+    from fieldweave.operators import design
+
+    r = random.Random(8)
+    rows = []
+    for ds, turn in ((1, 0.3), (2, 1.9), (3, 0.0)):
+        for _ in range(300):
+            u, v = r.uniform(0, 90), r.uniform(0, 40)
+            rows.append((ds, u * math.cos(turn) - v * math.sin(turn), u * math.sin(turn) + v * math.cos(turn)))
+        rows += rows[-5:]
+    rows += [(4, 1.0, 1.0), (4, 3.0, 3.0), (4, 2.0, 2.0), (5, 7.0, 7.0), (6, None, 1.0)] + [(7, float(a), float(b)) for a in range(5) for b in range(3)]
+    df = spark.createDataFrame(rows, "ds long, x double, y double").repartition(6)
+    corners = {}
+    for row in design.hull(df).orderBy("ds", "k").collect():
+        corners.setdefault(row.ds, []).append((row.x, row.y))
+    left = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    for ds in (1, 2, 3, 7):
+        p = sorted({(x, y) for d, x, y in rows if d == ds})
+        edges = {(a, b) for a in p for b in p if a != b and all(left(a, b, q) > 0 or (left(a, b, q) == 0 and min(a, b) <= q <= max(a, b)) for q in p)}
+        c = corners[ds]
+        assert set(zip(c, c[1:] + c[:1])) == edges
+    assert corners[4] == [(1.0, 1.0), (3.0, 3.0)] and corners[5] == [(7.0, 7.0)] and 6 not in corners
+    got = {row.ds: row for row in design.direction(df).collect()}
+    assert got[7].angle == 0 and (got[7].long_m, got[7].short_m) == (4.0, 2.0)
+    assert abs(got[1].angle - math.degrees(0.3)) < 3 and abs(got[2].angle - math.degrees(1.9)) < 3
+    assert got[4].angle == pytest.approx(45) and 5 not in got
