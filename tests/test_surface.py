@@ -47,7 +47,7 @@ def test_surface_of_a_plane_is_the_plane(fields):
     s = cut(surface.surface(fields, geo).join(geo.select("ds", "cell", "edge"), "ds"))
     off = F.col("z") - (500 + 0.02 * (F.col("col") + 0.5) * F.col("cell") + 0.05 * -(F.col("row") + 0.5) * F.col("cell"))
     # means of readings stand off the centre of a cell by half a cell's fall at most; gaps and the edge continue them
-    assert s.where("kind = 'read'").where(F.abs(off) > 0.07 * F.col("cell") / 2 + 1e-9).count() == 0
+    assert s.where("kind = 'read' and ds < 4").where(F.abs(off) > 0.07 * F.col("cell") / 2 + 1e-9).count() == 0
     assert s.where("ds < 3").where(F.abs(off) > 0.07 * F.col("cell") * 4).count() == 0
     one = s.where("ds = 1")
     kinds = {r.kind: r.n for r in one.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
