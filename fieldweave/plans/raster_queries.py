@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldweave.functions.lineage import cut
 from fieldweave.operators import grid
 from fieldweave.plans.log_queries import r4
-from fieldweave.plans.source_queries import CELLS
-from fieldweave.sources import rasters
+from fieldweave.plans.source_queries import CELLS, GEO, HEADER, _geo
+from fieldweave.plans.source_queries import _le as le
+from fieldweave.sources import rasters, task_registers
 from fieldweave.sources.bench_log import bench_log, sql
 
 QUERIES, SQL = {}, {}
@@ -91,3 +93,33 @@ def src_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC18: oblong, foot, rotated and square rasters on square metre cells, bilinear or by block average."""
     cells, meta = _raster(spark, sf_dir, 4)
     return r4(rasters.regrid(cells, meta, most=MOST)[1], digits=6)
+
+
+_XML = "<ISO11783_TaskData VersionMajor=\"4\">"
+
+
+@register("src_task_register", GEO + """,
+v AS (SELECT *, CAST(floor(ds / 3e0) AS BIGINT) AS register FROM g),
+w AS (SELECT register, ds, min(lon) AS w, max(lon) AS e, min(lat) AS s, max(lat) AS n FROM v GROUP BY ALL)
+SELECT register, 'TSK' || ds AS task, 'task ' || ds AS label, 'log' AS kind, seq, round(CAST(round(lon * 1e7) AS BIGINT) * 1e-7, 7) AS lon, round(CAST(round(lat * 1e7) AS BIGINT) * 1e-7, 7) AS lat, round(CAST(round(value * 100) AS BIGINT) * 1e-2, 6) + 0e0 AS value FROM v WHERE register % 3 = 0
+UNION ALL SELECT register, 'TSK' || ds, 'task ' || ds, 'grid', seq, round(-105 + (seq + 0.5e0) * 1e-4, 7), 50.00005e0, seq * 7 % 1000 / 1e2 FROM v WHERE register % 3 = 1
+UNION ALL SELECT register, NULL, 'field ' || ds, 'boundary', k, round(CASE WHEN k IN (0, 3) THEN w ELSE e END, 7), round(CASE WHEN k < 2 THEN s ELSE n END, 7), NULL FROM w, (SELECT unnest(range(4)) AS k) WHERE register % 3 = 2""")
+def src_task_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC10, SRC14: registers of three logs each, one in three without logs and one in three without grids too."""
+    g = _geo(spark, sf_dir).withColumn("reg", F.floor(F.col("ds") / 3))
+    c, own = F.col, lambda fmt, *cols: F.format_string(fmt, *[F.col(x) for x in cols])
+    folder = lambda name: F.concat(own("r%d/", "reg"), name)
+    ordered = lambda h: F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", h.alias("h")))), lambda s: s["h"]), ""))
+    record = F.concat(le(F.pmod(c("seq") * 2000, F.lit(86_400_000)), 4), le(F.lit(16000), 2), le(F.round(c("lat") * 1e7), 4), le(F.round(c("lon") * 1e7), 4), le(F.lit(0), 4), F.lit("010100"), le(F.round(c("value") * 100), 4))
+    logs = g.where("reg % 3 = 0").groupBy("reg", "ds").agg(ordered(record).alias("content"))
+    grids = g.where("reg % 3 < 2").groupBy("reg", "ds").agg(ordered(le(c("seq") * 7 % 1000, 4)).alias("content"))
+    box = g.groupBy("reg", "ds").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"), F.count(F.lit(1)).alias("rows"))
+    corner = lambda y, x: own('<PNT A="2" C="%.9f" D="%.9f"/>', y, x)
+    ring = F.concat(own('<PFD A="PFD%d" C="field %d"><PLN A="1"><LSG A="1">', "ds", "ds"), corner("s", "w"), corner("s", "e"), corner("n", "e"), corner("n", "w"), F.lit("</LSG></PLN></PFD>"))
+    named = F.concat(F.when(c("reg") % 3 == 0, own('<TLG A="TLG%d"/>', "ds")).otherwise(""), F.when(c("reg") % 3 < 2, own('<GRD A="50.0" B="-105.0" C="0.0001" D="0.0001" E="%d" F="1" G="GRD%d" I="2"/>', "rows", "ds")).otherwise(""))
+    text = F.concat(ring, own('<TSK A="TSK%d" B="task %d">', "ds", "ds"), named, F.lit("</TSK>"))
+    register_ = box.groupBy("reg").agg(F.array_join(F.sort_array(F.collect_list(text)), "").alias("t")).select(folder(F.lit("TASKDATA.XML")).alias("path"), F.concat(F.lit(_XML), "t", F.lit("</ISO11783_TaskData>")).cast("binary").alias("content"))
+    files = register_.unionByName(logs.select(folder(own("TLG%d.bin", "ds")).alias("path"), "content")).unionByName(logs.select(folder(own("TLG%d.xml", "ds")).alias("path"), F.lit(HEADER).cast("binary").alias("content"))).unionByName(grids.select(folder(own("GRD%d.BIN", "ds")).alias("path"), "content"))
+    points, _ = task_registers.read(cut(files))
+    reg = F.regexp_extract("ds", r"r(-?\d+)/", 1).cast("long")
+    return points.select(reg.alias("register"), "task", "label", "kind", "seq", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), (F.round("value", 6) + F.lit(0.0)).alias("value"))
