@@ -39,57 +39,55 @@ def within(left: DataFrame, right: DataFrame, radius: float, ds: str = "ds") ->
     return a.join(b, on).withColumn("dist", dist).where(F.col("dist") <= radius).drop("_ds", "_row", "_col", "nrow", "ncol", "row", "col")
 
 
-def knn(points: DataFrame, k: int, ds: str = "ds", max_rounds: int = 12) -> DataFrame:
+#: Points that a cell of the first round holds, in neighbours asked for: few enough to rank, enough that most settle.
+CELL_SHARE = 0.7
+
+
+def knn(points: DataFrame, k: int, ds: str = "ds") -> DataFrame:
     """JN4: the k nearest other points of each point (ds, id, x, y, ...), ties by id.
 
-    Returns the point's columns, the neighbours' as other_*, d2 and rank.  Cells hold about k
-    points; a point is settled when its k-th distance does not exceed the distance to the edge
-    of the block that was searched (or when the block holds its whole log); the others search
-    a block of twice as many rings.  Every round reads only what is open.  In the first round,
-    which settles most points, the neighbours are sent to the cells about them and the points
-    stay in theirs, so that a point's candidates meet where they are ranked, without a shuffle.
+    Returns the point's columns, the neighbours' as other_*, d2 and rank.  A point looks at the nine cells about
+    it and ranks what is nearer than the edge of that block; with k of those (or the whole log in the block) it is
+    settled.  The others look again on a grid of coarser cells, nine at a time however far away they lie.  The first
+    cell follows the spread of the middle nine tenths, so stray fixes do not widen it, and the last holds the log.
+    In the first round, which settles most points, the neighbours are sent to the cells about them and the points
+    stay in theirs, so that candidates meet where they are ranked, without a shuffle.  A point without a
+    position, and the only one of its log, has no row.
     """
-    box = points.groupBy(ds).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    side = F.sqrt(F.greatest(area, F.lit(1e-12)) * k / F.col("n"))
-    long_side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    box = box.withColumn("size", F.greatest(side, long_side / 2000, F.lit(1e-6))).withColumn("span", F.floor(long_side / F.col("size")).cast("int") + 1)
+    placed = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    q = lambda c: F.percentile_approx(c, F.array(F.lit(0.05), F.lit(0.95)), 1000)
+    box = placed.groupBy(ds).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"), q("x").alias("_qx"), q("y").alias("_qy"))
+    w, h, each = (F.col("_qx")[1] - F.col("_qx")[0]) / 0.9, (F.col("_qy")[1] - F.col("_qy")[0]) / 0.9, CELL_SHARE * k / F.col("_n")
+    span = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    # a log along a line has no area
+    box = box.select(ds, "_n", "_x0", "_y0", span.alias("_span"), F.greatest(F.sqrt(w * h * each), F.greatest(w, h) * each, span / 2**20, F.lit(1e-6)).alias("_size"))
     # one row a log
-    p = points.join(box.select(ds, "size", "x0", "y0", "span", "n"), ds)
-    p = p.withColumns({"row": cell("y", F.col("size"), F.col("y0")), "col": cell("x", F.col("size"), F.col("x0"))})
+    p = cut(placed.join(box, ds))
     cols = [c for c in points.columns if c != ds]
-    b = p.select(F.col(ds).alias("_ds"), *[F.col(c).alias(f"other_{c}") for c in cols], F.col("row").alias("_row"), F.col("col").alias("_col"))
-    open_, done, rings = p, None, 1
-    for step in range(max_rounds):
-        last = step == max_rounds - 1
+    open_, done, step = p.where("_n > 1"), None, 0
+    while True:
+        size = F.col("_size") * F.lit(float(1 if step == 0 else 2 ** (2 * step - 1)))
+        keyed = lambda d: d.withColumns({"row": cell("y", size, F.col("_y0")), "col": cell("x", size, F.col("_x0"))})
+        u, v = F.col("x") - F.col("_x0") - F.col("col") * size, F.col("y") - F.col("_y0") - F.col("row") * size
+        edge = (F.least(u, size - u, v, size - v) + size) * (1 - 1e-9)
+        a = keyed(open_).withColumns({"_all": F.floor(F.col("_span") / size) <= 1, "_edge2": edge * edge})
+        b = keyed(p)
         if step == 0:
-            a = open_.withColumns({"nrow": F.col("row"), "ncol": F.col("col")})
-            sent = around(b.withColumnsRenamed({"_row": "row", "_col": "col"}), rings).drop("row", "col").withColumnsRenamed({"nrow": "_row", "ncol": "_col"})
+            a, b = a.withColumns({"nrow": F.col("row"), "ncol": F.col("col")}), around(b)
         else:
-            a, sent = around(open_, rings if not last else F.col("span")), b
+            a, b = around(a), b.withColumns({"nrow": F.col("row"), "ncol": F.col("col")})
+        b = b.select(F.col(ds).alias("_ds"), *[F.col(c).alias(f"other_{c}") for c in cols], F.col("nrow").alias("_row"), F.col("ncol").alias("_col"))
         home = [ds, "nrow", "ncol", "id"] if step == 0 else [ds, "id"]
-        w = Window.partitionBy(*home).orderBy("d2", "other_id")
-        on = (F.col(ds) == F.col("_ds")) & (F.col("nrow") == F.col("_row")) & (F.col("ncol") == F.col("_col")) & (F.col("id") != F.col("other_id"))
         d2 = (F.col("x") - F.col("other_x")) * (F.col("x") - F.col("other_x")) + (F.col("y") - F.col("other_y")) * (F.col("y") - F.col("other_y"))
-        got = a.join(sent, on).withColumn("d2", d2).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        edge = F.least(
-            F.col("x") - F.col("x0") - (F.col("col") - rings) * F.col("size"), (F.col("col") + rings + 1) * F.col("size") - (F.col("x") - F.col("x0")),
-            F.col("y") - F.col("y0") - (F.col("row") - rings) * F.col("size"), (F.col("row") + rings + 1) * F.col("size") - (F.col("y") - F.col("y0")),
-        )
-        per = Window.partitionBy(*home)
-        full = (F.count(F.lit(1)).over(per) >= F.least(F.lit(k), F.col("n") - 1)) & (F.sqrt(F.max("d2").over(per)) <= edge)
-        got = got.withColumn("_ok", F.lit(True) if last else full | (F.lit(rings) >= F.col("span")))
-        got = cut(got) if not last else got
-        out = got.where("_ok").select(ds, *cols, *[f"other_{c}" for c in cols], "d2", "rank")
-        got_ids = out.select(ds, "id").distinct()
+        on = (F.col(ds) == F.col("_ds")) & (F.col("nrow") == F.col("_row")) & (F.col("ncol") == F.col("_col")) & (F.col("id") != F.col("other_id")) & (F.col("_all") | (d2 < F.col("_edge2")))
+        near = a.join(b, on).withColumn("d2", d2).withColumn("rank", F.row_number().over(Window.partitionBy(*home).orderBy("d2", "other_id"))).where(F.col("rank") <= k)
+        near = near.withColumn("_ok", F.col("_all") | (F.count(F.lit(1)).over(Window.partitionBy(*home)) >= F.least(F.lit(k), F.col("_n") - 1)))
+        out = cut(near.where("_ok").select(ds, *cols, *[f"other_{c}" for c in cols], "d2", "rank"))
         done = out if done is None else done.unionByName(out)
-        if last:
-            break
-        open_ = cut(open_.join(got_ids, [ds, "id"], "left_anti"))
-        if open_.where(F.col("n") > 1).isEmpty():
-            break
-        open_, rings = open_.where(F.col("n") > 1), rings * 2
-    return done
+        open_ = cut(open_.join(out.where("rank = 1").select(ds, "id"), [ds, "id"], "left_anti"))
+        if open_.isEmpty():
+            return done
+        step += 1
 
 
 def pairs_across_passes(points: DataFrame, radius: float, ds: str = "ds", max_pairs: float | None = None) -> DataFrame:

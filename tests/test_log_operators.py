@@ -87,6 +87,22 @@ def test_knn_with_ties_and_lonely_points(spark):
         assert [j for _, j in sorted(got[(ds, i)])] == [j for _, j in near]
 
 
+def test_knn_far_from_a_stray_fix_and_along_a_line(spark):
+    """Stray fixes 40 km away, a log along a line, repeated positions, a lone point, points without a position."""
+    r0 = random.Random(5)
+    pts = [("a", i, float(x), float(y)) for i, (x, y) in enumerate((r0.uniform(0, 300), r0.uniform(0, 300)) for _ in range(400))] + [("a", 400, 40_000.0, 10.0), ("a", 401, 40_001.0, 10.0), ("a", 402, -9_000.0, 3.0)]
+    pts += [("line", i, 2.5 * i, 7.0) for i in range(120)] + [("same", i, 1.0, 1.0) for i in range(9)] + [("lone", 0, 3.0, 3.0), ("a", 500, None, 1.0), ("a", 501, 1.0, float("nan"))]
+    got = {}
+    for r in spatial.knn(spark.createDataFrame(pts, "ds string, id long, x double, y double"), 5).collect():
+        got.setdefault((r["ds"], r["id"]), []).append((r["rank"], r["other_id"]))
+    want = {}
+    for ds, i, x, y in pts:
+        if x is not None and y == y and ds != "lone":
+            near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for d, j, u, v in pts if d == ds and j != i and u is not None and v == v)
+            want[ds, i] = [(n + 1, j) for n, (_, j) in enumerate(near[:5])]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_levels_under_noise(spark):
     r = random.Random(1)
     rows = [(1, lv + r.gauss(0, 2.0)) for lv in (0, 60, 120, 180, 240) for _ in range(400)] + [(2, 90.0)] * 10 + [(3, r.uniform(0, 100)) for _ in range(2000)]
