@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions.lineage import cut, scratch
 from fieldweave.operators import grid
 from fieldweave.plans.log_queries import r4
-from fieldweave.sources import files, sinks
+from fieldweave.sources import files, makers, sinks
 from fieldweave.sources.bench_log import bench_log, sql
 
 QUERIES, SQL = {}, {}
@@ -102,15 +102,15 @@ def src_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("src_maker", """
-n AS (SELECT DISTINCT ds FROM log), s AS (SELECT ds, CASE ds % 3 WHEN 0 THEN 'ag_leader' WHEN 1 THEN 'john_deere' ELSE 'raven' END AS maker, CASE ds % 3 WHEN 0 THEN 6e0 WHEN 1 THEN 3e0 ELSE 2.5e0 END AS score, CASE ds % 3 WHEN 1 THEN 0.5e0 ELSE 1e0 END AS share FROM n)
-SELECT ds, CASE WHEN ds % 3 = 1 THEN 'ag_leader' ELSE maker END AS maker, round(share * least(1, score / 5), 4) AS confidence FROM s""")
+n AS (SELECT DISTINCT ds FROM log), s AS (SELECT ds, CASE ds % 4 WHEN 0 THEN 'ag_leader' WHEN 1 THEN 'john_deere' WHEN 2 THEN 'raven' ELSE 'generic' END AS maker, CASE ds % 4 WHEN 0 THEN 9e0 WHEN 1 THEN 3e0 WHEN 2 THEN 2.5e0 ELSE 0e0 END AS score, CASE ds % 4 WHEN 0 THEN 9e0 / 9.5e0 WHEN 1 THEN 0.5e0 WHEN 2 THEN 2.5e0 / 3 ELSE 0e0 END AS share FROM n)
+SELECT ds, maker, round(share * least(1, score / 5), 4) AS confidence FROM s""")
 def src_maker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC16: makers by signature columns and path."""
-    logs = bench_log(spark, sf_dir).select("ds").distinct()
-    # two columns of one maker; one column that two makers have; a path alone
-    name = F.when(F.col("ds") % 3 == 2, F.concat(F.lit("exports/viper/"), F.col("ds"))).otherwise(F.concat(F.lit("x/"), F.col("ds")))
-    own = F.when(F.col("ds") % 3 == 0, F.array(F.lit("Obj__Id"), F.lit("Track(deg)"), F.lit("Other"))).when(F.col("ds") % 3 == 1, F.array(F.lit("Yld_Vol_Dr"), F.lit("Lon"))).otherwise(F.array(F.lit("Rate")))
-    m = files.detect_maker(logs.select(name.alias("ds"), F.explode(own).alias("column")))
+    """SRC16: makers by signature columns, hints and path."""
+    logs, k = bench_log(spark, sf_dir).select("ds").distinct(), F.col("ds") % 4
+    # columns of one maker beside a hint at another; a column that two makers have; a path and a hint at another; nothing
+    name = F.when(k == 2, F.concat(F.lit("exports/viper/"), F.col("ds"))).otherwise(F.concat(F.lit("x/"), F.col("ds")))
+    own = F.when(k == 0, F.array(F.lit("Obj__Id"), F.lit("Track(deg)"), F.lit("Hybrid"))).when(k == 1, F.array(F.lit("Yld_Vol_Dr"), F.lit("Lon"))).when(k == 2, F.array(F.lit("Rate"))).otherwise(F.array(F.lit("Lon")))
+    m = makers.detect_maker(logs.select(name.alias("ds"), F.explode(own).alias("column")))
     return m.select(F.regexp_extract("ds", r"(\d+)$", 1).cast("long").alias("ds"), "maker", F.round("confidence", 4).alias("confidence"))
 
 

@@ -158,32 +158,6 @@ def guess_operation(points: DataFrame, ds: str = "ds", tolerance: float = 1e-6)
     )
 
 
-# Names and path parts that tell a maker.
-MAKERS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "john_deere": (("vryieldvol", "vryieldmass", "yld_vol_dr", "yld_mass_d"), ("rcd", "gs3_2630", "operations_center")),
-    "ag_leader": (("obj_id", "swth_wdth", "yld_vol_dr", "yld_mass_w", "track_deg"), ("sms", "agleader")),
-    "raven": (("vipertarget", "viper_rate", "prod_rate", "boom_section"), ("viper", "raven")),
-    "trimble": (("agdata_id", "tgt_rate_o"), ("fmx", "gfx", "trimble")),
-    "bourgault": (("x35_rate", "tank_1_rate", "tank_2_rate"), ("bourgault", "x35")),
-    "augmenta": (("session_id", "vigor", "crop_coverage"), ("augmenta",)),
-    "isoxml": (("ddi", "tlg", "grd"), ("taskdata",)),
-}
-COLUMN_WEIGHT, PATH_WEIGHT = 3.0, 2.5
-
-
-def detect_maker(columns: DataFrame, ds: str = "ds") -> DataFrame:
-    """SRC16: (ds, maker, confidence) from (ds, column): weights of signature columns and path parts, share times min(1, score / 5)."""
-    rows = [(m, "column", c, COLUMN_WEIGHT) for m, (cs, _) in MAKERS.items() for c in cs] + [(m, "path", p, PATH_WEIGHT) for m, (_, ps) in MAKERS.items() for p in ps]
-    sig = columns.sparkSession.createDataFrame(rows, "maker string, kind string, mark string, weight double")  # a fixed list
-    norm = F.regexp_replace(F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "_"), "^_|_$", "")
-    cols = columns.select(ds, norm.alias("mark")).distinct().join(F.broadcast(sig.where("kind = 'column'")), "mark").select(ds, "maker", "mark", "weight")
-    path = columns.select(ds).distinct().join(F.broadcast(sig.where("kind = 'path'")), F.contains(F.lower(F.col(ds).cast("string")), F.col("mark"))).select(ds, "maker", "mark", "weight")
-    s = cols.unionByName(path).groupBy(ds, "maker").agg(F.sum("weight").alias("score"))
-    w = Window.partitionBy(ds)
-    s = s.withColumns({"share": F.col("score") / F.sum("score").over(w), "_k": F.row_number().over(w.orderBy(F.desc("score"), "maker"))})
-    return s.where("_k = 1").select(ds, "maker", (F.col("share") * F.least(F.lit(1.0), F.col("score") / 5)).alias("confidence"))
-
-
 # -- nested text -------------------------------------------------------------------------
 
 _COORDS = "array<double>"

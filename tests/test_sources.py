@@ -5,7 +5,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from fieldweave.sources import files, schema, sinks
+from fieldweave.sources import files, makers, schema, sinks
 from fieldweave.streaming import live
 
 
@@ -76,8 +76,12 @@ def test_nodata_and_quarantine(spark, tmp_path):
 
 def test_maker_value_and_operation(spark):
     cols = spark.createDataFrame([("sms/a.csv", "Obj__Id"), ("sms/a.csv", "Track_deg_"), ("b.csv", "Tank 1 Rate"), ("c.csv", "foo")], "ds string, column string")
-    m = {r["ds"]: r for r in files.detect_maker(cols).collect()}
-    assert m["sms/a.csv"]["maker"] == "ag_leader" and m["sms/a.csv"]["confidence"] == 1.0 and m["b.csv"]["maker"] == "bourgault" and "c.csv" not in m
+    m = {r["ds"]: r for r in makers.detect_maker(cols).collect()}
+    assert m["sms/a.csv"]["maker"] == "ag_leader" and m["sms/a.csv"]["confidence"] == 1.0 and m["b.csv"]["maker"] == "bourgault" and tuple(m["c.csv"]) == ("c.csv", "generic", 0.0)
+    more = spark.createDataFrame([("x/1", "Yld_Vol_Dr"), ("Väderstad/2", "Row"), ("a/b.JDF", "Client"), ("d/taskdata.xml", "foo")], "ds string, column string")
+    m = {r["ds"]: (r["maker"], round(r["confidence"], 3)) for r in makers.detect_maker(more).collect()}
+    # a tie goes to the first maker; a mark listed twice counts twice; an extension and a hint; four marks of one path
+    assert m == {"x/1": ("john_deere", 0.3), "Väderstad/2": ("vaderstad", 1.0), "a/b.JDF": ("john_deere", 0.5), "d/taskdata.xml": ("isoxml", 1.0)}
     p = spark.createDataFrame([("h1", 1.0, 5.0, None), ("h1", 2.0, 5.0, None), ("r2", None, 1.0, 7.0)], "ds string, a double, b double, value double")
     assert {r["ds"]: r["column"] for r in files.pick_value(p).collect()} == {"h1": "a", "r2": "value"}
     o = spark.createDataFrame([("x/seed.csv", 1.0, None), ("y.csv", 1.0, 1.0)], "ds string, value double, target_rate double")
