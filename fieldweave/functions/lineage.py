@@ -1,4 +1,4 @@
-"""Cutting a plan that several later steps read, and the folder for what is written on the way."""
+"""Cutting a plan that several later steps read, the folder for what is written on the way, and joins by cell."""
 
 from __future__ import annotations
 
@@ -36,3 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """df for a join by cell or point, which sorts both sides and sends neither to the driver.
+
+    Spark's estimates do not count the rows that explode adds, nor how tightly Parquet packs cells, so it
+    would take tables of many million rows for small ones and broadcast them.
+    """
+    return df.hint("merge")

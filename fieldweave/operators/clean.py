@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 from fieldweave.operators import spatial, track
 
 #: Step order.
@@ -132,7 +132,7 @@ def swath_partial(df: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
     good = F.when(F.col("swath_m") > 0, F.col("swath_m"))
     ref = df.groupBy(ds).agg(F.percentile(good, F.lit(0.9)).alias("_p90"), F.count(good).alias("_n"))
     bad = (F.col("_n") >= 10) & F.coalesce((F.col("swath_m") <= 0) | (F.col("swath_m") < F.lit(float(p["min_fraction"])) * F.col("_p90")), F.lit(True))
-    return df.join(ref, ds).withColumn("f_swath_partial", bad).drop("_p90", "_n")
+    return df.join(keyed(ref), ds).withColumn("f_swath_partial", bad).drop("_p90", "_n")
 
 
 def pass_ends(p: dict, ds: str = "ds") -> Column:
@@ -166,7 +166,7 @@ def coverage(df: DataFrame, ds: str = "ds", max_cells: float = 24e6) -> DataFram
     grow = F.greatest(F.lit(0), F.ceil(F.log(cells / F.lit(max_cells)) / F.log(F.lit(2.25)))).cast("double")
     box = box.withColumn("cell", F.when(cells > max_cells, F.col("cell") * F.pow(F.lit(1.5), grow)).otherwise(F.col("cell")))
     box = box.withColumn("samples", F.greatest(F.lit(3), F.ceil(F.col("med") / F.col("cell")) + 1).cast("int"))
-    j = v.join(box, ds).select(ds, "rn", "x", "y", "swath_m", F.radians(F.coalesce("heading_deg", F.lit(0.0))).alias("h"), "cell", "samples", (F.col("x0") - F.col("med")).alias("ox"), (F.col("y0") - F.col("med")).alias("oy"), F.explode(F.expr("sequence(0, samples - 1)")).alias("k"))
+    j = v.join(keyed(box), ds).select(ds, "rn", "x", "y", "swath_m", F.radians(F.coalesce("heading_deg", F.lit(0.0))).alias("h"), "cell", "samples", (F.col("x0") - F.col("med")).alias("ox"), (F.col("y0") - F.col("med")).alias("oy"), F.explode(F.expr("sequence(0, samples - 1)")).alias("k"))
     off = F.col("swath_m") * (F.col("k") / (F.col("samples") - 1) - 0.5)
     at = lambda c, o, p: F.floor((F.col(c) + p * off - F.col(o)) / F.col("cell")).cast("long")
     return j.select(ds, "rn", "k", "cell", at("y", "oy", -F.sin("h")).alias("row"), at("x", "ox", F.cos("h")).alias("col"))
@@ -193,7 +193,7 @@ def boundary(df: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
     near = mid.select(ds, "rn", "cell", "row", "col", F.explode(F.sequence(-r, r)).alias("dr")).select("*", F.explode(F.sequence(-r, r)).alias("dc"))
     near = near.where(F.hypot("dr", "dc") * F.col("cell") < float(p["buffer_m"]))
     look = near.select(ds, "rn", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    return look.join(covered.select(ds, "row", "col"), [ds, "row", "col"], "left_anti").select(ds, "rn").distinct()
+    return look.join(keyed(covered.select(ds, "row", "col")), [ds, "row", "col"], "left_anti").select(ds, "rn").distinct()
 
 
 def global_outlier(alive: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
@@ -211,7 +211,7 @@ def local_outlier(alive: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
     pts = alive.where("x is not null and y is not null").select(ds, F.col("rn").alias("id"), "x", "y", "value")
     k = int(p["k_neighbors"])
     enough = pts.groupBy(ds).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("med")).where(F.col("n") >= k + 1)
-    pts = pts.join(enough, ds)
+    pts = pts.join(keyed(enough), ds)
     floor = pts.groupBy(ds).agg((F.percentile(F.abs(F.col("value") - F.col("med")), F.lit(0.5)) * 1.4826 * 0.1).alias("floor"))
     near = spatial.knn(cut(pts.select(ds, "id", "x", "y", "value")), k, ds).select(ds, "id", F.col("value").alias("own"), F.col("other_value").alias("v"))
     med = near.groupBy(ds, "id").agg(F.first("own").alias("own"), F.percentile("v", F.lit(0.5)).alias("m"), F.collect_list("v").alias("vs"))
@@ -219,7 +219,7 @@ def local_outlier(alive: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
     dev = F.array_sort(F.transform("vs", lambda v: F.abs(v - F.col("m"))))
     n = F.size("dev")
     mid = (F.element_at("dev", F.floor((n + 1) / 2).cast("int")) + F.element_at("dev", F.floor(n / 2).cast("int") + 1)) / 2
-    scored = med.withColumn("dev", dev).withColumn("mad", mid).join(floor, ds)
+    scored = med.withColumn("dev", dev).withColumn("mad", mid).join(keyed(floor), ds)
     scale = F.greatest(F.col("mad") * 1.4826, F.col("floor"))
     return scored.select(ds, F.col("id").alias("rn"), F.try_divide(F.abs(F.col("own") - F.col("m")), scale).alias("score"))
 
@@ -264,21 +264,21 @@ def run(points: DataFrame, preset: str | dict = "harvest", ds: str = "ds") -> Da
     if "overlap" in on and {"x", "y"} <= has:
         limit = float(on["overlap"]["max_overlap_pct"]) / 100
         over = overlap(df, on["overlap"], ds).where(F.col("overlap") > limit).select(ds, "rn", F.lit("overlap").alias("_r"))
-        df = df.join(over, [ds, "rn"], "left").withColumn("removal_reason", F.coalesce("removal_reason", "_r")).drop("_r")
+        df = df.join(keyed(over), [ds, "rn"], "left").withColumn("removal_reason", F.coalesce("removal_reason", "_r")).drop("_r")
     if "boundary" in on and float(on["boundary"]["buffer_m"] or 0) > 0:
         edge = boundary(df, on["boundary"], ds).select(ds, "rn", F.lit("boundary").alias("_r"))
-        df = df.join(edge, [ds, "rn"], "left").withColumn("removal_reason", F.coalesce("removal_reason", "_r")).drop("_r")
+        df = df.join(keyed(edge), [ds, "rn"], "left").withColumn("removal_reason", F.coalesce("removal_reason", "_r")).drop("_r")
     if "global_outlier" in on or "local_outlier" in on:
         df = cut(df)  # the survivors: what follows reads them several times
     if "global_outlier" in on:
         lim = global_outlier(df.where("removal_reason is null"), on["global_outlier"], ds)
         bad = (F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))
-        df = df.join(lim, ds, "left").withColumn("removal_reason", F.coalesce("removal_reason", F.when(bad, F.lit("global_outlier")))).drop("lo", "hi")
+        df = df.join(keyed(lim), ds, "left").withColumn("removal_reason", F.coalesce("removal_reason", F.when(bad, F.lit("global_outlier")))).drop("lo", "hi")
     if "local_outlier" in on:
         df = cut(df)
         score = local_outlier(df.where("removal_reason is null"), on["local_outlier"], ds)
         far = score.where(F.col("score") > float(on["local_outlier"]["threshold"])).select(ds, "rn", F.lit("local_outlier").alias("_r"))
-        df = df.join(far, [ds, "rn"], "left").withColumn("removal_reason", F.coalesce("removal_reason", "_r")).drop("_r")
+        df = df.join(keyed(far), [ds, "rn"], "left").withColumn("removal_reason", F.coalesce("removal_reason", "_r")).drop("_r")
     return df
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 
 MAX_ROUNDS = 2000
 
@@ -32,12 +32,12 @@ def components(edges: DataFrame, ds: str = "ds") -> DataFrame:
         turned = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
         both = cur.select(ds, turned).select(ds, "e.a", "e.b")
         least = both.groupBy(ds, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, [ds, "a"]).select(ds, F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.where("b > a").join(keyed(least), [ds, "a"]).select(ds, F.col("m").alias("a"), "b").where("a <> b").distinct()
         least = large.groupBy(ds, "b").agg(F.min("a").alias("m"))
-        cur = cut(large.join(least, [ds, "b"]).select(ds, F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
+        cur = cut(large.join(keyed(least), [ds, "b"]).select(ds, F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct())
         # stars: each node has one edge, to a node that has none of its own
         roots = cur.select(ds, F.col("a").alias("b")).distinct()
-        if cur.join(roots, [ds, "b"], "left_semi").isEmpty() and cur.groupBy(ds, "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        if cur.join(keyed(roots), [ds, "b"], "left_semi").isEmpty() and cur.groupBy(ds, "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             return cur.select(ds, F.col("b").alias("node"), F.col("a").alias("root"))
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
@@ -47,11 +47,11 @@ def cell_components(cells: DataFrame, min_cells: int = 1, ds: str = "ds") -> Dat
     c = cells.select(ds, "row", "col", cell_id().alias("id"))
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     nb = c.select(ds, F.col("id").alias("a"), "row", "col", o.alias("o")).select(ds, "a", (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
-    edges = nb.join(c, [ds, "row", "col"]).select(ds, "a", F.col("id").alias("b"))
+    edges = nb.join(keyed(c), [ds, "row", "col"]).select(ds, "a", F.col("id").alias("b"))
     roots = components(edges, ds)
-    lab = c.join(roots.withColumnRenamed("node", "id"), [ds, "id"], "left").select(ds, "row", "col", F.coalesce("root", "id").alias("root"))
+    lab = c.join(keyed(roots.withColumnRenamed("node", "id")), [ds, "id"], "left").select(ds, "row", "col", F.coalesce("root", "id").alias("root"))
     n = lab.groupBy(ds, "root").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= min_cells)
-    return lab.join(n, [ds, "root"]).select(ds, "row", "col", F.col("root").alias("label"), "cells")
+    return lab.join(keyed(n), [ds, "root"]).select(ds, "row", "col", F.col("root").alias("label"), "cells")
 
 
 def accumulate(pointers: DataFrame, ds: str = "ds") -> DataFrame:
@@ -66,7 +66,7 @@ def accumulate(pointers: DataFrame, ds: str = "ds") -> DataFrame:
             return cur.select(ds, "id", "acc")
         got = cur.where("ptr is not null").groupBy(ds, F.col("ptr").alias("id")).agg(F.sum("acc").alias("more"))
         nxt = cur.select(ds, F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        cur = cut(cur.join(got, [ds, "id"], "left").join(nxt, [ds, "ptr"], "left").select(ds, "id", F.col("next").alias("ptr"), (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc")))
+        cur = cut(cur.join(keyed(got), [ds, "id"], "left").join(keyed(nxt), [ds, "ptr"], "left").select(ds, "id", F.col("next").alias("ptr"), (F.col("acc") + F.coalesce("more", F.lit(0.0))).alias("acc")))
     raise RuntimeError("the pointers have a cycle")
 
 
@@ -132,7 +132,7 @@ def minimax(cells: DataFrame, tile: int = 64, eps: float = 1e-9, ds: str = "ds")
         rim = tiles.where(F.exists("fell", lambda f: f)).select(*key, F.explode(F.arrays_zip("row", "col", "level", "fell")).alias("x")).where("x.fell")
         sent = rim.select(*key, "x.row", "x.col", "x.level", o).withColumns({"t2": F.floor((F.col("row") + F.col("o.a")) / tile), "c2": F.floor((F.col("col") + F.col("o.b")) / tile)})
         sent = sent.where("t2 <> tr or c2 <> tc").select(ds, F.col("t2").alias("tr"), F.col("c2").alias("tc"), "row", "col", "level").distinct()
-        told = cut(sent.join(tiles.select(*key), key, "left_semi"))
+        told = cut(sent.join(keyed(tiles.select(*key)), key, "left_semi"))
         if told.isEmpty():
             return tiles.select(ds, F.explode(F.arrays_zip("row", "col", "z", "level")).alias("x")).select(ds, "x.row", "x.col", "x.z", "x.level")
     raise RuntimeError(f"levels did not settle in {MAX_ROUNDS} rounds")
@@ -154,13 +154,13 @@ def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, ds:
         ring = front.select(*key, o.alias("o")).select(ds, "label", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col")).distinct()
         # what lies beside a ring is on it, on the one before or on the next
         for old in (front, before) if before is not None else (front,):
-            ring = ring.join(old.select(*key), key, "left_anti")
+            ring = ring.join(keyed(old.select(*key)), key, "left_anti")
         ring = cut(ring.join(extent, ds).where("row between r0 and r1 and col between c0 and c1").select(*key))
-        now = ring.join(cells, [ds, "row", "col"]).groupBy(ds, "label").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
+        now = ring.join(keyed(cells), [ds, "row", "col"]).groupBy(ds, "label").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
         if last is None:
             state = cut(now.withColumn("open", F.lit(True)))
         else:
-            j = last.where("open").join(now.withColumnRenamed("level", "new"), [ds, "label"], "left")
+            j = last.where("open").join(keyed(now.withColumnRenamed("level", "new")), [ds, "label"], "left")
             better = F.coalesce(sign * F.col("new") < sign * F.col("level"), F.lit(False))
             state = cut(j.select(ds, "label", F.when(better, F.col("new")).otherwise(F.col("level")).alias("level"), better.alias("open")))
         stopped = state.where("not open").select(ds, "label", "level")
@@ -170,5 +170,5 @@ def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, ds:
         last, live = state, state.where("open").select(ds, "label")
         if live.isEmpty():
             return done
-        front, before = ring.select(*key).join(live, [ds, "label"]), front
+        front, before = ring.select(*key).join(keyed(live), [ds, "label"]), front
     raise RuntimeError(f"rings did not stop in {MAX_ROUNDS} rounds")

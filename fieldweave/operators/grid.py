@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.columns import cell
+from fieldweave.functions.lineage import keyed
 
 KEY = ["row", "col"]
 #: Stencil names by (row offset, column offset).
@@ -60,7 +61,7 @@ def ghosts(cells: DataFrame, ds: str = "ds") -> DataFrame:
     """TER10: the missing neighbours of valid cells, with the value of the nearest valid cell (ties by row, col)."""
     near = spread(cells, [o for o in BLOCK if o != (0, 0)], "z", ds=ds)
     pick = F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), (F.col("row") + F.col("dr")).alias("r"), (F.col("col") + F.col("dc")).alias("c"), F.col("z").alias("z"))).alias("p")
-    return near.join(cells.select(ds, *KEY), [ds, *KEY], "left_anti").groupBy(ds, *KEY).agg(pick).select(ds, *KEY, F.col("p.z").alias("z"))
+    return near.join(keyed(cells.select(ds, *KEY)), [ds, *KEY], "left_anti").groupBy(ds, *KEY).agg(pick).select(ds, *KEY, F.col("p.z").alias("z"))
 
 
 def stencil(cells: DataFrame, ds: str = "ds", fill: bool = True) -> DataFrame:
@@ -125,29 +126,29 @@ def disc_mean(cells: DataFrame, radius: float | DataFrame, ds: str = "ds") -> Da
     half = lambda dy: F.when(radius < 1, F.lit(1)).otherwise(F.floor(F.sqrt(F.greatest(radius * radius - dy * dy, F.lit(0.0))))).cast("int")
     arms = F.explode(F.transform(F.sequence(-reach, reach), lambda dy: F.struct(dy.alias("dy"), half(dy).alias("h"))))
     ext = cells.groupBy(ds, "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    dense = ext.select(ds, "row", F.explode(F.sequence(F.col("c0") - 1, F.col("c1"))).alias("col")).join(cells.select(ds, *KEY, "z"), [ds, *KEY], "left")
+    dense = ext.select(ds, "row", F.explode(F.sequence(F.col("c0") - 1, F.col("c1"))).alias("col")).join(keyed(cells.select(ds, *KEY, "z")), [ds, *KEY], "left")
     w = Window.partitionBy(ds, "row").orderBy("col")
     prefix = dense.select(ds, F.col("row").alias("prow"), F.col("col").alias("pcol"), F.coalesce(F.sum("z").over(w), F.lit(0.0)).alias("s"), F.count("z").over(w).alias("n"))
     t = own.select(ds, *KEY, arms.alias("a")).withColumn("prow", F.col("row") + F.col("a.dy"))
-    t = t.join(ext.withColumnRenamed("row", "prow"), [ds, "prow"])
+    t = t.join(keyed(ext.withColumnRenamed("row", "prow")), [ds, "prow"])
     hi, lo = F.least(F.col("col") + F.col("a.h"), F.col("c1")), F.greatest(F.col("col") - F.col("a.h") - 1, F.col("c0") - 1)
     t = t.withColumns({"hi": hi, "lo": lo}).where("hi > lo")
     ends = t.select(ds, *KEY, "prow", F.explode(F.array(F.struct(F.col("hi").alias("pcol"), F.lit(1.0).alias("sign")), F.struct(F.col("lo").alias("pcol"), F.lit(-1.0).alias("sign")))).alias("e"))
-    ends = ends.select(ds, *KEY, "prow", "e.pcol", "e.sign").join(prefix, [ds, "prow", "pcol"])
+    ends = ends.select(ds, *KEY, "prow", "e.pcol", "e.sign").join(keyed(prefix), [ds, "prow", "pcol"])
     a = ends.groupBy(ds, *KEY).agg(F.sum(F.col("sign") * F.col("s")).alias("s"), F.sum(F.col("sign") * F.col("n")).alias("n"))
     return a.select(ds, *KEY, (F.col("s") / F.col("n")).alias("mean"))
 
 
 def tpi(cells: DataFrame, radius: float | DataFrame, ds: str = "ds") -> DataFrame:
     """DER6: height above the mean of the disc."""
-    return cells.select(ds, *KEY, "z").join(disc_mean(cells, radius, ds), [ds, *KEY]).select(ds, *KEY, (F.col("z") - F.col("mean")).alias("tpi"))
+    return cells.select(ds, *KEY, "z").join(keyed(disc_mean(cells, radius, ds)), [ds, *KEY]).select(ds, *KEY, (F.col("z") - F.col("mean")).alias("tpi"))
 
 
 def standardise(t: DataFrame, column: str = "tpi", min_height: float = 0.0, ds: str = "ds") -> DataFrame:
     """DER7: (t - mean) / sd of the population, 0 without spread; small heights count as 0."""
     m = t.groupBy(ds).agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
     z = F.when(F.col("_s") > 0, (F.col(column) - F.col("_m")) / F.nullif("_s", F.lit(0.0))).otherwise(0.0)
-    return t.join(m, ds).withColumn(f"{column}_std", F.when(F.abs(column) < 0.1 * min_height, 0.0).otherwise(z)).drop("_m", "_s")
+    return t.join(keyed(m), ds).withColumn(f"{column}_std", F.when(F.abs(column) < 0.1 * min_height, 0.0).otherwise(z)).drop("_m", "_s")
 
 
 def landform(small: Column, large: Column, slope: Column, flat_pct: float = 2.0) -> Column:
@@ -168,7 +169,7 @@ def plane_trend(cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> Da
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     a = a.withColumns({"b": F.try_divide(F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy"), det), "c": F.try_divide(F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy"), det)})
     a = a.withColumns({"g": F.hypot("b", "c"), "r2": F.try_divide(F.col("b") * F.col("xz") + F.col("c") * F.col("yz"), F.col("zz"))})
-    along = p.join(a.select(ds, "b", "c", "g"), ds).groupBy(ds).agg((F.max(F.col("x") * F.col("b") + F.col("y") * F.col("c")) - F.min(F.col("x") * F.col("b") + F.col("y") * F.col("c"))).alias("drop_m"))
+    along = p.join(keyed(a.select(ds, "b", "c", "g")), ds).groupBy(ds).agg((F.max(F.col("x") * F.col("b") + F.col("y") * F.col("c")) - F.min(F.col("x") * F.col("b") + F.col("y") * F.col("c"))).alias("drop_m"))
     return a.join(along, ds).select(ds, (100 * F.col("g")).alias("gradient_pct"), F.pmod(F.bround(F.degrees(F.atan2(-F.col("b"), -F.col("c"))), 4), F.lit(360.0)).alias("bearing"), "drop_m", "r2")
 
 
@@ -184,7 +185,7 @@ def residual_relief(cells: DataFrame, size: float | DataFrame, ds: str = "ds") -
     m = m.withColumns({"b": F.try_divide(F.col("xz") * F.col("yy") - F.col("yz") * F.col("xy"), det), "c": F.try_divide(F.col("yz") * F.col("xx") - F.col("xz") * F.col("xy"), det)})
     res = F.col("z") - F.col("mz") - F.col("b") * (F.col("x") - F.col("mx")) - F.col("c") * (F.col("y") - F.col("my"))
     q = F.percentile("res", F.array(F.lit(0.05), F.lit(0.95)))
-    return p.join(m, ds).withColumn("res", res).groupBy(ds).agg(q.alias("q")).select(ds, (F.col("q")[1] - F.col("q")[0]).alias("relief_m"))
+    return p.join(keyed(m), ds).withColumn("res", res).groupBy(ds).agg(q.alias("q")).select(ds, (F.col("q")[1] - F.col("q")[0]).alias("relief_m"))
 
 
 def is_level(relief: DataFrame, noise: DataFrame, ds: str = "ds") -> DataFrame:
@@ -210,7 +211,7 @@ def smooth(cells: DataFrame, sigma: float | DataFrame, ds: str = "ds") -> DataFr
         return sent.groupBy(ds, *KEY).agg(F.sum("z").alias("z"), F.sum("w").alias("w"))
 
     b = along(along(cells.select(ds, *KEY, "z", F.lit(1.0).alias("w")), "col"), "row")
-    return cells.select(ds, *KEY).join(b, [ds, *KEY]).select(ds, *KEY, (F.col("z") / F.col("w")).alias("z"))
+    return cells.select(ds, *KEY).join(keyed(b), [ds, *KEY]).select(ds, *KEY, (F.col("z") / F.col("w")).alias("z"))
 
 
 def coarsen(cells: DataFrame, factor: int, ds: str = "ds") -> DataFrame:
@@ -223,7 +224,7 @@ def idw_fill(cells: DataFrame, gap: float, ds: str = "ds") -> DataFrame:
     r = int(math.floor(gap))
     disc = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if 0 < a * a + b * b <= gap * gap]
     d2 = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double")
-    near = spread(cells, disc, "z", ds=ds).join(cells.select(ds, *KEY), [ds, *KEY], "left_anti")
+    near = spread(cells, disc, "z", ds=ds).join(keyed(cells.select(ds, *KEY)), [ds, *KEY], "left_anti")
     new = near.groupBy(ds, *KEY).agg((F.sum(F.col("z") / d2) / F.sum(1 / d2)).alias("z"))
     return cells.select(ds, *KEY, "z", F.lit(False).alias("filled")).unionByName(new.withColumn("filled", F.lit(True)))
 
@@ -253,7 +254,7 @@ def stray_passes(points: DataFrame, column: str = "elev_m", ds: str = "ds") -> D
     o = m.select(ds, F.col("pass_id").alias("other"), F.col("m").alias("om"))
     pair = m.join(o, ds).where("pass_id <> other")
     a = pair.groupBy(ds, "pass_id", "m").agg(F.percentile("om", F.lit(0.5)).alias("med"), F.count(F.lit(1)).alias("k")).where("k >= 2")
-    mad = a.join(pair.select(ds, "pass_id", "om"), [ds, "pass_id"]).groupBy(ds, "pass_id", "m", "med").agg(F.percentile(F.abs(F.col("om") - F.col("med")), F.lit(0.5)).alias("mad"))
+    mad = a.join(keyed(pair.select(ds, "pass_id", "om")), [ds, "pass_id"]).groupBy(ds, "pass_id", "m", "med").agg(F.percentile(F.abs(F.col("om") - F.col("med")), F.lit(0.5)).alias("mad"))
     return mad.where(F.abs(F.col("m") - F.col("med")) > F.greatest(F.lit(30.0), 10 * F.col("mad"))).select(ds, "pass_id")
 
 
@@ -261,7 +262,7 @@ def sample_nearest(points: DataFrame, cells: DataFrame, size: float | DataFrame,
     """JN7 for class layers: the value of the cell that holds each point."""
     p, size = width(points, size, ds)
     p = p.withColumns({"row": -cell("y", size) - 1, "col": cell("x", size)})
-    return p.join(cells.select(ds, *KEY, column), [ds, *KEY], "left").drop(*KEY, "_cell")
+    return p.join(keyed(cells.select(ds, *KEY, column)), [ds, *KEY], "left").drop(*KEY, "_cell")
 
 
 def sample_bilinear(points: DataFrame, cells: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
@@ -272,11 +273,11 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, size: float | DataFrame
     full = cells.select(ds, *KEY, "z").unionByName(ghosts(cells, ds).select(ds, *KEY, "z"))
     points, size = width(points, size, ds)
     p = points.select(ds, "id", (F.col("x") / size - 0.5).alias("fx"), (F.col("y") / size - 0.5).alias("fy"), (-cell("y", size) - 1).alias("row"), cell("x", size).alias("col"))
-    p = p.join(cells.select(ds, *KEY), [ds, *KEY], "left_semi")
+    p = p.join(keyed(cells.select(ds, *KEY)), [ds, *KEY], "left_semi")
     corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
     q = p.select(ds, "id", "fx", "fy", corner).withColumns({"cx": F.floor("fx") + F.col("k.a"), "cy": F.floor("fy") + F.col("k.b")})
     q = q.withColumn("w", (1 - F.abs(F.col("fx") - F.col("cx"))) * (1 - F.abs(F.col("fy") - F.col("cy")))).select(ds, "id", "w", (-F.col("cy") - 1).alias("row"), F.col("cx").alias("col"))
-    return q.join(full, [ds, *KEY]).groupBy(ds, "id").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
+    return q.join(keyed(full), [ds, *KEY]).groupBy(ds, "id").agg((F.sum(F.col("w") * F.col("z")) / F.sum("w")).alias("z"))
 
 
 def class_areas(cells: DataFrame, column: str, classes: list[int], size: float | DataFrame, ds: str = "ds") -> DataFrame:
@@ -286,7 +287,7 @@ def class_areas(cells: DataFrame, column: str, classes: list[int], size: float |
     dim = total.select(ds, "total", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
     k = F.coalesce("cells", F.lit(0))
     dim, size = width(dim, size, ds)
-    return dim.join(n, [ds, "class"], "left").select(ds, "class", k.alias("cells"), (k * size * size / 1e4).alias("area_ha"), (100.0 * k / F.col("total")).alias("pct"))
+    return dim.join(keyed(n), [ds, "class"], "left").select(ds, "class", k.alias("cells"), (k * size * size / 1e4).alias("area_ha"), (100.0 * k / F.col("total")).alias("pct"))
 
 
 def character(relief: Column, mean_slope: Column) -> Column:

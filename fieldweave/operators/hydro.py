@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 from fieldweave.operators import graph, grid
 from fieldweave.operators.grid import width
 
@@ -48,25 +48,25 @@ def flow_accumulation(codes: DataFrame, ds: str = "ds") -> DataFrame:
     """HYD6: (ds, row, col, acc), cells that drain through each cell, itself included."""
     r = receivers(codes, ds)
     acc = graph.accumulate(r.withColumn("w", F.lit(1.0)), ds)
-    return r.select(ds, "row", "col", "id").join(acc, [ds, "id"]).select(ds, "row", "col", "acc")
+    return r.select(ds, "row", "col", "id").join(keyed(acc), [ds, "id"]).select(ds, "row", "col", "acc")
 
 
 def wetness(acc: DataFrame, slopes: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:
     """HYD7: ln(acc * cell / max(slope, 0.001))."""
-    j, size = width(acc.join(slopes.select(ds, "row", "col", "slope_pct"), [ds, "row", "col"]), size, ds)
+    j, size = width(acc.join(keyed(slopes.select(ds, "row", "col", "slope_pct")), [ds, "row", "col"]), size, ds)
     return j.withColumn("twi", F.log(F.col("acc") * size / F.greatest(F.col("slope_pct") / 100, F.lit(0.001)))).drop("_cell")
 
 
 def wet_cells(twi: DataFrame, depth: DataFrame, ds: str = "ds") -> DataFrame:
     """HYD8: wet where ponded deeper than 5 cm, or where the index reaches max(its p90, 8)."""
     t = twi.groupBy(ds).agg(F.greatest(F.percentile("twi", F.lit(0.9)), F.lit(8.0)).alias("threshold"))
-    j = twi.join(depth.select(ds, "row", "col", "depth"), [ds, "row", "col"]).join(t, ds)
+    j = twi.join(keyed(depth.select(ds, "row", "col", "depth")), [ds, "row", "col"]).join(t, ds)
     return j.withColumn("wet", (F.col("depth") > 0.05) | (F.col("twi") >= F.col("threshold")))
 
 
 def guarded_wet(twi: DataFrame, depth: DataFrame, noise_slope_pct: float, ds: str = "ds") -> DataFrame:
     """HYD9: only cells steeper than the noise, or ponded, are ranked; none where they are under 2 % of the field."""
-    j = twi.join(depth.select(ds, "row", "col", "depth"), [ds, "row", "col"])
+    j = twi.join(keyed(depth.select(ds, "row", "col", "depth")), [ds, "row", "col"])
     j = j.withColumn("candidate", (F.col("slope_pct") >= noise_slope_pct) | (F.col("depth") > 0.05))
     a = j.groupBy(ds).agg(F.percentile(F.when(F.col("candidate"), F.col("twi")), F.lit(0.9)).alias("t"), F.avg(F.col("candidate").cast("double")).alias("share"))
     wet = (F.col("share") >= 0.02) & F.col("candidate") & ((F.col("depth") > 0.05) | (F.col("twi") >= F.greatest(F.col("t"), F.lit(8.0))))
@@ -77,8 +77,8 @@ def basins(filled: DataFrame, size: float | DataFrame, min_area_m2: float = 0.0,
     """HYD3, HYD11: patches deeper than min_depth, grown to the lake that holds them, ranked by volume."""
     core = graph.cell_components(filled.where(F.col("depth") > min_depth), 1, ds)
     lake = graph.cell_components(filled.where(F.col("depth") > 1e-4), 1, ds)
-    held = core.join(lake.select(ds, "row", "col", F.col("label").alias("lake")), [ds, "row", "col"]).select(ds, "lake").distinct()
-    c = lake.withColumnRenamed("label", "lake").join(held, [ds, "lake"]).join(filled, [ds, "row", "col"])
+    held = core.join(keyed(lake.select(ds, "row", "col", F.col("label").alias("lake"))), [ds, "row", "col"]).select(ds, "lake").distinct()
+    c = lake.withColumnRenamed("label", "lake").join(keyed(held), [ds, "lake"]).join(keyed(filled), [ds, "row", "col"])
     c, size = width(c, size, ds)
     size = F.first(size) if isinstance(size, Column) else size
     a = c.groupBy(ds, F.col("lake").alias("basin")).agg(
@@ -99,12 +99,12 @@ def channels(codes: DataFrame, acc: DataFrame, size: float | DataFrame, min_ha:
     """HYD10: channel segments: cells that drain min_ha, joined to the cell they drain to, with length and a head flag."""
     drains, cell = width(acc, size, ds)
     net = drains.where(F.col("acc") * cell * cell / 1e4 >= min_ha).select(ds, "row", "col", "acc")
-    r = receivers(codes, ds).join(net, [ds, "row", "col"])
+    r = receivers(codes, ds).join(keyed(net), [ds, "row", "col"])
     to = r.select(ds, F.col("id").alias("ptr"), F.col("row").alias("row2"), F.col("col").alias("col2"))
-    seg, cell = width(r.join(to, [ds, "ptr"]), size, ds)
+    seg, cell = width(r.join(keyed(to), [ds, "ptr"]), size, ds)
     fed = seg.select(ds, F.col("ptr").alias("id")).distinct().withColumn("fed", F.lit(True))
     length = cell * F.sqrt(F.pow(F.col("row") - F.col("row2"), 2) + F.pow(F.col("col") - F.col("col2"), 2))
-    return seg.join(fed, [ds, "id"], "left").select(ds, "row", "col", "row2", "col2", "acc", length.alias("length_m"), F.col("fed").isNull().alias("head"))
+    return seg.join(keyed(fed), [ds, "id"], "left").select(ds, "row", "col", "row2", "col2", "acc", length.alias("length_m"), F.col("fed").isNull().alias("head"))
 
 
 def channel_lines(codes: DataFrame, acc: DataFrame, size: float | DataFrame, min_ha: float, ds: str = "ds") -> DataFrame:
@@ -116,7 +116,7 @@ def channel_lines(codes: DataFrame, acc: DataFrame, size: float | DataFrame, min
     2^k steps, so the rounds are the logarithm of the longest channel.
     """
     seg = cut(channels(codes, acc, size, min_ha, ds).withColumns({"id": graph.cell_id(), "ptr": graph.cell_id("row2", "col2")}))
-    ends = seg.select(ds, F.col("ptr").alias("id")).join(seg.select(ds, "id"), [ds, "id"], "left_anti").distinct()
+    ends = seg.select(ds, F.col("ptr").alias("id")).join(keyed(seg.select(ds, "id")), [ds, "id"], "left_anti").distinct()
     far = F.when(F.col("head"), F.struct(F.lit(0).cast("long").alias("k"), (-F.col("id")).alias("h")))
     cur = cut(seg.select(ds, "id", "ptr", far.alias("far")).unionByName(ends.select(ds, "id", F.lit(None).cast("long").alias("ptr"), F.lit(None).cast("struct<k:bigint,h:bigint>").alias("far"))))
     for round_ in range(64):
@@ -124,10 +124,10 @@ def channel_lines(codes: DataFrame, acc: DataFrame, size: float | DataFrame, min
             break
         sent = cur.where("ptr is not null and far is not null").groupBy(ds, F.col("ptr").alias("id")).agg(F.max(F.struct((F.col("far.k") + 2**round_).alias("k"), F.col("far.h").alias("h"))).alias("more"))
         nxt = cur.select(ds, F.col("id").alias("ptr"), F.col("ptr").alias("next"))
-        cur = cut(cur.join(sent, [ds, "id"], "left").join(nxt, [ds, "ptr"], "left").select(ds, "id", F.col("next").alias("ptr"), F.greatest("far", "more").alias("far")))
-    out = seg.join(cur.select(ds, "id", (-F.col("far.h")).alias("line"), F.col("far.k").alias("k")), [ds, "id"])
+        cur = cut(cur.join(keyed(sent), [ds, "id"], "left").join(keyed(nxt), [ds, "ptr"], "left").select(ds, "id", F.col("next").alias("ptr"), F.greatest("far", "more").alias("far")))
+    out = seg.join(keyed(cur.select(ds, "id", (-F.col("far.h")).alias("line"), F.col("far.k").alias("k"))), [ds, "id"])
     total = out.groupBy(ds, "line").agg(F.sum("length_m").alias("line_m"))
-    return out.join(total, [ds, "line"]).select(ds, "line", "k", "row", "col", "row2", "col2", "acc", "length_m", "line_m")
+    return out.join(keyed(total), [ds, "line"]).select(ds, "line", "k", "row", "col", "row2", "col2", "acc", "length_m", "line_m")
 
 
 def summary(filled: DataFrame, wet: DataFrame, size: float | DataFrame, ds: str = "ds") -> DataFrame:

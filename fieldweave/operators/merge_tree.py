@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 from fieldweave.operators import graph, grid, relief
 from fieldweave.operators.grid import KEY, width
 
@@ -87,10 +87,10 @@ def saddles(cells: DataFrame, patches: DataFrame, stops: DataFrame | None = None
         marks = marks.unionByName(stops.select(ds, *KEY, F.lit(OTHER).cast("long").alias("label")))
     touch = marks.select(ds, "label", *KEY, near.alias("o")).groupBy(ds, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")).agg(F.slice(F.array_sort(F.collect_set("label")), 1, 2).alias("touch"))
     own = cells.select(ds, *KEY, (sign * F.col("z")).alias("up"))
-    tops = patches.join(own, [ds, *KEY]).groupBy(ds, "label").agg(F.min(F.struct((-F.col("up")).alias("k"), *KEY)).alias("t"))
+    tops = patches.join(keyed(own), [ds, *KEY]).groupBy(ds, "label").agg(F.min(F.struct((-F.col("up")).alias("k"), *KEY)).alias("t"))
     tops = tops.select(ds, F.col("t.row").alias("row"), F.col("t.col").alias("col"), F.col("label").alias("summit"))
     # fields without features have no saddles
-    nodes = own.join(tops.select(ds).distinct(), ds, "left_semi").join(touch, [ds, *KEY], "left").join(tops, [ds, *KEY], "left").withColumns({"id": graph.cell_id(), "summit": F.coalesce("summit", F.lit(NONE).cast("long"))})
+    nodes = own.join(tops.select(ds).distinct(), ds, "left_semi").join(keyed(touch), [ds, *KEY], "left").join(keyed(tops), [ds, *KEY], "left").withColumns({"id": graph.cell_id(), "summit": F.coalesce("summit", F.lit(NONE).cast("long"))})
     # tiles count from the field's own corner: from any other a field could be two tiles at every size
     corner = nodes.groupBy(ds).agg(F.min("row").alias("r0"), F.min("col").alias("c0"))
     nodes = cut(nodes.join(corner, ds).withColumns({"row": F.col("row") - F.col("r0"), "col": F.col("col") - F.col("c0")}).drop("r0", "c0"))
@@ -100,7 +100,7 @@ def saddles(cells: DataFrame, patches: DataFrame, stops: DataFrame | None = None
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     rim = nodes.where((F.pmod("row", F.lit(side)).isin(0, side - 1)) | (F.pmod("col", F.lit(side)).isin(0, side - 1)))
     to = rim.select(ds, F.col("id").alias("a"), F.col("up").alias("ua"), F.col("row").alias("ra"), F.col("col").alias("ca"), o.alias("o")).select(ds, "a", "ua", "ra", "ca", (F.col("ra") + F.col("o.dr")).alias("row"), (F.col("ca") + F.col("o.dc")).alias("col"))
-    crossing = to.where((tile("ra") != tile("row")) | (tile("ca") != tile("col"))).join(rim.select(ds, *KEY, F.col("id").alias("b"), F.col("up").alias("ub")), [ds, *KEY])
+    crossing = to.where((tile("ra") != tile("row")) | (tile("ca") != tile("col"))).join(keyed(rim.select(ds, *KEY, F.col("id").alias("b"), F.col("up").alias("ub"))), [ds, *KEY])
     ends = lambda df: df.select(ds, "a", "b", F.least("ua", "ub").alias("up"), "ra", "ca", F.col("row").alias("rb"), F.col("col").alias("cb"))
     crossing = cut(ends(crossing))
     inside = None  # edges within tiles; none yet
@@ -132,14 +132,14 @@ def saddles(cells: DataFrame, patches: DataFrame, stops: DataFrame | None = None
     marked = F.col("touch").isNotNull() | (F.col("summit") != NONE)
     while True:
         wide = crossing.select(ds, F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("_rim", F.lit(True))
-        here = nodes.join(wide, [ds, "id"], "left").withColumn("keep", marked | F.col("_rim").isNotNull()).drop("_rim").withColumns({"tr": tile("row", side), "tc": tile("col", side)})
+        here = nodes.join(keyed(wide), [ds, "id"], "left").withColumn("keep", marked | F.col("_rim").isNotNull()).drop("_rim").withColumns({"tr": tile("row", side), "tc": tile("col", side)})
         here = here.select(ds, "tr", "tc", "id", *KEY, "up", "keep", "touch", "summit")
         small = here.select(ds, "tr", "tc", "id", *KEY, "up", "keep")
         if inside is None:
             edges = cut(small.groupBy(ds, "tr", "tc").applyInPandas(lambda pdf: shrink(pdf, None), out_schema))
         else:
             # columns of their own, as the edges meet the nodes again
-            both = inside.join(nodes.select(ds, F.col("id").alias("a"), tile("row", side).alias("tr"), tile("col", side).alias("tc")), [ds, "a"])
+            both = inside.join(keyed(nodes.select(ds, F.col("id").alias("a"), tile("row", side).alias("tr"), tile("col", side).alias("tc"))), [ds, "a"])
             both = both.select(*[F.col(c).alias(c) for c in (ds, "tr", "tc", "a", "b", "up")])
             edges = cut(small.groupBy(ds, "tr", "tc").cogroup(both.groupBy(ds, "tr", "tc")).applyInPandas(lambda mine, e: shrink(mine, e) if len(mine) else pd.DataFrame({ds: [], "a": [], "b": [], "up": []}), out_schema))
         nodes = cut(here.where("keep").select(ds, "id", *KEY, "up", "touch", "summit"))
@@ -168,12 +168,12 @@ def features(layers: DataFrame, size: float | DataFrame, min_height: float = 0.0
     for high in (True, False):
         f = cut(relief.features(layers, size, high, min_ha, ds).where(F.col("height_m") >= min_height))
         part = graph.cell_components(layers.where((1.0 if high else -1.0) * F.col("tpi_std") > 1), 1, ds)
-        alone[high], patch[high] = f, cut(part.join(f.select(ds, "label"), [ds, "label"], "left_semi"))
+        alone[high], patch[high] = f, cut(part.join(keyed(f.select(ds, "label")), [ds, "label"], "left_semi"))
     out = None
     for high in (True, False):
         sign = 1.0 if high else -1.0
         met = saddles(layers, patch[high], patch[not high], high, ds)
-        f = alone[high].join(met, [ds, "label"], "left")
+        f = alone[high].join(keyed(met), [ds, "label"], "left")
         foot = F.col("extreme_m") - sign * F.col("height_m")
         nearer = F.coalesce(sign * (F.col("level") - foot) > 0, F.lit(False))
         f = f.withColumn("height_m", F.when(nearer, sign * (F.col("extreme_m") - F.col("level"))).otherwise(F.col("height_m"))).drop("level").where(F.col("height_m") >= min_height)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 from fieldweave.operators import graph, grid, spatial
 from fieldweave.operators.grid import width
 
@@ -28,7 +28,7 @@ def features(layers: DataFrame, size: float | DataFrame, high: bool = True, min_
     sign = 1.0 if high else -1.0
     part, wide = width(graph.cell_components(layers.where(sign * F.col("tpi_std") > 1), 1, ds), size, ds)
     part = part.where(F.col("cells") * wide * wide >= min_ha * 1e4).drop("_cell")
-    c = cut(part.join(layers, [ds, "row", "col"]))
+    c = cut(part.join(keyed(layers), [ds, "row", "col"]))
     foot = graph.grow_rings(c, layers, high, ds)
     pond = F.max("depth") > 0.05 if "depth" in layers.columns else F.lit(False)
     cov = lambda a, b: F.covar_samp(a, b)
@@ -38,7 +38,7 @@ def features(layers: DataFrame, size: float | DataFrame, high: bool = True, min_
     )
     half, root = (F.col("rr") + F.col("cc")) / 2, F.sqrt(F.pow((F.col("rr") - F.col("cc")) / 2, 2) + F.pow("rc", F.lit(2)))
     elong = F.when(F.col("cells") > 2, F.sqrt(F.greatest(half + root, F.lit(1e-12)) / F.greatest(half - root, F.lit(1e-12)))).otherwise(1.0)
-    f, size = width(a.join(foot.withColumnRenamed("level", "foot"), [ds, "label"], "left"), size, ds)
+    f, size = width(a.join(keyed(foot.withColumnRenamed("level", "foot")), [ds, "label"], "left"), size, ds)
     f = f.select(
         ds, "label", F.col("e.row").alias("row"), F.col("e.col").alias("col"), F.col("e.z").alias("extreme_m"), (sign * (F.col("e.z") - F.coalesce("foot", sign * F.col("low")))).alias("height_m"), (F.col("cells") * size * size / 1e4).alias("area_ha"),
         ((F.col("mc") + 0.5) * size).alias("x"), (-(F.col("mr") + 0.5) * size).alias("y"), elong.alias("elongation"), "mean_slope_pct", "closed",
@@ -51,9 +51,9 @@ def saddle_level(summits: DataFrame, cells: DataFrame, stop: DataFrame, tile: in
 
     A flood of the inverted surface from the stop cells gives it for all summits at once.
     """
-    src = cells.select(ds, "row", "col", (-F.col("z")).alias("z")).join(stop.select(ds, "row", "col", F.lit(True).alias("source")), [ds, "row", "col"], "left").withColumn("source", F.coalesce("source", F.lit(False)))
+    src = cells.select(ds, "row", "col", (-F.col("z")).alias("z")).join(keyed(stop.select(ds, "row", "col", F.lit(True).alias("source"))), [ds, "row", "col"], "left").withColumn("source", F.coalesce("source", F.lit(False)))
     m = graph.minimax(src, tile, eps=0.0, ds=ds)
-    return summits.select(ds, "label", "row", "col").join(m, [ds, "row", "col"]).select(ds, "label", (-F.col("level")).alias("level"))
+    return summits.select(ds, "label", "row", "col").join(keyed(m), [ds, "row", "col"]).select(ds, "label", (-F.col("level")).alias("level"))
 
 
 #: Passes up to which offsets are estimated, bounds of the ridge, and rounds of its estimate.
@@ -97,7 +97,7 @@ def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "d
     side = side.withColumns({"k": F.sum("m").over(w), "cx": F.sum("sx").over(w), "cy": F.sum("sy").over(w), "d": F.col("z") - F.sum("sz").over(w) / F.sum("m").over(w)})
     even = cut(side.where(F.hypot(F.col("cx") / F.col("k") - F.col("x"), F.col("cy") / F.col("k") - F.col("y")) < 0.3 * radius).select(ds, "id", "pass_id", "other_pass_id", (F.col("m") / F.col("k")).alias("w"), "d"))
     used = even.groupBy(ds, "pass_id").agg(F.count_distinct("id").cast("double").alias("u"))
-    share = even.groupBy(ds, "pass_id", "other_pass_id").agg(F.sum("w").alias("w")).join(used, [ds, "pass_id"]).select(ds, "pass_id", "other_pass_id", (F.col("w") / F.col("u")).alias("w"))
+    share = even.groupBy(ds, "pass_id", "other_pass_id").agg(F.sum("w").alias("w")).join(keyed(used), [ds, "pass_id"]).select(ds, "pass_id", "other_pass_id", (F.col("w") / F.col("u")).alias("w"))
     kind, of_pass = dict(points.dtypes)[ds], dict(points.dtypes)["pass_id"]
     system = cut(share)
 
@@ -120,16 +120,16 @@ def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "d
     state = n.join(few, ds, "left_semi").select(ds, "pass_id", F.lit(0.0).alias("offset"), F.lit(float("nan")).alias("lam"))
     for _ in range(rounds):
         of = lambda c, o: state.select(ds, F.col("pass_id").alias(c), F.col("offset").alias(o))
-        q = even.join(of("other_pass_id", "beside"), [ds, "other_pass_id"]).groupBy(ds, "id", "pass_id").agg((F.first("d") + F.sum(F.col("w") * F.col("beside"))).alias("q")).join(of("pass_id", "own"), [ds, "pass_id"])
+        q = even.join(keyed(of("other_pass_id", "beside")), [ds, "other_pass_id"]).groupBy(ds, "id", "pass_id").agg((F.first("d") + F.sum(F.col("w") * F.col("beside"))).alias("q")).join(keyed(of("pass_id", "own")), [ds, "pass_id"])
         med = q.groupBy(ds, "pass_id").agg(F.percentile(F.col("q") - F.col("own"), F.lit(0.5)).alias("b"))
-        now = n.join(state, [ds, "pass_id"]).join(med, [ds, "pass_id"], "left")
+        now = n.join(keyed(state), [ds, "pass_id"]).join(keyed(med), [ds, "pass_id"], "left")
         state = cut(system.groupBy(ds).cogroup(now.groupBy(ds)).applyInPandas(solve, f"{ds} {kind}, pass_id {of_pass}, offset double, lam double"))
     return state.select(ds, "pass_id", "offset")
 
 
 def detrend_passes(points: DataFrame, radius: float, ds: str = "ds") -> DataFrame:
     """TER5: elev_m less its pass's offset."""
-    return points.join(pass_offsets(points, radius, ds=ds), [ds, "pass_id"], "left").withColumn("elev_m", F.col("elev_m") - F.coalesce("offset", F.lit(0.0))).drop("offset")
+    return points.join(keyed(pass_offsets(points, radius, ds=ds)), [ds, "pass_id"], "left").withColumn("elev_m", F.col("elev_m") - F.coalesce("offset", F.lit(0.0))).drop("offset")
 
 
 def point_noise(points: DataFrame, k: int = 12, ds: str = "ds") -> DataFrame:
@@ -200,7 +200,7 @@ def profile(line: DataFrame, cells: DataFrame, size: float | DataFrame, stations
     j = st.join(p, ds).where("d >= d0 and (d < d1 or (d = total and d1 = total))")
     t = (F.col("d") - F.col("d0")) / F.nullif("len", F.lit(0.0))
     at = j.select(ds, "id", "d", (F.col("x") + t * (F.col("x2") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("y2") - F.col("y"))).alias("y"))
-    z = at.join(grid.sample_bilinear(at, cells, size, ds), [ds, "id"], "left")
+    z = at.join(keyed(grid.sample_bilinear(at, cells, size, ds)), [ds, "id"], "left")
     v = Window.partitionBy(ds).orderBy("id")
     return z.withColumn("slope_pct", 100 * F.try_divide(F.lag("z").over(v) - F.col("z"), F.col("d") - F.lag("d").over(v)))
 
@@ -262,7 +262,7 @@ def yield_by_class(points: DataFrame, value: str, column: str, classes: list, le
     all_ = p.groupBy(ds).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     dim = all_.select(ds, "_m", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
     got = p.groupBy(ds, F.col(column).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    j = dim.join(got, [ds, "class"], "left")
+    j = dim.join(keyed(got), [ds, "class"], "left")
     return j.select(ds, "class", F.coalesce("n", F.lit(0)).alias("n"), "mean", (F.try_divide(F.col("mean") - F.col("_m"), F.col("_m")) * 100).alias("delta_pct"))
 
 
@@ -300,4 +300,4 @@ def prepare_dem(cells: DataFrame, size: float, factor: float = 1.0, step: float
     sent = sent.select(ds, (F.col("row") + F.col("_a")).alias("row"), (F.col("col") + F.col("_b")).alias("col"), weight.alias("_w"), (weight * F.col("z")).alias("_z"))
     mean = sent.groupBy(ds, "row", "col").agg((F.sum("_z") / F.sum("_w")).alias("_z"))
     z = F.round("_z", 6) if step > 0 else F.col("_z")
-    return c.select(ds, "row", "col", "cell").join(mean, [ds, "row", "col"]).select(ds, "row", "col", z.alias("z"), "cell")
+    return c.select(ds, "row", "col", "cell").join(keyed(mean), [ds, "row", "col"]).select(ds, "row", "col", z.alias("z"), "cell")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.columns import cell
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 
 
 def around(df: DataFrame, rings: int | Column = 1) -> DataFrame:
@@ -26,7 +26,7 @@ def point_cells(df: DataFrame, cells: DataFrame, ds: str = "ds") -> DataFrame:
     """(ds, rn, cell, row, col): the coverage cell that holds each point of cells (ds, rn, cell)."""
     v = df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("swath_m") > 0))
     box = v.groupBy(ds).agg(F.percentile("swath_m", F.lit(0.5)).alias("med"), F.min("x").alias("x0"), F.min("y").alias("y0"))
-    j = v.select(ds, "rn", "x", "y").join(cells, [ds, "rn"]).join(box, ds)
+    j = v.select(ds, "rn", "x", "y").join(keyed(cells), [ds, "rn"]).join(keyed(box), ds)
     return j.select(ds, "rn", "cell", cell("y", F.col("cell"), F.col("y0") - F.col("med")).alias("row"), cell("x", F.col("cell"), F.col("x0") - F.col("med")).alias("col"))
 
 
@@ -36,7 +36,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, ds: str = "ds") ->
     b = right.select(F.col(ds).alias("_ds"), *[F.col(c).alias(f"other_{c}") for c in right.columns if c != ds], cell("y", radius).alias("_row"), cell("x", radius).alias("_col"))
     on = (F.col(ds) == F.col("_ds")) & (F.col("nrow") == F.col("_row")) & (F.col("ncol") == F.col("_col"))
     dist = F.hypot(F.col("x") - F.col("other_x"), F.col("y") - F.col("other_y"))
-    return a.join(b, on).withColumn("dist", dist).where(F.col("dist") <= radius).drop("_ds", "_row", "_col", "nrow", "ncol", "row", "col")
+    return a.join(keyed(b), on).withColumn("dist", dist).where(F.col("dist") <= radius).drop("_ds", "_row", "_col", "nrow", "ncol", "row", "col")
 
 
 #: Points that a cell of the first round holds, in neighbours asked for: few enough to rank, enough that most settle.
@@ -62,16 +62,16 @@ def knn(points: DataFrame, k: int, ds: str = "ds") -> DataFrame:
     # a log along a line has no area
     box = box.select(ds, "_n", "_x0", "_y0", span.alias("_span"), F.greatest(F.sqrt(w * h * each), F.greatest(w, h) * each, span / 2**20, F.lit(1e-6)).alias("_size"))
     # one row a log
-    p = cut(placed.join(box, ds))
+    p = cut(placed.join(keyed(box), ds))
     cols = [c for c in points.columns if c != ds]
     open_, done, step = p.where("_n > 1"), None, 0
     while True:
         size = F.col("_size") * F.lit(float(1 if step == 0 else 2 ** (2 * step - 1)))
-        keyed = lambda d: d.withColumns({"row": cell("y", size, F.col("_y0")), "col": cell("x", size, F.col("_x0"))})
+        celled = lambda d: d.withColumns({"row": cell("y", size, F.col("_y0")), "col": cell("x", size, F.col("_x0"))})
         u, v = F.col("x") - F.col("_x0") - F.col("col") * size, F.col("y") - F.col("_y0") - F.col("row") * size
         edge = (F.least(u, size - u, v, size - v) + size) * (1 - 1e-9)
-        a = keyed(open_).withColumns({"_all": F.floor(F.col("_span") / size) <= 1, "_edge2": edge * edge})
-        b = keyed(p)
+        a = celled(open_).withColumns({"_all": F.floor(F.col("_span") / size) <= 1, "_edge2": edge * edge})
+        b = celled(p)
         if step == 0:
             a, b = a.withColumns({"nrow": F.col("row"), "ncol": F.col("col")}), around(b)
         else:
@@ -80,11 +80,11 @@ def knn(points: DataFrame, k: int, ds: str = "ds") -> DataFrame:
         home = [ds, "nrow", "ncol", "id"] if step == 0 else [ds, "id"]
         d2 = (F.col("x") - F.col("other_x")) * (F.col("x") - F.col("other_x")) + (F.col("y") - F.col("other_y")) * (F.col("y") - F.col("other_y"))
         on = (F.col(ds) == F.col("_ds")) & (F.col("nrow") == F.col("_row")) & (F.col("ncol") == F.col("_col")) & (F.col("id") != F.col("other_id")) & (F.col("_all") | (d2 < F.col("_edge2")))
-        near = a.join(b, on).withColumn("d2", d2).withColumn("rank", F.row_number().over(Window.partitionBy(*home).orderBy("d2", "other_id"))).where(F.col("rank") <= k)
+        near = a.join(keyed(b), on).withColumn("d2", d2).withColumn("rank", F.row_number().over(Window.partitionBy(*home).orderBy("d2", "other_id"))).where(F.col("rank") <= k)
         near = near.withColumn("_ok", F.col("_all") | (F.count(F.lit(1)).over(Window.partitionBy(*home)) >= F.least(F.lit(k), F.col("_n") - 1)))
         out = cut(near.where("_ok").select(ds, *cols, *[f"other_{c}" for c in cols], "d2", "rank"))
         done = out if done is None else done.unionByName(out)
-        open_ = cut(open_.join(out.where("rank = 1").select(ds, "id"), [ds, "id"], "left_anti"))
+        open_ = cut(open_.join(keyed(out.where("rank = 1").select(ds, "id")), [ds, "id"], "left_anti"))
         if open_.isEmpty():
             return done
         step += 1
@@ -108,7 +108,7 @@ def corridor_mean(stations: DataFrame, readings: DataFrame, radius: float, ds: s
     """JN6: (ds, station, value, n): mean reading within radius of each station; null where there is none."""
     near = within(stations, readings.select(ds, "x", "y", "value"), radius, ds)
     agg = near.groupBy(ds, "station").agg(F.avg("other_value").alias("value"), F.count("other_value").alias("n"))
-    return stations.select(ds, "station").join(agg, [ds, "station"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return stations.select(ds, "station").join(keyed(agg), [ds, "station"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def drop_strip_edges(points: DataFrame, margin: float = 6.0, ds: str = "ds") -> DataFrame:
@@ -124,5 +124,5 @@ def drop_strip_edges(points: DataFrame, margin: float = 6.0, ds: str = "ds") ->
     n = usable.groupBy(ds).agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("level").alias("_l"))
     gone = hit.groupBy(ds).agg(F.count(F.lit(1)).alias("_g"))
     trim = n.join(gone, ds, "left").where((F.col("_n") >= 10) & (F.col("_l") >= 2) & (F.coalesce("_g", F.lit(0)) < 0.9 * F.col("_n"))).select(ds, F.lit(True).alias("_trim"))
-    out = points.join(trim, ds, "left").join(hit.withColumn("_hit", F.lit(True)), [ds, "seq"], "left")
+    out = points.join(trim, ds, "left").join(keyed(hit.withColumn("_hit", F.lit(True))), [ds, "seq"], "left")
     return out.where(F.col("_trim").isNull() | (F.col("_hit").isNull() & ok)).drop("_trim", "_hit")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions.columns import cell as cell_of
-from fieldweave.functions.lineage import cut
+from fieldweave.functions.lineage import cut, keyed
 from fieldweave.operators import grid, relief
 from fieldweave.operators.grid import KEY
 
@@ -85,25 +85,25 @@ def surface(points: DataFrame, geo: DataFrame, value: str = "elev_m", ds: str =
     reach = F.floor(F.col("gap") / F.col("cell")).cast("int")
     d2 = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double")
     near = _sent(read.join(g, ds), _offsets(reach), "z", "cell", "gap", ds=ds).where(F.sqrt(d2) * F.col("cell") <= F.col("gap"))
-    near = near.join(read.select(ds, *KEY), [ds, *KEY], "left_anti")
+    near = near.join(keyed(read.select(ds, *KEY)), [ds, *KEY], "left_anti")
     side = lambda a, b, c: F.max((F.col(a) * b > 0) & (F.abs(F.col(c)) <= F.abs(F.col(a))))
     holes = near.groupBy(ds, *KEY).agg((F.sum(F.col("z") / d2) / F.sum(1 / d2)).alias("z"), side("dr", 1, "dc").alias("n"), side("dr", -1, "dc").alias("s"), side("dc", 1, "dr").alias("w"), side("dc", -1, "dr").alias("e"))
     core = cut(read.withColumn("kind", F.lit("read")).unionByName(holes.where("(n and s) or (e and w)").select(ds, *KEY, "z", F.lit("filled").alias("kind"))))
     # the edge: cells outside the core whose centre lies within half a swath of a reading
     band = F.ceil(F.col("edge") / F.col("cell")).cast("int")
-    beside = _sent(core.join(g, ds), _offsets(band), ds=ds).select(ds, *KEY).distinct().join(core.select(ds, *KEY), [ds, *KEY], "left_anti")
+    beside = _sent(core.join(g, ds), _offsets(band), ds=ds).select(ds, *KEY).distinct().join(keyed(core.select(ds, *KEY)), [ds, *KEY], "left_anti")
     asked = _sent(beside.join(g, ds), _offsets(band), "edge", "cell", ds=ds).select(ds, "row", "col", (F.col("row") + F.col("dr")).alias("r"), (F.col("col") + F.col("dc")).alias("c"), "edge", "cell")
     own = p.select(ds, *KEY, "x", "y", "z")
     far = F.hypot((F.col("c") + 0.5) * F.col("cell") - F.col("x"), -(F.col("r") + 0.5) * F.col("cell") - F.col("y"))
-    edge = asked.join(own, [ds, *KEY]).withColumn("far", far).where("far <= edge").groupBy(ds, F.col("r").alias("row"), F.col("c").alias("col")).agg(F.min(F.struct("far", "x", "y", "z")).alias("near"))
+    edge = asked.join(keyed(own), [ds, *KEY]).withColumn("far", far).where("far <= edge").groupBy(ds, F.col("r").alias("row"), F.col("c").alias("col")).agg(F.min(F.struct("far", "x", "y", "z")).alias("near"))
     edge = cut(edge.select(ds, *KEY, F.col("near.z").alias("fallback")))
     # the nearest cell of the core within two cells, and the gradient there
     two = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-2, 3) for b in range(-2, 3) if a or b]))
     asked = _sent(edge, two, ds=ds).withColumns({"er": F.col("row") + F.col("dr"), "ec": F.col("col") + F.col("dc")})
-    at = asked.join(core.select(ds, *KEY, "z"), [ds, *KEY]).groupBy(ds, "er", "ec").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "row", "col", "z")).alias("n"))
+    at = asked.join(keyed(core.select(ds, *KEY, "z")), [ds, *KEY]).groupBy(ds, "er", "ec").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "row", "col", "z")).alias("n"))
     at = at.select(ds, "er", "ec", F.col("n.row").alias("row"), F.col("n.col").alias("col"), F.col("n.z").alias("z"))
     cross = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-2, 0), (-1, 0), (1, 0), (2, 0), (0, -2), (0, -1), (0, 1), (0, 2))]))
-    arms = _sent(core.select(ds, *KEY, "z"), cross, "z", ds=ds).join(at.select(ds, *KEY).distinct(), [ds, *KEY], "left_semi")
+    arms = _sent(core.select(ds, *KEY, "z"), cross, "z", ds=ds).join(keyed(at.select(ds, *KEY).distinct()), [ds, *KEY], "left_semi")
     pick = lambda a, b: F.max(F.when((F.col("dr") == a) & (F.col("dc") == b), F.col("z")))
     names = {("row", k): pick(k, 0).alias(f"row{k}".replace("-", "m")) for k in (-2, -1, 1, 2)} | {("col", k): pick(0, k).alias(f"col{k}".replace("-", "m")) for k in (-2, -1, 1, 2)}
     arms = arms.groupBy(ds, *KEY).agg(*names.values())
@@ -112,8 +112,8 @@ def surface(points: DataFrame, geo: DataFrame, value: str = "elev_m", ds: str =
         b2, b1, a1, a2 = (F.col(f"{axis}{k}") for k in ("m2", "m1", "1", "2"))
         return F.coalesce((a1 - b1) * 0.5, (F.col("z") - b2) * 0.5, (a2 - F.col("z")) * 0.5, F.col("z") - b1, a1 - F.col("z"), F.lit(0.0))
 
-    on = at.join(arms, [ds, *KEY], "left").select(ds, F.col("er").alias("row"), F.col("ec").alias("col"), (F.col("z") + slope("row") * (F.col("er") - F.col("row")) + slope("col") * (F.col("ec") - F.col("col"))).alias("on"))
-    edge = edge.join(on, [ds, *KEY], "left").select(ds, *KEY, F.coalesce("on", "fallback").alias("z"), F.lit("edge").alias("kind"))
+    on = at.join(keyed(arms), [ds, *KEY], "left").select(ds, F.col("er").alias("row"), F.col("ec").alias("col"), (F.col("z") + slope("row") * (F.col("er") - F.col("row")) + slope("col") * (F.col("ec") - F.col("col"))).alias("on"))
+    edge = edge.join(keyed(on), [ds, *KEY], "left").select(ds, *KEY, F.coalesce("on", "fallback").alias("z"), F.lit("edge").alias("kind"))
     return core.unionByName(edge)
 
 
@@ -132,5 +132,5 @@ def analyse(points: DataFrame, noise: DataFrame | None = None, ds: str = "ds") -
     layers = grid.derivatives(cells, geo, ds=ds).select(ds, *KEY, "z", "slope_pct", "slope_deg", "aspect")
     for name in ("small", "large"):
         t = grid.standardise(grid.tpi(cells, radii.select(ds, F.col(f"tpi_{name}").alias("radius")), ds), ds=ds)
-        layers = layers.join(t.select(ds, *KEY, F.col("tpi_std").alias(f"tpi_{name}")), [ds, *KEY])
+        layers = layers.join(keyed(t.select(ds, *KEY, F.col("tpi_std").alias(f"tpi_{name}"))), [ds, *KEY])
     return layers.withColumn("landform", grid.landform(F.col("tpi_small"), F.col("tpi_large"), F.col("slope_pct"))), geo

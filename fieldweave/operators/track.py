@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from fieldweave.functions.columns import turn
+from fieldweave.functions.lineage import keyed
 
 #: Swath width where a log has none, in metres.
 DEFAULT_SWATH = 9.0
@@ -105,7 +106,7 @@ def detect_passes(df: DataFrame, tolerance: float = PASS_TURN_DEG, ds: str = "ds
         return pd.DataFrame({ds: pdf[ds], "rn": pdf["rn"].to_numpy()[order], "pass_id": np.cumsum(new)})
 
     passes = df.select(ds, "rn", "heading_deg").groupBy(ds).applyInPandas(fold, schema)
-    return df.drop("pass_id").join(passes, [ds, "rn"])
+    return df.drop("pass_id").join(keyed(passes), [ds, "rn"])
 
 
 def detect_passes_native(df: DataFrame, tolerance: float = PASS_TURN_DEG, ds: str = "ds") -> DataFrame:
@@ -149,7 +150,7 @@ def flow_delay(df: DataFrame, delay_s: float, ds: str = "ds") -> DataFrame:
     df = df.join(k, ds)
     later = df.select(F.col(ds).alias("_ds"), (F.col("rn") - F.col("_k")).alias("_rn"), F.col("value").alias("_later"))
     on = (F.col(ds) == F.col("_ds")) & (F.col("rn") == F.col("_rn"))
-    out = df.join(later, on, "left").withColumn("value", F.when(F.col("_k") > 0, F.col("_later")).otherwise(F.col("value")))
+    out = df.join(keyed(later), on, "left").withColumn("value", F.when(F.col("_k") > 0, F.col("_later")).otherwise(F.col("value")))
     return out.drop("_k", "_ds", "_rn", "_later")
 
 
