@@ -34,8 +34,12 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, ds: str = "ds", at: str = "at") -> None:
-    """One text file for each log, its lines (ds, at, value) in order."""
-    lines.repartition(ds).sortWithinPartitions(ds, at).select(ds, "value").write.partitionBy(ds).text(path)
+    """One text file for each log, its lines (ds, at, value) in order.
+
+    Dealt by a hash of the log: Spark leaves out a repartition by the log itself where the lines are a union of
+    tables that lie by log already, and then packs each table's partitions by itself, so heads and lines part.
+    """
+    lines.repartition(F.xxhash64(ds)).sortWithinPartitions(ds, at).select(ds, "value").write.partitionBy(ds).text(path)
 
 
 def log_of(file: Column) -> Column:
@@ -241,7 +245,7 @@ def src_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, all_ = scratch(spark, "mixed"), rows.unionByName(heads)
     write_lines(all_.where("ds % 3 <> 1"), f"{path}/logs")
     # Spark's own text writer names a suffix by its codec only; the option gives another
-    all_.where("ds % 3 = 1").repartition("ds").sortWithinPartitions("ds", "at").select("ds", "value").write.partitionBy("ds").option("extension", "doc").csv(f"{path}/notes")
+    all_.where("ds % 3 = 1").repartition(F.xxhash64("ds")).sortWithinPartitions("ds", "at").select("ds", "value").write.partitionBy("ds").option("extension", "doc").csv(f"{path}/notes")
     _, report = files.ingest(spark, path)
     return report.select(log_of(F.col("file")).alias("ds"), "reader", "n_rows", "reason")
 
