@@ -188,11 +188,13 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.keyed(docs, id_col, text_col, whole_row(docs).alias("wh")).mapInArrow(run, "dk long, rk long, wh long, fp long, sh long, bands array<long>")
 
 
-def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, known: DataFrame | None = None) -> DataFrame:
     """(a, b): fingerprints of rows whose shingle sets have a Jaccard similarity of NEAR or more.
 
-    Sets that share a band's key are candidates.  In each key's group one set, drawn anew for
-    each band, meets all others, so no pairs are formed; candidates are compared by their sets.
+    Sets that share a band's key are candidates.  First one set of each key's group, drawn anew for
+    each band, meets all others; then every pair of the group that these links (and those of known,
+    edges (a, b) between fingerprints) do not yet connect.  What is not compared is connected already,
+    so the links connect what all candidates of NEAR or more connect.  Candidates are compared by their sets.
     """
     sets = C.store(rows.groupBy("sh").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min(F.struct("dk", "rk")).alias("row"), F.first("bands").alias("bands")))
     # rows of one set with several fingerprints
@@ -201,21 +203,35 @@ def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     hubs = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sh").alias("o"), "sh")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = met.join(hubs.select("key", F.col("hub.sh").alias("hub")), "key").where("sh <> hub")
     pairs = C.store(pairs.select(F.least("sh", "hub").alias("x"), F.greatest("sh", "hub").alias("y")).distinct())
-    need = pairs.select(F.col("x").alias("sh")).union(pairs.select("y")).distinct()
-    need = sets.join(need, "sh").select("sh", "fp", F.col("row.dk").alias("dk"), F.col("row.rk").alias("rk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = pa.array([C.signed(shingle_set(t)) for t in b.column("text").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("sh"), b.column("fp"), found], names=["sh", "fp", "found"])
 
-    # repeated rows of one identifier and text come once
-    texts = C.keyed(docs, id_col, text_col).join(need, ["dk", "rk"]).select("sh", "fp", "text")
-    found = C.store(texts.mapInArrow(run, "sh long, fp long, found array<long>").dropDuplicates(["sh"]))
-    x, y = (found.select(F.col("sh").alias(n), F.col("fp").alias(f"f{n}"), F.col("found").alias(f"s{n}")) for n in ("x", "y"))
-    both = pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("sx", "sy")))
-    near = both.where(F.col("common") >= NEAR * (F.size("sx") + F.size("sy") - F.col("common")))
-    return near.select(F.col("fx").alias("a"), F.col("fy").alias("b")).union(alike).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def alike_of(pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("x").alias("sh")).union(pairs.select("y")).distinct()
+        need = sets.join(need, "sh").select("sh", "fp", F.col("row.dk").alias("dk"), F.col("row.rk").alias("rk"))
+        # repeated rows of one identifier and text come once
+        texts = C.keyed(docs, id_col, text_col).join(need, ["dk", "rk"]).select("sh", "fp", "text")
+        found = C.store(texts.mapInArrow(run, "sh long, fp long, found array<long>").dropDuplicates(["sh"]))
+        x, y = (found.select(F.col("sh").alias(n), F.col("fp").alias(f"f{n}"), F.col("found").alias(f"s{n}")) for n in ("x", "y"))
+        both = pairs.join(x, "x").join(y, "y")
+        # sets of too unlike sizes cannot be near: they are not intersected
+        both = both.where((F.size("sx") >= NEAR * F.size("sy")) & (F.size("sy") >= NEAR * F.size("sx"))).withColumn("common", F.size(F.array_intersect("sx", "sy")))
+        near = both.where(F.col("common") >= NEAR * (F.size("sx") + F.size("sy") - F.col("common")))
+        return near.select(F.col("fx").alias("a"), F.col("fy").alias("b"))
+
+    ends = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = C.store(ends(alike_of(pairs).union(alike)))
+    roots = components(first if known is None else first.union(known).distinct())
+    part = sets.select("sh", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sh", F.coalesce("root", "fp").alias("part"))
+    member = met.join(part, "sh")
+    torn = member.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("key")
+    member = C.store(member.join(torn, "key", "left_semi"))
+    left, right = (member.select("key", F.col("sh").alias(n), F.col("part").alias(f"p{n}")) for n in ("x", "y"))
+    rest = left.join(right, "key").where("x < y and px <> py").select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
+    return ends(first.union(alike_of(C.store(rest))))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +242,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = C.store(_near_rows(docs, id_col, text_col))
     distinct = C.cut(rows.groupBy("fp").agg(F.min(F.struct((F.col("dk") == C.NULL_ID).alias("n"), "dk", "rk", "wh")).alias("least")))
-    roots = components(links(distinct).union(near_links(rows, docs, id_col, text_col)).distinct())
+    close = C.cut(links(distinct))
+    roots = components(close.union(near_links(rows, docs, id_col, text_col, close)).distinct())
     own = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
     dk, rk, wh = keys = [C.fresh(docs, n) for n in ("dk", "rk", "wh")]
     keep = own.groupBy("root").agg(F.min("least").alias("k")).select(*[F.col(f"k.{a}").alias(b) for a, b in zip(("dk", "rk", "wh"), keys)])
