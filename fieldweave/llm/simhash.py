@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +42,9 @@ SPREAD = 50_000
 #: Near copies of the pipeline's stage: words a shingle, least similarity, bands and rows of MinHash
 #: values (a pair at 0.8 shares none of the bands with a chance of 0.672 ** 24 = 7e-5).
 NEAR_SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 24, 5
+#: Sets of one key up to which they are compared as rows, one a pair; more are compared block by block, with at most
+#: so many sets and hashes a block (about; blocks are dealt by a hash), and so many hashes counted at once.
+PAIRWISE, BLOCK, BLOCK_HASHES, COLUMNS = 32, 2_048, 2_000_000, 2_048
 
 _one = np.array([0] + [1 << i for i in range(64)], np.uint64)
 _half = [(1 << i) | (1 << j) for i in range(32) for j in range(i)]
@@ -188,13 +192,81 @@ def _near_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.keyed(docs, id_col, text_col, whole_row(docs).alias("wh")).mapInArrow(run, "dk long, rk long, wh long, fp long, sh long, bands array<long>")
 
 
+def block_links(mine: pd.DataFrame) -> list[tuple[int, int]]:
+    """Near pairs (positions) of sets of block i with sets of block j; they connect all parts that such pairs connect.
+
+    mine has found, part, own (the set's block), i and j.  Common hashes are counted as a product of 0/1
+    matrices, some columns at a time; hashes that one set alone has are left out.
+    """
+    n, sets, own = len(mine), mine["found"].tolist(), mine["own"].to_numpy()
+    size = np.fromiter(map(len, sets), np.int64, n)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), size), times[col] > 1
+    row, col = row[shared], (np.cumsum(times > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left, right = np.flatnonzero(own == mine["i"].iloc[0]), np.flatnonzero(own == mine["j"].iloc[0])
+    common = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, (c, c + COLUMNS))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[row[lo:hi], col[lo:hi] - c] = 1
+        common += has[left] @ has[right].T
+    a, b = np.nonzero(common >= NEAR * (size[left][:, None] + size[right] - common))
+    a, b = left[a], right[b]
+    part = np.unique(mine["part"], return_inverse=True)[1]
+    apart = part[a] != part[b]
+    a, b = a[apart], b[apart]
+    _, first = np.unique(np.minimum(part[a], part[b]) * n + np.maximum(part[a], part[b]), return_index=True)
+    over, out = list(range(n)), []
+
+    def top(x: int) -> int:
+        while over[x] != x:
+            over[x] = over[over[x]]
+            x = over[x]
+        return x
+
+    for x, y in zip(a[first].tolist(), b[first].tolist()):
+        u, v = top(part[x]), top(part[y])
+        if u != v:
+            over[u] = v
+            out.append((x, y))
+    return out
+
+
+def candidates(member: DataFrame) -> DataFrame:
+    """(x, y): pairs of sets of different parts that share a key; keys of member (key, sh, part, n) have at most PAIRWISE sets."""
+    left, right = (member.select("key", F.col("sh").alias(n), F.col("part").alias(f"p{n}")) for n in ("x", "y"))
+    return left.join(right, "key").where("x < y and px <> py").select("x", "y").distinct()
+
+
+def in_blocks(member: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): fingerprints of near sets of the keys of member (key, sh, part, n), which connect what all of them connect.
+
+    A key's sets are dealt to blocks and two blocks meet in one group, so a key of n sets is n / BLOCK rows a set
+    and not n; a group holds two blocks at most.
+    """
+    sized = member.join(found.select("sh", F.size("found").alias("k")), "sh").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+    blocks = sized.select("key", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("k") / BLOCK_HASHES)).alias("blocks"))
+    dealt = member.select("key", "sh", "part").join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("sh"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "sh", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(mine: pd.DataFrame) -> pd.DataFrame:
+        fp = mine["fp"].to_numpy()
+        got = np.array(block_links(mine), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": fp[got[:, 0]], "b": fp[got[:, 1]]})
+
+    return dealt.join(found, "sh").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, known: DataFrame | None = None) -> DataFrame:
     """(a, b): fingerprints of rows whose shingle sets have a Jaccard similarity of NEAR or more.
 
     Sets that share a band's key are candidates.  First one set of each key's group, drawn anew for
-    each band, meets all others; then every pair of the group that these links (and those of known,
-    edges (a, b) between fingerprints) do not yet connect.  What is not compared is connected already,
-    so the links connect what all candidates of NEAR or more connect.  Candidates are compared by their sets.
+    each band, meets all others; then all sets of the group that these links (and those of known,
+    edges (a, b) between fingerprints) do not yet connect: small groups pair by pair, large ones block
+    by block.  What is not compared is connected already, so the links connect what all candidates of
+    NEAR or more connect.  Candidates are compared by their sets.
     """
     sets = C.store(rows.groupBy("sh").agg(F.min("fp").alias("fp"), F.max("fp").alias("other"), F.min(F.struct("dk", "rk")).alias("row"), F.first("bands").alias("bands")))
     # rows of one set with several fingerprints
@@ -209,12 +281,16 @@ def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, kno
             found = pa.array([C.signed(shingle_set(t)) for t in b.column("text").cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("sh"), b.column("fp"), found], names=["sh", "fp", "found"])
 
-    def alike_of(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("x").alias("sh")).union(pairs.select("y")).distinct()
-        need = sets.join(need, "sh").select("sh", "fp", F.col("row.dk").alias("dk"), F.col("row.rk").alias("rk"))
+    ends_of = lambda pairs: pairs.select(F.col("x").alias("sh")).union(pairs.select("y"))
+
+    def found_of(need: DataFrame) -> tuple[DataFrame, str]:
+        """(sh, fp, found): the sets with their hashes, made from the texts again."""
+        need = sets.join(need.distinct(), "sh").select("sh", "fp", F.col("row.dk").alias("dk"), F.col("row.rk").alias("rk"))
         # repeated rows of one identifier and text come once
         texts = C.keyed(docs, id_col, text_col).join(need, ["dk", "rk"]).select("sh", "fp", "text")
-        found = C.store(texts.mapInArrow(run, "sh long, fp long, found array<long>").dropDuplicates(["sh"]))
+        return C.stored(texts.mapInArrow(run, "sh long, fp long, found array<long>").dropDuplicates(["sh"]))
+
+    def alike_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
         x, y = (found.select(F.col("sh").alias(n), F.col("fp").alias(f"f{n}"), F.col("found").alias(f"s{n}")) for n in ("x", "y"))
         both = pairs.join(x, "x").join(y, "y")
         # sets of too unlike sizes cannot be near: they are not intersected
@@ -223,15 +299,20 @@ def near_links(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, kno
         return near.select(F.col("fx").alias("a"), F.col("fy").alias("b"))
 
     ends = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = C.store(ends(alike_of(pairs).union(alike)))
+    found, path = found_of(ends_of(pairs))
+    first = C.store(ends(alike_of(pairs, found).union(alike)))
+    C.discard(rows.sparkSession, path)
     roots = components(first if known is None else first.union(known).distinct())
     part = sets.select("sh", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("sh", F.coalesce("root", "fp").alias("part"))
     member = met.join(part, "sh")
-    torn = member.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("key")
-    member = C.store(member.join(torn, "key", "left_semi"))
-    left, right = (member.select("key", F.col("sh").alias(n), F.col("part").alias(f"p{n}")) for n in ("x", "y"))
-    rest = left.join(right, "key").where("x < y and px <> py").select("x", "y").distinct().join(pairs, ["x", "y"], "left_anti")
-    return ends(first.union(alike_of(C.store(rest))))
+    torn = member.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("n")).where("p0 <> p1").select("key", "n")
+    member = C.store(member.join(torn, "key"))
+    few, many = member.where(F.col("n") <= PAIRWISE), member.where(F.col("n") > PAIRWISE)
+    rest = C.store(candidates(few).join(pairs, ["x", "y"], "left_anti"))
+    found, path = found_of(ends_of(rest).union(many.select("sh")))
+    out = C.store(ends(first.union(alike_of(rest, found)).union(in_blocks(many, found))))
+    C.discard(rows.sparkSession, path)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
