@@ -8,6 +8,8 @@ cell, two logs of one field and cell meet cell by cell.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from fieldweave.operators.grid import KEY
 
 #: Limits of a swath and what stands for a missing one, limits of a cell, cells a grid has at most.
 SWATH, NO_SWATH, CELL, MAX_CELLS = (1.0, 60.0), 10.0, (2.0, 25.0), 400_000
+#: Cells along the side of a tile, and how far from an edge cell the gradient looks.
+TILE, NEAREST = 128, 2
 
 
 def _shape(c: Column) -> tuple[Column, Column, Column, Column]:
@@ -56,16 +60,51 @@ def geometry(points: DataFrame, cell_m: float | None = None, max_gap_m: float |
     return a.select(ds, "swath_m", "cell", gap.alias("gap"), "edge", x0.alias("x0"), y0.alias("y0"), rows.cast("long").alias("rows"), cols.cast("long").alias("cols"))
 
 
-def _offsets(reach: Column) -> Column:
-    """All (dr, dc) of a square about a cell but the cell itself."""
-    side = F.sequence(-reach, reach)
-    return F.explode(F.filter(F.flatten(F.transform(side, lambda a: F.transform(side, lambda b: F.struct(a.alias("dr"), b.alias("dc"))))), lambda o: (o["dr"] != 0) | (o["dc"] != 0)))
+def _beside(v: np.ndarray, dr: int, dc: int) -> np.ndarray:
+    """At each cell the value of the cell dr rows and dc columns on; zero beyond the array."""
+    out, (n, m) = np.zeros_like(v), v.shape
+    if abs(dr) < n and abs(dc) < m:
+        out[max(-dr, 0) : n - max(dr, 0), max(-dc, 0) : m - max(dc, 0)] = v[max(dr, 0) : n + min(dr, 0), max(dc, 0) : m + min(dc, 0)]
+    return out
 
 
-def _sent(df: DataFrame, o: Column, *cols: str, ds: str) -> DataFrame:
-    """df's columns at the cells (row - dr, col - dc)."""
-    s = df.select(ds, *KEY, *cols, o.alias("o"))
-    return s.select(ds, (F.col("row") - F.col("o.dr")).alias("row"), (F.col("col") - F.col("o.dc")).alias("col"), *cols, F.col("o.dr").alias("dr"), F.col("o.dc").alias("dc"))
+def _square(reach: int) -> list[tuple[int, int]]:
+    """All (dr, dc) of a square about a cell but the cell itself."""
+    return [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1) if a or b]
+
+
+def _core(z: np.ndarray, read: np.ndarray, cell: float, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Heights and mask of the cells filled: within the gap of cells read, which lie on two opposite sides."""
+    num, den = np.zeros_like(z), np.zeros_like(z)
+    side = {k: np.zeros_like(read) for k in "nswe"}
+    for dr, dc in _square(int(gap // cell)):
+        d2 = float(dr * dr + dc * dc)
+        if d2**0.5 * cell > gap:
+            continue
+        there = _beside(read, dr, dc)
+        num, den = num + np.where(there, _beside(z, dr, dc), 0.0) / d2, den + there / d2
+        for k, on in (("n", dr > 0 and abs(dc) <= dr), ("s", dr < 0 and abs(dc) <= -dr), ("w", dc > 0 and abs(dr) <= dc), ("e", dc < 0 and abs(dr) <= -dc)):
+            if on:
+                side[k] |= there
+    filled = ~read & ((side["n"] & side["s"]) | (side["e"] & side["w"]))
+    return np.where(filled, num / np.where(den > 0, den, 1.0), 0.0), filled
+
+
+def _run_on(z: np.ndarray, core: np.ndarray, fallback: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Heights of edge cells: the nearest cell of the core with its slope continued, else the reading's own height."""
+
+    def slope(dr: int, dc: int) -> np.ndarray:
+        at = lambda k: (_beside(core, k * dr, k * dc), _beside(z, k * dr, k * dc))
+        (b2, zb2), (b1, zb1), (a1, za1), (a2, za2) = (at(k) for k in (-2, -1, 1, 2))
+        return np.select([a1 & b1, b2, a2, b1, a1], [(za1 - zb1) * 0.5, (z - zb2) * 0.5, (za2 - z) * 0.5, z - zb1, za1 - z], 0.0)
+
+    down, right = slope(1, 0), slope(0, 1)
+    out, open_ = fallback.copy(), edge.copy()
+    for dr, dc in sorted(_square(NEAREST), key=lambda o: (o[0] * o[0] + o[1] * o[1], o)):
+        hit = open_ & _beside(core, dr, dc)
+        out = np.where(hit, _beside(z, dr, dc) + _beside(down, dr, dc) * -dr + _beside(right, dr, dc) * -dc, out)
+        open_ &= ~hit
+    return out
 
 
 def surface(points: DataFrame, geo: DataFrame, value: str = "elev_m", ds: str = "ds") -> DataFrame:
@@ -76,45 +115,59 @@ def surface(points: DataFrame, geo: DataFrame, value: str = "elev_m", ds: str =
     squared distance.  edge: beyond the outermost track, within half a swath of a reading: the slope
     of the nearest of those cells continued, so a hillside runs off the edge of a field and no rim
     is left about it.
+
+    Readings go to the square tile that holds them, and to those beside it that they reach; each tile
+    is one group of arrays, so a reading is shuffled about once and its cells not at all.
     """
+    kind = dict(points.dtypes)[ds]
     v = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col(value).isNotNull())
-    g = geo.select(ds, "cell", "gap", "edge")
-    p = v.select(ds, "x", "y", F.col(value).alias("z")).join(g, ds).withColumns({"row": -cell_of("y", F.col("cell")) - 1, "col": cell_of("x", F.col("cell"))})
-    read = cut(p.groupBy(ds, *KEY).agg(F.avg("z").alias("z")))
-    # gaps: what is not read hears from all that is, within the gap
-    reach = F.floor(F.col("gap") / F.col("cell")).cast("int")
-    d2 = (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).cast("double")
-    near = _sent(read.join(g, ds), _offsets(reach), "z", "cell", "gap", ds=ds).where(F.sqrt(d2) * F.col("cell") <= F.col("gap"))
-    near = near.join(keyed(read.select(ds, *KEY)), [ds, *KEY], "left_anti")
-    side = lambda a, b, c: F.max((F.col(a) * b > 0) & (F.abs(F.col(c)) <= F.abs(F.col(a))))
-    holes = near.groupBy(ds, *KEY).agg((F.sum(F.col("z") / d2) / F.sum(1 / d2)).alias("z"), side("dr", 1, "dc").alias("n"), side("dr", -1, "dc").alias("s"), side("dc", 1, "dr").alias("w"), side("dc", -1, "dr").alias("e"))
-    core = cut(read.withColumn("kind", F.lit("read")).unionByName(holes.where("(n and s) or (e and w)").select(ds, *KEY, "z", F.lit("filled").alias("kind"))))
-    # the edge: cells outside the core whose centre lies within half a swath of a reading
-    band = F.ceil(F.col("edge") / F.col("cell")).cast("int")
-    beside = _sent(core.join(g, ds), _offsets(band), ds=ds).select(ds, *KEY).distinct().join(keyed(core.select(ds, *KEY)), [ds, *KEY], "left_anti")
-    asked = _sent(beside.join(g, ds), _offsets(band), "edge", "cell", ds=ds).select(ds, "row", "col", (F.col("row") + F.col("dr")).alias("r"), (F.col("col") + F.col("dc")).alias("c"), "edge", "cell")
-    own = p.select(ds, *KEY, "x", "y", "z")
-    far = F.hypot((F.col("c") + 0.5) * F.col("cell") - F.col("x"), -(F.col("r") + 0.5) * F.col("cell") - F.col("y"))
-    edge = asked.join(keyed(own), [ds, *KEY]).withColumn("far", far).where("far <= edge").groupBy(ds, F.col("r").alias("row"), F.col("c").alias("col")).agg(F.min(F.struct("far", "x", "y", "z")).alias("near"))
-    edge = cut(edge.select(ds, *KEY, F.col("near.z").alias("fallback")))
-    # the nearest cell of the core within two cells, and the gradient there
-    two = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-2, 3) for b in range(-2, 3) if a or b]))
-    asked = _sent(edge, two, ds=ds).withColumns({"er": F.col("row") + F.col("dr"), "ec": F.col("col") + F.col("dc")})
-    at = asked.join(keyed(core.select(ds, *KEY, "z")), [ds, *KEY]).groupBy(ds, "er", "ec").agg(F.min(F.struct((F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"), "row", "col", "z")).alias("n"))
-    at = at.select(ds, "er", "ec", F.col("n.row").alias("row"), F.col("n.col").alias("col"), F.col("n.z").alias("z"))
-    cross = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((-2, 0), (-1, 0), (1, 0), (2, 0), (0, -2), (0, -1), (0, 1), (0, 2))]))
-    arms = _sent(core.select(ds, *KEY, "z"), cross, "z", ds=ds).join(keyed(at.select(ds, *KEY).distinct()), [ds, *KEY], "left_semi")
-    pick = lambda a, b: F.max(F.when((F.col("dr") == a) & (F.col("dc") == b), F.col("z")))
-    names = {("row", k): pick(k, 0).alias(f"row{k}".replace("-", "m")) for k in (-2, -1, 1, 2)} | {("col", k): pick(0, k).alias(f"col{k}".replace("-", "m")) for k in (-2, -1, 1, 2)}
-    arms = arms.groupBy(ds, *KEY).agg(*names.values())
-
-    def slope(axis: str) -> Column:
-        b2, b1, a1, a2 = (F.col(f"{axis}{k}") for k in ("m2", "m1", "1", "2"))
-        return F.coalesce((a1 - b1) * 0.5, (F.col("z") - b2) * 0.5, (a2 - F.col("z")) * 0.5, F.col("z") - b1, a1 - F.col("z"), F.lit(0.0))
-
-    on = at.join(keyed(arms), [ds, *KEY], "left").select(ds, F.col("er").alias("row"), F.col("ec").alias("col"), (F.col("z") + slope("row") * (F.col("er") - F.col("row")) + slope("col") * (F.col("ec") - F.col("col"))).alias("on"))
-    edge = edge.join(keyed(on), [ds, *KEY], "left").select(ds, *KEY, F.coalesce("on", "fallback").alias("z"), F.lit("edge").alias("kind"))
-    return core.unionByName(edge)
+    # what a cell depends on: readings within the gap of the core cells that it looks at
+    reach, band = F.floor(F.col("gap") / F.col("cell")), F.ceil(F.col("edge") / F.col("cell"))
+    g = geo.select(ds, "cell", "gap", "edge", (reach + F.greatest(band, F.lit(2 * NEAREST))).cast("long").alias("halo"))
+    p = v.select(ds, "x", "y", F.col(value).cast("double").alias("z")).join(g, ds).withColumns({"row": -cell_of("y", F.col("cell")) - 1, "col": cell_of("x", F.col("cell"))})
+    tiles = lambda k: F.explode(F.sequence(F.floor((F.col(k) - F.col("halo")) / TILE), F.floor((F.col(k) + F.col("halo")) / TILE)))
+    p = p.withColumn("tr", tiles("row")).withColumn("tc", tiles("col"))
+    names = [ds, *KEY, "z", "kind"]
+
+    def lay(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
+        _, tr, tc = key
+        cell, gap, edge, halo = (mine[c].iloc[0] for c in ("cell", "gap", "edge", "halo"))
+        r0, c0, n = tr * TILE - halo, tc * TILE - halo, TILE + 2 * halo
+        row, col, x, y, h = (mine[c].to_numpy() for c in ("row", "col", "x", "y", "z"))
+        at = (row - r0) * n + col - c0
+        count = np.bincount(at, minlength=n * n).reshape(n, n)
+        read = count > 0
+        z = np.bincount(at, h, minlength=n * n).reshape(n, n) / np.maximum(count, 1)
+        new, filled = _core(z, read, cell, gap)
+        z, core = np.where(filled, new, z), read | filled
+        # the edge: cells of the tile outside the core whose centre lies within half a swath of a reading
+        own = np.zeros_like(core)
+        own[halo : halo + TILE, halo : halo + TILE] = True
+        beside, wide = np.zeros_like(core), _square(int(np.ceil(edge / cell)))
+        for dr, dc in wide:
+            beside |= _beside(core, dr, dc)
+        beside &= own & ~core
+        met = []
+        for dr, dc in wide:
+            r, c = row - r0 + dr, col - c0 + dc
+            i = np.flatnonzero((r >= 0) & (r < n) & (c >= 0) & (c < n))
+            i = i[beside[r[i], c[i]]]
+            far = np.hypot((col[i] + dc + 0.5) * cell - x[i], -(row[i] + dr + 0.5) * cell - y[i])
+            near = far <= edge
+            i, far = i[near], far[near]
+            met.append((r[i] * n + c[i], far, i))
+        to, far, i = (np.concatenate(k) for k in zip(*met)) if met else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((h[i], y[i], x[i], far, to))
+        to, first = np.unique(to[order], return_index=True)
+        fallback, rim = np.zeros(n * n), np.zeros(n * n, bool)
+        fallback[to], rim[to] = h[i][order][first], True
+        rim = rim.reshape(n, n)
+        z = np.where(rim, _run_on(z, core, fallback.reshape(n, n), rim), z)
+        r, c = np.nonzero((core | rim) & own)
+        what = np.where(rim[r, c], "edge", np.where(read[r, c], "read", "filled"))
+        return pd.DataFrame({ds: [mine[ds].iloc[0]] * len(r), "row": r + r0, "col": c + c0, "z": z[r, c], "kind": what})[names]
+
+    return p.groupBy(ds, "tr", "tc").applyInPandas(lay, f"{ds} {kind}, row long, col long, z double, kind string")
 
 
 def analyse(points: DataFrame, noise: DataFrame | None = None, ds: str = "ds") -> tuple[DataFrame, DataFrame]:

@@ -91,3 +91,17 @@ def test_smoothing_differs_by_field(spark, fields):
     assert one.where("z <> w").count() == 0 and one.count() == cells.where("ds = 1").count()
     two = got.where("ds = 2").join(grid.smooth(cells.where("ds = 2"), 1.5).withColumnRenamed("z", "w"), ["ds", "row", "col"])
     assert two.where("abs(z - w) > 1e-9").count() == 0
+
+
+def test_tiles_do_not_show(spark, monkeypatch):
+    """A surface is the same however it is cut into tiles, and its plan joins nothing by cell."""
+    rows = [(1, 10.0 * p + 0.3 * (k % 3), 4.0 * k, 100 + 0.1 * p * p - 0.05 * k, 10.0) for p in range(9) for k in range(30) if p != 4 and not (p < 3 and 10 < k < 20)]
+    pts = spark.createDataFrame(rows, "ds long, x double, y double, elev_m double, swath_m double")
+    geo = surface.geometry(pts).localCheckpoint()
+    got = []
+    for tile in (128, 5):
+        monkeypatch.setattr(surface, "TILE", tile)
+        s = surface.surface(pts, geo)
+        assert s._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the geometry
+        got.append(sorted((r["row"], r["col"], round(r["z"], 9), r["kind"]) for r in s.collect()))
+    assert got[0] == got[1] and {k for *_, k in got[0]} == {"read", "filled", "edge"}
