@@ -170,13 +170,16 @@ def _curve(fits: DataFrame, price: float, cost: float, lo, hi, points: int) -> D
 
 def optimum(fits: DataFrame, keys: list[str], price: float, cost: float, lo=0.0, hi=400.0) -> DataFrame:
     """ECO7: the rate of greatest profit on 2001 rates, or the first place where the marginal yield falls through cost / price if it pays as much."""
-    g = _curve(fits, price, cost, lo, hi, 2001)
-    s = F.signum(slope(F.col("r")) - cost / price)
-    w = Window.partitionBy(*keys).orderBy("i")
-    g = g.withColumn("_s", s).withColumn("_cross", F.coalesce(F.col("_s") < F.lag("_s").over(w), F.lit(False)))
-    best = F.min(F.struct((-F.col("profit")).alias("k"), "i", "r", "yhat", "profit")).alias("best")
-    cross = F.min(F.when(F.col("_cross"), F.struct("i", "r", "yhat", "profit"))).alias("cross")
-    a = g.groupBy(*keys).agg(best, cross, *[F.first(c).alias(c) for c in ("model", "r2", "rmse", "n", "plateau", "_lo", "_hi")])
+    lo, hi = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lo, hi))
+    # a fit's curve is an array of its row: as rows it would be sorted by key, with 2001 rows a fit
+    rate = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / 2000
+    sign = lambda r: F.signum(slope(r) - cost / price)
+    g = fits.withColumns({"_lo": lo, "_hi": hi})
+    g = g.withColumn("_g", F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: F.struct(i.alias("i"), rate(i).alias("r"), predict(rate(i)).alias("yhat"))))
+    g = g.withColumn("_g", F.transform("_g", lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r"), x["yhat"].alias("yhat"), (x["yhat"] * price - x["r"] * cost).alias("profit"))))
+    best = F.array_min(F.transform("_g", lambda x: F.struct((-x["profit"]).alias("k"), x["i"].alias("i"), x["r"].alias("r"), x["yhat"].alias("yhat"), x["profit"].alias("profit"))))
+    cross = F.array_min(F.filter("_g", lambda x: (x["i"] > 0) & (sign(x["r"]) < sign(rate(x["i"] - 1)))))
+    a = g.withColumns({"best": best, "cross": cross})
     use = F.coalesce(F.col("cross.profit") >= F.col("best.profit") - 1e-6, F.lit(False))
     pick = lambda c: F.when(use, F.col(f"cross.{c}")).otherwise(F.col(f"best.{c}"))
     return a.select(

@@ -200,3 +200,14 @@ def test_blocks_hold_every_rate_once(spark):
     a = design.assign_strips(cells, [0.0, 60.0, 120.0], 20.0, blocks=3)
     by = {(r["block"], r["rate"]) for r in a.select("block", "rate").distinct().collect()}
     assert by == {(b, r) for b in range(3) for r in (0.0, 60.0, 120.0)}
+
+
+def test_optimum_sorts_no_curve(spark):
+    """The rates of a fit stay in its row: no sort, no exchange, one crossing of several."""
+    from fieldweave.operators import response
+
+    fits = spark.createDataFrame([(1, "quadratic", 10.0, 2.0, -0.01, 100.0, 0.9, 1.0, 50), (2, "linear_plateau", 5.0, 1.0, 60.0, 60.0, 0.8, 1.0, 50)], "ds long, model string, a double, b double, c double, plateau double, r2 double, rmse double, n long")
+    o = response.optimum(fits, ["ds"], 1.0, 0.5, 0.0, 200.0)
+    plan = o._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    assert {r["ds"]: round(r["optimum_rate"], 6) for r in o.collect()} == {1: 75.0, 2: 60.0}
