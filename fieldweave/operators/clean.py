@@ -150,8 +150,8 @@ def pass_ends(p: dict, ds: str = "ds") -> Column:
     return bad
 
 
-def coverage(df: DataFrame, ds: str = "ds", max_cells: float = 24e6) -> DataFrame:
-    """CLN10's samples: (ds, rn, k, row, col) of each place across each row's swath.
+def _box(df: DataFrame, ds: str, max_cells: float = 24e6) -> tuple[DataFrame, DataFrame]:
+    """The rows with a place and a width, and for each log of ten of them (ds, cell, samples, ox, oy).
 
     The cell is an eighth of the median swath within 0.5 to 2 m, enlarged by halves until the
     log's box has at most max_cells.
@@ -166,10 +166,25 @@ def coverage(df: DataFrame, ds: str = "ds", max_cells: float = 24e6) -> DataFram
     grow = F.greatest(F.lit(0), F.ceil(F.log(cells / F.lit(max_cells)) / F.log(F.lit(2.25)))).cast("double")
     box = box.withColumn("cell", F.when(cells > max_cells, F.col("cell") * F.pow(F.lit(1.5), grow)).otherwise(F.col("cell")))
     box = box.withColumn("samples", F.greatest(F.lit(3), F.ceil(F.col("med") / F.col("cell")) + 1).cast("int"))
-    j = v.join(keyed(box), ds).select(ds, "rn", "x", "y", "swath_m", F.radians(F.coalesce("heading_deg", F.lit(0.0))).alias("h"), "cell", "samples", (F.col("x0") - F.col("med")).alias("ox"), (F.col("y0") - F.col("med")).alias("oy"), F.explode(F.expr("sequence(0, samples - 1)")).alias("k"))
-    off = F.col("swath_m") * (F.col("k") / (F.col("samples") - 1) - 0.5)
-    at = lambda c, o, p: F.floor((F.col(c) + p * off - F.col(o)) / F.col("cell")).cast("long")
-    return j.select(ds, "rn", "k", "cell", at("y", "oy", -F.sin("h")).alias("row"), at("x", "ox", F.cos("h")).alias("col"))
+    return v, box.select(ds, "cell", "samples", (F.col("x0") - F.col("med")).alias("ox"), (F.col("y0") - F.col("med")).alias("oy"))
+
+
+def _at(c: str, origin: str, off: Column | None = None) -> Column:
+    """The cell of a coordinate, moved by off, from its log's origin."""
+    place = F.col(c) if off is None else F.col(c) + off
+    return F.floor((place - F.col(origin)) / F.col("cell")).cast("long")
+
+
+def _sample(c: str, origin: str, part: Column, k: Column) -> Column:
+    """The cell of the k-th place across a row's swath."""
+    return _at(c, origin, part * (F.col("swath_m") * (k / (F.col("samples") - 1) - 0.5)))
+
+
+def coverage(df: DataFrame, ds: str = "ds", max_cells: float = 24e6) -> DataFrame:
+    """CLN10's samples: (ds, rn, k, cell, row, col) of each place across each row's swath."""
+    v, box = _box(df, ds, max_cells)
+    j = v.join(keyed(box), ds).select(ds, "rn", "x", "y", "swath_m", F.radians(F.coalesce("heading_deg", F.lit(0.0))).alias("h"), "cell", "samples", "ox", "oy", F.explode(F.expr("sequence(0, samples - 1)")).alias("k"))
+    return j.select(ds, "rn", "k", "cell", _sample("y", "oy", -F.sin("h"), F.col("k")).alias("row"), _sample("x", "ox", F.cos("h"), F.col("k")).alias("col"))
 
 
 def overlap(df: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
@@ -182,18 +197,30 @@ def overlap(df: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
 def boundary(df: DataFrame, p: dict, ds: str = "ds") -> DataFrame:
     """CLN11: (ds, rn) of rows nearer than buffer_m to ground that no row covered.
 
-    Only uncovered cells within the buffer matter: each covered cell looks at its neighbours
-    up to ceil(buffer / cell) away.
+    A disc is one look-up for each row of cells that it meets: whether the cells from lo to col are all
+    covered.  Each record sends its samples and its look-ups along once, and a running window over each
+    row of cells keeps the last covered cell and where its run began.
     """
-    s = coverage(df, ds)
-    covered = s.select(ds, "row", "col", "cell").distinct()
-    pts = s.groupBy(ds, "rn").agg(F.first("cell").alias("cell"))
-    mid = spatial.point_cells(df, pts, ds)
-    r = F.ceil(F.lit(float(p["buffer_m"])) / F.col("cell")).cast("int")
-    near = mid.select(ds, "rn", "cell", "row", "col", F.explode(F.sequence(-r, r)).alias("dr")).select("*", F.explode(F.sequence(-r, r)).alias("dc"))
-    near = near.where(F.hypot("dr", "dc") * F.col("cell") < float(p["buffer_m"]))
-    look = near.select(ds, "rn", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    return look.join(keyed(covered.select(ds, "row", "col")), [ds, "row", "col"], "left_anti").select(ds, "rn").distinct()
+    v, box = _box(df, ds)
+    h, reach = F.radians(F.coalesce("heading_deg", F.lit(0.0))), float(p["buffer_m"])
+    near = lambda dr, dc: F.hypot(dr, dc) * F.col("cell") < reach
+    r = F.ceil(F.lit(reach) / F.col("cell")).cast("int")
+    # the columns that a disc has in each of its rows, one array a log
+    arms = F.filter(F.transform(F.sequence(-r, r), lambda dr: F.struct(dr.alias("dr"), (F.size(F.filter(F.sequence(F.lit(0), r), lambda dc: near(dr, dc))) - 1).alias("w"))), lambda a: a["w"] >= 0)
+    j = v.join(keyed(box.withColumn("arms", arms)), ds).withColumns({"h": h, "mr": _at("y", "oy"), "mc": _at("x", "ox")})
+    none = F.lit(None).cast("long")
+    samples = F.transform(F.sequence(F.lit(0), F.col("samples") - 1), lambda k: F.struct(_sample("y", "oy", -F.sin("h"), k).alias("row"), _sample("x", "ox", F.cos("h"), k).alias("col"), none.alias("lo"), none.alias("rn")))
+    looks = F.transform("arms", lambda a: F.struct((F.col("mr") + a["dr"]).alias("row"), (F.col("mc") + a["w"]).alias("col"), (F.col("mc") - a["w"]).alias("lo"), F.col("rn").cast("long").alias("rn")))
+    # dealt out by row of cells: a log's own task would sort all that it sends
+    c = j.select(ds, F.explode(F.concat(samples, looks)).alias("c")).select(ds, "c.*").repartition(ds, "row")
+    # nulls first: of the rows of a cell samples come before look-ups
+    w = Window.partitionBy(ds, "row").orderBy("col", F.col("lo").asc_nulls_first())
+    covered = F.when(F.col("lo").isNull(), F.col("col"))
+    c = c.withColumns({"_before": F.last(covered, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_last": F.last(covered, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    begins = F.when(F.col("lo").isNull() & (F.col("_before").isNull() | (F.col("_before") < F.col("col") - 1)), F.col("col"))
+    c = c.withColumn("_run", F.last(begins, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = F.coalesce((F.col("_last") == F.col("col")) & (F.col("_run") <= F.col("lo")), F.lit(False))
+    return c.where(F.col("lo").isNotNull() & ~whole).select(ds, F.col("rn").cast(dict(df.dtypes)["rn"]).alias("rn")).distinct()
 
 
 def global_outlier(alive: DataFrame, p: dict, ds: str = "ds") -> DataFrame:

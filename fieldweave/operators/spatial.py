@@ -22,14 +22,6 @@ def around(df: DataFrame, rings: int | Column = 1) -> DataFrame:
     return out.withColumns({"nrow": F.col("row") + F.col("_dr"), "ncol": F.col("col") + F.col("_dc")}).drop("_dr", "_dc")
 
 
-def point_cells(df: DataFrame, cells: DataFrame, ds: str = "ds") -> DataFrame:
-    """(ds, rn, cell, row, col): the coverage cell that holds each point of cells (ds, rn, cell)."""
-    v = df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & (F.col("swath_m") > 0))
-    box = v.groupBy(ds).agg(F.percentile("swath_m", F.lit(0.5)).alias("med"), F.min("x").alias("x0"), F.min("y").alias("y0"))
-    j = v.select(ds, "rn", "x", "y").join(keyed(cells), [ds, "rn"]).join(keyed(box), ds)
-    return j.select(ds, "rn", "cell", cell("y", F.col("cell"), F.col("y0") - F.col("med")).alias("row"), cell("x", F.col("cell"), F.col("x0") - F.col("med")).alias("col"))
-
-
 def within(left: DataFrame, right: DataFrame, radius: float, ds: str = "ds") -> DataFrame:
     """Pairs of points at most radius apart: the columns of left, those of right as other_*, and dist."""
     a = around(left.withColumns({"row": cell("y", radius), "col": cell("x", radius)}))
