@@ -111,8 +111,10 @@ lf AS (SELECT *, CASE WHEN lg > 1 AND sm > 1 THEN 1 WHEN lg > 1 THEN 2 WHEN lg <
 
 def _landforms(spark, sf_dir) -> DataFrame:
     c = cut(_bowl(spark, sf_dir))
-    s = grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct")
-    a, b = grid.standardise(grid.tpi(c, 2)).drop("tpi").withColumnRenamed("tpi_std", "small"), grid.standardise(grid.tpi(c, 4.5)).drop("tpi").withColumnRenamed("tpi_std", "large")
+    s = cut(grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct"))
+    # each layer is a table: one plan of all would be planned anew at each of its stages, on the driver, and compute a disc twice
+    t, u = cut(grid.tpi(c, 2)), cut(grid.tpi(c, 4.5))
+    a, b = grid.standardise(t).drop("tpi").withColumnRenamed("tpi_std", "small"), grid.standardise(u).drop("tpi").withColumnRenamed("tpi_std", "large")
     j = s.join(keyed(a), ["ds", "row", "col"]).join(keyed(b), ["ds", "row", "col"])
     return j.withColumn("landform", grid.landform(F.col("small"), F.col("large"), F.col("slope_pct")))
 
