@@ -143,7 +143,7 @@ def point_noise(points: DataFrame, k: int = 12, ds: str = "ds") -> DataFrame:
     ridge = 1e-6 + 1e-3 * (c("uu") + c("vv"))
     det = (c("uu") + ridge) * (c("vv") + ridge) - c("uv") * c("uv")
     b, g = (c("uw") * (c("vv") + ridge) - c("vw") * c("uv")) / det, (c("vw") * (c("uu") + ridge) - c("uw") * c("uv")) / det
-    s = s.select(ds, (c("mw") - b * c("mu") - g * c("mv")).alias("r"))
+    s = cut(s.select(ds, (c("mw") - b * c("mu") - g * c("mv")).alias("r")))
     m = s.groupBy(ds).agg(F.percentile("r", F.lit(0.5)).alias("m"))
     return s.join(m, ds).groupBy(ds).agg((F.percentile(F.abs(c("r") - c("m")), F.lit(0.5)) * 1.4826 / 1.05).alias("noise"))
 

@@ -28,3 +28,9 @@ def calls(monkeypatch):
 @pytest.mark.parametrize("name", ["zon_points", "zon_landform", "lf_classify", "yr_by_slope", "yr_findings"])
 def test_no_plan_holds_a_layer_twice(spark, calls, name):
     assert calls(terrain_queries.QUERIES[name](spark, DIR)) <= 13
+
+
+def test_residuals_are_taken_once(spark, calls):
+    from fieldweave.sources.bench_log import bench_log
+
+    assert calls(relief.point_noise(bench_log(spark, DIR))) <= 2
