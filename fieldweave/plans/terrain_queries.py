@@ -307,7 +307,7 @@ SELECT cd.ds, count(*) FILTER (WHERE depth > 0.05) AS ponded, round(sum(depth) *
 def hyd_wet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HYD7, HYD8, HYD9, HYD12."""
     f, _, _, twi = _wet(spark, sf_dir)
-    return r4(hydro.summary(f, hydro.guarded_wet(cut(hydro.wet_cells(twi, f).drop("depth")), f, 0.2), SIZE))
+    return r4(hydro.summary(f, hydro.guarded_wet(cut(hydro.wet_cells(cut(twi), f).drop("depth")), f, 0.2), SIZE))
 
 
 #: Lakes by the least cell that each of their cells reaches.
@@ -556,7 +556,7 @@ UNION ALL SELECT ds, 'pond', 'warning' FROM su WHERE pond > 500 UNION ALL SELECT
 def ts_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF1, TS1: summary of each field and what it says."""
     f, _, _, twi = _wet(spark, sf_dir)
-    wet = hydro.wet_cells(twi, f).select("ds", "row", "col", "slope_pct", "depth", "wet").join(keyed(f.select("ds", "row", "col", "z")), ["ds", "row", "col"])
+    wet = hydro.wet_cells(cut(twi), f).select("ds", "row", "col", "slope_pct", "depth", "wet").join(keyed(f.select("ds", "row", "col", "z")), ["ds", "row", "col"])
     s = cut(relief.terrain_summary(wet, SIZE))
     c = f.select("ds", "row", "col", "z")
     s = s.join(grid.plane_trend(c, SIZE), "ds").join(grid.residual_relief(c, SIZE), "ds")
@@ -615,7 +615,7 @@ SELECT t2.ds, k AS class, coalesce(g.n, 0) AS n, round(mean, 4) AS mean, round((
 def yr_by_wetness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """YR3: yield on dry (0) and wet (1) ground."""
     f, _, _, twi = _wet(spark, sf_dir)
-    w = cut(hydro.wet_cells(twi, f).select("ds", "row", "col", F.col("wet").cast("int").alias("class")))
+    w = cut(hydro.wet_cells(cut(twi), f).select("ds", "row", "col", F.col("wet").cast("int").alias("class")))
     return r4(relief.yield_by_class(grid.sample_nearest(bench_log(spark, sf_dir), w, SIZE, "class"), "value", "class", [0, 1]))
 
 
