@@ -10,7 +10,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut, keyed
@@ -138,37 +138,39 @@ def minimax(cells: DataFrame, tile: int = 64, eps: float = 1e-9, ds: str = "ds")
     raise RuntimeError(f"levels did not settle in {MAX_ROUNDS} rounds")
 
 
+#: Rings about a feature that a first look at it takes.
+REACH = 4
+
+
 def grow_rings(features: DataFrame, cells: DataFrame, falling: bool = True, ds: str = "ds") -> DataFrame:
     """LF6: (ds, label, level): the p75 of the ring about each feature where it stops falling (rising for lows).
 
-    All features grow one ring a round, across holes in the field too; a feature that has stopped
-    takes no part in the next.  A ring beyond the field's extent has no cells, which bounds the rounds.
+    A ring holds the cells at one distance from the feature, across holes in the field too.  A round takes
+    the rings up to a reach at once; only features that fall to the last of them are looked at again, with
+    twice the reach.  No ring lies beyond the field's extent, so the rounds are the logarithm of its side.
     """
     sign = 1.0 if falling else -1.0
-    key = [ds, "label", "row", "col"]
-    front, before, last, done = cut(features.select(*key)), None, None, None
     cells = cells.select(ds, "row", "col", "z")
-    extent = cells.groupBy(ds).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    o = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]))
-    for round_ in range(MAX_ROUNDS):
-        ring = front.select(*key, o.alias("o")).select(ds, "label", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col")).distinct()
-        # what lies beside a ring is on it, on the one before or on the next
-        for old in (front, before) if before is not None else (front,):
-            ring = ring.join(keyed(old.select(*key)), key, "left_anti")
-        ring = cut(ring.join(extent, ds).where("row between r0 and r1 and col between c0 and c1").select(*key))
-        now = ring.join(keyed(cells), [ds, "row", "col"]).groupBy(ds, "label").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
-        if last is None:
-            state = cut(now.withColumn("open", F.lit(True)))
-        else:
-            j = last.where("open").join(keyed(now.withColumnRenamed("level", "new")), [ds, "label"], "left")
-            better = F.coalesce(sign * F.col("new") < sign * F.col("level"), F.lit(False))
-            state = cut(j.select(ds, "label", F.when(better, F.col("new")).otherwise(F.col("level")).alias("level"), better.alias("open")))
-        stopped = state.where("not open").select(ds, "label", "level")
+    extent = cut(cells.groupBy(ds).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")))
+    live = features = features.select(ds, "label", "row", "col")
+    done, reach = None, REACH
+    while True:
+        # the cells of a column share it: what lies between two belongs to the nearer
+        w = Window.partitionBy(ds, "label", "col").orderBy("row")
+        row, col = F.col("row"), F.col("col")
+        above, below = F.floor((F.lag("row").over(w) + row) / 2) + 1, F.floor((row + F.lead("row").over(w)) / 2)
+        tall = live.join(keyed(extent), ds).withColumns({"_a": F.greatest(row - reach, "r0", above), "_b": F.least(row + reach, "r1", below)})
+        tall = tall.select(ds, "label", "row", "col", "c0", "c1", F.explode(F.sequence("_a", "_b")).alias("_row"))
+        wide = tall.select(ds, "label", "col", "_row", F.abs(F.col("_row") - row).alias("_v"), F.explode(F.sequence(F.greatest(col - reach, "c0"), F.least(col + reach, "c1"))).alias("_col"))
+        near = wide.groupBy(ds, "label", F.col("_row").alias("row"), F.col("_col").alias("col")).agg(F.min(F.greatest("_v", F.abs(F.col("_col") - F.col("col")))).alias("k")).where("k > 0")
+        rings = near.join(keyed(cells), [ds, "row", "col"]).groupBy(ds, "label", "k").agg((sign * F.percentile(sign * F.col("z"), F.lit(0.75))).alias("level"))
+        w = Window.partitionBy(ds, "label").orderBy("k")
+        falls = (F.lead("k").over(w) == F.col("k") + 1) & (sign * F.lead("level").over(w) < sign * F.col("level"))
+        # a feature without ground beside it has no foot
+        ends = rings.withColumn("falls", F.coalesce(falls, F.lit(False))).groupBy(ds, "label").agg(F.min("k").alias("k0"), F.min(F.when(~F.col("falls"), F.struct("k", "level"))).alias("e"))
+        ends = cut(ends.where("k0 = 1").select(ds, "label", "e.k", "e.level"))
+        stopped, last = ends.where(F.col("k") < reach).select(ds, "label", "level"), ends.where(F.col("k") == reach)
         done = stopped if done is None else done.unionByName(stopped)
-        if round_ % 16 == 15:  # else the plan grows with the rounds
-            done = cut(done)
-        last, live = state, state.where("open").select(ds, "label")
-        if live.isEmpty():
+        if last.isEmpty():
             return done
-        front, before = ring.select(*key).join(keyed(live), [ds, "label"]), front
-    raise RuntimeError(f"rings did not stop in {MAX_ROUNDS} rounds")
+        live, reach = features.join(keyed(last.select(ds, "label")), [ds, "label"], "left_semi"), 2 * reach

@@ -422,7 +422,9 @@ def jn_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _standing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with slope and standardised height above their surroundings."""
     c = cut(_bowl(spark, sf_dir))
-    return cut(grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct").join(keyed(grid.standardise(grid.tpi(c, 2)).drop("tpi")), ["ds", "row", "col"]))
+    # tables of their own, as in _landforms
+    s, t = cut(grid.derivatives(c, SIZE).select("ds", "row", "col", "z", "slope_pct")), cut(grid.tpi(c, 2))
+    return cut(s.join(keyed(grid.standardise(t).drop("tpi")), ["ds", "row", "col"]))
 
 
 #: Hills (h = 1) and lows (h = -1): components beyond +-1 of four cells at least, the level of each ring about
