@@ -88,12 +88,12 @@ def saddles(cells: DataFrame, patches: DataFrame, stops: DataFrame | None = None
     touch = marks.select(ds, "label", *KEY, near.alias("o")).groupBy(ds, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")).agg(F.slice(F.array_sort(F.collect_set("label")), 1, 2).alias("touch"))
     own = cells.select(ds, *KEY, (sign * F.col("z")).alias("up"))
     tops = patches.join(keyed(own), [ds, *KEY]).groupBy(ds, "label").agg(F.min(F.struct((-F.col("up")).alias("k"), *KEY)).alias("t"))
-    tops = tops.select(ds, F.col("t.row").alias("row"), F.col("t.col").alias("col"), F.col("label").alias("summit"))
+    tops, touch = cut(tops.select(ds, F.col("t.row").alias("row"), F.col("t.col").alias("col"), F.col("label").alias("summit"))), cut(touch)
     # fields without features have no saddles
-    nodes = own.join(tops.select(ds).distinct(), ds, "left_semi").join(keyed(touch), [ds, *KEY], "left").join(keyed(tops), [ds, *KEY], "left").withColumns({"id": graph.cell_id(), "summit": F.coalesce("summit", F.lit(NONE).cast("long"))})
+    nodes = cut(own.join(keyed(tops.select(ds).distinct()), ds, "left_semi").join(keyed(touch), [ds, *KEY], "left").join(keyed(tops), [ds, *KEY], "left").withColumns({"id": graph.cell_id(), "summit": F.coalesce("summit", F.lit(NONE).cast("long"))}))
     # tiles count from the field's own corner: from any other a field could be two tiles at every size
     corner = nodes.groupBy(ds).agg(F.min("row").alias("r0"), F.min("col").alias("c0"))
-    nodes = cut(nodes.join(corner, ds).withColumns({"row": F.col("row") - F.col("r0"), "col": F.col("col") - F.col("c0")}).drop("r0", "c0"))
+    nodes = cut(nodes.join(keyed(corner), ds).withColumns({"row": F.col("row") - F.col("r0"), "col": F.col("col") - F.col("c0")}).drop("r0", "c0"))
     side = TILE
     tile = lambda c, n=None: F.floor(F.col(c) / (n or side))
     # pairs of neighbours in different tiles; within a tile positions tell them

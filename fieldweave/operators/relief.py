@@ -18,15 +18,15 @@ def _whole(df: DataFrame, size: float | DataFrame, ds: str) -> tuple[DataFrame,
     return df, F.first(size) if isinstance(size, Column) else size
 
 
-def features(layers: DataFrame, size: float | DataFrame, high: bool = True, min_ha: float = 0.05, ds: str = "ds") -> DataFrame:
+def features(layers: DataFrame, size: float | DataFrame, high: bool = True, min_ha: float = 0.05, ds: str = "ds", parts: DataFrame | None = None) -> DataFrame:
     """LF5: hills (or lows) as components of the standardised TPI beyond +-1.
 
-    layers: (ds, row, col, z, tpi_std, slope_pct[, depth]).  Per feature: extreme cell and its
+    layers: (ds, row, col, z, tpi_std, slope_pct[, depth]); parts: their components, where the caller has them.  Per feature: extreme cell and its
     height, hectares, centroid, elongation, mean slope, height above (below) its foot (LF6) and
     whether it holds a pond; ranked by height times area.
     """
     sign = 1.0 if high else -1.0
-    part, wide = width(graph.cell_components(layers.where(sign * F.col("tpi_std") > 1), 1, ds), size, ds)
+    part, wide = width(graph.cell_components(layers.where(sign * F.col("tpi_std") > 1), 1, ds) if parts is None else parts, size, ds)
     part = part.where(F.col("cells") * wide * wide >= min_ha * 1e4).drop("_cell")
     c = cut(part.join(keyed(layers), [ds, "row", "col"]))
     foot = graph.grow_rings(c, layers, high, ds)

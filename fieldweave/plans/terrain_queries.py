@@ -481,8 +481,9 @@ def lf_saddles(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _standing(spark, sf_dir)
     part = {}
     for high in (True, False):
-        f = relief.features(s, SIZE, high, 0.03).where("height_m >= 0.05")
-        part[high] = cut(graph.cell_components(s.where(f"{'' if high else '-'}tpi_std > 1")).join(keyed(f.select("ds", "label")), ["ds", "label"], "left_semi"))
+        c = cut(graph.cell_components(s.where(f"{'' if high else '-'}tpi_std > 1")))
+        f = relief.features(s, SIZE, high, 0.03, parts=c).where("height_m >= 0.05")
+        part[high] = cut(c.join(keyed(f.select("ds", "label")), ["ds", "label"], "left_semi"))
     return r4(merge_tree.saddles(s, part[True], part[False]), digits=6)
 
 
