@@ -166,8 +166,8 @@ def features(layers: DataFrame, size: float | DataFrame, min_height: float = 0.0
     """
     alone, patch = {}, {}
     for high in (True, False):
-        f = cut(relief.features(layers, size, high, min_ha, ds).where(F.col("height_m") >= min_height))
-        part = graph.cell_components(layers.where((1.0 if high else -1.0) * F.col("tpi_std") > 1), 1, ds)
+        part = cut(graph.cell_components(layers.where((1.0 if high else -1.0) * F.col("tpi_std") > 1), 1, ds))
+        f = cut(relief.features(layers, size, high, min_ha, ds, part).where(F.col("height_m") >= min_height))
         alone[high], patch[high] = f, cut(part.join(keyed(f.select(ds, "label")), [ds, "label"], "left_semi"))
     out = None
     for high in (True, False):

@@ -42,3 +42,8 @@ def test_saddles_are_not_broadcast(spark, taken, plans, layers, monkeypatch):
     terrain_queries.lf_saddles(spark, "")
     assert len(taken) == 2
     assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_features_take_components_once(taken, layers):
+    assert merge_tree.features(layers, 9.0, 0.05, 0.03).columns
+    assert len(taken) == 2
