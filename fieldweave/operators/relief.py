@@ -117,13 +117,15 @@ def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "d
         step -= np.average(step, weights=now["n"])
         return pd.DataFrame({ds: now[ds], "pass_id": now["pass_id"], "offset": now["offset"] + step, "lam": lam})
 
+    # fields are small and dear to solve: partitions joined by their bytes would solve all of them in one task
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ds)
     state = n.join(few, ds, "left_semi").select(ds, "pass_id", F.lit(0.0).alias("offset"), F.lit(float("nan")).alias("lam"))
     for _ in range(rounds):
         of = lambda c, o: state.select(ds, F.col("pass_id").alias(c), F.col("offset").alias(o))
         q = even.join(keyed(of("other_pass_id", "beside")), [ds, "other_pass_id"]).groupBy(ds, "id", "pass_id").agg((F.first("d") + F.sum(F.col("w") * F.col("beside"))).alias("q")).join(keyed(of("pass_id", "own")), [ds, "pass_id"])
         med = q.groupBy(ds, "pass_id").agg(F.percentile(F.col("q") - F.col("own"), F.lit(0.5)).alias("b"))
         now = n.join(keyed(state), [ds, "pass_id"]).join(keyed(med), [ds, "pass_id"], "left")
-        state = cut(system.groupBy(ds).cogroup(now.groupBy(ds)).applyInPandas(solve, f"{ds} {kind}, pass_id {of_pass}, offset double, lam double"))
+        state = cut(dealt(system).groupBy(ds).cogroup(dealt(now).groupBy(ds)).applyInPandas(solve, f"{ds} {kind}, pass_id {of_pass}, offset double, lam double"))
     return state.select(ds, "pass_id", "offset")
 
 

@@ -47,3 +47,9 @@ def test_saddles_are_not_broadcast(spark, taken, plans, layers, monkeypatch):
 def test_features_take_components_once(taken, layers):
     assert merge_tree.features(layers, 9.0, 0.05, 0.03).columns
     assert len(taken) == 2
+
+
+def test_fields_are_solved_in_many_tasks(spark, plans):
+    rows = [(1, p * 9 + k, p, p * 9.0, k * 4.0, 700.0 + p % 3) for p in range(4) for k in range(9)]
+    relief.pass_offsets(spark.createDataFrame(rows, "ds long, seq long, pass_id long, x double, y double, elev_m double"), 13.5, rounds=1)
+    assert plans[-1].count("REPARTITION_BY_NUM") == 2
