@@ -114,10 +114,15 @@ def ter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(a.join(of(1, "hilltop_ha"), "ds").join(of(6, "valley_ha"), "ds"))
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a surface needs of the second log, as a table: its windows sort the whole log, so that is done once."""
+    return cut(rough_log(spark, sf_dir).select("ds", "x", "y", "swath_m", "elev_m"))
+
+
 @register("ter_blocks")
 def ter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER13: fields of a log that lie apart."""
-    log = rough_log(spark, sf_dir)
+    log = _readings(spark, sf_dir)
     geo = cut(surface.geometry(log))
     return r4(merge_tree.blocks(surface.surface(log, geo), geo))
 

@@ -96,6 +96,34 @@ def test_components_of_a_snake(spark):
     assert {(r["ds"], r["cells"]) for r in got.collect()} == {(1, len(snake) - 3), (2, 1), (2, 2)}
 
 
+@pytest.mark.parametrize("tile", [128, 7, 2])
+def test_components_are_the_same_however_cut(spark, tile):
+    r = random.Random(tile)
+    cells = {(ds, a, b) for ds in ("a", "b") for a in range(-20, 20) for b in range(-15, 15) if r.random() < 0.35}
+    want, left = {}, set(cells)
+    for first in sorted(cells):
+        if first in left:
+            island, open_ = [], [first]
+            left.discard(first)
+            while open_:
+                ds, a, b = open_.pop()
+                island.append((ds, a, b))
+                near = {(ds, a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & left
+                left -= near
+                open_ += near
+            want |= {c: ((first[1] + 2**30) * 2**31 + first[2] + 2**30, len(island)) for c in island}
+    df = spark.createDataFrame(sorted(cells), "ds string, row long, col long")
+    for least in (1, 4):
+        got = {(x["ds"], x["row"], x["col"]): (x["label"], x["cells"]) for x in graph.cell_components(df, least, tile=tile).collect()}
+        assert got == {c: v for c, v in want.items() if v[1] >= least}
+
+
+def test_rounds_follow_tiles_not_cells(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
+    field = spark.range(300 * 90).select(F.lit(1).alias("ds"), F.floor(F.col("id") / 300).alias("row"), (F.col("id") % 300).alias("col"))
+    assert {(r["label"], r["cells"]) for r in graph.cell_components(field).select("label", "cells").distinct().collect()} == {(2**30 * 2**31 + 2**30, 27000)}
+
+
 def test_contours_of_a_plane_are_straight(spark):
     p = surface(spark, lambda r, c: 0.3 * c + 0.01)
     s = grid.contour_segments(p, 1.0, 5.0).collect()
