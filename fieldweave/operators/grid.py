@@ -85,6 +85,11 @@ def gradient(size: float | Column) -> tuple[Column, Column]:
     return dx, dy
 
 
+def aspect(dx: Column, dy: Column, flat_pct: float = 0.5) -> Column:
+    """DER2: downhill bearing, null where the slope is below flat_pct."""
+    return F.when(100 * F.hypot(dx, dy) >= flat_pct, F.pmod(F.bround(F.degrees(F.atan2(-dx, -dy)), 4), F.lit(360.0)))
+
+
 def derivatives(cells: DataFrame, size: float | DataFrame, flat_pct: float = 0.5, azimuth: float = 315.0, altitude: float = 45.0, z_factor: float = 1.0, ds: str = "ds") -> DataFrame:
     """DER1-5, DER8, DER9 in one stencil: slope, aspect and sector, curvatures, hillshade, roughness, TRI."""
     s, size = width(stencil(cells, ds), size, ds)
@@ -98,12 +103,11 @@ def derivatives(cells: DataFrame, size: float | DataFrame, flat_pct: float = 0.5
     safe = F.when(flat, 1.0).otherwise(c("g2"))
     profile = -2.0 * (c("d_") * c("g_") * c("g_") + c("e_") * c("h_") * c("h_") + c("f_") * c("g_") * c("h_")) / safe
     plan = -2.0 * (c("d_") * c("h_") * c("h_") + c("e_") * c("g_") * c("g_") - c("f_") * c("g_") * c("h_")) / safe
-    bearing = F.pmod(F.bround(F.degrees(F.atan2(-c("dzdx"), -c("dzdy"))), 4), F.lit(360.0))
     az, alt = math.radians(azimuth), math.radians(altitude)
     gx, gy = c("dzdx") * z_factor, c("dzdy") * z_factor
     shade = (math.sin(alt) - math.cos(alt) * (gx * math.sin(az) + gy * math.cos(az))) / F.sqrt(1 + gx * gx + gy * gy)
     nb = [c(n) for o, n in NAMES.items() if o != (0, 0)]
-    s = s.withColumn("aspect", F.when(100 * c("grad") >= flat_pct, bearing))
+    s = s.withColumn("aspect", aspect(c("dzdx"), c("dzdy"), flat_pct))
     tri = sum((F.abs(c("z") - n) for n in nb[1:]), F.abs(c("z") - nb[0])) / 8.0
     return s.select(
         ds, *KEY, "z", (100 * c("grad")).alias("slope_pct"), F.degrees(F.atan("grad")).alias("slope_deg"), "aspect",

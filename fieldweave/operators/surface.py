@@ -126,14 +126,15 @@ def surface(points: DataFrame, geo: DataFrame, value: str = "elev_m", ds: str =
     g = geo.select(ds, "cell", "gap", "edge", (reach + F.greatest(band, F.lit(2 * NEAREST))).cast("long").alias("halo"))
     p = v.select(ds, "x", "y", F.col(value).cast("double").alias("z")).join(g, ds).withColumns({"row": -cell_of("y", F.col("cell")) - 1, "col": cell_of("x", F.col("cell"))})
     tiles = lambda k: F.explode(F.sequence(F.floor((F.col(k) - F.col("halo")) / TILE), F.floor((F.col(k) + F.col("halo")) / TILE)))
-    p = p.withColumn("tr", tiles("row")).withColumn("tc", tiles("col"))
+    p = p.withColumn("tr", tiles("row")).withColumn("tc", tiles("col")).drop("row", "col")
     names = [ds, *KEY, "z", "kind"]
 
     def lay(key: tuple, mine: pd.DataFrame) -> pd.DataFrame:
         _, tr, tc = key
         cell, gap, edge, halo = (mine[c].iloc[0] for c in ("cell", "gap", "edge", "halo"))
         r0, c0, n = tr * TILE - halo, tc * TILE - halo, TILE + 2 * halo
-        row, col, x, y, h = (mine[c].to_numpy() for c in ("row", "col", "x", "y", "z"))
+        x, y, h = (mine[c].to_numpy() for c in ("x", "y", "z"))
+        row, col = -np.floor(y / cell).astype(np.int64) - 1, np.floor(x / cell).astype(np.int64)
         at = (row - r0) * n + col - c0
         count = np.bincount(at, minlength=n * n).reshape(n, n)
         read = count > 0
@@ -170,20 +171,74 @@ def surface(points: DataFrame, geo: DataFrame, value: str = "elev_m", ds: str =
     return p.groupBy(ds, "tr", "tc").applyInPandas(lay, f"{ds} {kind}, row long, col long, z double, kind string")
 
 
+def _means(z: np.ndarray, there: np.ndarray, radius: float) -> np.ndarray:
+    """As ``grid.disc_mean``, by running sums along the rows of one array; z is 0 where no cell is there."""
+    n, m = z.shape
+    reach = 1 if radius < 1 else int(radius)
+    run = lambda v: np.pad(np.cumsum(v, axis=1, dtype=float), ((0, 0), (reach + 1, reach)), mode="edge")
+    out = []
+    for v in (z, there):
+        s, total = run(v), np.zeros((n, m))
+        s[:, : reach + 1] = 0.0
+        for dy in range(-min(reach, n - 1), min(reach, n - 1) + 1):
+            h = 1 if radius < 1 else int(np.sqrt(radius * radius - dy * dy))
+            to, of = slice(max(-dy, 0), n - max(dy, 0)), slice(max(dy, 0), n + min(dy, 0))
+            total[to] += s[of, reach + 1 + h : reach + 1 + h + m] - s[of, reach - h : reach - h + m]
+        out.append(total)
+    return out[0] / np.maximum(out[1], 1.0)
+
+
+def _standard(v: np.ndarray) -> np.ndarray:
+    """As ``grid.standardise``."""
+    sd = v.std()
+    return (v - v.mean()) / sd if sd > 0 else np.zeros_like(v)
+
+
+def _relief(row: np.ndarray, col: np.ndarray, z: np.ndarray, radii: tuple[float, float]) -> tuple[np.ndarray, ...]:
+    """At each cell of a field the eastward and northward rise (per cell) and its standardised position indices.
+
+    Missing neighbours take the nearest valid cell's height (TER10), ties by row and column.
+    """
+    r, c = row - row.min() + 1, col - col.min() + 1
+    there = np.zeros((r.max() + 2, c.max() + 2), bool)
+    # heights count from one of them, so that long sums lose nothing
+    there[r, c], full = True, np.zeros(there.shape)
+    full[r, c] = z - z[0]
+    v, open_ = full.copy(), ~there
+    for dr, dc in sorted(_square(1), key=lambda o: (o[0] * o[0] + o[1] * o[1], o)):
+        hit = open_ & _beside(there, dr, dc)
+        v = np.where(hit, _beside(full, dr, dc), v)
+        open_ &= ~hit
+    at = {name: v[r + dr, c + dc] for (dr, dc), name in grid.NAMES.items()}
+    dx = ((at["ne"] + 2.0 * at["e"] + at["se"]) - (at["nw"] + 2.0 * at["w"] + at["sw"])) / 8.0
+    dy = ((at["nw"] + 2.0 * at["n"] + at["ne"]) - (at["sw"] + 2.0 * at["s"] + at["se"])) / 8.0
+    return dx, dy, *(_standard((full - _means(full, there, radius))[r, c]) for radius in radii)
+
+
 def analyse(points: DataFrame, noise: DataFrame | None = None, ds: str = "ds") -> tuple[DataFrame, DataFrame]:
     """A terrain analysis of every field of a job, each on its own cells: (layers, geometry).
 
     layers: (ds, row, col, z, slope_pct, slope_deg, aspect, tpi_small, tpi_large (standardised), landform).
     noise (ds, noise) sets each field's smoothing (TER9); without it the surface stays as it is.
     The radii of the position indices follow from the extents (DER12).
+
+    Cells are shuffled once, by field: a field's grid has ``MAX_CELLS`` at most, so its arrays are bounded
+    whatever the readings, while sums over discs sent from cell to cell grow with radius times cells.
     """
+    kind = dict(points.dtypes)[ds]
     geo = cut(geometry(points, ds=ds))
     cells = cut(surface(points, geo, ds=ds).drop("kind"))
     if noise is not None:
         cells = cut(grid.smooth(cells, relief.smoothing_sigma(noise, geo, ds=ds), ds))
-    radii = cut(relief.options(cells, geo, ds=ds))
-    layers = grid.derivatives(cells, geo, ds=ds).select(ds, *KEY, "z", "slope_pct", "slope_deg", "aspect")
-    for name in ("small", "large"):
-        t = grid.standardise(grid.tpi(cells, radii.select(ds, F.col(f"tpi_{name}").alias("radius")), ds), ds=ds)
-        layers = layers.join(keyed(t.select(ds, *KEY, F.col("tpi_std").alias(f"tpi_{name}"))), [ds, *KEY])
+    radii = cut(relief.options(cells, geo, ds=ds).select(ds, "tpi_small", "tpi_large").join(geo.select(ds, "cell"), ds))
+
+    def measure(mine: pd.DataFrame) -> pd.DataFrame:
+        row, col, z = (mine[k].to_numpy() for k in (*KEY, "z"))
+        cell, small, large = (float(mine[k].iloc[0]) for k in ("cell", "tpi_small", "tpi_large"))
+        dx, dy, near, wide = _relief(row, col, z, (small, large))
+        return pd.DataFrame({ds: mine[ds], "row": row, "col": col, "z": z, "dx": dx / cell, "dy": dy / cell, "tpi_small": near, "tpi_large": wide})
+
+    layers = cells.join(keyed(radii), ds).groupBy(ds).applyInPandas(measure, f"{ds} {kind}, row long, col long, z double, dx double, dy double, tpi_small double, tpi_large double")
+    grad = F.hypot("dx", "dy")
+    layers = layers.select(ds, *KEY, "z", (100 * grad).alias("slope_pct"), F.degrees(F.atan(grad)).alias("slope_deg"), grid.aspect(F.col("dx"), F.col("dy")).alias("aspect"), "tpi_small", "tpi_large")
     return layers.withColumn("landform", grid.landform(F.col("tpi_small"), F.col("tpi_large"), F.col("slope_pct"))), geo

@@ -64,6 +64,11 @@ def ter_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(surface.surface(log, cut(surface.geometry(log))), digits=6)
 
 
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a surface needs of the second log, as a table: its windows sort the whole log, so that is done once."""
+    return cut(rough_log(spark, sf_dir).select("ds", "x", "y", "swath_m", "elev_m"))
+
+
 def _disc(name: str, radius: str) -> str:
     """Height above the mean of a disc, by sums along rows; standardised."""
     return f"""
@@ -96,7 +101,7 @@ lf AS (SELECT *, CASE WHEN lg > 1 AND sm > 1 THEN 1 WHEN lg > 1 THEN 2 WHEN lg <
 @register("ter_layers", _LAYERS + " SELECT ds, row, col, round(z, 5) AS z, round(slope_pct, 4) AS slope_pct, round(sm, 4) + 0e0 AS tpi_small, round(lg, 4) + 0e0 AS tpi_large FROM ly")
 def ter_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER6, DER1, DER6, DER7, DER12: layers of many fields in one job, each with its own cells and radii."""
-    layers, _ = surface.analyse(rough_log(spark, sf_dir))
+    layers, _ = surface.analyse(_readings(spark, sf_dir))
     c = F.col
     return layers.select("ds", "row", "col", F.round("z", 5).alias("z"), *[(F.round(c(x), 4) + F.lit(0.0)).alias(x) for x in ("slope_pct", "tpi_small", "tpi_large")])
 
@@ -114,11 +119,6 @@ def ter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r4(a.join(of(1, "hilltop_ha"), "ds").join(of(6, "valley_ha"), "ds"))
 
 
-def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a surface needs of the second log, as a table: its windows sort the whole log, so that is done once."""
-    return cut(rough_log(spark, sf_dir).select("ds", "x", "y", "swath_m", "elev_m"))
-
-
 @register("ter_blocks")
 def ter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TER13: fields of a log that lie apart."""

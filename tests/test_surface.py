@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,33 @@ def test_tiles_do_not_show(spark, monkeypatch):
         assert s._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the geometry
         got.append(sorted((r["row"], r["col"], round(r["z"], 9), r["kind"]) for r in s.collect()))
     assert got[0] == got[1] and {k for *_, k in got[0]} == {"read", "filled", "edge"}
+
+
+def _ragged(spark):
+    """Two fields with holes, steps in height and a stray cell far off."""
+    rows = [(ds, r, c, 300 + ds + math.sin(r / 3) * 2 + (c * c % 17) * 0.1) for ds in (1, 2) for r in range(-20, 12) for c in range(5, 45) if (r * 5 + c * 11 + ds) % 7 > 1 and not (ds == 2 and 10 < c < 25 and r < 0)]
+    return spark.createDataFrame(rows + [(2, 3, 160, 301.0)], "ds long, row long, col long, z double")
+
+
+@pytest.mark.parametrize("radii", [(1.5, 8.25), (0.5, 3.0)])
+def test_layers_of_a_field_equal_those_by_cell(spark, radii):
+    cells = cut(_ragged(spark))
+    got = {}
+    for ds in (1, 2):
+        mine = cells.where(F.col("ds") == ds).toPandas()
+        for r, c, *v in zip(mine["row"], mine["col"], *surface._relief(mine["row"].to_numpy(), mine["col"].to_numpy(), mine["z"].to_numpy(), radii)):
+            got[ds, r, c] = v
+    d = {(x["ds"], x["row"], x["col"]): x["slope_pct"] for x in grid.derivatives(cells, 1.0).collect()}
+    assert {k: math.hypot(*v[:2]) * 100 for k, v in got.items()} == pytest.approx(d, abs=1e-9)
+    for i, radius in enumerate(radii):
+        t = {(x["ds"], x["row"], x["col"]): x["tpi_std"] for x in grid.standardise(grid.tpi(cells, radius)).collect()}
+        assert {k: v[2 + i] for k, v in got.items()} == pytest.approx(t, abs=1e-9)
+    level = np.arange(12)
+    assert all((v == 0).all() for v in surface._relief(level // 4, level % 4, np.full(12, 700.1), radii))
+
+
+def test_cells_are_shuffled_once_for_all_layers(fields):
+    """Nothing is sent from cell to cell: neither discs nor neighbours."""
+    layers, _ = surface.analyse(fields.where("ds in (1, 2)"))
+    plan = layers._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 2  # cells and radii
