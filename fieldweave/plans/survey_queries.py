@@ -112,8 +112,8 @@ sm AS (SELECT ds, count(*) AS cells, count(*) * any_value(cell * cell) / 1e4 AS
 SELECT sm.ds, cells, round(area_ha, 4) AS area_ha, round(z_min, 4) AS z_min, round(z_max, 4) AS z_max, round(slope_mean, 4) AS slope_mean, round(steep_pct, 4) AS steep_pct, round(hilltop_ha, 4) AS hilltop_ha, round(valley_ha, 4) AS valley_ha FROM sm JOIN ar ON ar.ds = sm.ds""")
 def ter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TS1, LF1, LF2 over the fields' own cells."""
-    layers, geo = surface.analyse(rough_log(spark, sf_dir))
-    layers = cut(layers)
+    layers, geo = surface.analyse(_readings(spark, sf_dir))
+    layers = cut(layers.select("ds", "z", "slope_pct", "landform"))
     of = lambda k, name: grid.class_areas(layers, "landform", [k], geo).select("ds", F.col("area_ha").alias(name))
     a = relief.terrain_summary(layers, geo).select("ds", "cells", "area_ha", "z_min", "z_max", "slope_mean", "steep_pct")
     return r4(a.join(of(1, "hilltop_ha"), "ds").join(of(6, "valley_ha"), "ds"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.operators import grid, hydro, relief, surface
 from fieldweave.functions.lineage import cut
+from fieldweave.plans import survey_queries
 
 
 def passes(ds, swath, n, length, step, z, skip=()):
@@ -136,3 +137,10 @@ def test_cells_are_shuffled_once_for_all_layers(fields):
     layers, _ = surface.analyse(fields.where("ds in (1, 2)"))
     plan = layers._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and plan.count("Exchange hashpartitioning") <= 2  # cells and radii
+
+
+def test_a_report_writes_what_it_reads(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(survey_queries, "cut", lambda df: (written.append(df.columns), cut(df))[1])
+    assert survey_queries.QUERIES["ter_report"](spark, "/root/testdata/sf0.001").count() > 0
+    assert written == [["ds", "x", "y", "swath_m", "elev_m"], ["ds", "z", "slope_pct", "landform"]]
