@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.lineage import cut, keyed
-from fieldweave.operators import graph, grid, spatial
+from fieldweave.operators import graph, grid, passes, spatial
 from fieldweave.operators.grid import width
 
 
@@ -56,8 +58,10 @@ def saddle_level(summits: DataFrame, cells: DataFrame, stop: DataFrame, tile: in
     return summits.select(ds, "label", "row", "col").join(keyed(m), [ds, "row", "col"]).select(ds, "label", (-F.col("level")).alias("level"))
 
 
-#: Passes up to which offsets are estimated, bounds of the ridge, and rounds of its estimate.
-MAX_PASSES, RIDGE, RIDGE_ROUNDS = 2000, (1e-4, 10.0), 30
+#: A limit of passes beyond which a session leaves fields as they are (none by default: all are estimated).
+MAX_PASSES: int | None = None
+#: Passes up to which a field's system is one dense matrix, bounds of the ridge, and rounds of its estimate.
+DENSE_PASSES, RIDGE, RIDGE_ROUNDS = 2000, (1e-4, 10.0), 30
 
 
 def _ridge(gram: np.ndarray, at_b: np.ndarray, b: np.ndarray) -> float:
@@ -77,18 +81,33 @@ def _ridge(gram: np.ndarray, at_b: np.ndarray, b: np.ndarray) -> float:
     return float(np.clip(noise / spread, *RIDGE))
 
 
+def _ridge_by_blocks(solve: Callable[[float], tuple[np.ndarray, np.ndarray, float]], b: np.ndarray) -> float:
+    """As ``_ridge``, for a system of blocks (``passes.system``)."""
+    if len(b) < 2:
+        return 1.0
+    spread = max(float(np.var(b)), 1e-8)
+    noise = 0.1 * spread
+    for _ in range(RIDGE_ROUNDS):
+        mean, left, trace = solve(noise / spread)
+        spread, noise = (float(mean @ mean) + noise * trace) / len(mean), (float(left @ left) + noise * (len(mean) - noise / spread * trace)) / len(b)
+        spread, noise = max(spread, 1e-12), max(noise, 1e-12)
+    return float(np.clip(noise / spread, *RIDGE))
+
+
 def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "ds") -> DataFrame:
     """TER5: (ds, pass_id, offset): what each pass lies above its neighbours.
 
     Spark joins the points of different passes within radius, keeps those whose neighbours lie about
     them evenly, and sums the shares of pass in pass: the equations say that a pass's median stands above
     its neighbours by its offset less theirs.  Each round takes the medians anew, of heights less the
-    offsets so far.  A field's system has a row a pass and ``MAX_PASSES`` at most, which bounds the group
-    that solves it; fields of more passes, and passes without evidence, keep what they have.
+    offsets so far.  A field's system is one dense matrix up to ``DENSE_PASSES`` passes, and beyond them solved
+    block by block from its shares (``passes``), so the group that solves it holds a row for each pair of passes
+    beside each other and no square of passes.  Passes without evidence keep what they have.
     """
     p = points.where("elev_m is not null").select(ds, F.col("seq").alias("id"), "x", "y", "pass_id", F.col("elev_m").alias("z"))
     n = p.groupBy(ds, "pass_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    few = n.groupBy(ds).agg(F.count(F.lit(1)).alias("k")).where((F.col("k") >= 2) & (F.col("k") <= MAX_PASSES)).select(ds)
+    few = n.groupBy(ds).agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    few = (few if MAX_PASSES is None else few.where(F.col("k") <= MAX_PASSES)).select(ds)
     p = cut(p.join(few, ds, "left_semi"))
     near = spatial.within(p, p.drop("id"), radius, ds).where("pass_id <> other_pass_id")
     # one row for each point and pass beside it
@@ -99,7 +118,7 @@ def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "d
     used = even.groupBy(ds, "pass_id").agg(F.count_distinct("id").cast("double").alias("u"))
     share = even.groupBy(ds, "pass_id", "other_pass_id").agg(F.sum("w").alias("w")).join(keyed(used), [ds, "pass_id"]).select(ds, "pass_id", "other_pass_id", (F.col("w") / F.col("u")).alias("w"))
     kind, of_pass = dict(points.dtypes)[ds], dict(points.dtypes)["pass_id"]
-    system = cut(share)
+    system, dense = cut(share), DENSE_PASSES
 
     def solve(shares: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
         if not len(shares):
@@ -107,13 +126,19 @@ def pass_offsets(points: DataFrame, radius: float, rounds: int = 3, ds: str = "d
         now = now.sort_values("pass_id")
         at = {v: i for i, v in enumerate(now["pass_id"])}
         b, use = now["b"].to_numpy(float), now["b"].notna().to_numpy()
-        a = np.eye(len(at))
-        a[[at[v] for v in shares["pass_id"]], [at[v] for v in shares["other_pass_id"]]] -= shares["w"].to_numpy()
-        a, b = a[use], b[use]
-        gram, at_b = a.T @ a, a.T @ b
-        lam = now["lam"].iloc[0]
-        lam = _ridge(gram, at_b, b) if lam != lam else lam
-        step = np.linalg.solve(gram + lam * np.eye(len(at)), at_b)
+        i, j = ([at[v] for v in shares[c]] for c in ("pass_id", "other_pass_id"))
+        w, b, lam = shares["w"].to_numpy(), b[use], now["lam"].iloc[0]
+        if len(at) > dense:
+            of = passes.system(len(at), np.flatnonzero(use), np.array(i), np.array(j), w, b)
+            lam = _ridge_by_blocks(of, b) if lam != lam else lam
+            step = of(lam)[0]
+        else:
+            a = np.eye(len(at))
+            a[i, j] -= w
+            a = a[use]
+            gram, at_b = a.T @ a, a.T @ b
+            lam = _ridge(gram, at_b, b) if lam != lam else lam
+            step = np.linalg.solve(gram + lam * np.eye(len(at)), at_b)
         step -= np.average(step, weights=now["n"])
         return pd.DataFrame({ds: now[ds], "pass_id": now["pass_id"], "offset": now["offset"] + step, "lam": lam})
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fieldweave.operators import relief
+from fieldweave.operators import passes, relief
 
 
 def field(ds, passes, seed, length=14):
@@ -67,3 +67,43 @@ def test_offsets(spark, monkeypatch):
     assert flat.count() == df.count()
     same = flat.join(df.select("ds", "seq", F.col("elev_m").alias("was")), ["ds", "seq"]).where("ds in (3, 4) and elev_m <> was")
     assert same.count() == 0
+
+
+def test_long_fields_are_solved_block_by_block(spark, monkeypatch):
+    put, one = field(1, 50, 3)
+    df = spark.createDataFrame(one + field(2, 9, 4)[1], "ds long, seq long, x double, y double, pass_id long, elev_m double")
+    monkeypatch.setattr(relief, "DENSE_PASSES", 10)
+    got = {(r.ds, r.pass_id): r.offset for r in relief.pass_offsets(df, 13.5).collect()}
+    want = by_loops(one, 13.5)
+    assert len(got) == 59 and max(abs(got[1, p] - want[p]) for p in want) < 1e-6
+
+
+def test_no_field_has_too_many_passes(spark):
+    put, rows = field(7, 2100, 6, length=2)
+    df = spark.createDataFrame(rows, "ds long, seq long, x double, y double, pass_id long, elev_m double")
+    got = {r.pass_id: r.offset for r in relief.pass_offsets(df, 13.5).collect()}
+    assert len(got) == 2100
+    jumps = [(got[p + 1] - got[p]) - (put[p + 1] - put[p]) for p in range(2, 2097)]
+    assert np.std(jumps) < 0.15 < np.std([put[p + 1] - put[p] for p in range(2, 2097)])
+
+
+def test_blocks_equal_a_dense_matrix():
+    r = np.random.default_rng(2)
+    for n, hub, gap in ((90, False, False), (300, True, False), (120, False, True)):
+        beside = {p: {q for q in (p - 1, p + 1, p + int(r.integers(2, 6))) if 0 <= q < n} for p in range(n)}
+        if hub:  # a headland: one pass lies beside most others
+            beside = {p: near | {0} - {p} for p, near in beside.items()} | {0: set(range(1, n, 2))}
+        if gap:  # parts that nothing joins, and passes without evidence
+            beside = {p: {q for q in near if q // 30 == p // 30} for p, near in beside.items() if p % 9}
+        i, j = (np.array(k) for k in zip(*[(p, q) for p, near in beside.items() for q in sorted(near)]))
+        w, used = r.random(len(i)) / 4, np.unique(i)
+        a, b = np.eye(n), r.normal(size=len(used))
+        a[i, j] -= w
+        a = a[used]
+        solve = passes.system(n, used, i, j, w, b)
+        for lam in (1e-4, 0.3, 10.0):
+            x, left, trace = solve(lam)
+            inverse = np.linalg.inv(a.T @ a + lam * np.eye(n))
+            assert np.allclose(x, inverse @ a.T @ b, atol=1e-8) and np.allclose(left, b - a @ x, atol=1e-8)
+            assert abs(trace / np.trace(inverse) - 1) < 1e-8
+        assert abs(relief._ridge_by_blocks(solve, b) / relief._ridge(a.T @ a, a.T @ b, b) - 1) < 1e-6
